@@ -206,18 +206,19 @@ def grouped_agg(
 ) -> DataFrame:
     """``groupBy(by)`` with ``aggs`` and exact medians ``{output: value column}``.
 
-    Meant for many mostly small groups. Groups up to ``hot_rows`` rows take Spark's
-    in-memory median in the same pass; larger ones go through :func:`exact_median`.
-    With no hot group the second branch is empty and adaptive execution drops it.
+    Meant for many mostly small groups. A count per key runs first: when no group
+    exceeds ``hot_rows`` (the normal case) one aggregation does everything, otherwise
+    the larger groups go through :func:`exact_median` and the rest stays as it was.
     """
     by = list(by)
     plain = [c.alias(name) for name, c in aggs.items()]
+    in_memory = [F.median(v).alias(name) for name, v in medians.items()]
     hot = (
         df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*by)
     )
-    small = join_on(df, hot, by, "left_anti").groupBy(*by).agg(
-        *plain, *[F.median(v).alias(name) for name, v in medians.items()]
-    )
+    if hot.isEmpty():
+        return df.groupBy(*by).agg(*plain, *in_memory)
+    small = join_on(df, hot, by, "left_anti").groupBy(*by).agg(*plain, *in_memory)
     big_rows = join_on(df, hot, by, "left_semi")
     big = big_rows.groupBy(*by).agg(*plain) if plain else big_rows.select(*by).distinct()
     for name, v in medians.items():

@@ -139,37 +139,22 @@ def patience_stop(curve: Sequence[float], patience: int) -> int:
 def fit_early_stop(
     train: DataFrame, valid: DataFrame, label: str, max_rounds: int, patience: int, seed: int, **params
 ) -> tuple["GBTRegressionModel", int]:
-    """Boost on ``train``; choose the round count by the error curve on ``valid``."""
+    """Boost on ``train``; keep the rounds chosen by the error curve on ``valid``.
+
+    Trees are added one after the other from one seed, so refitting with fewer rounds
+    gives the leading trees of the long run.
+    """
     model = _booster(max_rounds, seed, label, **params).fit(train)
-    curve = model.evaluateEachIteration(valid, "squared")
-    return model, patience_stop(curve, patience)
+    rounds = patience_stop(model.evaluateEachIteration(valid, "squared"), patience)
+    if rounds < max_rounds:
+        model = fit_fixed(train, label, rounds, seed, **params)
+    return model, rounds
 
 
 def fit_fixed(train: DataFrame, label: str, rounds: int, seed: int, **params) -> "GBTRegressionModel":
     return _booster(rounds, seed, label, **params).fit(train)
 
 
-def predict_trees(model: "GBTRegressionModel", df: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Score with the first ``rounds`` trees (all of them by default)."""
-    if rounds is None or rounds >= model.getNumTrees:
-        return model.transform(df)
-    from pyspark.ml.functions import vector_to_array  # noqa: F401  (ml on the path)
-    from pyspark.ml.regression import GBTRegressionModel
-
-    spark = df.sparkSession
-    jvm = spark._jvm
-    gateway = spark.sparkContext._gateway
-    trees = model._java_obj.trees()
-    kept = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
-    weights = gateway.new_array(jvm.double, rounds)
-    for i in range(rounds):
-        kept[i] = trees[i]
-        weights[i] = model.treeWeights[i]
-    java = jvm.org.apache.spark.ml.regression.GBTRegressionModel(model.uid, kept, weights)
-    java.setFeaturesCol("features").setPredictionCol("pred")
-    return GBTRegressionModel(java).transform(df)
-
-
 def select_rounds(
     inner_train: DataFrame, id_col: str, label: str, fraction: float, max_rounds: int,
     patience: int, seed: int, **params,

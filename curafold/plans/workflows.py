@@ -165,8 +165,10 @@ def bagging(
 ) -> DataFrame:
     """Per-seed predictions of fits on hash-drawn row subsamples, all seeds in one pass."""
     seed_list = F.array(*[F.lit(s) for s in seeds])
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.col("seed")), F.lit(1_000_000)) / 1e6
-    drawn = train.withColumn("seed", F.explode(seed_list)).where(draw < rate)
+    key = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.col("seed").cast("string")))
+    draw = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
+    limit = int(rate * (1 << 32))
+    drawn = train.withColumn("seed", F.explode(seed_list)).where(draw < limit)
     coefs = fit_linear(drawn, ["seed"], features, label)
     rows = holdout.withColumn("seed", F.explode(seed_list))
     return predict_linear(rows, coefs, ["seed"], features).select(
