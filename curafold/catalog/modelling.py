@@ -1,0 +1,226 @@
+"""Queries: out-of-fold screening, cross-validation protocols, final fits and tree learners."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from curafold.catalog.base import (
+    FEATURES, METRIC_NAMES, SEED, SQL_FRAME, frame, kfold_sql, leave_out_sql, metric_sql, oof_sql, r,
+    register, rs, solve_sql, sums_sql,
+)
+from curafold.functions import target as ft
+from curafold.operators import features, metrics, splits
+from curafold.plans import learners, workflows
+from curafold.session import materialize
+
+ARM_LIST = [None, 1.05, 1.1, 1.2]
+THRESHOLD = 1.1
+
+FOLDED = f"folded AS ({kfold_sql('frame', 'id', 5, '42')})"
+SQL_OOF = f"""{SQL_FRAME}, {FOLDED}, {oof_sql('folded', [], 'fold', 'o')},
+report AS (SELECT id, lang, source, weight, value, y, log_words, upper_share, fold, pred, pred - y AS residual, abs(y - pred) AS abs_error,
+  pow(10, abs(y - pred)) AS fold_error, pow(10, abs(y - pred)) >= {THRESHOLD} AS remove_flag FROM o_oof)"""
+
+
+def rows(spark, d):
+    """The regression frame as a written table: several plans read it more than once."""
+    return materialize(
+        frame(spark, d).select("id", "lang", "source", "weight", "value", "y", "word_ratio", "digit_share", *FEATURES), "frame"
+    )
+
+
+def report(spark, d):
+    return workflows.oof_screen(rows(spark, d), "id", FEATURES, "y", 5, SEED, THRESHOLD)
+
+
+@register("m3_oof_predict", f"WITH {SQL_OOF} SELECT id, fold, {rs(['y', 'pred'])} FROM report")
+def _(spark, d):
+    folded = splits.kfold(rows(spark, d), "id", 5, SEED)
+    return learners.oof_predict(folded, "fold", FEATURES, "y").select("id", "fold", "y", "pred")
+
+
+@register("m4_oof_screen", f"WITH {SQL_OOF} SELECT id, fold, {rs(['pred', 'residual', 'abs_error', 'fold_error'])}, remove_flag FROM report")
+def _(spark, d):
+    return report(spark, d).select("id", "fold", "pred", "residual", "abs_error", "fold_error", "remove_flag")
+
+
+@register("m4_screen_summary", f"""WITH {SQL_OOF}, st AS (SELECT 'before' AS stage, y, pred FROM report UNION ALL SELECT 'after', y, pred FROM report WHERE NOT remove_flag),
+  mm AS ({metric_sql('st', ['stage'])}) SELECT stage, n, {rs(METRIC_NAMES)} FROM mm""")
+def _(spark, d):
+    return workflows.screen_summary(materialize(report(spark, d), "report"))
+
+
+SQL_FINAL = f"""{SQL_FRAME}, tr AS (SELECT * FROM frame WHERE lang <> 'en'), s AS ({sums_sql('tr', [])}), c AS ({solve_sql('s', [])}),
+scored AS (SELECT frame.*, b0 + b1 * log_words + b2 * upper_share AS pred FROM frame, c WHERE lang = 'en')"""
+
+
+@register("m5_final_fit_predict", f"""WITH {SQL_FINAL} SELECT id, {rs(['y', 'pred'])}, {r('pow(10, -y) * weight * 1000', 'true_value')},
+  {r('pow(10, -pred) * weight * 1000', 'pred_value')}, {r('pow(10, abs(pred - y))', 'fold_error')} FROM scored""")
+def _(spark, d):
+    df = frame(spark, d)
+    out = workflows.final_fit_predict(
+        df.where(F.col("lang") != "en"), df.where(F.col("lang") == "en"), [*FEATURES, "const_one", "all_null"], "y", "weight"
+    )
+    return out.select("id", "y", "pred", "true_value", "pred_value", "fold_error")
+
+
+SEEDS = [1, 2, 3, 42]
+SQL_BAG = f"""{SQL_FRAME}, sd AS (SELECT * FROM (VALUES {', '.join(f'({s})' for s in SEEDS)}) v(seed)),
+dr AS (SELECT frame.*, seed FROM frame, sd WHERE lang <> 'en' AND ('0x' || substr(md5(id || '|' || seed), 1, 8))::BIGINT < 3221225472),
+s AS ({sums_sql('dr', ['seed'])}), c AS ({solve_sql('s', ['seed'])}),
+bag AS (SELECT id, seed, y, b0 + b1 * log_words + b2 * upper_share AS pred FROM frame, c WHERE lang = 'en')"""
+
+
+def bagged(spark, d):
+    df = rows(spark, d)
+    return workflows.bagging(df.where(F.col("lang") != "en"), df.where(F.col("lang") == "en"), "id", FEATURES, "y", SEEDS)
+
+
+@register("m6_bagging", f"WITH {SQL_BAG} SELECT id, seed, {rs(['y', 'pred'])} FROM bag")
+def _(spark, d):
+    return bagged(spark, d)
+
+
+@register("m6_bagging_ensemble", f"WITH {SQL_BAG} SELECT id, {r('avg(pred)', 'pred')}, {r('any_value(y)', 'y')}, count(*) AS n_models FROM bag GROUP BY id")
+def _(spark, d):
+    return workflows.bagging_ensemble(bagged(spark, d), "id")
+
+
+VALUES_ARMS = "(VALUES ('no_filter', 1e30), ('filter_1.05fold', 1.05), ('filter_1.1fold', 1.1), ('filter_1.2fold', 1.2)) t(arm, t)"
+SQL_TCV = f"""{SQL_OOF}, ar AS (SELECT arm, id, y, log_words, upper_share FROM report, {VALUES_ARMS} WHERE fold_error < t.t),
+af AS ({kfold_sql('ar', 'id', 5, '42', ['arm'])}), {oof_sql('af', ['arm'], 'fold', 'a')}"""
+
+
+@register("m8_threshold_cv", f"WITH {SQL_TCV} SELECT arm, fold, id, {rs(['y', 'pred'])} FROM a_oof")
+def _(spark, d):
+    return workflows.threshold_cv(report(spark, d), "id", FEATURES, "y", ARM_LIST, 5, SEED)
+
+
+@register("m8_threshold_summary", f"""WITH {SQL_TCV}, mf AS ({metric_sql('a_oof', ['arm', 'fold'])}), mp AS ({metric_sql('a_oof', ['arm'])}),
+  f AS (SELECT arm, count(*) AS n_folds, {', '.join(f"{r(f'avg({v})', f'fold_mean_{v}')}, {r(f'stddev_samp({v})', f'fold_sd_{v}')}" for v in metrics.SUMMARY_METRICS)} FROM mf GROUP BY arm)
+  SELECT arm, n, {', '.join(r(v, f'pooled_{v}') for v in metrics.SUMMARY_METRICS)}, f.* EXCLUDE (arm) FROM mp JOIN f USING (arm)""")
+def _(spark, d):
+    cv = materialize(workflows.threshold_cv(report(spark, d), "id", FEATURES, "y", ARM_LIST, 5, SEED), "threshold-cv")
+    return metrics.arm_comparison(metrics.metrics_pooled_and_by_fold(cv))
+
+
+def nested_sql(outer: str) -> str:
+    return f"""{SQL_FRAME}, {outer},
+tr AS (SELECT id, y, log_words, upper_share, f AS outer_fold FROM outer_f, (VALUES (1), (2), (3)) v(f) WHERE f <> fold),
+inn AS ({kfold_sql('tr', 'id', 3, '42 + 1000 * outer_fold', ['outer_fold'], 'inner_fold')}),
+{oof_sql('inn', ['outer_fold'], 'inner_fold', 'i')},
+screening AS (SELECT *, abs(y - pred) AS abs_error, pow(10, abs(y - pred)) AS fold_error FROM i_oof),
+ar AS (SELECT screening.* , arm FROM screening, {VALUES_ARMS} WHERE fold_error < t.t),
+s AS ({sums_sql('ar', ['outer_fold', 'arm'])}), c AS ({solve_sql('s', ['outer_fold', 'arm'])}),
+nested AS (SELECT c.arm, o.fold, o.id, o.y, b0 + b1 * log_words + b2 * upper_share AS pred FROM outer_f o JOIN c ON c.outer_fold = o.fold)"""
+
+
+SQL_NESTED = nested_sql(f"outer_f AS ({kfold_sql('frame', 'id', 3, '42')})")
+
+
+def nested(spark, d, assigned=None):
+    return workflows.nested_cv(rows(spark, d), "id", FEATURES, "y", ARM_LIST, 3, 3, SEED, assigned)
+
+
+@register("m9_nested_screening", f"WITH {SQL_NESTED} SELECT outer_fold, inner_fold, id, {rs(['pred', 'abs_error', 'fold_error'])} FROM screening")
+def _(spark, d):
+    return nested(spark, d)["screening"].select("outer_fold", "inner_fold", "id", "pred", "abs_error", "fold_error")
+
+
+@register("m9_nested_cv", f"WITH {SQL_NESTED} SELECT arm, fold, id, {rs(['y', 'pred'])} FROM nested")
+def _(spark, d):
+    return nested(spark, d)["predictions"]
+
+
+@register("m9_nested_comparison", f"""WITH {SQL_NESTED}, mf AS ({metric_sql('nested', ['arm', 'fold'])}), mp AS ({metric_sql('nested', ['arm'])}),
+  f AS (SELECT arm, count(*) AS n_folds, {', '.join(f"{r(f'avg({v})', f'fold_mean_{v}')}, {r(f'stddev_samp({v})', f'fold_sd_{v}')}" for v in metrics.SUMMARY_METRICS)} FROM mf GROUP BY arm),
+  ds AS (SELECT outer_fold, arm, count(*) FILTER (fold_error >= t.t) * 100.0 / count(*) AS p FROM screening, {VALUES_ARMS} GROUP BY ALL),
+  dm AS (SELECT arm, avg(p) AS p FROM ds GROUP BY arm)
+  SELECT mp.arm, n, {', '.join(r(v, f'pooled_{v}') for v in metrics.SUMMARY_METRICS)}, f.* EXCLUDE (arm), {r('p', 'mean_removed_percent')} FROM mp JOIN f USING (arm) JOIN dm USING (arm)""")
+def _(spark, d):
+    parts = nested(spark, d)
+    predictions = materialize(parts["predictions"], "nested")
+    both = metrics.metrics_pooled_and_by_fold(predictions)
+    return metrics.arm_comparison(both, parts["design"])
+
+
+SQL_NESTED_GROUPS = nested_sql("outer_f AS (SELECT frame.*, gstep.fold FROM frame JOIN gstep ON gstep.grp = frame.source)")
+SQL_NESTED_GROUPS = SQL_NESTED_GROUPS.removeprefix(SQL_FRAME + ", ")
+
+
+@register("m9_nested_group_cv", f"""WITH RECURSIVE {SQL_FRAME}, gs AS (SELECT source AS grp, count(*) AS size FROM frame GROUP BY 1),
+go AS (SELECT *, row_number() OVER (ORDER BY size DESC, grp) AS k FROM gs),
+gstep AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS grp, 0 AS fold, [0, 0, 0]::BIGINT[] AS tot UNION ALL
+  SELECT go.k, go.grp, CAST(list_position(s.tot, list_min(s.tot)) AS INTEGER),
+    list_transform(range(1, 4), lambda i: s.tot[i] + CASE WHEN i = list_position(s.tot, list_min(s.tot)) THEN go.size ELSE 0 END)
+  FROM gstep s JOIN go ON go.k = s.k + 1),
+{SQL_NESTED_GROUPS}
+SELECT arm, fold, id, {rs(['y', 'pred'])} FROM nested""")
+def _(spark, d):
+    df = rows(spark, d)
+    assigned = splits.group_folds(df, "source", 3)
+    return workflows.nested_cv(df, "id", FEATURES, "y", ARM_LIST, 3, 3, SEED, assigned)["predictions"]
+
+
+@register("m12_resume_ledger", f"""WITH t AS (SELECT arm, CAST(f AS INTEGER) AS fold, 'cfg-1' AS signature FROM (VALUES ('no_filter'), ('filter_1.1fold')) a(arm), range(1, 6) r(f)),
+  {SQL_FRAME}, {FOLDED},
+  dn AS (SELECT DISTINCT 'no_filter' AS arm, fold, CASE WHEN fold = 3 THEN 'cfg-0' ELSE 'cfg-1' END AS signature FROM folded WHERE fold <= 3)
+  SELECT t.arm, t.fold, t.signature, CASE WHEN dn.signature IS NULL THEN 'todo' WHEN dn.signature = t.signature THEN 'done' ELSE 'signature_mismatch' END AS state
+  FROM t LEFT JOIN dn ON t.arm = dn.arm AND t.fold = dn.fold""")
+def _(spark, d):
+    folded = splits.kfold(rows(spark, d), "id", 5, SEED)
+    arms = F.array(F.lit("no_filter"), F.lit("filter_1.1fold"))
+    plan = folded.select("fold").distinct().select(F.explode(arms).alias("arm"), "fold", F.lit("cfg-1").alias("signature"))
+    done = (
+        folded.where(F.col("fold") <= 3).select("fold").distinct()
+        .select(F.lit("no_filter").alias("arm"), "fold", F.when(F.col("fold") == 3, "cfg-0").otherwise("cfg-1").alias("signature"))
+    )
+    return workflows.resume_ledger(plan, done, ["arm", "fold"])
+
+
+# --- tree learners: results depend on the booster, so there is no SQL twin ------------
+
+
+def tree_parts(spark, d):
+    df = rows(spark, d).where(F.col("y").isNotNull())
+    names, (filled,) = workflows.impute_wide(df, [df], [*FEATURES, "word_ratio", "digit_share"])
+    data = features.assemble_vector(filled, names).select("id", "y", "weight", "features")
+    parts = materialize(splits.holdout(data, "id", 0.2, SEED), "tree-rows")
+    return parts.where(F.col("part") == "train").drop("part"), parts.where(F.col("part") == "valid").drop("part")
+
+
+@register("m1_fit_early_stop")
+def _(spark, d):
+    train, valid = tree_parts(spark, d)
+    model, n = learners.fit_early_stop(train, valid, "y", 6, 2, SEED)
+    return model.transform(valid).select("id", "y", "pred", F.lit(n).alias("rounds"))
+
+
+@register("m2_fit_fixed")
+def _(spark, d):
+    train, valid = tree_parts(spark, d)
+    return learners.fit_fixed(train, "y", 4, SEED).transform(valid).select("id", "y", "pred")
+
+
+@register("m3_oof_predict_trees")
+def _(spark, d):
+    train, valid = tree_parts(spark, d)
+    folded = splits.kfold(train.unionByName(valid), "id", 3, SEED)
+    return learners.oof_predict_trees(folded, "fold", 3, "y", 3, SEED).select("id", "fold", "y", "pred")
+
+
+@register("m6_bagging_trees")
+def _(spark, d):
+    train, valid = tree_parts(spark, d)
+    parts = [
+        learners.fit_fixed(train, "y", 3, s).transform(valid).select("id", F.lit(s).alias("seed"), "y", "pred")
+        for s in (1, 2)
+    ]
+    return workflows.bagging_ensemble(parts[0].unionByName(parts[1]), "id")
+
+
+@register("m7_select_rounds")
+def _(spark, d):
+    train, valid = tree_parts(spark, d)
+    n = learners.select_rounds(train, "id", "y", 0.2, 5, 2, SEED)
+    return learners.fit_fixed(train, "y", n, SEED).transform(valid).select("id", "y", "pred", F.lit(n).alias("rounds"))

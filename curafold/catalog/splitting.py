@@ -8,6 +8,7 @@ from curafold.catalog.base import SEED, events, frame, kfold_sql, register, r, S
 from curafold.catalog.curation import SQL_ROUTE, routed
 from curafold.operators import contracts, metrics, setops, splits
 from curafold.operators.ranking import row_positions
+from curafold.session import materialize
 
 EV = "(SELECT event_id, user_id FROM events)"
 
@@ -111,7 +112,8 @@ def leak(name: str, sql: str, detail: str) -> str:
 ]))
 def _(spark, d):
     groups = ids(spark, d).select("event_id", F.col("user_id").alias("group_id"))
-    return splits.leakage_report(ledger(spark, d), "event_id", groups)
+    written = materialize(ledger(spark, d), "ledger")
+    return splits.leakage_report(written, "event_id", groups)
 
 
 @register("a9_group_census", f"""WITH a AS ({kfold_sql(EV, 'event_id', 5, '42')}), s AS (SELECT fold, user_id, count(*) AS c FROM a GROUP BY ALL),
@@ -124,15 +126,15 @@ def _(spark, d):
 
 
 SQL_ROLES = SQL_ROUTE + f""",
-parts AS ({holdout_sql("(SELECT entity FROM routed WHERE route = 'pool' AND y <= 0.5)", 'entity', 0.1, '42')}),
+parts AS ({holdout_sql("(SELECT entity FROM routed WHERE route = 'pool' AND y <= 3.3)", 'entity', 0.1, '42')}),
 roles AS (SELECT r.entity, CASE WHEN route = 'holdout' THEN 'external' WHEN route <> 'pool' THEN 'unused'
-    WHEN r.y > 0.5 THEN 'excluded' WHEN p.part = 'valid' THEN 'valid' ELSE 'train' END AS role
+    WHEN r.y > 3.3 THEN 'excluded' WHEN p.part = 'valid' THEN 'valid' ELSE 'train' END AS role
   FROM routed r LEFT JOIN parts p ON p.entity = r.entity)"""
 
 
 def roles(spark, d):
     ents = routed(spark, d).select("entity", "route", "y")
-    excluded = F.coalesce(F.col("y") > 0.5, F.lit(False))
+    excluded = F.coalesce(F.col("y") > 3.3, F.lit(False))
     pool = ents.where((F.col("route") == "pool") & ~excluded).select("entity")
     parts = splits.holdout(pool, "entity", 0.1, SEED)
     return splits.role_table(ents.join(parts, "entity", "left"), "entity", F.col("route"), excluded, F.col("part"))
@@ -144,7 +146,7 @@ def _(spark, d):
 
 
 @register("f10_select_by_role", f"""WITH {SQL_ROLES} SELECT entity, {r('y')}, row_number() OVER (PARTITION BY role ORDER BY entity) - 1 AS partition_row_order
-  FROM roles JOIN routed USING (entity) WHERE role = 'train' QUALIFY true""")
+  FROM roles JOIN routed USING (entity) WHERE role = 'train'""")
 def _(spark, d):
     table = routed(spark, d).select("entity", "y")
     ordered = row_positions(roles(spark, d), "entity", ["role"], "partition_row_order")
@@ -152,9 +154,9 @@ def _(spark, d):
 
 
 @register("q10_selection_matches_rule", f"""WITH {SQL_FRAME}, a AS ({kfold_sql('frame', 'id', 3, '42')}),
-  want AS (SELECT fold, id FROM a WHERE y < 0.5), have AS (SELECT fold, id FROM a WHERE y < 0.45),
+  want AS (SELECT fold, id FROM a WHERE y < 2.2), have AS (SELECT fold, id FROM a WHERE y < 2.15),
   j AS (SELECT want.fold, have.id IS NULL AS bad FROM want LEFT JOIN have ON want.fold = have.fold AND want.id = have.id)
   SELECT fold, count(*) AS n_rows, count(*) FILTER (bad) AS n_bad, CASE WHEN count(*) FILTER (bad) = 0 THEN 'pass' ELSE 'fail' END AS status FROM j GROUP BY fold""")
 def _(spark, d):
     a = splits.kfold(frame(spark, d).select("id", "y"), "id", 3, SEED)
-    return contracts.selection_matches_rule(a.where(F.col("y") < 0.45), a, F.col("y") < 0.5, ["fold"], "id")
+    return contracts.selection_matches_rule(a.where(F.col("y") < 2.15), a, F.col("y") < 2.2, ["fold"], "id")
