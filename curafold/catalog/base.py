@@ -17,6 +17,7 @@ from curafold.operators.curate import (
     tag_conflicts,
 )
 from curafold.operators.features import bit_set, words
+from curafold.session import materialize
 from curafold.sources.tables import read_spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,7 +101,9 @@ def row_tagged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tagged(spark: SparkSession, d: str) -> DataFrame:
-    return tag_conflicts(row_tagged(spark, d), "entity", "value", CONFLICT)
+    # Parsing is the costly step and the conflict test reads the rows twice.
+    rows = materialize(row_tagged(spark, d), "parsed-rows")
+    return tag_conflicts(rows, "entity", "value", CONFLICT)
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
@@ -189,14 +192,14 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     arms = F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(i).alias("k")) for i, a in enumerate(ARMS)])
     return base.select("*", F.inline(arms)).select(
         "id", "y", "weight", "value", "source", "fold", "arm",
-        (F.col("y") + (F.col("id") % 41 - 20) / 40.0 + 0.03 * F.col("k") * (F.col("id") % 3)).alias("pred"),
+        (F.col("y") + (F.col("id") % 41 - 20) / 37.0 + 0.03 * F.col("k") * (F.col("id") % 3)).alias("pred"),
     )
 
 
 SQL_PRED = SQL_FRAME + """,
 pred AS (
   SELECT id, y, weight, value, source, CAST(id % 5 + 1 AS INTEGER) AS fold, arm,
-         y + (id % 41 - 20) / 40.0::DOUBLE + 0.03::DOUBLE * k * (id % 3) AS pred
+         y + (id % 41 - 20) / 37.0::DOUBLE + 0.03::DOUBLE * k * (id % 3) AS pred
   FROM frame, (VALUES ('no_filter', 0), ('filter_10fold', 1), ('filter_20fold', 2)) a(arm, k))"""
 
 

@@ -336,7 +336,7 @@ def _(spark, d):
 
 
 @register("a1_group_spread", f"""WITH {SQL_MEAS} SELECT entity, count(value) AS n, {r('min(value)', 'min_value')},
-  {r('max(value)', 'max_value')}, {r('max(value) / min(value)', 'spread')}, {r('median(value)', 'median_value')} FROM m GROUP BY entity""")
+  {r('max(value)', 'max_value')}, {r('max(value) / nullif(min(value), 0)', 'spread')}, {r('median(value)', 'median_value')} FROM m GROUP BY entity""")
 def _(spark, d):
     df = measurements(spark, d).withColumn("value", F.col("raw_value").try_cast("double"))
     return curate.group_spread(df, "entity", "value")

@@ -85,7 +85,7 @@ SQL_CASES = SQL_CONTRIB + """, md AS (SELECT median(fold_error) AS m FROM scored
 cs AS (SELECT 'highest_prediction' AS case_label, (SELECT id FROM scored ORDER BY pred DESC, id LIMIT 1) AS id
   UNION ALL SELECT 'lowest_prediction', (SELECT id FROM scored ORDER BY pred, id LIMIT 1)
   UNION ALL SELECT 'largest_fold_error', (SELECT id FROM scored ORDER BY fold_error DESC, id LIMIT 1)
-  UNION ALL SELECT 'median_fold_error', (SELECT id FROM scored, md ORDER BY abs(fold_error - m), id LIMIT 1)),
+  UNION ALL SELECT 'median_fold_error', (SELECT id FROM scored, md ORDER BY round(abs(fold_error - m), 12), id LIMIT 1)),
 cases AS (SELECT case_label, id, y, pred, fold_error FROM cs JOIN scored USING (id))"""
 
 

@@ -122,11 +122,14 @@ def local_top(long: DataFrame, cases: DataFrame, id_col: str, n: int) -> DataFra
 
 def representative_cases(scored: DataFrame, id_col: str) -> DataFrame:
     """Rows with the largest and smallest prediction, the largest error and the error
-    closest to the median; the smallest id wins ties. Plain partial aggregates."""
+    closest to the median; the smallest id wins ties. Plain partial aggregates.
+
+    The two middle errors of an even count are equally far from the median; distances
+    are compared at 12 digits so that rounding noise does not break that tie."""
     middle = exact_median(
         scored.withColumn("__one", F.lit(1)), ["__one"], "fold_error", "__m"
     ).select("__m")
-    rows = scored.withColumn("__gap", F.abs(F.col("fold_error") - middle.scalar()))
+    rows = scored.withColumn("__gap", F.round(F.abs(F.col("fold_error") - middle.scalar()), 12))
     row = F.struct(id_col, "y", "pred", "fold_error")
 
     def first_by(order: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curafold.operators.ranking import hash_rank, join_on, row_positions
 from curafold.operators.setops import check_row, union_partitions
+from curafold.session import materialize
 
 # How the split seed is varied per outer fold and per pilot split.
 OUTER_SEED_STEP = 1000
@@ -226,11 +227,14 @@ def nested_ledger(
     outer folds (for example group folds) in a column ``fold``.
     """
     base = assigned if assigned is not None else kfold(df.select(id_col), id_col, outer_k, seed)
-    base = base.select(id_col, "fold")
+    # Each ranking reads its input twice, so stacked rankings would repeat the work of
+    # the earlier ones; the narrow id tables are written between the stages.
+    base = materialize(base.select(id_col, "fold"), "outer-folds")
     test = base.select(
         F.col("fold").alias("outer_fold"), F.lit(0).alias("inner_fold"), F.lit("test").alias("role"), id_col
     )
-    inner = inner_folds(base, id_col, outer_k, inner_k, seed).withColumnRenamed("inner_fold", "__own")
+    inner = materialize(inner_folds(base, id_col, outer_k, inner_k, seed), "inner-folds")
+    inner = inner.withColumnRenamed("inner_fold", "__own")
     every = inner.withColumn("inner_fold", F.explode(F.sequence(F.lit(1), F.lit(inner_k))))
     scored = every.where(F.col("__own") == F.col("inner_fold")).select(
         "outer_fold", "inner_fold", F.lit("oof_prediction").alias("role"), id_col

@@ -21,6 +21,7 @@ from curafold.operators.features import fit_preprocess, to_long
 from curafold.operators.joins import arm_grid
 from curafold.operators.metrics import cohort_design, ensemble_mean, regression_metrics
 from curafold.operators.splits import inner_folds, kfold
+from curafold.session import materialize
 from curafold.plans.learners import fit_linear, oof_predict, predict_linear
 
 
@@ -32,7 +33,7 @@ def oof_screen(
     df: DataFrame, id_col: str, features: Sequence[str], label: str, k: int, seed: int, threshold: float
 ) -> DataFrame:
     """Out-of-fold report: fold, prediction, errors and the removal flag of every row."""
-    folded = kfold(df, id_col, k, seed)
+    folded = materialize(kfold(df, id_col, k, seed), "folds")
     scored = with_residuals(oof_predict(folded, "fold", features, label), label)
     return scored.withColumn("remove_flag", residual_rules(threshold))
 
@@ -61,7 +62,7 @@ def threshold_cv(
     ``scored`` carries the screening ``fold_error``. Returns ``(arm, fold, id, y, pred)``.
     """
     arms = arm_grid(scored.select(id_col, label, "fold_error", *features), thresholds)
-    folded = kfold(arms, id_col, k, seed, by=["arm"])
+    folded = materialize(kfold(arms, id_col, k, seed, by=["arm"]), "arm-folds")
     return oof_predict(folded, "fold", features, label, by=["arm"]).select(
         "arm", "fold", id_col, F.col(label).alias("y"), "pred"
     )
@@ -80,8 +81,9 @@ def nested_screening(
 
     ``assigned`` has the outer fold in ``fold``. Outer test rows never enter.
     """
-    inner = inner_folds(
-        assigned.select(id_col, "fold", label, *features), id_col, outer_k, inner_k, seed
+    inner = materialize(
+        inner_folds(assigned.select(id_col, "fold", label, *features), id_col, outer_k, inner_k, seed),
+        "inner",
     )
     scored = oof_predict(inner, "inner_fold", features, label, by=["outer_fold"])
     return with_residuals(scored.drop("fold"), label)
@@ -118,7 +120,10 @@ def nested_cv(
 ) -> dict[str, DataFrame]:
     """Nested comparison; pass ``assigned`` to use group folds outside."""
     outer = assigned if assigned is not None else kfold(df, id_col, outer_k, seed)
-    screening = nested_screening(outer, id_col, features, label, outer_k, inner_k, seed)
+    outer = materialize(outer.select(id_col, "fold", label, *features), "outer")
+    screening = materialize(
+        nested_screening(outer, id_col, features, label, outer_k, inner_k, seed), "screening"
+    )
     predictions = nested_predictions(outer, screening, id_col, features, label, thresholds)
     design = cohort_design(screening, thresholds, ["outer_fold"]).withColumnRenamed(
         "outer_fold", "fold"
