@@ -85,7 +85,7 @@ def _(spark, d):
 def _manifest(spark, d):
     path = scratch_path(spark, "manifest")
     integrity.write_manifest(integrity.hash_files(spark, d, "*.parquet"), path)
-    return integrity.read_manifest(spark, path)
+    return integrity.read_manifest(spark, path, one_document=False)
 
 
 @register("s5_verify_files")

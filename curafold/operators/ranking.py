@@ -260,7 +260,21 @@ def rows_with_average_rank(
     return join_on(df, ranks, [*by, value], "left")
 
 
+def head_rows(df: DataFrame, cell: Column, order: Sequence[Column], n: int) -> DataFrame:
+    """The exact first ``n`` rows along ``order``; ``cell`` is non-decreasing along it.
+
+    Counting cells tells how far the head reaches, so only the head (and the rest of
+    its last cell) is sorted, not every task's own top ``n``.
+    """
+    counts = df.groupBy(cell.alias("__cell")).agg(F.count(F.lit(1)).alias("__n"))
+    reached = counts.select("__cell", _running_before("__n", [], ["__cell"]).alias("__before"))
+    last = reached.where(F.col("__before") < n).agg(F.max("__cell").alias("c")).scalar()
+    return df.where(cell <= last).orderBy(*order).limit(n)
+
+
 def sample_rows(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     """Exactly ``min(n, count)`` rows, chosen by hash order, without replacement."""
-    ranked = hash_rank(df, id_col, seed, rank="__rank", size="__size")
-    return ranked.where(F.col("__rank") <= n).drop("__rank", "__size")
+    key = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
+    hashed = df.withColumn("__h", key)
+    cell = F.conv(F.substring("__h", 1, 4), 16, 10).cast("int")
+    return head_rows(hashed, cell, [F.col("__h"), F.col(id_col)], n).drop("__h")

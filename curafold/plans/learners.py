@@ -13,6 +13,8 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curafold.session import small_side
+
 if TYPE_CHECKING:
     from pyspark.ml.regression import GBTRegressionModel
 
@@ -89,7 +91,7 @@ def predict_linear(
 ) -> DataFrame:
     """Score rows with their group's coefficients (one coefficient row per group)."""
     if by:
-        joined = df.join(coefs, list(by))
+        joined = df.join(small_side(coefs, "coefficients"), list(by))
     else:
         joined = df.withColumn("coef", coefs.select("coef").scalar())
     return joined.withColumn(out, linear_prediction(F.col("coef"), features)).drop("coef")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -55,3 +56,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, name: str, max_rows: int = 10_000) -> DataFrame:
+    """A parameter table as the build side of a join: written, counted, then broadcast.
+
+    Joining wide data to a handful of fold, arm or feature rows by shuffle would send
+    all rows of a key to one task. The table is broadcast only after its row count was
+    checked; a larger one stays an ordinary join side.
+    """
+    table = materialize(df, name)
+    return F.broadcast(table) if table.count() <= max_rows else table

@@ -8,18 +8,25 @@ from pyspark.sql import functions as F
 MANIFEST_SCHEMA = "files array<struct<path string, bytes long, sha256 string>>"
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Rows ``(path, bytes, sha256)`` of a nested JSON manifest."""
+def read_manifest(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
+    """Rows ``(path, bytes, sha256)`` of a nested JSON manifest.
+
+    ``one_document`` reads a manifest kept as a single JSON document; otherwise each
+    line is a record, which readers can split.
+    """
     return (
         spark.read.schema(MANIFEST_SCHEMA)
-        .option("multiLine", True)
+        .option("multiLine", one_document)
         .json(path)
         .select(F.inline("files"))
     )
 
 
 def hash_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Relative path, size and SHA-256 of each file; hashed where the file is read."""
+    """Relative path, size and SHA-256 of each file; hashed where the file is read.
+
+    Spark hands a file to one task as a whole, so single files are limited to 2 GB.
+    """
     root = folder.rstrip("/") + "/"
     files = (
         spark.read.format("binaryFile")
@@ -34,11 +41,9 @@ def hash_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
 
 
 def write_manifest(files: DataFrame, path: str) -> None:
-    """Manifest document of a file listing (one entry per file of a package)."""
+    """Manifest of a file listing as JSON lines, one record per file."""
     entry = F.struct("path", "bytes", "sha256")
-    files.agg(F.array_sort(F.collect_list(entry)).alias("files")).coalesce(1).write.mode(
-        "overwrite"
-    ).json(path)
+    files.select(F.array(entry).alias("files")).write.mode("overwrite").json(path)
 
 
 def verify_files(manifest: DataFrame, files: DataFrame) -> DataFrame:

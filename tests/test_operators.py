@@ -1,5 +1,6 @@
 """Operators against brute force on small inputs, hot groups and failure cases."""
 
+import json
 import random
 
 import numpy as np
@@ -69,6 +70,14 @@ def test_sample_rows_exact_and_reproducible(spark):
     assert ranking.sample_rows(df, "i", 5000, 5).count() == 1000
 
 
+def test_cap_rows_is_the_exact_head(spark):
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("i")).repartition(9)
+    assert sorted(r.i for r in tables.cap_rows(df, "i", 1234).collect()) == list(range(1234))
+    assert tables.cap_rows(df, "i", 99_999).count() == 5000
+    text = df.select(F.format_string("%05d", "i").alias("t"))
+    assert sorted(r.t for r in tables.cap_rows(text, "t", 10).collect())[-1] == "00009"
+
+
 def test_cascade_first_reason_and_bounds(spark):
     rows = [(1, ">5000"), (2, "abc"), (3, "-1"), (4, "0.4"), (5, "0.5"), (6, "300"), (7, "301")]
     df = spark.createDataFrame(rows, "i int, raw string")
@@ -284,9 +293,12 @@ def test_integrity(spark, tmp_path):
     for name in ("a.txt", "b.txt", "c.txt"):
         (folder / name).write_text(name)
     integrity.write_manifest(integrity.hash_files(spark, str(folder)), str(tmp_path / "m"))
-    manifest = integrity.read_manifest(spark, str(tmp_path / "m"))
+    manifest = integrity.read_manifest(spark, str(tmp_path / "m"), one_document=False)
     (folder / "b.txt").write_text("other")
     (folder / "c.txt").unlink()
+    document = {"files": [r.asDict() for r in manifest.collect()]}
+    (tmp_path / "doc.json").write_text(json.dumps(document, indent=2))
+    assert integrity.read_manifest(spark, str(tmp_path / "doc.json")).count() == 3
     got = {r.path: r.status for r in integrity.verify_files(manifest, integrity.hash_files(spark, str(folder))).collect()}
     assert got == {"a.txt": "ok", "b.txt": "changed", "c.txt": "missing"}
 
