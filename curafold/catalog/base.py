@@ -170,6 +170,11 @@ def frame(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def frame_table(spark: SparkSession, d: str) -> DataFrame:
+    """The frame as a written table: the text is tokenised once, consumers read numbers."""
+    return materialize(frame(spark, d), "frame")
+
+
 SQL_FRAME = r"""frame AS (
   SELECT doc_id AS id, lang, source, CAST(n_chars AS DOUBLE) AS value, CAST(len(w) AS DOUBLE) AS weight,
          log10(len(w)) AS log_words,
@@ -188,7 +193,7 @@ ARMS = ["no_filter", "filter_10fold", "filter_20fold"]
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """``(id, arm, fold, y, pred)`` plus the columns of the frame's keys."""
-    base = frame(spark, d).select("id", "y", "weight", "value", "source", (F.col("id") % 5 + 1).cast("int").alias("fold"))
+    base = frame_table(spark, d).select("id", "y", "weight", "value", "source", (F.col("id") % 5 + 1).cast("int").alias("fold"))
     arms = F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(i).alias("k")) for i, a in enumerate(ARMS)])
     return base.select("*", F.inline(arms)).select(
         "id", "y", "weight", "value", "source", "fold", "arm",

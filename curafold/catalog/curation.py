@@ -13,7 +13,7 @@ from curafold.functions import sets as fs
 from curafold.functions import target as ft
 from curafold.operators import contracts, curate, joins, ranking, setops
 from curafold.operators.features import words
-from curafold.session import scratch_path
+from curafold.session import materialize, scratch_path
 from curafold.sources import integrity, summary, tables
 
 ENT_COLS = ["value", "min_raw", "max_raw", "mean_raw", "y"]
@@ -280,8 +280,7 @@ def _(spark, d):
 
 @register("f4_range_filter", f"SELECT event_id, {r('value')} FROM events WHERE value >= 0.5 AND value <= 300")
 def _(spark, d):
-    rules = curate.range_rules(F.col("value"), LOW, HIGH)
-    return curate.kept(curate.exclusion_cascade(events(spark, d).select("event_id", "value"), rules))
+    return curate.range_filter(events(spark, d).select("event_id", "value"), "value", LOW, HIGH)
 
 
 @register("f5_entity_validity", r"""WITH p AS (SELECT doc_id, text, len(regexp_split_to_array(trim(text), '\s+')) AS n,
@@ -411,7 +410,9 @@ def _(spark, d):
     count(*) FILTER (EXISTS (SELECT 1 FROM a WHERE a.level = b.level AND a.k = b.k
       AND greatest(a.value / b.value, b.value / a.value) <= 1.01)) AS n_near_equal FROM b GROUP BY b.level""")
 def _(spark, d):
-    rows = measurements(spark, d).withColumn("value", F.col("raw_value").try_cast("double"))
+    rows = materialize(
+        measurements(spark, d).withColumn("value", F.col("raw_value").try_cast("double")), "audit-rows"
+    )
     levels = {
         "entity_and_value": F.concat_ws("|", "entity", "raw_value"),
         "entity": F.col("entity"),

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curafold.catalog.base import (
-    ALL_FEATURES, METRIC_NAMES, SEED, SQL_BITS, SQL_FRAME, documents, frame, kfold_sql, metric_sql,
+    ALL_FEATURES, METRIC_NAMES, SEED, SQL_BITS, SQL_FRAME, documents, frame, frame_table, kfold_sql, metric_sql,
     prints, query_and_reference, r, register, rs,
 )
 from curafold.functions import target as ft
 from curafold.operators import contracts, features, similarity, splits
+from curafold.session import materialize
 
 
 
@@ -71,7 +72,7 @@ params AS (SELECT feature, count(value) AS n_values, median(value) AS median, co
 
 
 def train_and_test(spark, d):
-    a = splits.kfold(frame(spark, d), "id", 5, SEED)
+    a = materialize(splits.kfold(frame_table(spark, d), "id", 5, SEED), "folded-frame")
     long = features.to_long(a, ["id", "fold"], ALL_FEATURES)
     return long.where(F.col("fold") != 1).drop("fold"), long.where(F.col("fold") == 1).drop("fold")
 
@@ -162,6 +163,12 @@ def _(spark, d):
     return profile(spark, d)
 
 
+@register("j7_similarity_topk_join", f"WITH {SQL_PROFILE} SELECT doc_id, {rs(['max_similarity', 'mean_top5_similarity'])}, n_sim_ge_050, n_sim_ge_080 FROM prof")
+def _(spark, d):
+    q, ref = query_and_reference(spark, d)
+    return similarity.ad_profile(q, ref, "doc_id", [0.5, 0.8])
+
+
 @register("d3_ad_flags", f"WITH {SQL_PROFILE} SELECT doc_id, " + ", ".join(
     f"{similarity.count_name(t)} >= {c} AS in_{similarity.rule_name(t, c)}" for t in similarity.THRESHOLDS for c in similarity.COUNTS) + " FROM prof")
 def _(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curafold.catalog.base import (
-    FEATURES, METRIC_NAMES, SEED, SQL_FRAME, frame, kfold_sql, leave_out_sql, metric_sql, oof_sql, r,
+    FEATURES, METRIC_NAMES, SEED, SQL_FRAME, frame, frame_table, kfold_sql, leave_out_sql, metric_sql, oof_sql, r,
     register, rs, solve_sql, sums_sql,
 )
 from curafold.functions import target as ft
@@ -57,7 +57,7 @@ scored AS (SELECT frame.*, b0 + b1 * log_words + b2 * upper_share AS pred FROM f
 @register("m5_final_fit_predict", f"""WITH {SQL_FINAL} SELECT id, {rs(['y', 'pred'])}, {r('pow(10, -y) * weight * 1000', 'true_value')},
   {r('pow(10, -pred) * weight * 1000', 'pred_value')}, {r('pow(10, abs(pred - y))', 'fold_error')} FROM scored""")
 def _(spark, d):
-    df = frame(spark, d)
+    df = frame_table(spark, d)
     out = workflows.final_fit_predict(
         df.where(F.col("lang") != "en"), df.where(F.col("lang") == "en"), [*FEATURES, "const_one", "all_null"], "y", "weight"
     )

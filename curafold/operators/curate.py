@@ -36,6 +36,11 @@ def range_rules(value: Column, low: float, high: float, name: str = "value") ->
     return [(f"{name}_below_{low:g}", value < low), (f"{name}_above_{high:g}", value > high)]
 
 
+def range_filter(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
+    """Keep ``low <= value <= high`` as plain comparisons, which reach the file scan."""
+    return df.where((F.col(value) >= low) & (F.col(value) <= high))
+
+
 def measurement_rules(
     parsed: Column, low: float, high: float, valid: Column | None = None
 ) -> Rules:
