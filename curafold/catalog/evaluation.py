@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curafold.catalog.base import (
-    ARMS, METRIC_NAMES, SQL_ENT, SQL_FRAME, SQL_PRED, SQL_SEEDS, entities, events, frame,
-    measurements, metric_query, metric_sql, predictions, r, register, rs, seed_predictions,
+    METRIC_NAMES, SQL_ENT, SQL_FRAME, SQL_PRED, SQL_SEEDS, entities, events, frame,
+    metric_query, metric_sql, predictions, r, register, rs, seed_predictions,
 )
 from curafold.functions import target as ft
 from curafold.operators import contracts, curate, joins, metrics, ranking

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curafold.catalog.base import (
     ALL_FEATURES, METRIC_NAMES, SEED, SQL_BITS, SQL_FRAME, documents, frame, frame_table, kfold_sql, metric_sql,
-    prints, query_and_reference, r, register, rs,
+    query_and_reference, r, register, rs,
 )
 from curafold.functions import target as ft
 from curafold.operators import contracts, features, similarity, splits

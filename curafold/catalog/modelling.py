@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curafold.catalog.base import (
-    FEATURES, METRIC_NAMES, SEED, SQL_FRAME, frame, frame_table, kfold_sql, leave_out_sql, metric_sql, oof_sql, r,
+    FEATURES, METRIC_NAMES, SEED, SQL_FRAME, frame, frame_table, kfold_sql, metric_sql, oof_sql, r,
     register, rs, solve_sql, sums_sql,
 )
-from curafold.functions import target as ft
 from curafold.operators import features, metrics, splits
 from curafold.plans import learners, workflows
 from curafold.session import materialize

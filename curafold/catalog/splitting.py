@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curafold.catalog.base import SEED, events, frame, kfold_sql, register, r, SQL_FRAME
 from curafold.catalog.curation import SQL_ROUTE, routed
-from curafold.operators import contracts, metrics, setops, splits
+from curafold.operators import contracts, metrics, splits
 from curafold.operators.ranking import row_positions
 from curafold.session import materialize
 
