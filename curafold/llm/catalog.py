@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from curafold.llm.bpe import encode_documents
 from curafold.llm.common import table
+from curafold.llm.exact_dedup import mark_duplicates
+from curafold.llm.mixing import mix
+from curafold.llm.quality import score_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,11 +19,70 @@ ORACLES: dict[str, str] = {}
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
-def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
 
+    return add
 
-@query
+
+@query()
+def op1_quality(spark: SparkSession, d: str) -> DataFrame:
+    return score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query(r"""
+WITH n AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
+  FROM documents),
+k AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS keep_id,
+         count(*) OVER (PARTITION BY text_sha256) AS group_size
+  FROM n)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k""")
+def op2_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return mark_duplicates(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+
+
+@query(r"""
+WITH r AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('42|' || doc_id), 1, 15) AS BIGINT) AS key
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
+  FROM r GROUP BY source),
+c AS (SELECT *, 3.0::DOUBLE * source_size AS cap, sum(source_size) OVER () AS budget, sum(weight) OVER () AS all_w FROM s),
+l AS (
+  SELECT *, (budget - (sum(cap) OVER o - cap)) / (all_w - sum(weight) OVER o + weight) AS level
+  FROM c WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
+t AS (SELECT source, source_size, CAST(budget AS BIGINT) AS budget, round(least(cap, max(level) OVER () * weight), 6) AS target FROM l),
+q AS (
+  SELECT r.*, source_size, target, budget, CAST(sum(size) OVER (PARTITION BY r.source ORDER BY key, size, doc_id) AS BIGINT) AS stop
+  FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+p AS (
+  SELECT q.*, n, n * source_size + stop AS tokens, (n * source_size + stop) / target AS finish
+  FROM q, range(3) x(n) WHERE n * source_size + stop - size < target),
+v AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS FIRST, tokens, doc_id) AS running FROM p),
+d AS (SELECT doc_id, count(*) AS copies FROM v WHERE running <= budget GROUP BY doc_id),
+z AS (SELECT q.*, coalesce(copies, 0) AS copies FROM q LEFT JOIN d USING (doc_id)),
+g AS (SELECT source, any_value(target) - sum(copies * size) AS gap FROM z GROUP BY source),
+f AS (
+  SELECT arg_max(doc_id, (size, -key)) AS doc_id
+  FROM z JOIN g ON z.source IS NOT DISTINCT FROM g.source
+  WHERE copies < 3 AND size > 0 AND size <= gap GROUP BY z.source)
+SELECT doc_id, size, source_size, target, CAST(size * (copies + (doc_id IN (FROM f))::INT) AS BIGINT) AS taken,
+       CAST(copies + (doc_id IN (FROM f))::INT AS INTEGER) AS copies
+FROM z""")
+def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"))
+
+
+@query()
 def op8_bpe(spark: SparkSession, d: str) -> DataFrame:
     return encode_documents(table(spark, d, "documents"), TOKENIZER)
