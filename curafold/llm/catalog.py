@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from curafold.llm.bagminhash import near_duplicate_classes
 from curafold.llm.bpe import encode_documents
 from curafold.llm.common import table
 from curafold.llm.exact_dedup import mark_duplicates
@@ -83,6 +84,11 @@ def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"))
 
 
+@query()
+def op7_bagminhash(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, d, "documents"))
+
+
 @query()
 def op8_bpe(spark: SparkSession, d: str) -> DataFrame:
     return encode_documents(table(spark, d, "documents"), TOKENIZER)
