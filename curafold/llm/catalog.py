@@ -11,6 +11,7 @@ from curafold.llm.bagminhash import near_duplicate_classes
 from curafold.llm.bpe import encode_documents
 from curafold.llm.common import table
 from curafold.llm.exact_dedup import mark_duplicates
+from curafold.llm.langid import identify
 from curafold.llm.mixing import mix
 from curafold.llm.quality import score_quality
 
@@ -92,3 +93,8 @@ def op7_bagminhash(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def op8_bpe(spark: SparkSession, d: str) -> DataFrame:
     return encode_documents(table(spark, d, "documents"), TOKENIZER)
+
+
+@query()
+def op9_langid(spark: SparkSession, d: str) -> DataFrame:
+    return identify(table(spark, d, "documents"))
