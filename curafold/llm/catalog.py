@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from curafold.llm.bagminhash import near_duplicate_classes
 from curafold.llm.bpe import encode_documents
@@ -15,6 +16,7 @@ from curafold.llm.langid import identify
 from curafold.llm.mixing import mix
 from curafold.llm.pii import find_personal_data
 from curafold.llm.quality import score_quality
+from curafold.llm.vptree import nearest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +106,17 @@ def op8_bpe(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def op9_langid(spark: SparkSession, d: str) -> DataFrame:
     return identify(table(spark, d, "documents"))
+
+
+@query("""
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 5""")
+def op10_vptree(spark: SparkSession, d: str) -> DataFrame:
+    return nearest(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
