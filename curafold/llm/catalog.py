@@ -13,6 +13,7 @@ from curafold.llm.bpe import encode_documents
 from curafold.llm.common import table
 from curafold.llm.exact_dedup import mark_duplicates
 from curafold.llm.langid import identify
+from curafold.llm.licences import scan, scan_sql
 from curafold.llm.mixing import mix
 from curafold.llm.pii import find_personal_data
 from curafold.llm.quality import score_quality
@@ -88,6 +89,11 @@ def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"))
 
 
+@query(scan_sql())
+def op5_licences(spark: SparkSession, d: str) -> DataFrame:
+    return scan(table(spark, d, "documents"))
+
+
 @query()
 def op6_personal_data(spark: SparkSession, d: str) -> DataFrame:
     return find_personal_data(table(spark, d, "documents"))
