@@ -17,6 +17,7 @@ from curafold.llm.licences import scan, scan_sql
 from curafold.llm.mixing import mix
 from curafold.llm.pii import find_personal_data
 from curafold.llm.quality import score_quality
+from curafold.llm.suffix_dedup import remove_repeats
 from curafold.llm.vptree import nearest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +90,23 @@ def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"))
 
 
+@query("""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS (SELECT doc_id, x, len(x) // 2 AS n_bytes FROM d),
+w AS (SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(n_bytes - 49)) AS p FROM n WHERE n_bytes >= 50)),
+hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS low FROM w) WHERE low < doc_id),
+edge AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM hit),
+span AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM edge),
+run AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM span GROUP BY doc_id, k),
+piece AS (SELECT run.doc_id, k, substr(x, 2 * coalesce(lag(b) OVER o, 0) + 1, 2 * (a - coalesce(lag(b) OVER o, 0))) AS kept, a, b, x
+          FROM run JOIN n USING (doc_id) WINDOW o AS (PARTITION BY run.doc_id ORDER BY k)),
+done AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(kept, '' ORDER BY k) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM piece GROUP BY doc_id)
+SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM n LEFT JOIN done USING (doc_id)""")
+def op4_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return remove_repeats(table(spark, d, "documents"))
+
+
 @query(scan_sql())
 def op5_licences(spark: SparkSession, d: str) -> DataFrame:
     return scan(table(spark, d, "documents"))
