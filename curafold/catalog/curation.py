@@ -98,14 +98,6 @@ def _(spark, d):
     return _manifest(spark, d)
 
 
-@register(
-    "s8_cap_rows",
-    f"SELECT event_id, {r('value')} FROM (SELECT * FROM events ORDER BY event_id LIMIT 100000)",
-)
-def _(spark, d):
-    return tables.cap_rows(events(spark, d).select("event_id", "value"), "event_id")
-
-
 # --- scalar expressions ----------------------------------------------------------
 
 

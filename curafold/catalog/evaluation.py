@@ -200,11 +200,6 @@ def _(spark, d):
     return ranking.rows_with_average_rank(e, ["event_type"], "value")
 
 
-@register("w7_sample_rows", """SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY md5(event_id || '|7'), event_id) AS k FROM events) WHERE k <= 500""")
-def _(spark, d):
-    return ranking.sample_rows(events(spark, d).select("event_id"), "event_id", 500, 7)
-
-
 @register("w8_ordered_export", f"WITH {SQL_PRED} SELECT id, arm, fold, {r('pred')} FROM pred")
 def _(spark, d):
     return tables.ordered_export(predictions(spark, d).select("id", "arm", "fold", "pred"), ["arm", "fold", "id"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curafold.functions.target import source_membership, to_log_target
-from curafold.operators.ranking import HOT_ROWS, grouped_agg
+from curafold.operators.ranking import grouped_agg
 
 Rules = Sequence[tuple[str, Column]]
 
@@ -56,7 +56,7 @@ def measurement_rules(
     return [*rules, *range_rules(value, low, high)]
 
 
-def group_spread(df: DataFrame, key: str, value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def group_spread(df: DataFrame, key: str, value: str) -> DataFrame:
     """Count, min, max, median and max/min ratio per key."""
     return grouped_agg(
         df,
@@ -68,7 +68,6 @@ def group_spread(df: DataFrame, key: str, value: str, hot_rows: int = HOT_ROWS)
             "spread": F.try_divide(F.max(value), F.min(value)),
         },
         {"median_value": value},
-        hot_rows,
     )
 
 
@@ -121,7 +120,6 @@ def aggregate_entities(
     first_of: Sequence[str] = (),
     source_a: str = "A",
     source_b: str = "B",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per entity. Links back to the raw rows stay a table: :func:`entity_row_links`.
 
@@ -140,7 +138,7 @@ def aggregate_entities(
     }
     aggs |= {f"max_{c}": F.max(c) for c in max_of}
     aggs |= {f"first_{c}": F.min_by(c, row_id) for c in first_of}
-    entities = grouped_agg(df, [key], aggs, {value: value}, hot_rows)
+    entities = grouped_agg(df, [key], aggs, {value: value})
     return entities.withColumns(
         {
             "source_type": source_membership(F.col("has_a"), F.col("has_b"), source_a, source_b),

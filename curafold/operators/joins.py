@@ -176,7 +176,14 @@ def key_overlap_audit(
 
 
 def attach_features(df: DataFrame, *blocks: DataFrame, on: str) -> DataFrame:
-    """Feature blocks side by side, matched on the key rather than by position."""
-    for block in blocks:
-        df = df.join(block, on)
+    """Feature blocks side by side, matched on the key rather than by position.
+
+    A block must have each key of ``df`` exactly once; a missing or repeated key fails the job.
+    """
+    for i, block in enumerate(blocks):
+        checked = unique_by(block, [on], f"block {i}").withColumn("__found", F.lit(True))
+        message = F.concat(F.lit(f"block {i}: no row for key "), F.to_json(F.struct(on)))
+        df = df.join(checked, on, "left")
+        found = F.when(F.col("__found"), F.col(on)).otherwise(F.raise_error(message))
+        df = df.withColumn(on, found).drop("__found")
     return df

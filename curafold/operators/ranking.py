@@ -1,11 +1,11 @@
-"""Exact ranks, medians and quantile cells that survive a hot group.
+"""Exact ranks, positions and medians that survive a hot group.
 
 Spark's ``median`` keeps every distinct value of a group in one task, and a window
 over a whole group sorts that group in one task. Both fail when one key holds a
-third of all rows. The functions here split each group into cells by a pure
-function of the ordering value, count the cells, turn the counts into offsets and
-finish inside single cells, so no task ever sees a whole hot group. Cells are
-computed from the row alone: a recomputed partition lands in the same cells.
+third of all rows. Here a group's order is dealt out instead: by ranges of the rows
+themselves (``running_in_order``), by leading digits of a hash (``hash_rank``), or by
+counting ever finer cells of the value around the middle (``exact_median``). NULL is a
+group like any other, and no row is lost.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A group above this many rows is never put into a single in-memory aggregate.
-HOT_ROWS = 1_000_000
-# Cells per factor of two of the ordering value.
+from curafold.session import materialize, small_side
+
+# Cells per factor of two of a value, and how often each later level cuts a cell again.
 CELLS_PER_OCTAVE = 4096
+FINER = (1 << 20, 1 << 22)
+# Cells of the values beyond all finite ones.
+BELOW, ABOVE, NAN = -(1 << 40), 1 << 40, 1 << 41
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -40,43 +43,98 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 
 
 def value_cell(value: Column, per_octave: int = CELLS_PER_OCTAVE) -> Column:
-    """Monotone map from a finite double to an integer cell.
+    """Monotone map from a double to an integer cell; NaN is above infinity.
 
     Cells are equally wide within a power of two, so they stay narrow relative to
     the value over the whole double range.
     """
-    size = F.abs(value.cast("double"))
+    value = value.cast("double")
+    size = F.abs(value)
     exponent = F.floor(F.log2(size))
     inside = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * per_octave)
-    magnitude = (exponent + 1100) * per_octave + inside
+    magnitude = ((exponent + 1100) * per_octave + inside).cast("long")
+    infinite = F.lit(float("inf"))
     return (
-        F.when(size == 0, F.lit(0).cast("long"))
-        .when(value > 0, magnitude.cast("long"))
-        .otherwise(-magnitude.cast("long"))
+        F.when(F.isnan(value), F.lit(NAN))
+        .when(value == infinite, F.lit(ABOVE))
+        .when(value == -infinite, F.lit(BELOW))
+        .when(size == 0, F.lit(0).cast("long"))
+        .when(value > 0, magnitude)
+        .otherwise(-magnitude)
     )
 
 
+def _finer_cells(value: Column) -> list[Column]:
+    """The cell of a value and its place within, cut twice more: together they determine a double."""
+    value = value.cast("double")
+    size = F.abs(value)
+    plain = (size > 0) & (size < F.lit(float("inf")))
+    exponent = F.floor(F.log2(size))
+    rest = (size / F.pow(F.lit(2.0), exponent) - 1) * CELLS_PER_OCTAVE
+    rest = rest - F.floor(rest)
+    out = [value_cell(value)]
+    for parts in FINER:
+        rest = rest * parts
+        step = F.floor(rest).cast("long")
+        out.append(F.when(plain, F.when(value > 0, step).otherwise(-step)).otherwise(F.lit(0).cast("long")))
+        rest = rest - F.floor(rest)
+    return out
+
+
+def _group(by: Sequence[str]) -> Column:
+    """The group as one value that is never NULL itself, so NULL keys join like others."""
+    return F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+
+
 def _running_before(total: str, by: Sequence[str], order: Sequence[str]) -> Column:
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(total).over(w), F.lit(0))
 
 
+def running_in_order(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], before: str, total: str, weight: str | None = None
+) -> DataFrame:
+    """Per row the weight (or number) of the rows before it in its group, and of the whole group.
+
+    Rows are dealt out by ranges that Spark samples from them, so any distribution of keys gives
+    even partitions; a hash of the row splits runs of equal keys. Only sums per partition
+    and group are windowed together. The dealt rows are written once, since both uses must see the
+    same ranges.
+    """
+    named = df.withColumns({"__by": _group(by), "__tie": F.xxhash64(*df.columns)})
+    ranged = named.repartitionByRange("__by", *order, "__tie").withColumn("__part", F.spark_partition_id())
+    rows = materialize(ranged.withColumn("__w", F.lit(1).cast("long") if weight is None else F.col(weight)), "ranges")
+    parts = rows.groupBy("__by", "__part").agg(F.sum("__w").alias("__sum"))
+    offsets = parts.select(
+        "__by",
+        "__part",
+        _running_before("__sum", ["__by"], ["__part"]).alias("__start"),
+        F.sum("__sum").over(Window.partitionBy("__by")).alias(total),
+    )
+    inside = _running_before("__w", ["__by", "__part"], [*order, "__tie"])
+    return (
+        rows.withColumn("__inside", inside)
+        .join(offsets, ["__by", "__part"])
+        .withColumn(before, F.col("__start") + F.col("__inside"))
+        .drop("__by", "__tie", "__part", "__w", "__inside", "__start")
+    )
+
+
 def rank_in_cells(
     df: DataFrame, by: Sequence[str], cell: Column, order: Sequence[Column], rank: str, size: str
 ) -> DataFrame:
     """Exact 1-based ``row_number`` per ``by``-group plus the group size.
 
-    ``cell`` must be non-decreasing along ``order``. Only the per-cell counts are
-    seen by the prefix sum; the rows are numbered cell by cell. The ``by`` columns
-    must not be NULL: the offsets then join on the partitioning of the numbered rows.
+    ``cell`` must be non-decreasing along ``order`` and spread the rows evenly. Only the
+    per-cell counts are seen by the prefix sum; the rows are numbered cell by cell.
     """
-    celled = df.withColumn("__cell", cell)
-    keys = [*by, "__cell"]
+    celled = df.withColumns({"__by": _group(by), "__cell": cell})
+    keys = ["__by", "__cell"]
     counts = celled.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(
         *keys,
-        _running_before("__n", by, ["__cell"]).alias("__before"),
-        F.sum("__n").over(Window.partitionBy(*by)).alias(size),
+        _running_before("__n", ["__by"], ["__cell"]).alias("__before"),
+        F.sum("__n").over(Window.partitionBy("__by")).alias(size),
     )
     numbered = celled.withColumn(
         "__pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -84,7 +142,7 @@ def rank_in_cells(
     return (
         numbered.join(offsets, keys)
         .withColumn(rank, F.col("__before") + F.col("__pos"))
-        .drop("__cell", "__pos", "__before")
+        .drop("__by", "__cell", "__pos", "__before")
     )
 
 
@@ -100,7 +158,7 @@ def hash_rank(
     """Rank by ``md5(id|seed)``: a reproducible shuffle, numbered without a global sort.
 
     The cell is the leading ``digits`` hex digits of the hash, so cells are equally
-    full whatever the ids are.
+    full whatever the ids are. NULL ids are hashed like an empty text.
     """
     seed_col = F.lit(seed) if isinstance(seed, int) else seed
     key = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), seed_col.cast("string")))
@@ -111,42 +169,12 @@ def hash_rank(
     ).drop("__h")
 
 
-def _text_splitters(df: DataFrame, key: str, n: int) -> list[str]:
-    """At most about ``32 * n`` sampled keys, thinned to ``n`` cell limits."""
-    total = df.count()
-    share = min(1.0, 32.0 * n / max(total, 1))
-    limit = int(share * (1 << 30))
-    sample = sorted(
-        r[0]
-        for r in df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < limit).select(key).collect()
-        if r[0] is not None
-    )
-    step = max(1, len(sample) // n)
-    return sorted(set(sample[step - 1 :: step]))
-
-
 def row_positions(
-    df: DataFrame,
-    key: str,
-    by: Sequence[str] = (),
-    out: str = "row_id",
-    size: str | None = None,
-    text_cells: int = 64,
+    df: DataFrame, key: str, by: Sequence[str] = (), out: str = "row_id", size: str | None = None
 ) -> DataFrame:
-    """Zero-based position in ascending ``key`` order, per ``by``-group.
-
-    Numeric keys use :func:`value_cell`. Text keys use cell limits taken from a small
-    key sample (a bounded job): the limits steer balance only, never the result.
-    """
-    if dict(df.dtypes)[key] == "string":
-        limits = _text_splitters(df.select(key), key, text_cells)
-        array = F.array(*[F.lit(x) for x in limits]) if limits else F.array().cast("array<string>")
-        cell = F.size(F.filter(array, lambda x: x < F.col(key)))
-    else:
-        cell = value_cell(F.col(key), 1 << 16)
-    ranked = rank_in_cells(df, by, cell, [F.col(key)], "__rank", "__size")
-    ranked = ranked.withColumn(out, F.col("__rank") - 1).drop("__rank")
-    return ranked.drop("__size") if size is None else ranked.withColumnRenamed("__size", size)
+    """Zero-based position in ascending ``key`` order, per ``by``-group; NULL keys come first."""
+    placed = running_in_order(df, by, [key], out, "__size")
+    return placed.drop("__size") if size is None else placed.withColumnRenamed("__size", size)
 
 
 def _value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -155,75 +183,67 @@ def _value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         df.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__cell", value_cell(F.col("__v")))
     )
 
 
 def exact_median(df: DataFrame, by: Sequence[str], value: str, out: str = "median") -> DataFrame:
-    """Interpolated median per group by counting cells; one row per group with a value.
+    """Interpolated median per group; one row per group with a value. For few groups of many rows.
 
-    Only the one or two cells that hold the middle ranks are ever sorted.
+    Cells are counted where the rows are, so only counts are shuffled. The cells with the middle
+    ranks are cut again, twice, after which a cell holds a single value. NaN counts as the
+    largest value; the middle of opposite infinities is NaN.
     """
-    by = list(by)
-    keys = [*by, "__cell"]
-    values = _value_counts(df, by, value)
-    cells = values.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    w_all = Window.partitionBy(*by)
-    placed = cells.select(
-        *keys,
-        "__n",
-        _running_before("__n", by, ["__cell"]).alias("__before"),
-        F.sum("__n").over(w_all).alias("__size"),
-    ).select(
-        *keys,
-        "__before",
-        F.floor((F.col("__size") + 1) / 2).alias("__lo"),
-        F.floor((F.col("__size") + 2) / 2).alias("__hi"),
-        (F.col("__before") + F.col("__n")).alias("__upto"),
+    cells = ["__c0", "__c1", "__c2"]
+    rows = df.where(F.col(value).isNotNull()).select(
+        _group(by).alias("__by"), F.col(value).cast("double").alias("__v"),
+        *[c.alias(n) for n, c in zip(cells, _finer_cells(F.col(value)))],
     )
-    middle = placed.where(
-        ((F.col("__before") < F.col("__lo")) & (F.col("__lo") <= F.col("__upto")))
-        | ((F.col("__before") < F.col("__hi")) & (F.col("__hi") <= F.col("__upto")))
-    ).drop("__upto")
-    inside = join_on(values, middle, keys)
-    upto = F.col("__before") + F.sum("__c").over(
-        Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    hits = inside.withColumn("__end", upto).select(
-        *by,
-        F.when((F.col("__end") - F.col("__c") < F.col("__lo")) & (F.col("__lo") <= F.col("__end")), F.col("__v")).alias("__vlo"),
-        F.when((F.col("__end") - F.col("__c") < F.col("__hi")) & (F.col("__hi") <= F.col("__end")), F.col("__v")).alias("__vhi"),
-    )
-    return hits.groupBy(*by).agg(((F.max("__vlo") + F.max("__vhi")) / 2).alias(out))
+    rows = materialize(rows, "median-values")
+    goals = None
+    for level, cell in enumerate(cells):
+        keys = ["__by"] if level == 0 else ["__by", "__goal", *cells[:level]]
+        here = rows if level == 0 else rows.join(goals.select(*keys), ["__by", *cells[:level]])
+        counts = here.groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__low"))
+        placed = counts.withColumns(
+            {"__before": _running_before("__n", keys, [cell]), "__size": F.sum("__n").over(Window.partitionBy(*keys))}
+        )
+        if level == 0:
+            lower, upper = F.floor((F.col("__size") + 1) / 2), F.floor((F.col("__size") + 2) / 2)
+            placed = placed.withColumn("__goal", F.explode(F.array(F.struct(F.lit(0).alias("k"), lower.alias("at")), F.struct(F.lit(1).alias("k"), upper.alias("at")))))
+            placed = placed.withColumn("__at", F.col("__goal")["at"]).withColumn("__goal", F.col("__goal")["k"])
+        else:
+            placed = placed.join(goals, keys)
+        hit = (F.col("__before") < F.col("__at")) & (F.col("__at") <= F.col("__before") + F.col("__n"))
+        goals = placed.where(hit).select(
+            "__by", "__goal", *cells[: level + 1], (F.col("__at") - F.col("__before")).alias("__at"), "__low"
+        )
+        if level < len(cells) - 1:
+            goals = small_side(goals.drop("__low"), "median-cells")
+    middle = goals.groupBy("__by").agg((F.sum(F.col("__low") / 2)).alias(out))
+    return middle.select(*[F.col("__by")[b].alias(b) for b in by], out)
 
 
 def grouped_agg(
-    df: DataFrame,
-    by: Sequence[str],
-    aggs: Mapping[str, Column],
-    medians: Mapping[str, str],
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column], medians: Mapping[str, str]
 ) -> DataFrame:
-    """``groupBy(by)`` with ``aggs`` and exact medians ``{output: value column}``.
+    """``groupBy(by)`` with ``aggs`` and exact medians ``{output: value column}``. For many groups of any size.
 
-    Meant for many mostly small groups. A count per key runs first: when no group
-    exceeds ``hot_rows`` (the normal case) one aggregation does everything, otherwise
-    the larger groups go through :func:`exact_median` and the rest stays as it was.
+    Medians come from the distinct values of each group with their counts, dealt out in order over
+    all groups together, so neither a hot group nor a long value list is one task's. NaN
+    counts as the largest value.
     """
     by = list(by)
-    plain = [c.alias(name) for name, c in aggs.items()]
-    in_memory = [F.median(v).alias(name) for name, v in medians.items()]
-    hot = (
-        df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*by)
-    )
-    if hot.isEmpty():
-        return df.groupBy(*by).agg(*plain, *in_memory)
-    small = join_on(df, hot, by, "left_anti").groupBy(*by).agg(*plain, *in_memory)
-    big_rows = join_on(df, hot, by, "left_semi")
-    big = big_rows.groupBy(*by).agg(*plain) if plain else big_rows.select(*by).distinct()
+    result = df.groupBy(*by).agg(*[c.alias(name) for name, c in aggs.items()])
     for name, v in medians.items():
-        big = join_on(big, exact_median(big_rows, by, v, name), by, "left")
-    return small.unionByName(big.select(*small.columns))
+        placed = running_in_order(_value_counts(df, by, v), by, ["__v"], "__before", "__size", "__c")
+        upto = F.col("__before") + F.col("__c")
+        lower, upper = F.floor((F.col("__size") + 1) / 2), F.floor((F.col("__size") + 2) / 2)
+        halves = [
+            F.when((F.col("__before") < at) & (at <= upto), F.col("__v").cast("double") / 2) for at in (lower, upper)
+        ]
+        middle = placed.groupBy(*by).agg((F.max(halves[0]) + F.max(halves[1])).alias(name))
+        result = join_on(result, middle, by, "left")
+    return result.select(*by, *aggs, *medians)
 
 
 def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str = "avg_rank") -> DataFrame:
@@ -231,25 +251,12 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str = "avg_r
 
     Returns ``(by…, value, n_ties, out)``.
     """
-    by = list(by)
-    keys = [*by, "__cell"]
-    values = _value_counts(df, by, value)
-    cells = values.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    offsets = cells.select(*keys, _running_before("__n", by, ["__cell"]).alias("__before"))
-    within = values.withColumn(
-        "__prior",
-        F.coalesce(
-            F.sum("__c").over(
-                Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ),
-    )
-    return join_on(within, offsets, keys).select(
+    placed = running_in_order(_value_counts(df, by, value), by, ["__v"], "__before", "__size", "__c")
+    return placed.select(
         *by,
         F.col("__v").alias(value),
         F.col("__c").alias("n_ties"),
-        (F.col("__before") + F.col("__prior") + (F.col("__c") + 1) / 2).alias(out),
+        (F.col("__before") + (F.col("__c") + 1) / 2).alias(out),
     )
 
 
@@ -258,23 +265,3 @@ def rows_with_average_rank(
 ) -> DataFrame:
     ranks = average_rank(df, by, value, out).drop("n_ties")
     return join_on(df, ranks, [*by, value], "left")
-
-
-def head_rows(df: DataFrame, cell: Column, order: Sequence[Column], n: int) -> DataFrame:
-    """The exact first ``n`` rows along ``order``; ``cell`` is non-decreasing along it.
-
-    Counting cells tells how far the head reaches, so only the head (and the rest of
-    its last cell) is sorted, not every task's own top ``n``.
-    """
-    counts = df.groupBy(cell.alias("__cell")).agg(F.count(F.lit(1)).alias("__n"))
-    reached = counts.select("__cell", _running_before("__n", [], ["__cell"]).alias("__before"))
-    last = reached.where(F.col("__before") < n).agg(F.max("__cell").alias("c")).scalar()
-    return df.where(cell <= last).orderBy(*order).limit(n)
-
-
-def sample_rows(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
-    """Exactly ``min(n, count)`` rows, chosen by hash order, without replacement."""
-    key = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
-    hashed = df.withColumn("__h", key)
-    cell = F.conv(F.substring("__h", 1, 4), 16, 10).cast("int")
-    return head_rows(hashed, cell, [F.col("__h"), F.col(id_col)], n).drop("__h")

@@ -141,13 +141,17 @@ def _greedy_folds(sizes: DataFrame, group: str, k: int, ranked: DataFrame, label
     )
 
 
-def _group_sizes(df: DataFrame, group: str) -> DataFrame:
-    return df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
+def _group_sizes(df: DataFrame, group: str, k: int) -> DataFrame:
+    """Rows per group; fewer groups than folds would leave a fold empty and are refused."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
+    if sizes.limit(k).count() < k:
+        raise ValueError(f"fewer than {k} groups in {group}")
+    return sizes
 
 
 def group_fold_table(df: DataFrame, group: str, k: int) -> DataFrame:
     """``(group, fold)``: groups by (−size, key), each to the smallest, lowest fold."""
-    sizes = _group_sizes(df, group)
+    sizes = _group_sizes(df, group, k)
     ranked = row_positions(sizes, group, ["size"], "__pos")
     return _greedy_folds(sizes, group, k, ranked, list(range(1, k + 1)))
 
@@ -165,7 +169,7 @@ def group_folds_seeded(df: DataFrame, group: str, k: int, seed: int, out: str =
     labels = sorted(
         range(1, k + 1), key=lambda f: hashlib.md5(f"fold|{f}|{seed}".encode()).hexdigest()
     )
-    sizes = _group_sizes(df, group)
+    sizes = _group_sizes(df, group, k)
     ranked = hash_rank(sizes, group, seed, ["size"], "__rank", "__size").select(
         group, "size", (F.col("__rank") - 1).alias("__pos")
     )

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curafold.operators.ranking import head_rows, value_cell
 
 
 def clean_names(names: Sequence[str]) -> list[str]:
@@ -111,13 +110,6 @@ def seed_long(wide: DataFrame, key: str, seeds: Sequence[int]) -> DataFrame:
     return wide.select(key, "y", F.inline(pairs)).where(F.col("pred").isNotNull())
 
 
-def cap_rows(df: DataFrame, order: str, n: int = 100_000) -> DataFrame:
-    """The first ``n`` rows by ``order``: a bounded export for viewers with a row limit."""
-    if dict(df.dtypes)[order] == "string":
-        return df.orderBy(order).limit(n)
-    return head_rows(df, value_cell(F.col(order), 1 << 16), [F.col(order)], n)
-
-
 def ordered_export(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Globally ordered (range partitioned) rows for an export."""
     return df.orderBy(*order)

@@ -35,11 +35,10 @@ def test_exact_median_with_hot_group(spark):
     assert got == pytest.approx(want)
 
 
-@pytest.mark.parametrize("hot_rows", [50, 1_000_000])
-def test_grouped_agg_same_with_and_without_hot_path(spark, hot_rows):
+def test_grouped_agg_with_hot_group(spark):
     pdf = skewed()
     df = spark.createDataFrame(pdf)
-    out = ranking.grouped_agg(df, ["key"], {"n": F.count("value"), "m": F.avg("value")}, {"med": "value"}, hot_rows)
+    out = ranking.grouped_agg(df, ["key"], {"n": F.count("value"), "m": F.avg("value")}, {"med": "value"})
     got = out.toPandas().set_index("key").sort_index()
     want = pdf.groupby("key")["value"].agg(["count", "mean", "median"]).sort_index()
     np.testing.assert_allclose(got[["n", "m", "med"]].to_numpy(float), want.to_numpy(float))
@@ -62,22 +61,6 @@ def test_row_positions_numbers_and_text(spark):
     assert (got.groupby("key").cumcount() == got["pos"]).all()
 
 
-def test_sample_rows_exact_and_reproducible(spark):
-    df = spark.range(1000).withColumnRenamed("id", "i")
-    a = {r.i for r in ranking.sample_rows(df, "i", 100, 5).collect()}
-    b = {r.i for r in ranking.sample_rows(df.repartition(13), "i", 100, 5).collect()}
-    assert a == b and len(a) == 100
-    assert ranking.sample_rows(df, "i", 5000, 5).count() == 1000
-
-
-def test_cap_rows_is_the_exact_head(spark):
-    df = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("i")).repartition(9)
-    assert sorted(r.i for r in tables.cap_rows(df, "i", 1234).collect()) == list(range(1234))
-    assert tables.cap_rows(df, "i", 99_999).count() == 5000
-    text = df.select(F.format_string("%05d", "i").alias("t"))
-    assert sorted(r.t for r in tables.cap_rows(text, "t", 10).collect())[-1] == "00009"
-
-
 def test_cascade_first_reason_and_bounds(spark):
     rows = [(1, ">5000"), (2, "abc"), (3, "-1"), (4, "0.4"), (5, "0.5"), (6, "300"), (7, "301")]
     df = spark.createDataFrame(rows, "i int, raw string")
