@@ -233,7 +233,7 @@ def grouped_agg(
     counts as the largest value.
     """
     by = list(by)
-    result = df.groupBy(*by).agg(*[c.alias(name) for name, c in aggs.items()])
+    result = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows"), *[c.alias(name) for name, c in aggs.items()])
     for name, v in medians.items():
         placed = running_in_order(_value_counts(df, by, v), by, ["__v"], "__before", "__size", "__c")
         upto = F.col("__before") + F.col("__c")

@@ -13,71 +13,111 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curafold.session import small_side
+from curafold.session import materialize, small_side
 
 if TYPE_CHECKING:
     from pyspark.ml.regression import GBTRegressionModel
 
-# Sums of products grow with the square of the width; wider data needs selection first.
-MAX_LINEAR_FEATURES = 50
+def linear_stats(df: DataFrame, by: Sequence[str], features: Sequence[str], label: str) -> DataFrame:
+    """Sums of the normal equations per ``by`` group in long form: ``(by…, pos, s)``.
 
+    Rows become ``z = (1, x - mean, y - mean)`` with the means of the whole table, which keeps the sums
+    free of large offsets. A task adds up ``z'z`` in blocks and sends one row per group and position: the
+    upper triangle, then ``n * mean`` of each column. Everything is a sum over rows, so leaving
+    a part out is a subtraction. Rows with a missing value or label take no part.
+    """
+    columns = [*features, label]
+    by = list(by)
+    wide = df.select(*by, *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)])
+    names = [f"__x{i}" for i in range(len(columns))]
+    shift = [0.0 if m is None else m for m in wide.agg(*[F.avg(c) for c in names]).first()]
 
-def linear_stats(df: DataFrame, by: Sequence[str], features: Sequence[str], label: str) -> DataFrame:
-    """Sums ``s0…`` of the normal equations (intercept first) per ``by`` group."""
-    if len(features) > MAX_LINEAR_FEATURES:
-        raise ValueError(f"at most {MAX_LINEAR_FEATURES} features, got {len(features)}")
-    x = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
-    y = F.col(label).cast("double")
-    products = [x[i] * x[j] for i in range(len(x)) for j in range(i, len(x))]
-    products += [xi * y for xi in x]
-    return df.groupBy(*by).agg(*[F.sum(p).alias(f"s{i}") for i, p in enumerate(products)])
+    def partial(batches):
+        import numpy as np
+        import pandas as pd
 
+        upper = np.triu_indices(len(names) + 1)
+        mean = np.array(shift)
+        sums: dict = {}
+        for pdf in batches:
+            z = pdf[names].to_numpy(float) - mean
+            complete = ~np.isnan(z).any(axis=1)
+            z = np.column_stack([np.ones(len(z)), z])
+            if by:
+                code, keys = pd.MultiIndex.from_frame(pdf[by]).factorize()
+            else:
+                code, keys = np.zeros(len(z), int), [()]
+            order = np.argsort(code, kind="stable")
+            order = order[complete[order]]
+            cuts = np.searchsorted(code[order], np.arange(len(keys) + 1))
+            for k, key in enumerate(keys):
+                part = z[order[cuts[k] : cuts[k + 1]]]
+                if len(part):
+                    sums[key] = sums.get(key, 0.0) + part.T @ part
+            if len(sums) * len(upper[0]) > 4_000_000:
+                yield from rows(sums, upper, mean)
+                sums = {}
+        yield from rows(sums, upper, mean)
+
+    def rows(sums, upper, mean):
+        import numpy as np
+        import pandas as pd
 
-def _stat_columns(stats: DataFrame, by: Sequence[str]) -> list[str]:
-    return [c for c in stats.columns if c not in by]
+        for key, total in sums.items():
+            s = np.concatenate([total[upper], total[0, 0] * mean])
+            out = pd.DataFrame({"pos": np.arange(len(s)), "s": s})
+            for i, name in enumerate(by):
+                out.insert(i, name, [key[i]] * len(s))
+            yield out
+
+    types = dict(wide.dtypes)
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in by], "pos int", "s double"])
+    return wide.mapInPandas(partial, schema).groupBy(*by, "pos").agg(F.sum("s").alias("s"))
 
 
 def leave_out(stats: DataFrame, by: Sequence[str], part: str) -> DataFrame:
     """Statistics of everything but the part, per ``by`` group."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    cols = _stat_columns(stats, [*by, part])
-    return stats.select(*by, part, *[(F.sum(c).over(w) - F.col(c)).alias(c) for c in cols])
+    w = Window.partitionBy(*by, "pos")
+    return stats.select(*by, part, "pos", (F.sum("s").over(w) - F.col("s")).alias("s"))
 
 
 def solve_linear(stats: DataFrame, by: Sequence[str], n_features: int) -> DataFrame:
-    """``(by…, coef)`` with the intercept first; one small solve per statistics row."""
+    """``(by…, coef)`` with the intercept first; one solve per group, whose size is that of the model."""
     p = n_features + 1
     by = list(by)
-    cols = _stat_columns(stats, by)
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "s")))
+    packed = stats.groupBy(*by).agg(F.transform(ordered, lambda x: x["s"]).alias("s"))
 
     def solve(batches):
         import numpy as np
 
-        upper = np.triu_indices(p)
+        upper = np.triu_indices(p + 1)
         for pdf in batches:
             coefs = []
-            for row in pdf[cols].to_numpy(float):
-                xtx = np.zeros((p, p))
-                xtx[upper] = row[: len(upper[0])]
-                xtx = xtx + np.triu(xtx, 1).T
+            for row in pdf["s"]:
+                row = np.asarray(row, float)
+                full = np.zeros((p + 1, p + 1))
+                full[upper] = row[: len(upper[0])]
+                full = full + np.triu(full, 1).T
+                xtx, xty = full[:p, :p], full[:p, p]
                 scale = np.sqrt(np.where(np.diag(xtx) > 0, np.diag(xtx), 1.0))
-                scaled = xtx / np.outer(scale, scale)
-                beta = np.linalg.lstsq(scaled, row[len(upper[0]) :] / scale, rcond=1e-13)[0]
-                coefs.append((beta / scale).tolist())
+                beta = np.linalg.lstsq(xtx / np.outer(scale, scale), xty / scale, rcond=1e-13)[0] / scale
+                mean = row[len(upper[0]) :] / full[0, 0] if full[0, 0] > 0 else np.zeros(p)
+                beta[0] += mean[-1] - beta[1:] @ mean[:-1]
+                coefs.append(beta.tolist())
             out = pdf[by].copy()
             out["coef"] = coefs
             yield out
 
     types = dict(stats.dtypes)
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in by], "coef array<double>"])
-    return stats.mapInPandas(solve, schema)
+    return packed.mapInPandas(solve, schema)
 
 
 def linear_prediction(coef: Column, features: Sequence[str]) -> Column:
-    out = coef[0]
-    for i, f in enumerate(features):
-        out = out + coef[i + 1] * F.col(f).cast("double")
-    return out
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    terms = F.zip_with(F.slice(coef, 2, len(features)), values, lambda c, x: c * x)
+    return F.aggregate(terms, coef[0], lambda total, t: total + t)
 
 
 def fit_linear(
@@ -143,14 +183,19 @@ def fit_early_stop(
 ) -> tuple["GBTRegressionModel", int]:
     """Boost on ``train``; keep the rounds chosen by the error curve on ``valid``.
 
-    Trees are added one after the other from one seed, so refitting with fewer rounds
-    gives the leading trees of the long run.
+    Trees are added one after the other from one seed, so a run with fewer rounds gives the
+    leading trees of a longer one. Runs grow by doubling until the curve has stalled for ``patience``
+    rounds or ``max_rounds`` are reached. ``pyspark.ml`` can't cut a model short, so the chosen
+    rounds are run once more.
     """
-    model = _booster(max_rounds, seed, label, **params).fit(train)
-    rounds = patience_stop(model.evaluateEachIteration(valid, "squared"), patience)
-    if rounds < max_rounds:
+    rounds = min(max_rounds, max(1, 2 * patience))
+    while True:
         model = fit_fixed(train, label, rounds, seed, **params)
-    return model, rounds
+        curve = model.evaluateEachIteration(valid, "squared")
+        best = patience_stop(curve, patience)
+        if best - 1 + patience < rounds or rounds == max_rounds:
+            return (model if best == rounds else fit_fixed(train, label, best, seed, **params)), best
+        rounds = min(max_rounds, 2 * rounds)
 
 
 def fit_fixed(train: DataFrame, label: str, rounds: int, seed: int, **params) -> "GBTRegressionModel":
@@ -173,10 +218,11 @@ def select_rounds(
 def oof_predict_trees(
     df: DataFrame, fold: str, k: int, label: str, rounds: int, seed: int, **params
 ) -> DataFrame:
-    """Out-of-fold tree predictions: ``k`` distributed fits, one per fold."""
+    """Out-of-fold tree predictions: ``k`` distributed fits, one per fold, on rows written once."""
+    rows = materialize(df, "tree-folds")
     out = None
     for f in range(1, k + 1):
-        model = fit_fixed(df.where(F.col(fold) != f), label, rounds, seed + f, **params)
-        part = model.transform(df.where(F.col(fold) == f))
+        model = fit_fixed(rows.where(F.col(fold) != f), label, rounds, seed + f, **params)
+        part = model.transform(rows.where(F.col(fold) == f))
         out = part if out is None else out.unionByName(part)
     return out

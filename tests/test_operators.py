@@ -44,6 +44,54 @@ def test_grouped_agg_with_hot_group(spark):
     np.testing.assert_allclose(got[["n", "m", "med"]].to_numpy(float), want.to_numpy(float))
 
 
+def test_medians_of_extreme_values(spark):
+    inf, nan = float("inf"), float("nan")
+    sets = {"a": [1.0, 2.0, inf], "b": [1.0, nan, 2.0], "c": [-inf, 5.0], "d": [3.0], "e": [1e-300, 2e-300, -4e-310], None: [7.0, 9.0]}
+    sets["f"] = [1.0 + k * 2.0**-52 for k in range(9)]
+    df = spark.createDataFrame([(k, v) for k, vs in sets.items() for v in vs], "key string, value double")
+    want = {k: float((sorted(vs, key=lambda v: (v != v, v))[(len(vs) - 1) // 2] / 2 + sorted(vs, key=lambda v: (v != v, v))[len(vs) // 2] / 2)) for k, vs in sets.items()}
+    one = {r["key"]: r["median"] for r in ranking.exact_median(df, ["key"], "value").collect()}
+    two = {r["key"]: r["m"] for r in ranking.grouped_agg(df, ["key"], {}, {"m": "value"}).collect()}
+    assert one == want and two == want
+
+
+def test_null_groups_and_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a")], "id long, arm string")
+    assert splits.kfold(df, "id", 2, 1, ["arm"]).count() == 4
+    assert splits.holdout(df, "id", 0.5, 1, ["arm"]).count() == 4
+    keys = spark.createDataFrame([(None,), (5,), (3,), (3,)], "k long")
+    assert sorted(r.p for r in ranking.row_positions(keys, "k", out="p").collect()) == [0, 1, 2, 3]
+
+
+def test_positions_of_close_and_equal_keys_are_dealt_out(spark):
+    times = spark.range(20000).select((F.col("id") + 1_700_000_000).alias("t"))
+    got = ranking.row_positions(times, "t", out="p").where(F.col("t") - 1_700_000_000 != F.col("p"))
+    assert got.count() == 0
+    same = spark.range(3000).select(F.lit("x").alias("t"), "id")
+    assert ranking.row_positions(same, "t", out="p").agg(F.countDistinct("p")).first()[0] == 3000
+
+
+def test_attach_features_refuses_missing_and_repeated_keys(spark):
+    df = spark.createDataFrame([(1,), (2,)], "id long")
+    good = spark.createDataFrame([(1, 0.5), (2, 1.5)], "id long, x double")
+    assert joins.attach_features(df, good, on="id").count() == 2
+    for bad in ([(1, 0.5)], [(1, 0.5), (1, 0.7), (2, 1.0)]):
+        with pytest.raises(PySparkException):
+            joins.attach_features(df, spark.createDataFrame(bad, "id long, x double"), on="id").collect()
+    with pytest.raises(ValueError):
+        splits.group_fold_table(df.withColumnRenamed("id", "g"), "g", 5)
+
+
+def test_linear_fit_of_many_columns_with_offset(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 60)) + 1e6
+    y = x @ rng.normal(size=60) + 3.0
+    names = [f"f{i}" for i in range(60)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(y=y, id=range(400)))
+    scored = learners.predict_linear(df, learners.fit_linear(df, [], names, "y"), [], names)
+    assert scored.agg(F.max(F.abs(F.col("pred") - F.col("y")))).first()[0] < 1e-3
+
+
 def test_average_rank_matches_pandas(spark):
     pdf = skewed()
     want = pdf.assign(r=pdf.groupby("key")["value"].rank()).set_index("id")["r"].sort_index()
