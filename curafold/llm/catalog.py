@@ -52,7 +52,7 @@ k AS (
   FROM n)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k""")
 def op2_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return mark_duplicates(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+    return mark_duplicates(table(spark, d, "documents"))
 
 
 @query(r"""

@@ -174,32 +174,34 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return owners.select("digest", "n_bytes", F.col("id").alias("keep_id"), F.col("rows").alias("group_size"), F.col("chars").alias("keep_chars"))
 
 
+def _marked(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The row as ``doc``, with ``keep_id, group_size, kept, text_sha256``."""
+    digest = F.unhex(F.sha2(F.regexp_replace(text_of(text), BLANK_PATTERN, "").cast("binary"), 256))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.col(f"`{doc_id}`").cast("long").alias("id"),
+        digest.alias("digest"),
+        F.char_length(text_of(text)).cast("long").alias("chars"),
+    )
+    owners = exact_groups(docs, text, doc_id).drop("n_bytes")
+    stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
+    return rows.join(owners, "digest").select("doc", "keep_id", "group_size", stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def mark_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """All columns of ``docs`` with ``keep_id, group_size, kept, text_sha256``; one row per document.
+    """``doc_id, keep_id, group_size, kept, text_sha256``; one row per document, dropped ones too.
 
     Texts are equal if they are identical without the characters of ``BLANK``; null counts as empty.
     Of equal texts the row with the most code points stays, then the one with the smallest id. Ids are
     taken as unique; if rows share the id that stays, each of them with as many code points is kept.
-    A null id counts as the largest, and is null in ``keep_id``. Columns of ``docs`` with a name of the
-    result are replaced. A group of any size reaches the join from one side only, so a skewed join
-    is split by adaptive execution.
+    A null id counts as the largest, and is null in ``keep_id``. A group of any size reaches the join from
+    one side only, so a skewed join is split by adaptive execution.
     """
-    out = ["keep_id", "group_size", "kept", "text_sha256"]
-    digest = F.unhex(F.sha2(F.regexp_replace(text_of(text), BLANK_PATTERN, "").cast("binary"), 256))
-    rows = docs.drop(*[c for c in out if c not in (text, doc_id)]).withColumns(
-        {"__digest": digest, "__chars": F.char_length(text_of(text)).cast("long")}
-    )
-    owners = exact_groups(docs, text, doc_id).withColumnRenamed("digest", "__digest").drop("n_bytes")
-    stays = F.col(f"`{doc_id}`").eqNullSafe(F.col("keep_id")) & (F.col("__chars") == F.col("keep_chars"))
-    return rows.join(owners, "__digest").select(
-        *[F.col(f"`{c}`") for c in rows.columns if not c.startswith("__")],
-        "keep_id",
-        "group_size",
-        stays.alias("kept"),
-        F.lower(F.hex("__digest")).alias("text_sha256"),
-    )
+    marked = _marked(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", "doc_id")
+    # Only the id of the row is carried; the optimizer prunes the text from the join.
+    return marked.select("doc.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns."""
-    return mark_duplicates(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that stay, with their own columns, whatever their names."""
+    return _marked(docs, "text", "doc_id").where("kept").select("doc.*")

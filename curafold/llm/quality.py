@@ -178,32 +178,34 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return fit(x[order], y[order])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The ``keep`` columns with ``held_out, score, predicted``; one row per document.
-
-    Only the text is an input of the score. A null text counts as empty and gets the score of an
-    empty text; a null id is never held out and has no label. Columns of ``docs`` named like the
-    result must not be in ``keep``.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+    """The row as ``doc``, with ``held_out``, ``score`` and ``predicted``."""
     forest = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows))
-    rows = docs.select(*[F.col(f"`{k}`") for k in keep], held_out().alias("held_out"), text_of().alias("__text"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1]) + ", score double"
-    if "text" in keep:
-        rows = rows.drop("__text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), held_out().alias("held_out"), text_of().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = forest.value
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                text = part.column(part.schema.get_field_index("text" if "text" in keep else "__text"))
-                score = model.score(statistics([t or "" for t in text.to_pylist()]))
-                columns = part.columns if "text" in keep else part.columns[:-1]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], [*part.schema.names[: len(columns)], "score"])
+                score = model.score(statistics(part.column("text").to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("held_out"), pa.array(score)], ["doc", "held_out", "score"])
+
+    scored = rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, held_out boolean, score double")
+    return scored.withColumn("predicted", (F.col("score") >= REJECT_BELOW).cast("int"))
 
-    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= REJECT_BELOW).cast("int"))
+
+def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``doc_id, held_out, score, predicted``; one row per document.
+
+    Only the text is an input of the score. A null text counts as empty and gets the score of an
+    empty text; a null id is never held out and has no label. Labels without an id or a quality aren't
+    learnt from; of several for one id the largest counts. Other columns of ``docs`` don't matter.
+    """
+    scored = _scored(docs.select("doc_id", "text"), labels, sample_rows)
+    return scored.select("doc.doc_id", "held_out", "score", "predicted")
 
 
-def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't reject, with their own columns."""
-    return score_quality(docs, labels, tuple(docs.columns)).where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+def good_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents that the classifier doesn't reject, with their own columns, whatever their names."""
+    return _scored(docs, labels, sample_rows).where("predicted = 1").select("doc.*")
