@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curafold.catalog.base import (
-    FEATURES, METRIC_NAMES, SEED, SQL_FRAME, frame, frame_table, kfold_sql, metric_sql, oof_sql, r,
+    FEATURES, METRIC_NAMES, SEED, SQL_FRAME, frame, frame_table, holdout_sql, kfold_sql, metric_sql, oof_sql, r,
     register, rs, solve_sql, sums_sql,
 )
-from curafold.operators import features, metrics, splits
+from curafold.operators import features, metrics, ranking, splits
 from curafold.plans import learners, workflows
 from curafold.session import materialize
 
@@ -177,49 +177,125 @@ def _(spark, d):
     return workflows.resume_ledger(plan, done, ["arm", "fold"])
 
 
-# --- tree learners: results depend on the booster, so there is no SQL twin ------------
+# --- tree learners ---------------------------------------------------------------------
+# One binary feature, depth 1 and no subsampling: the first tree is the mean of each side and later
+# trees add nothing, so SQL gives predictions and rounds.
+
+STUMP = dict(maxDepth=1, stepSize=1.0, subsamplingRate=1.0, minInstancesPerNode=1)
+SQL_STUMP = f"""{SQL_FRAME}, b AS (SELECT id, y, weight, source, lang = 'en' AS f FROM frame WHERE y IS NOT NULL)"""
+SQL_PARTS = f"""{SQL_STUMP}, h AS ({holdout_sql('b', 'id', 0.2, '42')}),
+m AS (SELECT f, avg(y) AS pred FROM h WHERE part = 'train' GROUP BY f),
+scored AS (SELECT h.*, pred FROM h JOIN m USING (f) WHERE part = 'valid')"""
+
+
+def stump_rows(spark, d):
+    df = frame(spark, d).where(F.col("y").isNotNull())
+    df = df.withColumns({"is_en": (F.col("lang") == "en").cast("double"), "one": F.lit(1.0)})
+    return features.assemble_vector(df, ["is_en", "one"]).select("id", "y", "weight", "source", "features")
 
 
 def tree_parts(spark, d):
-    df = rows(spark, d).where(F.col("y").isNotNull())
-    names, (filled,) = workflows.impute_wide(df, [df], [*FEATURES, "word_ratio", "digit_share"])
-    data = features.assemble_vector(filled, names).select("id", "y", "weight", "features")
-    parts = materialize(splits.holdout(data, "id", 0.2, SEED), "tree-rows")
+    parts = materialize(splits.holdout(stump_rows(spark, d), "id", 0.2, SEED), "tree-rows")
     return parts.where(F.col("part") == "train").drop("part"), parts.where(F.col("part") == "valid").drop("part")
 
 
-@register("m1_fit_early_stop")
+@register("m1_fit_early_stop", f"WITH {SQL_PARTS} SELECT id, {rs(['y', 'pred'])}, 1 AS rounds FROM scored")
 def _(spark, d):
     train, valid = tree_parts(spark, d)
-    model, n = learners.fit_early_stop(train, valid, "y", 6, 2, SEED)
+    model, n = learners.fit_early_stop(train, valid, "y", 6, 2, SEED, **STUMP)
     return model.transform(valid).select("id", "y", "pred", F.lit(n).alias("rounds"))
 
 
-@register("m2_fit_fixed")
+@register("m2_fit_fixed", f"WITH {SQL_PARTS} SELECT id, {rs(['y', 'pred'])} FROM scored")
 def _(spark, d):
     train, valid = tree_parts(spark, d)
-    return learners.fit_fixed(train, "y", 4, SEED).transform(valid).select("id", "y", "pred")
+    return learners.fit_fixed(train, "y", 3, SEED, **STUMP).transform(valid).select("id", "y", "pred")
 
 
-@register("m3_oof_predict_trees")
+@register("m3_oof_predict_trees", f"""WITH {SQL_STUMP}, k AS ({kfold_sql('b', 'id', 3, '42')}),
+  m AS (SELECT x.fold, k.f, avg(k.y) AS pred FROM (SELECT DISTINCT fold FROM k) x JOIN k ON k.fold <> x.fold GROUP BY x.fold, k.f)
+  SELECT id, fold, {rs(['y', 'pred'])} FROM k JOIN m USING (fold, f)""")
+def _(spark, d):
+    folded = splits.kfold(stump_rows(spark, d), "id", 3, SEED)
+    return learners.oof_predict_trees(folded, "fold", 3, "y", 2, SEED, **STUMP).select("id", "fold", "y", "pred")
+
+
+@register("m5_final_fit_trees", f"WITH {SQL_PARTS} SELECT id, {rs(['y', 'pred'])}, {r('pow(10, -pred) * weight * 1000', 'pred_value')}, {r('pow(10, abs(pred - y))', 'fold_error')} FROM scored")
 def _(spark, d):
     train, valid = tree_parts(spark, d)
-    folded = splits.kfold(train.unionByName(valid), "id", 3, SEED)
-    return learners.oof_predict_trees(folded, "fold", 3, "y", 3, SEED).select("id", "fold", "y", "pred")
+    scored, _metrics = workflows.final_fit_predict_trees(train, valid, "id", "y", "weight", 0.2, 4, 2, SEED, **STUMP)
+    return scored.select("id", "y", "pred", "pred_value", "fold_error")
 
 
-@register("m6_bagging_trees")
+@register("m6_bagging_trees", f"WITH {SQL_PARTS} SELECT id, {r('pred')}, {r('y')}, CAST(2 AS BIGINT) AS n_models FROM scored")
 def _(spark, d):
     train, valid = tree_parts(spark, d)
     parts = [
-        learners.fit_fixed(train, "y", 3, s).transform(valid).select("id", F.lit(s).alias("seed"), "y", "pred")
+        learners.fit_fixed(train, "y", 2, s, **STUMP).transform(valid).select("id", F.lit(s).alias("seed"), "y", "pred")
         for s in (1, 2)
     ]
     return workflows.bagging_ensemble(parts[0].unionByName(parts[1]), "id")
 
 
-@register("m7_select_rounds")
+@register("m7_select_rounds", f"WITH {SQL_PARTS} SELECT id, {rs(['y', 'pred'])}, 1 AS rounds FROM scored")
+def _(spark, d):
+    train, valid = tree_parts(spark, d)
+    n = learners.select_rounds(train, "id", "y", 0.2, 5, 2, SEED, **STUMP)
+    return learners.fit_fixed(train, "y", n, SEED, **STUMP).transform(valid).select("id", "y", "pred", F.lit(n).alias("rounds"))
+
+
+SQL_STUMP_OOF = f"""{SQL_STUMP}, k3 AS ({kfold_sql('b', 'id', 3, '42')}),
+k3m AS (SELECT x.fold, k3.f, avg(k3.y) AS pred FROM (SELECT DISTINCT fold FROM k3) x JOIN k3 ON k3.fold <> x.fold GROUP BY x.fold, k3.f),
+rep AS (SELECT id, y, f, pow(10, abs(y - pred)) AS fold_error FROM k3 JOIN k3m USING (fold, f))"""
+TREE_ARMS = [None, 1.2]
+SQL_TREE_ARMS = "(VALUES ('no_filter', 1e30), ('filter_1.2fold', 1.2)) t(arm, t)"
+
+
+@register("m8_threshold_cv_trees", f"""WITH {SQL_STUMP_OOF}, ar AS (SELECT arm, id, y, f FROM rep, {SQL_TREE_ARMS} WHERE fold_error < t.t),
+  af AS ({kfold_sql('ar', 'id', 2, '42', ['arm'])}),
+  m AS (SELECT x.arm, x.fold, af.f, avg(af.y) AS pred FROM (SELECT DISTINCT arm, fold FROM af) x JOIN af ON af.arm = x.arm AND af.fold <> x.fold GROUP BY ALL)
+  SELECT arm, fold, 1 AS rounds, id, {rs(['y', 'pred'])} FROM af JOIN m USING (arm, fold, f)""")
 def _(spark, d):
+    folded = splits.kfold(stump_rows(spark, d), "id", 3, SEED)
+    oof = workflows.with_residuals(learners.oof_predict_trees(folded, "fold", 3, "y", 1, SEED, **STUMP))
+    scored = materialize(oof.select("id", "y", "features", "fold_error"), "tree-screen")
+    return workflows.threshold_cv_trees(scored, "id", "y", TREE_ARMS, 2, SEED, 0.2, 3, 1, **STUMP)
+
+
+SQL_NESTED_TREES = f"""{SQL_STUMP}, o AS ({kfold_sql('b', 'id', 2, '42')}),
+tr AS (SELECT id, y, o.f, x.n AS outer_fold FROM o, (VALUES (1), (2)) x(n) WHERE x.n <> fold),
+inn AS ({kfold_sql('tr', 'id', 2, '42 + 1000 * outer_fold', ['outer_fold'], 'inner_fold')}),
+im AS (SELECT x.outer_fold, x.inner_fold, inn.f, avg(inn.y) AS pred FROM (SELECT DISTINCT outer_fold, inner_fold FROM inn) x
+       JOIN inn ON inn.outer_fold = x.outer_fold AND inn.inner_fold <> x.inner_fold GROUP BY ALL),
+screening AS (SELECT outer_fold, inner_fold, id, y, f, pred, abs(y - pred) AS abs_error, pow(10, abs(y - pred)) AS fold_error FROM inn JOIN im USING (outer_fold, inner_fold, f)),
+am AS (SELECT outer_fold AS fold, arm, f, avg(y) AS pred FROM screening, {SQL_TREE_ARMS} WHERE fold_error < t.t GROUP BY ALL)"""
+
+
+def nested_trees(spark, d, group=None):
+    return workflows.nested_cv_trees(
+        stump_rows(spark, d), "id", "y", TREE_ARMS, 2, 2, SEED, 3, 1, [1, 2], group=group, **STUMP
+    )
+
+
+@register("m9_nested_trees", f"WITH {SQL_NESTED_TREES} SELECT arm, fold, id, {rs(['y', 'pred'])}, CAST(2 AS BIGINT) AS n_models FROM o JOIN am USING (fold, f)")
+def _(spark, d):
+    return nested_trees(spark, d)["predictions"]
+
+
+@register("m9_nested_trees_screening", f"WITH {SQL_NESTED_TREES} SELECT outer_fold, inner_fold, id, {rs(['y', 'pred', 'abs_error', 'fold_error'])} FROM screening")
+def _(spark, d):
+    return nested_trees(spark, d)["screening"]
+
+
+@register("m10_contributions_trees", f"""WITH {SQL_PARTS}, med AS (SELECT median(f::INT)::INT::BOOLEAN AS f FROM h WHERE part = 'train'),
+  mid AS (SELECT pred AS middle FROM m JOIN med USING (f))
+  SELECT id, 'is_en' AS feature, {r('f::INT::DOUBLE', 'value')}, {r('pred - middle', 'contribution')} FROM scored, mid
+  UNION ALL SELECT id, 'one', {r('1.0::DOUBLE', 'value')}, {r('0.0::DOUBLE', 'contribution')} FROM scored""")
+def _(spark, d):
+    from pyspark.ml.functions import vector_to_array
+
     train, valid = tree_parts(spark, d)
-    n = learners.select_rounds(train, "id", "y", 0.2, 5, 2, SEED)
-    return learners.fit_fixed(train, "y", n, SEED).transform(valid).select("id", "y", "pred", F.lit(n).alias("rounds"))
+    model = learners.fit_fixed(train, "y", 1, SEED, **STUMP)
+    values = train.select(F.posexplode(vector_to_array("features")).alias("feature", "value"))
+    medians = [x["median"] for x in ranking.exact_median(values, ["feature"], "value").orderBy("feature").collect()]
+    return learners.ablation_contributions(model, valid, ["id"], ["is_en", "one"], medians)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curafold.catalog.base import SEED, events, frame, kfold_sql, register, r, SQL_FRAME
+from curafold.catalog.base import SEED, events, frame, holdout_sql, kfold_sql, register, r, SQL_FRAME
 from curafold.catalog.curation import SQL_ROUTE, routed
 from curafold.operators import contracts, metrics, splits
 from curafold.operators.ranking import row_positions
@@ -22,12 +22,6 @@ def _(spark, d):
     return splits.kfold(ids(spark, d), "event_id", 5, SEED).select("event_id", "fold")
 
 
-def holdout_sql(rows: str, id_col: str, fraction: float, seed: str, by: str = "") -> str:
-    over = f"PARTITION BY {by}" if by else ""
-    return f"""SELECT *, CASE WHEN row_number() OVER ({over} ORDER BY md5({id_col} || '|' || ({seed})), {id_col})
-      <= ceil({fraction}::DOUBLE * count(*) OVER ({over})) THEN 'valid' ELSE 'train' END AS part FROM {rows}"""
-
-
 @register("k2_holdout", f"SELECT event_id, part FROM ({holdout_sql(EV, 'event_id', 0.1, '42')})")
 def _(spark, d):
     return splits.holdout(ids(spark, d), "event_id", 0.1, SEED).select("event_id", "part")
@@ -52,7 +46,12 @@ def _(spark, d):
     return splits.group_fold_table(ids(spark, d).select(group_of().alias("group_id")), "group_id", 5)
 
 
-@register("k4_group_folds_seeded")
+SEEDED = GREEDY.replace("ORDER BY size DESC, grp", f"ORDER BY size DESC, md5(grp || '|{SEED}'), grp")
+SEEDED_LABELS = [f for f in splits.seeded_labels(5, SEED)]
+
+
+@register("k4_group_folds_seeded", f"""WITH RECURSIVE {SEEDED}
+  SELECT event_id, grp AS group_id, CAST({SEEDED_LABELS}[fold] AS INTEGER) AS fold FROM events JOIN step ON grp = 'u' || user_id WHERE k > 0""")
 def _(spark, d):
     rows = ids(spark, d).withColumn("group_id", group_of())
     return splits.group_folds_seeded(rows, "group_id", 5, SEED).select("event_id", "group_id", "fold")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -162,13 +163,17 @@ def group_folds(df: DataFrame, group: str, k: int, out: str = "fold") -> DataFra
     return df.join(table, group)
 
 
+def seeded_labels(k: int, seed: int) -> list[int]:
+    """The folds in a seeded order."""
+    return sorted(range(1, k + 1), key=lambda f: hashlib.md5(f"fold|{f}|{seed}".encode()).hexdigest())
+
+
 def group_folds_seeded(df: DataFrame, group: str, k: int, seed: int, out: str = "fold") -> DataFrame:
-    """Like :func:`group_folds` with seeded order among equal sizes and among equal folds."""
-    import hashlib
+    """Like :func:`group_folds` with a seeded order among equal sizes.
 
-    labels = sorted(
-        range(1, k + 1), key=lambda f: hashlib.md5(f"fold|{f}|{seed}".encode()).hexdigest()
-    )
+    The folds are permuted once per seed: equally full folds are served in the order of that permutation.
+    """
+    labels = seeded_labels(k, seed)
     sizes = _group_sizes(df, group, k)
     ranked = hash_rank(sizes, group, seed, ["size"], "__rank", "__size").select(
         group, "size", (F.col("__rank") - 1).alias("__pos")

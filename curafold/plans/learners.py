@@ -168,10 +168,10 @@ def _booster(rounds: int, seed: int, label: str, **params):
 
 
 def patience_stop(curve: Sequence[float], patience: int) -> int:
-    """Rounds to keep: the best one before ``patience`` rounds without improvement."""
+    """Rounds to keep: the best one before ``patience`` rounds without improvement beyond rounding."""
     best, best_at = float("inf"), 0
     for i, error in enumerate(curve):
-        if error < best:
+        if i == 0 or error < best - 1e-9 * abs(best):
             best, best_at = error, i
         elif i - best_at >= patience:
             break
@@ -204,12 +204,16 @@ def fit_fixed(train: DataFrame, label: str, rounds: int, seed: int, **params) ->
 
 def select_rounds(
     inner_train: DataFrame, id_col: str, label: str, fraction: float, max_rounds: int,
-    patience: int, seed: int, **params,
+    patience: int, seed: int, group: str | None = None, **params,
 ) -> int:
-    """Round count from a pilot split inside the training rows only."""
-    from curafold.operators.splits import holdout
+    """Round count from a pilot split inside the training rows only; with ``group`` it keeps groups whole."""
+    from curafold.operators.splits import group_holdout, holdout
 
-    parts = holdout(inner_train, id_col, fraction, seed, out="__pilot")
+    if group is None:
+        parts = holdout(inner_train, id_col, fraction, seed, out="__pilot")
+    else:
+        parts = group_holdout(inner_train, group, fraction, seed, out="__pilot")
+    parts = materialize(parts, "pilot")
     pilot = parts.where(F.col("__pilot") == "train").drop("__pilot")
     check = parts.where(F.col("__pilot") == "valid").drop("__pilot")
     return fit_early_stop(pilot, check, label, max_rounds, patience, seed, **params)[1]
@@ -226,3 +230,29 @@ def oof_predict_trees(
         part = model.transform(rows.where(F.col(fold) == f))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def ablation_contributions(
+    model: "GBTRegressionModel", rows: DataFrame, id_cols: Sequence[str], names: Sequence[str], medians: Sequence[float],
+    vector: str = "features",
+) -> DataFrame:
+    """``(id…, feature, value, contribution)``: what a feature's value changes against its training median.
+
+    Base and ablated rows are scored in one pass, a row per feature and row.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    values = rows.select(*id_cols, vector_to_array(F.col(vector)).alias("__x"))
+    variants = [F.struct(F.lit(None).cast("string").alias("feature"), F.lit(-1).alias("k"), F.lit(None).cast("double").alias("median"))]
+    variants += [F.struct(F.lit(n).alias("feature"), F.lit(k).alias("k"), F.lit(float(m)).alias("median")) for k, (n, m) in enumerate(zip(names, medians, strict=True))]
+    wide = values.withColumn("__v", F.explode(F.array(*variants)))
+    changed = F.transform("__x", lambda x, i: F.when(i == F.col("__v.k"), F.col("__v.median")).otherwise(x))
+    scored = model.transform(wide.withColumn(vector, array_to_vector(changed)))
+    keys = F.struct(*id_cols)
+    base = F.max(F.when(F.col("__v.k") < 0, F.col("pred")))
+    parts = F.collect_list(F.when(F.col("__v.k") >= 0, F.struct(F.col("__v.feature").alias("feature"), F.get("__x", F.col("__v.k")).alias("value"), "pred")))
+    # The list of a row is as long as the model is wide.
+    by_row = scored.groupBy(keys.alias("__id")).agg(base.alias("__base"), parts.alias("__parts"))
+    return by_row.select("__id.*", "__base", F.inline("__parts")).select(
+        *id_cols, "feature", "value", (F.col("__base") - F.col("pred")).alias("contribution")
+    )

@@ -12,17 +12,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curafold.functions.target import back_transform_columns, residual_columns
+from curafold.functions.target import arm_label, back_transform_columns, residual_columns
 from curafold.operators.curate import residual_rules
 from curafold.operators.features import fit_preprocess, to_long
 from curafold.operators.joins import arm_grid
-from curafold.operators.metrics import cohort_design, ensemble_mean, regression_metrics
-from curafold.operators.splits import inner_folds, kfold
+from curafold.operators.metrics import cohort_design, common_rounds, ensemble_mean, regression_metrics
+from curafold.operators.splits import OUTER_SEED_STEP, PILOT_SEED_STEP, group_folds_seeded, inner_folds, kfold
 from curafold.session import materialize
-from curafold.plans.learners import fit_linear, oof_predict, predict_linear
+from curafold.plans.learners import fit_fixed, fit_linear, oof_predict, predict_linear, select_rounds
 
 
 def with_residuals(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
@@ -203,3 +203,105 @@ def pending_tasks(ledger: DataFrame) -> DataFrame:
         F.raise_error(F.lit("a finished task has a different signature")).cast("string"),
     ).otherwise(F.col("state"))
     return ledger.withColumn("state", state).where(F.col("state") == "todo").drop("state")
+
+
+# --- the same protocols with boosted trees: distributed fits in a fixed order -----------
+
+
+def _scored(model, rows: DataFrame, *columns: Column) -> DataFrame:
+    return model.transform(rows).select(*columns, "pred")
+
+
+def _union(parts: Sequence[DataFrame], name: str) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return materialize(out, name)
+
+
+def final_fit_predict_trees(
+    train: DataFrame, holdout_rows: DataFrame, id_col: str, label: str, weight: str, fraction: float,
+    max_rounds: int, patience: int, seed: int, **params,
+) -> tuple[DataFrame, DataFrame]:
+    """``(predictions, metrics)`` of the holdout: rounds from a pilot inside ``train``, then a fit on all of it."""
+    rounds = select_rounds(train, id_col, label, fraction, max_rounds, patience, seed, **params)
+    scored = fit_fixed(train, label, rounds, seed, **params).transform(holdout_rows)
+    scored = scored.withColumns(back_transform_columns(F.col(label), F.col("pred"), F.col(weight)))
+    return scored, regression_metrics(scored, [], label, "pred").withColumn("rounds", F.lit(rounds))
+
+
+def threshold_cv_trees(
+    scored: DataFrame, id_col: str, label: str, thresholds: Sequence[float | None], k: int, seed: int,
+    fraction: float, max_rounds: int, patience: int, min_rows: int = 2, **params,
+) -> DataFrame:
+    """``(arm, fold, rounds, id, y, pred)``: each arm's cohort in folds, each fold with its own early stop."""
+    arms = arm_grid(scored.select(id_col, label, "fold_error", "features"), thresholds)
+    folded = materialize(kfold(arms, id_col, k, seed, by=["arm"]), "tree-arms")
+    parts = []
+    for arm in map(arm_label, thresholds):
+        for fold in range(1, k + 1):
+            here = folded.where(F.col("arm") == arm)
+            train = here.where(F.col("fold") != fold)
+            require_rows(train, min_rows, f"arm {arm}, fold {fold}")
+            rounds = select_rounds(train, id_col, label, fraction, max_rounds, patience, seed + fold, **params)
+            model = fit_fixed(train, label, rounds, seed, **params)
+            test = here.where(F.col("fold") == fold)
+            parts.append(_scored(model, test, F.col("arm"), F.col("fold"), F.lit(rounds).alias("rounds"), F.col(id_col), F.col(label).alias("y")))
+    return _union(parts, "tree-cv")
+
+
+def require_rows(df: DataFrame, n: int, what: str) -> None:
+    if df.limit(n).count() < n:
+        raise ValueError(f"{what}: fewer than {n} rows are left")
+
+
+def nested_cv_trees(
+    df: DataFrame, id_col: str, label: str, thresholds: Sequence[float | None], outer_k: int, inner_k: int, seed: int,
+    max_rounds: int, patience: int, model_seeds: Sequence[int], fraction: float = 0.2, group: str | None = None,
+    min_rows: int = 2, **params,
+) -> dict[str, DataFrame]:
+    """Nested comparison of screening thresholds with boosted trees.
+
+    In each outer training part: inner folds; the rounds of each from a pilot inside its training rows;
+    out-of-fold errors with these rounds; the half-even median of the rounds as the common number; per
+    arm and model seed a fit on the rows that the arm retains, scored on the outer test rows. With
+    ``group`` outer folds, inner folds and pilots keep groups whole. Fails if an arm retains too few
+    rows, if a training row has no out-of-fold error, or if there are fewer groups than folds.
+    """
+    columns = [id_col, label, "features", *([group] if group else [])]
+    rows = df.select(*columns)
+    outer = kfold(rows, id_col, outer_k, seed) if group is None else group_folds_seeded(rows, group, outer_k, seed)
+    outer = materialize(outer, "tree-outer")
+    screened, rounds_rows, scored = [], [], []
+    for o in range(1, outer_k + 1):
+        train, test = outer.where(F.col("fold") != o).drop("fold"), outer.where(F.col("fold") == o)
+        inner_seed = seed + OUTER_SEED_STEP * o
+        inner = kfold(train, id_col, inner_k, inner_seed, out="inner_fold") if group is None else group_folds_seeded(train, group, inner_k, inner_seed, "inner_fold")
+        inner = materialize(inner, "tree-inner")
+        parts, counts = [], []
+        for i in range(1, inner_k + 1):
+            fit_rows = inner.where(F.col("inner_fold") != i)
+            n = select_rounds(fit_rows, id_col, label, fraction, max_rounds, patience, inner_seed + PILOT_SEED_STEP * i, group, **params)
+            counts.append(n)
+            parts.append(fit_fixed(fit_rows, label, n, inner_seed + i, **params).transform(inner.where(F.col("inner_fold") == i)))
+        errors = _union([with_residuals(p, label) for p in parts], "tree-screening")
+        if errors.where(F.col("fold_error").isNotNull()).count() != train.count():
+            raise ValueError(f"outer fold {o}: rows without an out-of-fold error")
+        pilot = df.sparkSession.createDataFrame([(o, i + 1, float(n)) for i, n in enumerate(counts)], "outer_fold int, inner_fold int, rounds double")
+        common = common_rounds(pilot, max_rounds).first()["rounds"]
+        rounds_rows += [(o, i + 1, n, int(common)) for i, n in enumerate(counts)]
+        screened.append(errors.select(F.lit(o).alias("outer_fold"), "inner_fold", id_col, F.col(label).alias("y"), "pred", "abs_error", "fold_error"))
+        for t in thresholds:
+            kept = errors if t is None else errors.where(F.col("fold_error") < t)
+            kept = kept.select(*columns)
+            require_rows(kept, min_rows, f"outer fold {o}, arm {arm_label(t)}")
+            for s in model_seeds:
+                model = fit_fixed(kept, label, int(common), s, **params)
+                scored.append(_scored(model, test, F.lit(arm_label(t)).alias("arm"), F.col("fold"), F.lit(s).alias("seed"), F.col(id_col), F.col(label).alias("y")))
+    per_seed = _union(scored, "tree-nested")
+    return {
+        "screening": _union(screened, "tree-screened"),
+        "rounds": df.sparkSession.createDataFrame(rounds_rows, "outer_fold int, inner_fold int, rounds int, common_rounds int"),
+        "per_seed": per_seed,
+        "predictions": per_seed.groupBy("arm", "fold", id_col).agg(F.any_value("y").alias("y"), F.avg("pred").alias("pred"), F.count("*").alias("n_models")),
+    }
