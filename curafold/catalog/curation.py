@@ -82,20 +82,41 @@ def _(spark, d):
     )
 
 
-def _manifest(spark, d):
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+)
+SQL_TABLES = f"SELECT table_name AS t, table_name || '.parquet' AS path FROM information_schema.tables WHERE table_name IN {TABLES}"
+
+
+def _files_and_manifest(spark, d):
+    files = materialize(integrity.hash_files(spark, d, "*.parquet"), "file-hashes")
     path = scratch_path(spark, "manifest")
-    integrity.write_manifest(integrity.hash_files(spark, d, "*.parquet"), path)
-    return integrity.read_manifest(spark, path, one_document=False)
+    integrity.write_manifest(files, path)
+    return files, integrity.read_manifest(spark, path, one_document=False)
+
+
+@register("s5_verify_files", f"""SELECT path, CASE t WHEN 'region' THEN 'changed' WHEN 'nation' THEN 'unlisted' ELSE 'ok' END AS status
+  FROM ({SQL_TABLES}) UNION ALL SELECT 'gone.parquet', 'missing'""")
+def _(spark, d):
+    files, manifest = _files_and_manifest(spark, d)
+    gone = spark.range(1).select(F.lit("gone.parquet").alias("path"), F.lit(1).cast("long").alias("bytes"), F.lit("0").alias("sha256"))
+    edited = manifest.where(~F.col("path").startswith("nation")).withColumn(
+        "sha256", F.when(F.col("path").startswith("region"), F.reverse("sha256")).otherwise(F.col("sha256"))
+    )
+    return integrity.verify_files(edited.unionByName(gone), files)
 
 
-@register("s5_verify_files")
+@register("s6_read_manifest", f"SELECT path, true AS has_bytes, true AS hash_form FROM ({SQL_TABLES})")
 def _(spark, d):
-    return integrity.verify_files(_manifest(spark, d), integrity.hash_files(spark, d, "*.parquet"))
+    _, manifest = _files_and_manifest(spark, d)
+    return manifest.select("path", (F.col("bytes") > 0).alias("has_bytes"), F.col("sha256").rlike("^[0-9a-f]{64}$").alias("hash_form"))
 
 
-@register("s6_read_manifest")
+@register("s5_table_checksum", """SELECT event_type, count(*) AS n_rows,
+  CAST(sum(('0x' || substr(md5(event_id || '|' || user_id || '|' || coalesce(event_type, '\\N')), 1, 8))::BIGINT) AS BIGINT) AS checksum FROM events GROUP BY event_type""")
 def _(spark, d):
-    return _manifest(spark, d)
+    return integrity.table_checksum(events(spark, d).select("event_id", "user_id", "event_type"), ["event_type"])
 
 
 # --- scalar expressions ----------------------------------------------------------
@@ -184,6 +205,18 @@ def _(spark, d):
     return ranking.row_positions(events(spark, d).select("event_id"), "event_id", out="row_id")
 
 
+@register(
+    "p8_row_position_null_keys",
+    """SELECT k, g, row_number() OVER (PARTITION BY g ORDER BY k NULLS FIRST) - 1 AS row_id FROM (
+  SELECT CASE WHEN event_id % 5 <> 0 THEN event_id END AS k, CASE WHEN user_id % 3 <> 0 THEN event_type END AS g FROM events)""",
+)
+def _(spark, d):
+    rows = events(spark, d).select(
+        F.when(F.col("event_id") % 5 != 0, F.col("event_id")).alias("k"), F.when(F.col("user_id") % 3 != 0, F.col("event_type")).alias("g")
+    )
+    return ranking.row_positions(rows, "k", ["g"], "row_id")
+
+
 @register("p9_disallowed_members", r"""SELECT doc_id, CASE WHEN len(bad) > 0 THEN 'digits:' || array_to_string(bad, ',') END AS reason
   FROM (SELECT doc_id, list_sort(list_filter(list_distinct(regexp_extract_all(text, '[0-9]')), lambda x: x NOT IN ('0','1','2','3','4'))) AS bad FROM documents)""")
 def _(spark, d):

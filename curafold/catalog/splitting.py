@@ -22,6 +22,23 @@ def _(spark, d):
     return splits.kfold(ids(spark, d), "event_id", 5, SEED).select("event_id", "fold")
 
 
+SQL_NULL_BY = "(SELECT event_id, CASE WHEN user_id % 3 <> 0 THEN user_id % 4 END AS g FROM events)"
+
+
+def null_by(spark, d):
+    return ids(spark, d).select("event_id", F.when(F.col("user_id") % 3 != 0, F.col("user_id") % 4).alias("g"))
+
+
+@register("k1_kfold_null_groups", f"SELECT event_id, g, fold FROM ({kfold_sql(SQL_NULL_BY, 'event_id', 5, '42', ['g'])})")
+def _(spark, d):
+    return splits.kfold(null_by(spark, d), "event_id", 5, SEED, ["g"])
+
+
+@register("k2_holdout_null_groups", f"SELECT event_id, g, part FROM ({holdout_sql(SQL_NULL_BY, 'event_id', 0.1, '42', 'g')})")
+def _(spark, d):
+    return splits.holdout(null_by(spark, d), "event_id", 0.1, SEED, ["g"])
+
+
 @register("k2_holdout", f"SELECT event_id, part FROM ({holdout_sql(EV, 'event_id', 0.1, '42')})")
 def _(spark, d):
     return splits.holdout(ids(spark, d), "event_id", 0.1, SEED).select("event_id", "part")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,15 +49,27 @@ def write_manifest(files: DataFrame, path: str) -> None:
 
 
 def verify_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """Each manifest entry as ``ok``, ``missing`` or ``changed``."""
+    """Each path as ``ok``, ``missing``, ``changed``, or ``unlisted`` if the manifest doesn't have it."""
     actual = files.select(
-        "path", F.col("bytes").alias("actual_bytes"), F.col("sha256").alias("actual_sha256")
+        "path", F.col("bytes").alias("actual_bytes"), F.col("sha256").alias("actual_sha256"), F.lit(True).alias("found")
     )
+    listed = manifest.withColumn("listed", F.lit(True))
     same = (F.col("sha256") == F.col("actual_sha256")) & (F.col("bytes") == F.col("actual_bytes"))
-    return manifest.join(actual, "path", "left").select(
+    return listed.join(actual, "path", "full_outer").select(
         "path",
-        F.when(F.col("actual_sha256").isNull(), F.lit("missing"))
+        F.when(F.col("listed").isNull(), F.lit("unlisted"))
+        .when(F.col("found").isNull(), F.lit("missing"))
         .when(same, F.lit("ok"))
         .otherwise(F.lit("changed"))
         .alias("status"),
     )
+
+
+def table_checksum(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Row count and sum of 32-bit row hashes, per partition column; for tables of any size.
+
+    It depends on the rows alone, not on files or order. NULL and the text ``\\N`` count as the same.
+    """
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns]
+    row = F.conv(F.substring(F.md5(F.concat_ws("|", *fields)), 1, 8), 16, 10).cast("long")
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row).alias("checksum"))
