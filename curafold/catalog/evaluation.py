@@ -268,10 +268,11 @@ def _(spark, d):
     )
 
 
-@register("q7_flag_matches", f"WITH {SQL_SCORED} " + chk("flag_follows_rule", "false", "scored") + " UNION ALL " + chk(
-    "flagged_keys_match_list", "true", "(SELECT id FROM scored WHERE abs_error >= log10(2.5) AND abs_error < log10(3))", "keys present on one side only"))
+@register("q7_flag_matches", f"WITH {SQL_SCORED} " + chk(
+    "flag_follows_rule", "(abs_error >= log10(2.5) OR id % 13 = 0) <> (abs_error >= log10(2.5))", "scored") + " UNION ALL " + chk(
+    "flagged_keys_match_list", "true", "(SELECT id FROM scored WHERE (abs_error >= log10(2.5) OR id % 13 = 0) <> (abs_error >= log10(3)))", "keys present on one side only"))
 def _(spark, d):
-    s = scored(spark, d).withColumn("flag", F.col("abs_error") >= F.log10(F.lit(2.5)))
+    s = scored(spark, d).withColumn("flag", (F.col("abs_error") >= F.log10(F.lit(2.5))) | (F.col("id") % 13 == 0))
     listed = s.where(F.col("abs_error") >= F.log10(F.lit(3.0))).select("id")
     return contracts.flag_matches(s, F.col("flag"), curate.residual_rules(2.5, "log"), listed, ["id"])
 

@@ -113,8 +113,9 @@ def _(spark, d):
     return explain.dependence_table(long, explain.contribution_importance(long), 1, ["id"])
 
 
-@register("m13_explain_summary", f"""WITH {SQL_CONTRIB}, t AS (SELECT feature, row_number() OVER (ORDER BY mean_abs DESC, feature) AS k FROM imp)
-  SELECT (SELECT count(*) FROM frame) AS n, CAST(0.0 AS DOUBLE) AS max_abs_diff, (SELECT string_agg(feature, ',' ORDER BY k) FROM t) AS top_features,
+@register("m13_explain_summary", f"""WITH {SQL_CONTRIB}, t AS (SELECT feature, row_number() OVER (ORDER BY mean_abs DESC, feature) AS k FROM imp),
+  rec AS (SELECT id, sum(contribution) AS s FROM long GROUP BY id)
+  SELECT (SELECT count(*) FROM frame) AS n, {r("(SELECT max(abs(rec.s + b0 + b1 * m1 + b2 * m2 - pred)) FROM scored JOIN rec USING (id), c)", 'max_abs_diff')}, (SELECT string_agg(feature, ',' ORDER BY k) FROM t) AS top_features,
     {r("(SELECT sum(mean_abs) FILTER (feature_type = 'size') * 100 / sum(mean_abs) FROM kinds)", 'size_percent')}""")
 def _(spark, d):
     long, bias, scored = parts(spark, d)

@@ -235,10 +235,17 @@ def _(spark, d):
     )
 
 
-@register("q9_similarity_contract", f"""WITH {SQL_BAND} SELECT 'similarity_in_unit_interval' AS "check", 'pass' AS status, count(*) FILTER (max_similarity > 1) AS n_bad, 'rows violating the rule' AS detail FROM band
-  UNION ALL SELECT 'band_known', 'pass', count(*) FILTER (band IS NULL), 'rows violating the rule' FROM band""")
+SQL_ODD = SQL_BAND + """, odd AS (SELECT max_similarity + (doc_id % 11 = 0)::INT AS max_similarity, CASE WHEN doc_id % 7 <> 0 THEN band END AS band FROM band)"""
+
+
+@register("q9_similarity_contract", f"WITH {SQL_ODD} " + " UNION ALL ".join(
+    f"""SELECT '{name}' AS "check", CASE WHEN count(*) FILTER ({bad}) = 0 THEN 'pass' ELSE 'fail' END AS status, count(*) FILTER ({bad}) AS n_bad, 'rows violating the rule' AS detail FROM odd"""
+    for name, bad in (("similarity_in_unit_interval", "max_similarity NOT BETWEEN 0 AND 1"), ("band_known", "band IS NULL"))
+))
 def _(spark, d):
-    p = profile(spark, d)
-    return contracts.similarity_contract(
-        p.withColumn("band", ft.similarity_band(F.col("max_similarity"))), "max_similarity", "band"
-    )
+    p = profile(spark, d).withColumn("band", ft.similarity_band(F.col("max_similarity")))
+    odd = p.withColumns({
+        "max_similarity": F.col("max_similarity") + (F.col("doc_id") % 11 == 0).cast("int"),
+        "band": F.when(F.col("doc_id") % 7 != 0, F.col("band")),
+    })
+    return contracts.similarity_contract(odd, "max_similarity", "band")
