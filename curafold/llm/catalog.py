@@ -117,7 +117,19 @@ def op6_personal_data(spark: SparkSession, d: str) -> DataFrame:
     return find_personal_data(table(spark, d, "documents"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS rep, count(*) AS copies FROM documents GROUP BY 1),
+w AS (SELECT rep, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+s AS (SELECT rep, array_to_string(w[i : i + 4], ' ') AS shingle FROM (SELECT rep, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+u AS (SELECT rep, shingle, row_number() OVER (PARTITION BY rep, shingle) AS j FROM s),
+n AS (SELECT rep, count(*) AS n FROM u GROUP BY rep),
+c AS (SELECT a.rep AS x, b.rep AS y, count(*) AS c FROM u a JOIN u b USING (shingle, j) WHERE a.rep < b.rep GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n a ON a.rep = x JOIN n b ON b.rep = y WHERE c >= 0.8 * (a.n + b.n - c) - 1e-6),
+link AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y),
+k AS (SELECT t.text, rep, copies, min(y) AS low FROM t LEFT JOIN reach ON x = rep GROUP BY ALL),
+z AS (SELECT *, CAST(sum(copies) OVER (PARTITION BY class_id) AS BIGINT) AS class_size FROM (SELECT text, copies, least(rep, coalesce(low, rep)) AS class_id FROM k))
+SELECT doc_id, class_id, class_size FROM documents d JOIN z ON z.text = coalesce(d.text, '')""")
 def op7_bagminhash(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_classes(table(spark, d, "documents"))
 
