@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from curafold.llm.common import text_of
 from curafold.session import materialize
 
-#: The model keeps so many words and n-grams, the most frequent ones: its size doesn't grow with the data.
-WORDS_KEPT, GRAMS_KEPT = 200_000, 50_000
+#: The model keeps up to so many words and n-grams, the most frequent ones: its size doesn't grow with the data.
+WORDS_KEPT, GRAMS_KEPT = 100_000, 50_000
 LONGEST_GRAM = 4
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -81,17 +81,13 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Log frequencies by language of the words and n-grams that are kept."""
 
-    def __init__(self, langs: list[str], prior: np.ndarray, tables: list[list[tuple[str, list, list]]], totals: list[np.ndarray]):
+    def __init__(self, langs: list[str], prior: np.ndarray, items: list[list[str]], counts: list[np.ndarray], totals: list[np.ndarray]):
         self.langs, self.prior = langs, prior
-        at = {lang: i for i, lang in enumerate(langs)}
-        self.index: list[dict[str, int]] = []
-        self.scores: list[np.ndarray] = []
-        for table, total in zip(tables, totals, strict=True):
-            counts = np.zeros((len(table), len(langs)))
-            for row, (_, names, ns) in zip(counts, table, strict=True):
-                row[[at[x] for x in names]] = ns
-            self.index.append({item: i for i, (item, _, _) in enumerate(table)})
-            self.scores.append(np.log((counts + SMOOTHING) / (total + SMOOTHING * (len(table) + 1))))
+        self.index = [{item: i for i, item in enumerate(names)} for names in items]
+        self.scores = [
+            np.log((n + SMOOTHING) / (total + SMOOTHING * (len(n) + 1))).astype(np.float32)
+            for n, total in zip(counts, totals, strict=True)
+        ]
         self.memory: dict[str, np.ndarray] = {}
 
     def unseen(self, word: str) -> np.ndarray:
@@ -101,7 +97,7 @@ class Model:
             for n in range(LONGEST_GRAM, 0, -1):
                 at = [i for g in grams(word, n) if (i := self.index[1].get(f"{n}{g}")) is not None]
                 if at:
-                    found = self.scores[1][at].mean(axis=0)
+                    found = self.scores[1][at].mean(axis=0, dtype=np.float64)
                     break
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
@@ -114,7 +110,7 @@ class Model:
             return UNKNOWN, 0.0
         get = self.index[0].get
         at = np.array([get(w, -1) for w in found])
-        total = self.prior + self.scores[0][at[at >= 0]].sum(axis=0)
+        total = self.prior + self.scores[0][at[at >= 0]].sum(axis=0, dtype=np.float64)
         for i in np.flatnonzero(at < 0).tolist():
             total += self.unseen(found[i])
         best = int(total.argmax())
@@ -125,6 +121,17 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _most_frequent(items: DataFrame, kept: int) -> DataFrame:
+    """At most ``kept`` items: whole bands of frequency, eight to an octave, from the highest down."""
+    band = F.floor(F.log2("all") * 8)
+    left, lowest = kept, None
+    for r in sorted(items.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["band"]):  # a few hundred bands
+        if r["n"] > left:
+            break
+        left, lowest = left - r["n"], r["band"]
+    return items.where(band >= lowest) if lowest is not None else items.limit(0)
+
+
 def train(docs: DataFrame, words_kept: int = WORDS_KEPT, grams_kept: int = GRAMS_KEPT) -> Model:
     """Counts the words of all documents with a language that aren't held out; a null id has no remainder and is left out."""
     use = F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
@@ -136,15 +143,18 @@ def train(docs: DataFrame, words_kept: int = WORDS_KEPT, grams_kept: int = GRAMS
     gram_counts = materialize(gram_counts, "gram-counts")
     prior = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     langs = sorted(prior)
-    tables, totals = [], []
+    items, numbers, totals = [], [], []
     for table, kept in ((counts, words_kept), (gram_counts, grams_kept)):
-        # The list of an item has one entry per language at most.
-        items = table.groupBy("item").agg(F.sum("n").alias("all"), F.collect_list("lang").alias("langs"), F.collect_list("n").alias("ns"))
-        tables.append([(r["item"], r["langs"], r["ns"]) for r in items.orderBy(F.desc("all"), "item").limit(kept).collect()])
+        by_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).cast("float") for x in langs]
+        wide = table.groupBy("item").agg(F.sum("n").alias("all"), F.array(*by_lang).alias("ns") if langs else F.array().cast("array<float>").alias("ns"))
+        top = _most_frequent(materialize(wide, "item-counts"), kept).select("item", "ns").toArrow()
+        items.append(top.column("item").to_pylist())
+        flat = [chunk.flatten().to_numpy() for chunk in top.column("ns").chunks]
+        numbers.append(np.concatenate([np.zeros(0, np.float32), *flat]).reshape(len(items[-1]), len(langs)))
         found = {r["lang"]: r["n"] for r in table.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
         totals.append(np.array([found.get(x, 0) for x in langs], float))
     shares = np.array([prior[x] for x in langs], float)
-    return Model(langs, np.log(shares / max(1.0, shares.sum())), tables, totals)
+    return Model(langs, np.log(shares / max(1.0, shares.sum())), items, numbers, totals)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -131,9 +131,9 @@ def test_language_of_awkward_rows(spark):
 
 
 def test_unseen_words_back_off_to_ngrams():
-    counts = [("aa", ["x"], [5]), ("bb", ["y"], [5])]
-    grams = [("2^a", ["x"], [9]), ("1a", ["x"], [20]), ("1b", ["y"], [20])]
-    model = langid.Model(["x", "y"], np.zeros(2), [counts, grams], [np.array([5.0, 5.0]), np.array([29.0, 20.0])])
+    items = [["aa", "bb"], ["2^a", "1a", "1b"]]
+    counts = [np.array([[5.0, 0.0], [0.0, 5.0]]), np.array([[9.0, 0.0], [20.0, 0.0], [0.0, 20.0]])]
+    model = langid.Model(["x", "y"], np.zeros(2), items, counts, [np.array([5.0, 5.0]), np.array([29.0, 20.0])])
     assert model.predict("ac")[0] == "x" and model.predict("cb")[0] == "y" and model.predict("12 .") == ("und", 0.0)
     assert model.predict("aa bb bb")[0] == "y"
 
