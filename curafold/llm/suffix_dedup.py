@@ -10,6 +10,7 @@ equal anchors at equal places, so windows fall into suffix buckets ``(anchor, pl
    places of a difference cover are ranked once, with the lengths of their common prefixes; a suffix
    is then compared by the few bytes before its next cover place and by the rank there, however long
    the tie. Equal windows get the smallest document they start in.
+   The windows of a very frequent anchor are contexts of their own and dealt out by their bytes.
 4. The verdicts return to the blocks, which mark and cut the bytes.
 
 Texts are dealt into blocks once; steps 1, 2 and 4 read the same shuffle.
@@ -25,14 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curafold.llm.common import CHUNK_BYTES, chunks, column_bytes, mix64, text_of
+from curafold.llm.common import chunks, column_bytes, mix64, text_of
 
 LENGTH, GRAM = 50, 18
 #: Grams in a window; also the number of places a window can have before its anchor.
 PLACES = LENGTH - GRAM + 1
 SLOT = LENGTH + PLACES - 1
 #: Bytes of text in a block. There are as many parts of anchors as blocks.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Bytes that are turned into windows at a time.
+PART_BYTES = 512 << 10
+#: Contexts whose suffixes are sorted at a time.
+SORTED_CONTEXTS = 16_384
+#: The windows of an anchor that occurs more often are dealt out one by one, so no anchor is one task's.
+HOT_OCCURRENCES = 1 << 16
 
 #: A perfect difference set: any two places have a common distance to members of it.
 COVER, PERIOD = (0, 1, 3, 9), 13
@@ -83,10 +90,10 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 
     A row over the size of a chunk comes in slices that overlap by a window less one byte.
     """
-    for a, b in chunks(offsets):
+    for a, b in chunks(offsets, PART_BYTES):
         start, stop = int(offsets[a]), int(offsets[b])
         while stop - start >= LENGTH:
-            end = min(stop, start + 2 * CHUNK_BYTES)
+            end = min(stop, start + 2 * PART_BYTES)
             inner = offsets[a + 1 : b] - start  # ends of rows within the part
             usable = np.ones(end - start - LENGTH + 1, bool)
             for k in range(1, LENGTH):
@@ -115,7 +122,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
 
 def slots(part: np.ndarray, anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The bytes of contexts, aligned at their anchors; zero where a context has none."""
-    at = anchor[:, None] + np.arange(-(PLACES - 1), LENGTH)
+    at = anchor.astype(np.int32)[:, None] + np.arange(-(PLACES - 1), LENGTH, dtype=np.int32)
     inside = (at >= first[:, None]) & (at < (last + LENGTH)[:, None])
     return np.where(inside, part[np.clip(at, 0, len(part) - 1)], 0).astype(np.uint8)
 
@@ -150,15 +157,15 @@ def _owners(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, at, side="right") - 1
 
 
-ANCHORS = "part bigint, block bigint, hashes binary, several binary"
-SHARED = "block bigint, hashes binary"
-CONTEXTS = "part bigint, block bigint, hashes binary, prints binary, least binary, several binary, near binary, far binary, bytes binary"
-VERDICTS = "block bigint, hashes binary, prints binary, least binary, masks binary"
+ANCHORS = "part bigint, block bigint, hashes binary, counts binary"
+SHARED = "block bigint, hashes binary, hot binary"
+CONTEXTS = "part bigint, block bigint, hashes binary, prints binary, least binary, flags binary, near binary, far binary, bytes binary, size bigint"
+VERDICTS = "block bigint, hashes binary, prints binary, least binary, masks binary, hot binary"
 
 
 def _find_anchors(n_parts: int):
     def find(key: tuple, table: pa.Table) -> pa.Table:
-        """The distinct anchors of a block, and whether two of its documents have them."""
+        """The distinct anchors of a block, the logarithm of how often they occur, and whether in two documents."""
         data, offsets, place = _text(table)
         hashes, docs = [], []
         for h, _, first, _, _, start in contexts(data, offsets):
@@ -168,12 +175,15 @@ def _find_anchors(n_parts: int):
         order = np.argsort(h, kind="stable")
         h, d = h[order], d[order]
         starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
-        several = np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts) if len(starts) else np.zeros(0, bool)
+        counts = np.zeros(0, np.uint8)
+        if len(starts):
+            several = np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts)
+            counts = np.log2(np.diff(np.append(starts, len(h)))).astype(np.uint8) | (several.astype(np.uint8) << 7)
         h = h[starts]
-        rows = [(p, h[at].tobytes(), several[at].tobytes()) for p, at in by_part(part_of(h, n_parts), n_parts)]
+        rows = [(p, h[at].tobytes(), counts[at].tobytes()) for p, at in by_part(part_of(h, n_parts), n_parts)]
         return pa.table({
             "part": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([key[0].as_py()] * len(rows), pa.int64()),
-            "hashes": pa.array([r[1] for r in rows], pa.binary()), "several": pa.array([r[2] for r in rows], pa.binary()),
+            "hashes": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary()),
         })
 
     return find
@@ -183,49 +193,87 @@ def _arrays(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(b.as_py(), kind) for b in table.column(name)]
 
 
-def _share(key: tuple, table: pa.Table) -> pa.Table:
-    """The anchors of a part that occur in two documents, for each block that has them. A document is in one block only."""
-    each = _arrays(table, "hashes", np.uint64)
-    hashes = np.concatenate(each)
-    several = np.concatenate(_arrays(table, "several", bool))
-    names, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
-    shared = times > 1
-    shared |= np.bincount(back, several, len(names)) > 0
-    keep = np.split(shared[back], np.cumsum([len(h) for h in each])[:-1])
-    rows = [(b, h[k].tobytes()) for b, h, k in zip(table.column("block").to_pylist(), each, keep, strict=True) if k.any()]
-    return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "hashes": pa.array([r[1] for r in rows], pa.binary())})
+def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *_arrays(table, name, kind)])
+
+
+def _share(hot_occurrences: int):
+    def share(key: tuple, table: pa.Table) -> pa.Table:
+        """The anchors of a part that occur in two documents, for each block that has them. A document is in one block only."""
+        each = _arrays(table, "hashes", np.uint64)
+        counts = _joined(table, "counts", np.uint8)
+        names, back, times = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        shared = (times > 1) | (np.bincount(back, counts >> 7, len(names)) > 0)
+        hot = np.bincount(back, 2.0 ** (1 + (counts & 127)), len(names)) > hot_occurrences
+        cuts = np.cumsum([len(h) for h in each])[:-1]
+        rows = []
+        for block, h, keep, warm in zip(table.column("block").to_pylist(), each, np.split(shared[back], cuts), np.split(hot[back], cuts), strict=True):
+            if keep.any():
+                rows.append((block, h[keep].tobytes(), warm[keep].tobytes()))
+        return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), **{n: pa.array([r[i] for r in rows], pa.binary()) for i, n in ((1, "hashes"), (2, "hot"))}})
+
+    return share
+
+
+def single_windows(anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts cut into their windows: the context and the window of each."""
+    sizes = last - first + 1
+    row = np.repeat(np.arange(len(anchor)), sizes)
+    return row, first[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def distinct_contexts(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """One entry for each context ``(hash, print)`` with its smallest document; the flag tells of more than one."""
+    h, prints, least, flags = columns[:4]
+    order = np.lexsort([least, prints, h])
+    h_, p_, d_ = h[order], prints[order], least[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), (h_[1:] != h_[:-1]) | (p_[1:] != p_[:-1])]))
+    if not len(starts):
+        return columns
+    pick = order[starts]
+    out = [c[pick] for c in columns]
+    several = (d_[np.append(starts[1:], len(d_)) - 1] > d_[starts]) | (np.maximum.reduceat(flags[order] & 1, starts) > 0)
+    out[3] = (out[3] & 2) | several
+    return out
 
 
 def _send_contexts(n_parts: int):
     def send(key: tuple, docs: pa.Table, shared: pa.Table) -> pa.Table:
-        """The distinct contexts around the shared anchors of a block, with the smallest document of each."""
-        names = ("part", "block", "hashes", "prints", "least", "several", "near", "far", "bytes")
-        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 7)
-        wanted = np.sort(np.concatenate([np.zeros(0, np.uint64), *_arrays(shared, "hashes", np.uint64)]))
-        found: list[list[np.ndarray]] = [[] for _ in range(6)]
+        """The distinct contexts around the shared anchors of a block, with the smallest document of each.
+
+        Contexts of a hot anchor go window by window, each dealt out by its own bytes. Flags: 1 for several
+        documents, 2 for a window of a hot anchor.
+        """
+        names = ("part", "block", "hashes", "prints", "least", "flags", "near", "far", "bytes", "size")
+        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 7, pa.int64())
+        wanted, hot = _joined(shared, "hashes", np.uint64), _joined(shared, "hot", bool)
+        order = np.argsort(wanted)
+        wanted, hot = wanted[order], hot[order]
+        found: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in (np.uint64, np.uint64, np.int64, np.uint8, np.uint8, np.uint8)] + [[np.zeros((0, SLOT), np.uint8)]]
         if len(wanted) and docs.num_rows:
             data, offsets, place = _text(docs)
             for h, anchor, first, last, part, start in contexts(data, offsets):
                 at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
                 use = wanted[at] == h
-                h, anchor, first, last = h[use], anchor[use], first[use], last[use]
+                h, anchor, first, last, warm = h[use], anchor[use], first[use], last[use], hot[at[use]]
+                row, window = single_windows(anchor[warm], first[warm], last[warm])
+                hot_rows = np.flatnonzero(warm)[row]
+                cold = ~warm
+                h, anchor = np.concatenate([h[cold], h[hot_rows]]), np.concatenate([anchor[cold], anchor[hot_rows]])
+                first, last = np.concatenate([first[cold], window]), np.concatenate([last[cold], window])
+                flags = np.repeat(np.array([0, 2], np.uint8), [int(cold.sum()), len(window)])
                 body = slots(part, anchor, first, last)
                 near, far = anchor - last, anchor - first
-                for column, value in zip(found, (h, fingerprints(body, near, far), place[_owners(offsets, first + start)], near, far, body), strict=True):
+                columns = [h, fingerprints(body, near, far), place[_owners(offsets, first + start)], flags, near.astype(np.uint8), far.astype(np.uint8), body]
+                for column, value in zip(found, distinct_contexts(columns), strict=True):
                     column.append(value)
+        columns = distinct_contexts([np.concatenate(c) for c in found])
+        h, prints, flags = columns[0], columns[1], columns[3]
         rows = []
-        if found[0]:
-            h, prints, doc, near, far = (np.concatenate(c) for c in found[:5])
-            body = np.concatenate(found[5])
-            order = np.lexsort([doc, prints, h])
-            h, prints, doc = h[order], prints[order], doc[order]
-            starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (prints[1:] != prints[:-1])]))
-            several = doc[np.append(starts[1:], len(doc)) - 1] > doc[starts] if len(starts) else np.zeros(0, bool)
-            h, prints, doc, pick = h[starts], prints[starts], doc[starts], order[starts]
-            near, far, body = near[pick].astype(np.uint8), far[pick].astype(np.uint8), body[pick]
-            block = key[0].as_py()
-            for p, at in by_part(part_of(h, n_parts), n_parts):
-                rows.append((p, block, *(c[at].tobytes() for c in (h, prints, doc, several, near, far, body))))
+        block = key[0].as_py()
+        for p, at in by_part(np.where(flags & 2, part_of(prints, n_parts), part_of(h, n_parts)), n_parts):
+            body = columns[6][at].tobytes()
+            rows.append((p, block, *(c[at].tobytes() for c in columns[:6]), pa.compress(body, "zstd", asbytes=True), len(body)))
         return pa.table({n: pa.array([r[i] for r in rows], kinds[i]) for i, n in enumerate(names)})
 
     return send
@@ -280,42 +328,58 @@ def smallest_owners(group: np.ndarray, body: np.ndarray, near: np.ndarray, far:
     return out
 
 
+def all_places(near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Bits of the places from ``near`` to ``far``."""
+    one = np.uint64(1)
+    return (one << (far.astype(np.uint64) + one)) - (one << near.astype(np.uint64))
+
+
 def _judge(key: tuple, table: pa.Table) -> pa.Table:
     """Which windows of a context also start in a smaller document than the smallest of the block."""
     each = _arrays(table, "hashes", np.uint64)
     sizes = np.array([len(h) for h in each])
-    owner = np.repeat(np.arange(len(each)), sizes)
-    h, prints, least = np.concatenate(each), np.concatenate(_arrays(table, "prints", np.uint64)), np.concatenate(_arrays(table, "least", np.int64))
-    several = np.concatenate(_arrays(table, "several", bool))
-    near, far = np.concatenate(_arrays(table, "near", np.uint8)), np.concatenate(_arrays(table, "far", np.uint8))
-    body = np.concatenate(_arrays(table, "bytes", np.uint8)).reshape(-1, SLOT)
+    h, prints, least = np.concatenate(each), _joined(table, "prints", np.uint64), _joined(table, "least", np.int64)
+    flags, near, far = (_joined(table, n, np.uint8) for n in ("flags", "near", "far"))
+    bodies = [np.frombuffer(pa.decompress(b.as_py(), n, "zstd"), np.uint8) for b, n in zip(table.column("bytes"), table.column("size").to_pylist(), strict=True)]
+    body = np.concatenate(bodies).reshape(-1, SLOT)
+    del bodies
     order = np.lexsort([least, prints, h])
     new_anchor = np.concatenate([[True], h[order][1:] != h[order][:-1]])
     new_context = new_anchor | np.concatenate([[True], prints[order][1:] != prints[order][:-1]])
     starts = np.flatnonzero(new_context)
-    context = np.empty(len(h), np.int64)
-    context[order] = np.cumsum(new_context) - 1
+    stops = np.append(starts[1:], len(order))
+    context = np.cumsum(new_context) - 1
     pick = order[starts]  # the entry of each context with the smallest document
     group = (np.cumsum(new_anchor) - 1)[starts]
-    lowest = np.repeat(least[pick][:, None], PLACES, axis=1)
+    masks = np.zeros(len(h), np.uint64)
+    later = least[pick][context] < least[order]
+    masks[order] = np.where(later, all_places(near[order], far[order]), np.uint64(0))
+    # Anchors with different contexts compare their windows, some anchors at a time.
     crowd = np.flatnonzero(np.bincount(group)[group] > 1)
-    if len(crowd):
-        some = pick[crowd]
-        lowest[crowd] = smallest_owners(group[crowd], body[some], near[some], far[some], least[some])
     places = np.arange(PLACES)
-    bits = (lowest[context] < least[:, None]) & (places >= near[:, None]) & (places <= far[:, None])
-    masks = (bits.astype(np.uint64) << places.astype(np.uint64)).sum(axis=1, dtype=np.uint64)
-    send = (masks > 0) | several
-    rows = []
-    for i, block in enumerate(table.column("block").to_pylist()):
-        at = np.flatnonzero(send & (owner == i)) if len(each) < 8 else None
-        rows.append((block, at))
-    if len(each) >= 8:
-        cuts = np.concatenate([[0], np.cumsum(sizes)])
-        rows = [(block, cuts[i] + np.flatnonzero(send[cuts[i] : cuts[i + 1]])) for i, (block, _) in enumerate(rows)]
+    at = 0
+    while at < len(crowd):
+        end = int(np.searchsorted(group[crowd], group[crowd[min(at + SORTED_CONTEXTS, len(crowd)) - 1]], side="left"))
+        end = end if end > at else int(np.searchsorted(group[crowd], group[crowd[at]], side="right"))
+        if at + SORTED_CONTEXTS >= len(crowd):
+            end = len(crowd)
+        some = crowd[at:end]
+        rows = pick[some]
+        lowest = smallest_owners(group[some], body[rows], near[rows], far[rows], least[rows])
+        lengths = stops[some] - starts[some]
+        which = np.repeat(np.arange(len(some)), lengths)
+        entries = order[np.repeat(starts[some], lengths) + np.arange(len(which)) - np.repeat(np.cumsum(lengths) - lengths, lengths)]
+        for a in range(0, len(entries), SORTED_CONTEXTS):
+            e, w = entries[a : a + SORTED_CONTEXTS], which[a : a + SORTED_CONTEXTS]
+            bits = (lowest[w] < least[e][:, None]) & (places >= near[e][:, None]) & (places <= far[e][:, None])
+            masks[e] = (bits.astype(np.uint64) << places.astype(np.uint64)).sum(axis=1, dtype=np.uint64)
+        at = end
+    send = (masks > 0) | ((flags & 1) > 0)
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    rows = [(block, cuts[i] + np.flatnonzero(send[cuts[i] : cuts[i + 1]])) for i, block in enumerate(table.column("block").to_pylist())]
     rows = [(block, at) for block, at in rows if len(at)]
     columns = {"block": pa.array([b for b, _ in rows], pa.int64())}
-    for name, values in (("hashes", h), ("prints", prints), ("least", least), ("masks", masks)):
+    for name, values in (("hashes", h), ("prints", prints), ("least", least), ("masks", masks), ("hot", (flags & 2) > 0)):
         columns[name] = pa.array([values[at].tobytes() for _, at in rows], pa.binary())
     return pa.table(columns)
 
@@ -326,8 +390,9 @@ def _cut(with_text: bool):
         data, offsets, place = _text(docs)
         n = len(data)
         change = np.zeros(n + 1, np.int8)  # a window starts once, so a byte is in LENGTH windows at most
-        columns = [np.concatenate([np.zeros(0, kind), *_arrays(verdicts, name, kind)]) for name, kind in (("hashes", np.uint64), ("prints", np.uint64), ("least", np.int64), ("masks", np.uint64))]
-        hashes, prints, least, masks = columns
+        hashes, prints, masks = (_joined(verdicts, n, np.uint64) for n in ("hashes", "prints", "masks"))
+        least, warm = _joined(verdicts, "least", np.int64), _joined(verdicts, "hot", bool)
+        hot = np.unique(hashes[warm])
         code = mix64(hashes + prints * GOLD)
         order = np.argsort(code)
         hashes, prints, least, masks, code = hashes[order], prints[order], least[order], masks[order], code[order]
@@ -336,6 +401,12 @@ def _cut(with_text: bool):
             for h, anchor, first, last, part, start in contexts(data, offsets):
                 use = names[np.minimum(np.searchsorted(names, h), len(names) - 1)] == h
                 h, anchor, first, last = h[use], anchor[use], first[use], last[use]
+                if len(hot):
+                    is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+                    row, window = single_windows(anchor[is_hot], first[is_hot], last[is_hot])
+                    row, cold = np.flatnonzero(is_hot)[row], ~is_hot
+                    h, anchor = np.concatenate([h[cold], h[row]]), np.concatenate([anchor[cold], anchor[row]])
+                    first, last = np.concatenate([first[cold], window]), np.concatenate([last[cold], window])
                 near, far = anchor - last, anchor - first
                 mine = fingerprints(slots(part, anchor, first, last), near, far)
                 at = np.minimum(np.searchsorted(code, mix64(h + mine * GOLD)), len(code) - 1)
@@ -350,18 +421,17 @@ def _cut(with_text: bool):
                 change[window] += 1
                 change[window + LENGTH] -= 1
         covered = np.cumsum(change[:n], dtype=np.int8) > 0
-        edges = covered.copy()
-        edges[1:] &= ~covered[:-1]
-        begins = offsets[:-1][offsets[:-1] < n]
-        edges[begins] = covered[begins]
-        total, runs = np.concatenate([[0], np.cumsum(covered)]), np.concatenate([[0], np.cumsum(edges)])
-        removed, spans = np.diff(total[offsets]), np.diff(runs[offsets])
-        body = data[~covered]
-        cuts = offsets - total[offsets]
-        kept = [body[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        removed, spans, kept = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64), []
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            out, body = covered[a:b], data[a:b]
+            if out.any():
+                removed[i], spans[i] = np.count_nonzero(out), out[0] + np.count_nonzero(out[1:] & ~out[:-1])
+                body = body[~out]
+            kept.append(body.tobytes() if with_text else sha256(body).hexdigest())
+        digests = [sha256(k).hexdigest() for k in kept] if with_text else kept
         out = {
             "doc_id": docs.column("doc_id"), "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(removed, pa.int64()),
-            "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array([sha256(k).hexdigest() for k in kept], pa.string()),
+            "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string()),
         }
         if with_text:
             out["kept"] = pa.array(kept, pa.binary())
@@ -370,7 +440,7 @@ def _cut(with_text: bool):
     return cut
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES, hot_occurrences: int = HOT_OCCURRENCES, with_text: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, with ``with_text`` also the bytes ``kept``; one row per document.
 
     A byte is removed if it lies in a string of ``LENGTH`` bytes that also starts in a document with a smaller id.
@@ -385,7 +455,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     n_blocks = max(1, -(-total // block_bytes))
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("place"), F.lit(n_blocks))).groupBy("block")
     anchors = blocks.applyInArrow(_find_anchors(n_blocks), ANCHORS)
-    shared = anchors.groupBy("part").applyInArrow(_share, SHARED)
+    shared = anchors.groupBy("part").applyInArrow(_share(hot_occurrences), SHARED)
     found = blocks.cogroup(shared.groupBy("block")).applyInArrow(_send_contexts(n_blocks), CONTEXTS)
     verdicts = found.groupBy("part").applyInArrow(_judge, VERDICTS)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text

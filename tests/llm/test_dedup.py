@@ -149,8 +149,37 @@ def test_repeats_match_brute_force(spark, alphabet):
             parts.append(base[at : at + n] if rng.random() < 0.7 else "".join(rng.choice(alphabet) for _ in range(n)))
         rows.append((rng.choice([i, i, i, None, 7]), None if rng.random() < 0.1 else "".join(parts)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = suffix_dedup.remove_repeats(docs, block_bytes=2000, with_text=True)
-    assert sorted([tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in got.collect()], key=repr) == repeats_truth(rows)
+    want = repeats_truth(rows)
+    for hot in (4, suffix_dedup.HOT_OCCURRENCES):
+        got = suffix_dedup.remove_repeats(docs, block_bytes=2000, hot_occurrences=hot, with_text=True)
+        assert sorted([tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in got.collect()], key=repr) == want
+
+
+def test_contexts_are_sorted_a_few_at_a_time(monkeypatch):
+    """Slices of anchors give what one sort of all gives."""
+    rng = np.random.default_rng(8)
+    n = 400
+    body = rng.integers(97, 99, (n, suffix_dedup.SLOT)).astype(np.uint8)
+    body[:, 12:70] = body[rng.integers(0, 6, n), 12:70]
+    near, far = np.zeros(n, np.uint8), np.full(n, suffix_dedup.PLACES - 1, np.uint8)
+    h, least = rng.integers(0, 30, n).astype(np.uint64), rng.permutation(n)
+    prints = suffix_dedup.fingerprints(body, near, far)
+    raw = body.tobytes()
+    columns = {"hashes": h, "prints": prints, "least": least, "flags": np.zeros(n, np.uint8), "near": near, "far": far}
+    table = pa.table({"block": [0], **{k: pa.array([v.tobytes()], pa.binary()) for k, v in columns.items()}, "bytes": pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary()), "size": [len(raw)]})
+    whole = suffix_dedup._judge((), table).to_pylist()
+    monkeypatch.setattr(suffix_dedup, "SORTED_CONTEXTS", 7)
+    assert suffix_dedup._judge((), table).to_pylist() == whole
+    masks = np.frombuffer(whole[0]["masks"], np.uint64)
+    sent = {(int(a), int(b)): int(m) for a, b, m in zip(np.frombuffer(whole[0]["hashes"], np.uint64), np.frombuffer(whole[0]["least"], np.int64), masks, strict=True)}
+    low = {}
+    for i in range(n):
+        for p in range(suffix_dedup.PLACES):
+            k = (int(h[i]), p, body[i, 32 - p : 82 - p].tobytes())
+            low[k] = min(low.get(k, n), int(least[i]))
+    for i in range(n):
+        want = sum(1 << p for p in range(suffix_dedup.PLACES) if low[int(h[i]), p, body[i, 32 - p : 82 - p].tobytes()] < least[i])
+        assert sent.get((int(h[i]), int(least[i])), 0) == want
 
 
 def test_repeats_of_awkward_rows(spark):
@@ -162,7 +191,7 @@ def test_repeats_of_awkward_rows(spark):
 
 
 def test_repeats_in_slices_of_a_long_text(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 300)
     rng = random.Random(6)
     text = "".join(rng.choice("abcdef ") for _ in range(3000))
     data, offsets = suffix_dedup.column_bytes(pa.array([text, text[500:1500], "", text[100:149]]))
