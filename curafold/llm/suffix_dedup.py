@@ -146,6 +146,21 @@ def by_part(parts: np.ndarray, n_parts: int) -> Iterator[tuple[int, np.ndarray]]
         yield p, order[cuts[p] : cuts[p + 1]]
 
 
+def packed(values: np.ndarray) -> bytes:
+    """An array, compressed byte plane by byte plane; ascending hashes go as their differences."""
+    if values.dtype == np.uint64:
+        values = np.diff(values, prepend=np.uint64(0))
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    values = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    return np.cumsum(values, dtype=np.uint64) if kind is np.uint64 else values
+
+
 def _text(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     column = table.column("body").combine_chunks()
     if isinstance(column, pa.ChunkedArray):
@@ -180,7 +195,7 @@ def _find_anchors(n_parts: int):
             several = np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts)
             counts = np.log2(np.diff(np.append(starts, len(h)))).astype(np.uint8) | (several.astype(np.uint8) << 7)
         h = h[starts]
-        rows = [(p, h[at].tobytes(), counts[at].tobytes()) for p, at in by_part(part_of(h, n_parts), n_parts)]
+        rows = [(p, packed(h[at]), packed(counts[at])) for p, at in by_part(part_of(h, n_parts), n_parts)]
         return pa.table({
             "part": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([key[0].as_py()] * len(rows), pa.int64()),
             "hashes": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary()),
@@ -190,7 +205,7 @@ def _find_anchors(n_parts: int):
 
 
 def _arrays(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
-    return [np.frombuffer(b.as_py(), kind) for b in table.column(name)]
+    return [unpacked(b.as_py(), kind) for b in table.column(name)]
 
 
 def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
@@ -209,7 +224,7 @@ def _share(hot_occurrences: int):
         rows = []
         for block, h, keep, warm in zip(table.column("block").to_pylist(), each, np.split(shared[back], cuts), np.split(hot[back], cuts), strict=True):
             if keep.any():
-                rows.append((block, h[keep].tobytes(), warm[keep].tobytes()))
+                rows.append((block, packed(h[keep]), packed(warm[keep])))
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), **{n: pa.array([r[i] for r in rows], pa.binary()) for i, n in ((1, "hashes"), (2, "hot"))}})
 
     return share
@@ -273,7 +288,7 @@ def _send_contexts(n_parts: int):
         block = key[0].as_py()
         for p, at in by_part(np.where(flags & 2, part_of(prints, n_parts), part_of(h, n_parts)), n_parts):
             body = columns[6][at].tobytes()
-            rows.append((p, block, *(c[at].tobytes() for c in columns[:6]), pa.compress(body, "zstd", asbytes=True), len(body)))
+            rows.append((p, block, *(packed(c[at]) for c in columns[:6]), pa.compress(body, "zstd", asbytes=True), len(body)))
         return pa.table({n: pa.array([r[i] for r in rows], kinds[i]) for i, n in enumerate(names)})
 
     return send
@@ -380,7 +395,7 @@ def _judge(key: tuple, table: pa.Table) -> pa.Table:
     rows = [(block, at) for block, at in rows if len(at)]
     columns = {"block": pa.array([b for b, _ in rows], pa.int64())}
     for name, values in (("hashes", h), ("prints", prints), ("least", least), ("masks", masks), ("hot", (flags & 2) > 0)):
-        columns[name] = pa.array([values[at].tobytes() for _, at in rows], pa.binary())
+        columns[name] = pa.array([packed(values[at]) for _, at in rows], pa.binary())
     return pa.table(columns)
 
 

@@ -166,12 +166,12 @@ def test_contexts_are_sorted_a_few_at_a_time(monkeypatch):
     prints = suffix_dedup.fingerprints(body, near, far)
     raw = body.tobytes()
     columns = {"hashes": h, "prints": prints, "least": least, "flags": np.zeros(n, np.uint8), "near": near, "far": far}
-    table = pa.table({"block": [0], **{k: pa.array([v.tobytes()], pa.binary()) for k, v in columns.items()}, "bytes": pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary()), "size": [len(raw)]})
+    table = pa.table({"block": [0], **{k: pa.array([suffix_dedup.packed(v)], pa.binary()) for k, v in columns.items()}, "bytes": pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary()), "size": [len(raw)]})
     whole = suffix_dedup._judge((), table).to_pylist()
     monkeypatch.setattr(suffix_dedup, "SORTED_CONTEXTS", 7)
     assert suffix_dedup._judge((), table).to_pylist() == whole
-    masks = np.frombuffer(whole[0]["masks"], np.uint64)
-    sent = {(int(a), int(b)): int(m) for a, b, m in zip(np.frombuffer(whole[0]["hashes"], np.uint64), np.frombuffer(whole[0]["least"], np.int64), masks, strict=True)}
+    masks = suffix_dedup.unpacked(whole[0]["masks"], np.uint64)
+    sent = {(int(a), int(b)): int(m) for a, b, m in zip(suffix_dedup.unpacked(whole[0]["hashes"], np.uint64), suffix_dedup.unpacked(whole[0]["least"], np.int64), masks, strict=True)}
     low = {}
     for i in range(n):
         for p in range(suffix_dedup.PLACES):
