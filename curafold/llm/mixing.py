@@ -20,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 #: Rows of a source that are summed up in order by one task, on average.
-CELL_ROWS = 4096
+CELL_ROWS = 1024
 KEY_BITS = 60
 
 
@@ -73,9 +73,10 @@ def schedule(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source
     cells = rows.groupBy("skey", "cell").agg(F.sum("size").alias("cell_size"))
     before = F.sum("cell_size").over(W.partitionBy("skey").orderBy("cell")) - F.col("cell_size")
     cells = cells.withColumn("before", before).join(targets.drop("source"), "skey").select("skey", "cell", "before", "source_size", "target", "budget")
+    cells = materialize(cells, "mix-cells")
     in_cell = W.partitionBy("skey", "cell").orderBy("key", "size", "uid").rowsBetween(W.unboundedPreceding, 0)
     queued = rows.join(cells, ["skey", "cell"]).withColumn("end", F.col("before") + F.sum("size").over(in_cell))
-    queued = materialize(queued.select("uid", "skey", "size", "key", "source_size", "target", "budget", "end"), "mix-queue")
+    queued = materialize(queued.select("uid", "skey", "cell", "size", "key", "source_size", "target", "budget", "end"), "mix-queue")
 
     copies = queued.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     finish_tokens = F.col("copy") * F.col("source_size") + F.col("end")
@@ -99,8 +100,11 @@ def schedule(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source
     gaps = targets.join(by_source, "skey", "left").select("skey", (F.col("target") - F.coalesce("served", F.lit(0))).alias("gap"))
     state = queued.join(taken, "uid", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
     state = materialize(state, "mix-state")
-    fits = state.join(gaps, "skey").where((F.col("copies") < most) & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
-    filler = fits.groupBy("skey").agg(F.max(F.struct("size", -F.col("key"), -F.col("uid"), "uid")).alias("best")).select(F.col("best.uid").alias("uid"), F.lit(1).alias("extra"))
+    # Gaps reach the rows by cell, so a source with a third of all rows stays dealt out.
+    gap_cells = cells.select("skey", "cell").join(gaps, "skey").where("gap > 0")
+    fits = state.join(gap_cells, ["skey", "cell"]).where((F.col("copies") < most) & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+    best = fits.groupBy("skey", "cell").agg(F.max(F.struct("size", (-F.col("key")).alias("k"), (-F.col("uid")).alias("u"), "uid")).alias("best"))
+    filler = best.groupBy("skey").agg(F.max("best").alias("best")).select(F.col("best.uid").alias("uid"), F.lit(1).alias("extra"))
     state = state.join(filler, "uid", "left").withColumn("copies", (F.col("copies") + F.coalesce("extra", F.lit(0))).cast("int"))
     final = everything.select("uid", "doc").join(state.select("uid", "size", "source_size", "target", "copies"), "uid")
     return final, served.select("uid", "copy", "finish", "running")
