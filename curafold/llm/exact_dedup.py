@@ -176,7 +176,8 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 def _marked(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """The row as ``doc``, with ``keep_id, group_size, kept, text_sha256``."""
-    digest = F.unhex(F.sha2(F.regexp_replace(text_of(text), BLANK_PATTERN, "").cast("binary"), 256))
+    # Never null, so the join needs no filter that would compute it a second time.
+    digest = F.coalesce(F.unhex(F.sha2(F.regexp_replace(text_of(text), BLANK_PATTERN, "").cast("binary"), 256)), F.lit(bytearray()))
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
         F.col(f"`{doc_id}`").cast("long").alias("id"),
