@@ -74,15 +74,15 @@ q AS (
   FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
 p AS (
   SELECT q.*, n, n * source_size + stop AS tokens, (n * source_size + stop) / target AS finish
-  FROM q, range(3) x(n) WHERE n * source_size + stop - size < target),
+  FROM q, range(3) x(n) WHERE target > 0 AND n * source_size + stop <= target),
 v AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS FIRST, tokens, doc_id) AS running FROM p),
 d AS (SELECT doc_id, count(*) AS copies FROM v WHERE running <= budget GROUP BY doc_id),
 z AS (SELECT q.*, coalesce(copies, 0) AS copies FROM q LEFT JOIN d USING (doc_id)),
 g AS (SELECT source, any_value(target) - sum(copies * size) AS gap FROM z GROUP BY source),
 f AS (
-  SELECT arg_max(doc_id, (size, -key)) AS doc_id
+  SELECT arg_min(doc_id, (abs(size - gap), key)) AS doc_id
   FROM z JOIN g ON z.source IS NOT DISTINCT FROM g.source
-  WHERE copies < 3 AND size > 0 AND size <= gap GROUP BY z.source)
+  WHERE copies < 3 AND size > 0 AND size < 2 * gap GROUP BY z.source)
 SELECT doc_id, size, source_size, target, CAST(size * (copies + (doc_id IN (FROM f))::INT) AS BIGINT) AS taken,
        CAST(copies + (doc_id IN (FROM f))::INT AS INTEGER) AS copies
 FROM z""")

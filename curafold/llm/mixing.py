@@ -3,8 +3,9 @@
 Each source sends its shuffled documents as one stream, again and again up to ``most`` times. A copy
 starts when the stream before it has been served and has the virtual finish time ``tokens of its
 source up to its end / target of its source``. All copies are sorted by finish time over the whole
-cluster and the schedule is cut at the budget. Documents are served whole, so a source may end
-short of its target by less than a document; it then takes the waiting copy that fills the rest best.
+cluster and the schedule is cut at the budget, which the sources reach together at virtual time one. Documents
+are served whole, so a source stops short of its target by less than a document; it then takes the
+waiting copy that comes nearest to filling the rest, if any brings it nearer.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def schedule(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source
 
     copies = queued.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     finish_tokens = F.col("copy") * F.col("source_size") + F.col("end")
-    copies = copies.withColumn("finish_tokens", finish_tokens).where(finish_tokens - F.col("size") < F.col("target"))
+    copies = copies.withColumn("finish_tokens", finish_tokens).where((F.col("target") > 0) & (finish_tokens <= F.col("target")))
     order = ["finish", "skey", "finish_tokens", "uid"]
     ranged = materialize(
         copies.withColumn("finish", F.col("finish_tokens") / F.col("target"))
@@ -102,9 +103,9 @@ def schedule(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source
     state = materialize(state, "mix-state")
     # Gaps reach the rows by cell, so a source with a third of all rows stays dealt out.
     gap_cells = cells.select("skey", "cell").join(gaps, "skey").where("gap > 0")
-    fits = state.join(gap_cells, ["skey", "cell"]).where((F.col("copies") < most) & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
-    best = fits.groupBy("skey", "cell").agg(F.max(F.struct("size", (-F.col("key")).alias("k"), (-F.col("uid")).alias("u"), "uid")).alias("best"))
-    filler = best.groupBy("skey").agg(F.max("best").alias("best")).select(F.col("best.uid").alias("uid"), F.lit(1).alias("extra"))
+    fits = state.join(gap_cells, ["skey", "cell"]).where((F.col("copies") < most) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
+    best = fits.groupBy("skey", "cell").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "key", "uid")).alias("best"))
+    filler = best.groupBy("skey").agg(F.min("best").alias("best")).select(F.col("best.uid").alias("uid"), F.lit(1).alias("extra"))
     state = state.join(filler, "uid", "left").withColumn("copies", (F.col("copies") + F.coalesce("extra", F.lit(0))).cast("int"))
     final = everything.select("uid", "doc").join(state.select("uid", "size", "source_size", "target", "copies"), "uid")
     return final, served.select("uid", "copy", "finish", "running")
