@@ -130,7 +130,7 @@ def test_conflict_is_strict_and_ignores_removed_rows(spark):
 def test_row_links_and_entities(spark):
     rows = [(1, "e", 1.0, 2, "A"), (2, "e", 3.0, 2, "B"), (3, "e", 2.0, 2, "Unknown"), (4, "f", 7.0, 2, "Unknown")]
     df = spark.createDataFrame(rows, "row_id int, entity string, value double, weight int, source string")
-    got = {r.entity: r for r in curate.aggregate_entities(df, hot_rows=2).collect()}
+    got = {r.entity: r for r in curate.aggregate_entities(df).collect()}
     assert got["e"].value == 2.0 and got["e"].source_type == "mixed" and got["e"].source_set == "A;B;Unknown"
     assert got["f"].source_type == "Unknown" and got["f"].has_a is False
     assert curate.entity_row_links(df).count() == 4
