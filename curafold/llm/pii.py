@@ -5,7 +5,9 @@ places that could hold personal data (long numbers with any separators, spelled-
 labels are inferred. Neighbours in the text are linked by a chain. Repeated mentions (the same
 digits or the same address without punctuation) and similar ones (numbers that end in the same
 digits) are linked over any distance by skip edges, which carry the message that an entity has one
-label in the whole document. Loopy belief propagation runs on each document.
+label in the whole document: each open mention has an edge to every base match of its keys, whose label
+is fixed, so this evidence is the same at any distance and for any number of copies; open mentions of a
+key share a variable for the entity. Loopy belief propagation runs on each document until it settles.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ FLOOR, REPEATED, SIMILAR = 4.0, 8.0, 6.0
 CHAIN_LIMIT = 0.5
 #: Digits of a number that make a mention, and trailing digits that make two numbers similar.
 MENTION_DIGITS, SIMILAR_DIGITS = 9, 9
-SWEEPS, DAMPING = 12, 0.3
+#: Damping of messages, which grows slowly if they don't settle; the last sweeps only guard against a cycle.
+DAMPING, SLOWER, LAST_SWEEP, SETTLED = 0.3, 100, 20_000, 1e-4
 
 # The base patterns. Possessive repeats match what plain ones do, without backtracking.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -165,42 +168,47 @@ class Field:
         if all(label >= 0 for *_, label in nodes) or all(label < 0 for *_, label in nodes):
             return []
         n, width = len(nodes), len(LABELS)
-        unary = np.zeros((n, width))
-        last: dict[str, int] = {}
-        edges: list[tuple[int, int, np.ndarray]] = [(i, i + 1, self.chain) for i in range(n - 1)]
-        for i, (a, b, label) in enumerate(nodes):
-            unary[i] = self.unary.get(shape(text[a:b]), self.unknown)
-            if label >= 0:
-                unary[i] = -50.0
-                unary[i, label] = 0.0
-            # An edge to the last mention of the same key joins all of them by a chain of their own.
+        members: dict[tuple[str, float], list[int]] = {}
+        for i, (a, b, _) in enumerate(nodes):
             same, similar = keys(text[a:b])
             for key, strength in ((same, REPEATED), (similar, SIMILAR)):
                 if key is not None:
-                    if key in last:
-                        edges.append((last[key], i, self.same[strength]))
-                    last[key] = i
-        if len(edges) == n - 1:
+                    members.setdefault((key, strength), []).append(i)
+        if len(members) == sum(map(len, members.values())):
             return []  # no skip edge: nothing repeats
+        labels = np.array([label for *_, label in nodes])
+        unary = np.stack([self.unary.get(shape(text[a:b]), self.unknown) for a, b, _ in nodes])
+        edges: list[tuple[int, int, np.ndarray]] = [(i, i + 1, self.chain) for i in range(n - 1)]
+        entities = n
+        for (_, strength), found in members.items():
+            at = np.array(found)
+            known, open_ = labels[at][labels[at] >= 0], at[labels[at] < 0]
+            unary[open_] += strength * np.bincount(known, minlength=width)
+            if len(open_) > 1:
+                edges += [(i, entities, self.same[strength]) for i in open_.tolist()]
+                entities += 1
+        unary = np.concatenate([unary, np.zeros((entities - n, width))])
+        for i in np.flatnonzero(labels >= 0).tolist():
+            unary[i] = -50.0
+            unary[i, labels[i]] = 0.0
         source = np.array([e[0] for e in edges] + [e[1] for e in edges])
         target = np.array([e[1] for e in edges] + [e[0] for e in edges])
         potential = np.stack([e[2] for e in edges] + [e[2].T for e in edges])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
         message = np.zeros((len(source), width))
-        # Fixed labels travel along a chain one edge per sweep; long chains need as many.
-        for _ in range(min(max(SWEEPS, n), 200)):
+        for sweep in range(LAST_SWEEP):
             belief = unary.copy()
             np.add.at(belief, target, message)
             out = belief[source] - message[back]
             new = np.logaddexp.reduce(out[:, :, None] + potential, axis=1)
             new -= new.max(axis=1, keepdims=True)
-            new = (1 - DAMPING) * new + DAMPING * message
             moved = np.abs(new - message).max()
-            message = new
-            if moved < 1e-4:
+            message += (1 - DAMPING) / (1 + sweep // SLOWER) * (new - message)
+            if moved < SETTLED:
                 break
-        belief = unary.copy()
-        np.add.at(belief, target, message)
+        belief = unary[:n].copy()
+        inner = target < n
+        np.add.at(belief, target[inner], message[inner])
         best = belief.argmax(axis=1)
         return [(LABELS[k], a, b) for (a, b, label), k in zip(nodes, best.tolist(), strict=True) if label < 0 and k > 0]
 

@@ -99,6 +99,21 @@ def test_skip_chains_complete_entities_and_nothing_else(spark):
         assert added == want and r.n_added == len(want)
 
 
+@pytest.mark.parametrize("copies", [3, 20, 500])
+@pytest.mark.parametrize("pairs", [np.zeros((5, 5)), np.eye(5) * 1e6, (1 - np.eye(5)) * 1e6], ids=["level", "alike", "unlike"])
+def test_every_copy_of_a_base_match_is_found(copies, pairs):
+    cases = [("a.b@x.org", "a.b at x dot org", "email"), ("4111 1111 1111 1111", "4111.1111.1111.1111", "card"), ("+1 555 010 9999", "555.010.9999", "phone")]
+    for base, copy, kind in cases:
+        # Shapes seen a million times, never as a match.
+        field = pii.Field({pii.shape(x): [1_000_000, 0, 0, 0, 0] for x in (copy, "753.678.4127")}, pairs)
+        for place in (0, copies // 2, copies):
+            lines = [copy] * copies
+            lines.insert(place, base)
+            text = "\n".join([f"see {x};" for x in [*lines, *["753.678.4127"] * 2]])
+            got = field.infer(text, pii.mentions(text)[1])
+            assert [(k, text[a:b]) for k, a, b in got] == [(kind, copy)] * copies
+
+
 def test_personal_data_of_tables(spark):
     docs = awkward(spark)
     got = pii.find_personal_data(docs)
