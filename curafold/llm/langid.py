@@ -2,6 +2,8 @@
 
 A known word scores with its log frequency in each language. An unseen word falls back to its
 n-grams: the longest length at which any n-gram is known counts, by the mean of their scores.
+Every word and n-gram of the training documents is known. The most frequent ones go to every executor; if
+there are more, the other words of the documents are joined with the whole tables of counts.
 """
 
 from __future__ import annotations
@@ -13,19 +15,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curafold.llm.common import text_of
 from curafold.session import materialize
 
-#: The model keeps up to so many words and n-grams, the most frequent ones: its size doesn't grow with the data.
+#: So many words and n-grams, the most frequent ones, go to every executor; the rest is joined.
 WORDS_KEPT, GRAMS_KEPT = 100_000, 50_000
 LONGEST_GRAM = 4
 SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Distinct entries that a counting task holds before it passes them on.
 COUNTER_ENTRIES = 1_000_000
+#: Joined scores are summed as whole numbers of this part of one, so their order doesn't matter.
+UNIT = 2.0**-30
 #: Scores of unseen words that a worker remembers.
 MEMORY = 200_000
 ROWS = 256
@@ -79,15 +83,13 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies by language of the words and n-grams that are kept."""
+    """Log frequencies by language of the given words and n-grams; ``sizes`` are the numbers of all of them."""
 
-    def __init__(self, langs: list[str], prior: np.ndarray, items: list[list[str]], counts: list[np.ndarray], totals: list[np.ndarray]):
+    def __init__(self, langs: list[str], prior: np.ndarray, items: list[list[str]], counts: list[np.ndarray], totals: list[np.ndarray], sizes: list[int] | None = None):
         self.langs, self.prior = langs, prior
         self.index = [{item: i for i, item in enumerate(names)} for names in items]
-        self.scores = [
-            np.log((n + SMOOTHING) / (total + SMOOTHING * (len(n) + 1))).astype(np.float32)
-            for n, total in zip(counts, totals, strict=True)
-        ]
+        self.bases = [total + SMOOTHING * (size + 1) for total, size in zip(totals, sizes or map(len, items), strict=True)]
+        self.scores = [np.log((n + SMOOTHING) / base).astype(np.float32) for n, base in zip(counts, self.bases, strict=True)]
         self.memory: dict[str, np.ndarray] = {}
 
     def unseen(self, word: str) -> np.ndarray:
@@ -104,6 +106,16 @@ class Model:
             self.memory[word] = found
         return found
 
+    def partial(self, text: str) -> tuple[list[float] | None, Counter]:
+        """Prior and scores of the given words, null without a word, and the counts of the other words."""
+        found = words(text)
+        if not found or not self.langs:
+            return None, Counter()
+        get = self.index[0].get
+        at = np.array([get(w, -1) for w in found])
+        total = self.prior + self.scores[0][at[at >= 0]].sum(axis=0, dtype=np.float64)
+        return total.tolist(), Counter(found[i] for i in np.flatnonzero(at < 0).tolist())
+
     def predict(self, text: str) -> tuple[str, float]:
         found = words(text)
         if not found or not self.langs:
@@ -117,7 +129,7 @@ class Model:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def held_out(doc_id: str = "doc_id") -> F.Column:
+def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
@@ -132,39 +144,124 @@ def _most_frequent(items: DataFrame, kept: int) -> DataFrame:
     return items.where(band >= lowest) if lowest is not None else items.limit(0)
 
 
-def train(docs: DataFrame, words_kept: int = WORDS_KEPT, grams_kept: int = GRAMS_KEPT) -> Model:
-    """Counts the words of all documents with a language that aren't held out; a null id has no remainder and is left out."""
+def train(docs: DataFrame, words_kept: int = WORDS_KEPT, grams_kept: int = GRAMS_KEPT) -> tuple[Model, DataFrame, DataFrame, bool]:
+    """The model with the most frequent items, all words, all n-grams (``item, ns``), and whether the model has them all.
+
+    Counts the words of all documents with a language that aren't held out; a null id has no remainder and is left out.
+    """
     use = F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
     rows = docs.where(use).select("lang", "text")
     schema = "lang string, item string, n bigint"
-    counts = rows.mapInArrow(_count_words, schema).groupBy("lang", "item").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "word-counts")
-    gram_counts = counts.mapInArrow(_count_grams, schema).groupBy("lang", "item").agg(F.sum("n").alias("n"))
-    gram_counts = materialize(gram_counts, "gram-counts")
     prior = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     langs = sorted(prior)
-    items, numbers, totals = [], [], []
-    for table, kept in ((counts, words_kept), (gram_counts, grams_kept)):
-        by_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).cast("float") for x in langs]
-        wide = table.groupBy("item").agg(F.sum("n").alias("all"), F.array(*by_lang).alias("ns") if langs else F.array().cast("array<float>").alias("ns"))
-        top = _most_frequent(materialize(wide, "item-counts"), kept).select("item", "ns").toArrow()
+    items, numbers, totals, sizes, tables = [], [], [], [], []
+    counted = rows.mapInArrow(_count_words, schema)
+    by_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).cast("double") for x in langs]
+    for kept in (words_kept, grams_kept):
+        # Tasks have counted already, so rows go to the owner of their item as they are.
+        wide = counted.repartition("item").groupBy("item").agg(F.sum("n").alias("all"), F.array(*by_lang).alias("ns") if langs else F.array().cast("array<double>").alias("ns"))
+        wide = materialize(wide, "item-counts")
+        top = _most_frequent(wide, kept).select("item", "ns").toArrow()
         items.append(top.column("item").to_pylist())
         flat = [chunk.flatten().to_numpy() for chunk in top.column("ns").chunks]
-        numbers.append(np.concatenate([np.zeros(0, np.float32), *flat]).reshape(len(items[-1]), len(langs)))
-        found = {r["lang"]: r["n"] for r in table.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        totals.append(np.array([found.get(x, 0) for x in langs], float))
+        numbers.append(np.concatenate([np.zeros(0), *flat]).reshape(len(items[-1]), len(langs)))
+        sums = wide.select(*[F.sum(F.col("ns")[i]) for i in range(len(langs))]).first() if langs else []
+        totals.append(np.array([x or 0 for x in sums], float))
+        sizes.append(wide.count())
+        tables.append(wide.select("item", "ns"))
+        longs = F.transform("ns", lambda x, i: F.struct(F.array(*map(F.lit, langs))[i].alias("lang"), x.cast("bigint").alias("n"))) if langs else None
+        counted = wide.select("item", F.inline(longs)).where("n > 0").select("lang", "item", "n").mapInArrow(_count_grams, schema) if langs else wide.select(F.lit("").alias("lang"), "item", F.col("all").alias("n"))
     shares = np.array([prior[x] for x in langs], float)
-    return Model(langs, np.log(shares / max(1.0, shares.sum())), items, numbers, totals)
+    model = Model(langs, np.log(shares / max(1.0, shares.sum())), items, numbers, totals, sizes)
+    return model, *tables, sizes == [len(names) for names in items]
+
 
+def _score_units(model: Model, which: int) -> list[Column]:
+    """Scores of ``ns`` by language, in units; ``which`` is 0 for words and 1 for n-grams."""
+    return [
+        F.round(F.log((F.col("ns")[i] + SMOOTHING) / F.lit(float(base))) / UNIT).cast("long").alias(f"s{i}")
+        for i, base in enumerate(model.bases[which])
+    ]
 
-def identify(docs: DataFrame) -> DataFrame:
+
+def _unseen(unknown: DataFrame, all_grams: DataFrame, model: Model) -> DataFrame:
+    """``item`` and its scores by language, of the words in ``unknown`` that have a known n-gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                found = [(w, n, f"{n}{g}") for w in batch.column("item").slice(start, ROWS).to_pylist() for n in range(1, LONGEST_GRAM + 1) for g in grams(w, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))], ["item", "size", "gram"])
+
+    names = [f"s{i}" for i in range(len(model.langs))]
+    pieces = unknown.mapInArrow(run, "item string, size int, gram string")
+    scored = pieces.join(all_grams.select(F.col("item").alias("gram"), *_score_units(model, 1)), "gram")
+    sizes = scored.groupBy("item", "size").agg(*[F.round(F.sum(x) / F.count("*")).cast("long").alias(x) for x in names])
+    longest = sizes.groupBy("item").agg(F.max_by(F.struct(*names), "size").alias("s"))
+    return longest.select("item", "s.*")
+
+
+def _identify_joined(rows: DataFrame, model: Model, all_words: DataFrame, all_grams: DataFrame) -> DataFrame:
+    """As ``identify``: executors score the most frequent words, joins with all words and n-grams the others."""
+    names = [f"s{i}" for i in range(len(model.langs))]
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                found = [known.partial(t) for t in part.column("text").to_pylist()]
+                # A row of the document itself, whose item no word equals, and one for each of the other words.
+                uids = part.column("uid").to_pylist()
+                at = np.concatenate([np.arange(len(found)), np.repeat(np.arange(len(found)), [len(rest) for _, rest in found])])
+                own = [None] * (len(at) - len(found))
+                columns = [
+                    part.column("uid").take(pa.array(at)),
+                    pa.array([f"-{u}" for u in uids] + [w for _, rest in found for w in rest], pa.string()),
+                    pa.array([0] * len(found) + [n for _, rest in found for n in rest.values()], pa.int64()),
+                    *(part.column(c).take(pa.array(at[: len(found)].tolist() + own, pa.int64())) for c in ("doc_id", "held_out")),
+                    pa.array([x for x, _ in found] + own, pa.list_(pa.float64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["uid", "item", "n", "doc_id", "held_out", "total"])
+
+    parts = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text")
+    parts = parts.mapInArrow(run, f"uid bigint, item string, n bigint, doc_id {kind}, held_out boolean, total array<double>")
+    joined = parts.join(all_words.select("item", *_score_units(model, 0), F.lit(True).alias("known")), "item", "left")
+    absent = F.when(F.col("known").isNull() & (F.col("n") > 0), F.struct("item", "n"))
+    scored = joined.groupBy("uid").agg(
+        *(F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "held_out", "total")),
+        *(F.coalesce(F.sum(F.col(x) * F.col("n")), F.lit(0)).alias(x) for x in names),
+        F.collect_list(absent).alias("absent"),
+    )
+    scored = materialize(scored, "lang-scored")
+    absent = scored.select("uid", F.inline("absent"))
+    unseen = _unseen(absent.select("item").distinct(), all_grams, model)
+    more = absent.join(unseen, "item").groupBy("uid").agg(*[F.sum(F.col(x) * F.col("n")).alias(f"more_{x}") for x in names])
+    total = F.array(*[F.col("total")[i] + (F.col(x) + F.coalesce(f"more_{x}", F.lit(0))) * UNIT for i, x in enumerate(names)])
+    done = scored.drop("absent").join(more, "uid", "left").withColumn("sums", total).withColumn("top", F.array_max("sums"))
+    posterior = 1 / F.aggregate("sums", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    best = F.array(*map(F.lit, model.langs))[F.array_position("sums", F.col("top")).cast("int") - 1]
+    return done.select(
+        "doc_id", "held_out",
+        F.when(F.col("total").isNull(), UNKNOWN).otherwise(best).alias("lang_pred"),
+        F.when(F.col("total").isNull(), 0.0).otherwise(posterior).alias("score"),
+    )
+
+
+def identify(docs: DataFrame, words_kept: int = WORDS_KEPT, grams_kept: int = GRAMS_KEPT) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``; one row per document, learnt from the same table.
 
     ``und`` with score 0 for a null text, a text without a letter, or if there is nothing to learn
     from. The score is the posterior of the language; equal posteriors give the first language by code point.
+    ``words_kept`` and ``grams_kept`` set what goes to every executor; they don't change the result.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs))
+    trained, all_words, all_grams, whole = train(docs, words_kept, grams_kept)
     rows = docs.select("doc_id", held_out().alias("held_out"), text_of().alias("text"))
+    if not whole:
+        return _identify_joined(rows, trained, all_words, all_grams)
+    model = docs.sparkSession.sparkContext.broadcast(trained)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value

@@ -134,6 +134,23 @@ def test_language_of_held_out_documents(spark):
     assert (held.lang == held.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_language_knows_every_word(spark):
+    rng = random.Random(5)
+    tongue = {"big": "abcdefgh", "mid": "abcdwxyz", "low": "defgwxyz"}
+    vocabulary = {x: ["".join(rng.choice(signs) for _ in range(rng.randint(3, 7))) for _ in range(300)] for x, signs in tongue.items()}
+    texts = [(x, " ".join(rng.choices(vocabulary[x], k=30) + [f"{x}é{i}" for i in range(2)])) for x, n in (("big", 300), ("mid", 40), ("low", 12)) for i in range(n)]
+    rows = [(i, t, x) for i, (x, t) in enumerate(texts)] + [(9000 + i, None if i == 1 else "" if i == 2 else "zzzzq 漢字", None) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    wanted = {r.doc_id: r for r in langid.identify(docs, 10**6, 10**6).collect()}
+    for kept in ((0, 0), (20, 10), (10**6, 10)):
+        got = langid.identify(docs, *kept).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            w = wanted[r.doc_id]
+            assert (r.lang_pred, r.held_out) == (w.lang_pred, w.held_out) and r.score == pytest.approx(w.score, abs=1e-4)
+    assert all(wanted[i].lang_pred == x for i, _, x in rows if x)
+
+
 def test_language_of_awkward_rows(spark):
     docs = awkward(spark)
     got = langid.identify(docs).collect()
