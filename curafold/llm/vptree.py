@@ -25,6 +25,10 @@ FACTOR = 1.0
 SHARD_ROWS, QUERY_ROWS, LEAF = 16_384, 2_048, 128
 #: Neighbours kept beyond the wanted ones until the exact measure has ordered them.
 SPARE = 8
+#: Scores closer than this may be a tie. Rounding moves distances of unit vectors by less than the slack.
+TIE, SLACK = 1e-12, 1e-7
+#: Points of a wider search that are held at a time.
+WIDE_POINTS = 65_536
 
 
 def usable(vector: str) -> Column:
@@ -119,7 +123,7 @@ class Search:
                 continue
             for inside in (first, not first):
                 gap = d - self.inner[low] if inside else self.outer[low] - d
-                left = group[gap <= self.reach(group) + 1e-12]
+                left = group[gap <= self.reach(group) + SLACK]
                 self.visit(*((low + 1, mid) if inside else (mid, high)), left)
 
 
@@ -165,21 +169,37 @@ def _search(k: int, factor: float):
                 queries = np.frombuffer(row["queries"]).reshape(-1, row["width"])
                 query_ids = np.frombuffer(row["query_ids"], np.int64)
                 ids, at = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["at"], np.int64)
+                tree = unit(points), np.frombuffer(row["inner"]), np.frombuffer(row["outer"])
                 want = min(len(points), k + 1 + SPARE)
-                found = Search(unit(points), np.frombuffer(row["inner"]), np.frombuffer(row["outer"]), unit(queries), want, factor).found
-                query, point = np.repeat(np.arange(len(queries)), want), found.ravel()
-                query, point = query[point >= 0], point[point >= 0]
-                score = cosine(queries[query], points[point])
-                first, last = np.searchsorted(at, point), np.searchsorted(at, point, side="right")
-                times = last - first
-                query, score = np.repeat(query, times), np.repeat(score, times)
-                item = ids[np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-                other = item != query_ids[query]
-                query, score, item = query[other], score[other], item[other]
-                by = np.lexsort([item, -score, query])
-                query, score, item = query[by], score[by], item[by]
-                top = np.arange(len(query)) - np.searchsorted(query, query) < k
-                yield pa.RecordBatch.from_pydict({"query_id": query_ids[query[top]], "vec_id": item[top], "score": score[top]})
+                parts = [np.arange(len(queries))]
+                while parts:
+                    open_ = []
+                    for part in parts:
+                        asked, own = queries[part], query_ids[part]
+                        search_ = Search(*tree, unit(asked), want, factor)
+                        query, point = np.repeat(np.arange(len(part)), want), search_.found.ravel()
+                        query, point = query[point >= 0], point[point >= 0]
+                        score = cosine(asked[query], points[point])
+                        first, last = np.searchsorted(at, point), np.searchsorted(at, point, side="right")
+                        times = last - first
+                        query, score = np.repeat(query, times), np.repeat(score, times)
+                        item = ids[np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+                        other = item != own[query]
+                        query, score, item = query[other], score[other], item[other]
+                        by = np.lexsort([item, -score, query])
+                        query, score, item = query[by], score[by], item[by]
+                        place = np.arange(len(query)) - np.searchsorted(query, query)
+                        # Points that were not kept may tie with the last neighbour; a wider search settles it.
+                        least = np.full(len(part), -np.inf)
+                        least[query[place == k - 1]] = score[place == k - 1]
+                        tied = (least <= search_.similarity[:, -1] + TIE) if want < len(points) else np.zeros(len(part), bool)
+                        top = (place < k) & ~tied[query]
+                        open_.append(part[tied])
+                        yield pa.RecordBatch.from_pydict({"query_id": own[query[top]], "vec_id": item[top], "score": score[top]})
+                    again = np.concatenate(open_)
+                    want = min(len(points), 4 * want)
+                    step = max(1, WIDE_POINTS // want)
+                    parts = [again[i : i + step] for i in range(0, len(again), step)]
 
     return search
 

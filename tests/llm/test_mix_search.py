@@ -91,6 +91,25 @@ def test_neighbours_match_brute_force(spark, monkeypatch):
     assert got == neighbours(ids, vectors.astype(float))
 
 
+@pytest.mark.parametrize("width", [1, 4])
+def test_ties_of_different_vectors_go_to_smaller_ids(spark, width):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(3, width)).round(3)
+    # Scaled by powers of two, so cosines are equal to the last bit; smaller ids are spread over the scales.
+    ids = rng.permutation(360)
+    rows = [(int(i), (base[j % 3] * 2.0 ** (j // 3 - 60)).tolist()) for j, i in enumerate(ids)] + [(1000 + i, (base[0] * (1 + i)).tolist()) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = {i: np.array(v) for i, v in rows}
+    got = defaultdict(list)
+    for r in vptree.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert len(got) == 9
+    for q, found in got.items():
+        others = [i for i in vectors if i != q]
+        score = vptree.cosine(np.stack([vectors[q]] * len(others)), np.stack([vectors[i] for i in others]))
+        assert found == [(i, s) for s, i in sorted(zip(score, others, strict=True), key=lambda x: (-x[0], x[1]))[:5]]
+
+
 def test_factor_trades_recall(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(40, 32))
