@@ -2,10 +2,11 @@
 
 Each source sends its shuffled documents as one stream, again and again up to ``most`` times. A copy
 starts when the stream before it has been served and has the virtual finish time ``tokens of its
-source up to its end / target of its source``. All copies are sorted by finish time over the whole
-cluster and the schedule is cut at the budget, which the sources reach together at virtual time one. Documents
-are served whole, so a source stops short of its target by less than a document; it then takes the
-waiting copy that comes nearest to filling the rest, if any brings it nearer.
+source up to its end / target of its source``. What decides is a limit per source: the copies that end within
+the target are served, that is those with a finish time of at most one, and since the targets sum to the
+budget at most, its cut takes nothing away. All served copies are sorted by finish time over the whole cluster,
+which gives the order of the mix. Documents are served whole. A source then takes the one waiting copy that
+comes nearest to filling the rest, if any brings it nearer; what a longer document leaves open stays open.
 """
 
 from __future__ import annotations
