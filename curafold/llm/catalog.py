@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curafold.llm.anomalies import judge
 from curafold.llm.bagminhash import near_duplicate_classes
 from curafold.llm.bpe import encode_documents
+from curafold.llm.collocations import collocations
 from curafold.llm.common import table
 from curafold.llm.exact_dedup import mark_duplicates
+from curafold.llm.hard_negatives import hard_negatives
 from curafold.llm.langid import identify
 from curafold.llm.licences import scan, scan_sql
 from curafold.llm.mixing import mix
@@ -156,3 +159,63 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM r WHERE rank <= 5""")
 def op10_vptree(spark: SparkSession, d: str) -> DataFrame:
     return nearest(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query(r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, f, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+inner_ AS (
+  SELECT lang, phrase, max(f) AS most
+  FROM (SELECT lang, f, array_to_string(w[i : i + m - 1], ' ') AS phrase
+        FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 5) t(m) WHERE m < k))
+  GROUP BY ALL),
+cut AS (
+  SELECT lang, array_to_string(w, ' ') AS phrase, f AS a, k, x, array_to_string(w[1 : x], ' ') AS head, array_to_string(w[x + 1 : k], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS x FROM c)),
+s AS (
+  SELECT lang, cut.phrase, a, x, h.f AS l, t.f AS r, n,
+         CAST((1000::HUGEINT * a::HUGEINT * n::HUGEINT) // (h.f::HUGEINT * t.f::HUGEINT) AS BIGINT) AS score
+  FROM cut JOIN n USING (lang) JOIN f h ON h.lang = cut.lang AND h.phrase = head JOIN f t ON t.lang = cut.lang AND t.phrase = tail
+  LEFT JOIN inner_ i ON i.lang = cut.lang AND i.phrase = cut.phrase
+  WHERE most IS NULL OR 100 * most < 100 * a),
+weak AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, x) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM weak QUALIFY rank <= 2000""")
+def op11_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return collocations(table(spark, d, "documents"))
+
+
+@query("""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * x::DOUBLE) AS BIGINT) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         CAST(list_sum([z[1] * z[2] FOR z IN list_zip(a.e, c.e)]) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s
+  WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5""")
+def op12_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+@query()
+def op13_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return judge(table(spark, d, "documents"), table(spark, d, "labels"))
