@@ -59,7 +59,7 @@ def op2_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-WITH r AS (
+WITH RECURSIVE r AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          CAST('0x' || substr(md5('42|' || doc_id), 1, 15) AS BIGINT) AS key
   FROM documents),
@@ -73,22 +73,35 @@ l AS (
   FROM c WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
 t AS (SELECT source, source_size, CAST(budget AS BIGINT) AS budget, round(least(cap, max(level) OVER () * weight), 6) AS target FROM l),
 q AS (
-  SELECT r.*, source_size, target, budget, CAST(sum(size) OVER (PARTITION BY r.source ORDER BY key, size, doc_id) AS BIGINT) AS stop
+  SELECT r.*, source_size, target, budget, size <= target AND target > 0 AS fits,
+         CAST(sum(CASE WHEN size <= target THEN size ELSE 0 END) OVER (PARTITION BY r.source ORDER BY key, size, doc_id) AS BIGINT) AS stop,
+         CAST(sum(CASE WHEN size <= target THEN size ELSE 0 END) OVER (PARTITION BY r.source) AS BIGINT) AS pass
   FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
 p AS (
-  SELECT q.*, n, n * source_size + stop AS tokens, (n * source_size + stop) / target AS finish
-  FROM q, range(3) x(n) WHERE target > 0 AND n * source_size + stop <= target),
-v AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS FIRST, tokens, doc_id) AS running FROM p),
-d AS (SELECT doc_id, count(*) AS copies FROM v WHERE running <= budget GROUP BY doc_id),
+  SELECT q.*, n, n * pass + stop AS tokens, (n * pass + stop) / target AS finish
+  FROM q, range(3) x(n) WHERE fits AND (size > 0 OR n = 0) AND n * pass + stop - size < target),
+v AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS FIRST, tokens, key, size, doc_id) AS running FROM p),
+d AS (SELECT doc_id, count(*) AS copies FROM v WHERE running <= budget AND (tokens <= target OR 2 * tokens - size <= 2 * target) GROUP BY doc_id),
 z AS (SELECT q.*, coalesce(copies, 0) AS copies FROM q LEFT JOIN d USING (doc_id)),
 g AS (SELECT source, any_value(target) - sum(copies * size) AS gap FROM z GROUP BY source),
+w AS (
+  SELECT z.source, doc_id, size, row_number() OVER (PARTITION BY z.source ORDER BY n, key, size, doc_id) AS place
+  FROM z JOIN g ON z.source IS NOT DISTINCT FROM g.source, range(3) x(n) WHERE n >= copies AND size > 0 AND size <= gap),
+walk AS (
+  SELECT source, CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS doc_id, gap FROM g
+  UNION ALL
+  SELECT w.source, w.place, CASE WHEN size <= gap THEN w.doc_id END, CASE WHEN size <= gap THEN gap - size ELSE gap END
+  FROM walk JOIN w ON w.source IS NOT DISTINCT FROM walk.source AND w.place = walk.place + 1),
+e AS (SELECT doc_id, count(*) AS extra FROM walk WHERE doc_id IS NOT NULL GROUP BY doc_id),
+y AS (SELECT z.*, copies + coalesce(extra, 0) AS most FROM z LEFT JOIN e USING (doc_id)),
+h AS (SELECT source, arg_max(gap, place) AS gap FROM walk GROUP BY source),
 f AS (
-  SELECT arg_min(doc_id, (abs(size - gap), key)) AS doc_id
-  FROM z JOIN g ON z.source IS NOT DISTINCT FROM g.source
-  WHERE copies < 3 AND size > 0 AND size < 2 * gap GROUP BY z.source)
-SELECT doc_id, size, source_size, target, CAST(size * (copies + (doc_id IN (FROM f))::INT) AS BIGINT) AS taken,
-       CAST(copies + (doc_id IN (FROM f))::INT AS INTEGER) AS copies
-FROM z""")
+  SELECT arg_min(doc_id, (size, most, key, doc_id)) AS doc_id
+  FROM y JOIN h ON y.source IS NOT DISTINCT FROM h.source
+  WHERE most < 3 AND size > 0 AND size < 2 * gap GROUP BY y.source)
+SELECT doc_id, size, source_size, target, CAST(size * (most + (doc_id IN (FROM f))::INT) AS BIGINT) AS taken,
+       CAST(most + (doc_id IN (FROM f))::INT AS INTEGER) AS copies
+FROM y""")
 def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"))
 

@@ -1,16 +1,16 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source sends its shuffled documents as one stream, again and again up to ``most`` times. A copy
-starts when the stream before it has been served and has the virtual finish time ``tokens of its
-source up to its end / target of its source``. What decides is a limit per source: the copies that end within
-the target are served, that is those with a finish time of at most one, and since the targets sum to the
-budget at most, its cut takes nothing away. All served copies are sorted by finish time over the whole cluster,
-which gives the order of the mix. Documents are served whole. A source then takes the one waiting copy that
-comes nearest to filling the rest, if any brings it nearer; what a longer document leaves open stays open.
+Each source sends its shuffled documents as one stream, up to ``most`` times over. A copy's virtual finish time is
+``tokens of its source up to its end / target of its source``. All copies that start before their source's target are sorted by
+finish time over the whole cluster and cut where the budget is spent. Documents are served whole, so sources are then brought to
+their targets: a copy that ends beyond the target by more than half of itself is given back, and waiting copies step
+forward in the order of the stream, those that don't fit into what is left aside, until none fits. If one of those still brings
+the source nearer, the nearest is served last.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,9 +21,9 @@ from curafold.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
-#: Rows of a source that are summed up in order by one task, on average.
-CELL_ROWS = 1024
 KEY_BITS = 60
+#: Waiting copies of a source that are walked one by one at a time, the first in its stream.
+HEAD_ROWS = 512
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, share: float = 1.0) -> DataFrame:
@@ -49,9 +49,23 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return rows.withColumn("target", F.round(target, 6)).select("source", "skey", "source_size", "target", "budget")
 
 
+#: The order of a stream. Rows that agree in all but ``uid`` are copies of one row, whose places don't matter.
+STREAM = ["key", "size", "mark", "uid"]
+
+
+def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The first waiting copies of one source, in order: those that fit are served, others step aside."""
+    pdf = pdf.sort_values(["copy", *STREAM])
+    gap, served = pdf["gap"].iloc[0], []
+    for size in pdf["size"]:
+        served.append(size <= gap)
+        gap -= size if served[-1] else 0
+    return pdf.loc[served, ["skey", "uid", "size"]]
+
+
 def schedule(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST, share: float = 1.0, seed: int = 42, carry: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """``(rows, copies)``: one row per document with ``uid, size, source_size, target, copies`` and its columns
-    (those in ``carry``) in ``doc``, and the order of the mix: ``uid, copy, finish, running``."""
+    (those in ``carry``) in ``doc``, and the schedule up to the cut: ``uid, skey, copy, size, finish, running``."""
     order_key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(f"`{doc_id}`").cast("string"))), 1, KEY_BITS // 4), 16, 10).cast("long")
     everything = materialize(
         docs.select(
@@ -60,64 +74,86 @@ def schedule(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source
             F.col(f"`{source}`").cast("string").alias("source"),
             F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("")).alias("skey"),
             F.regexp_count(text_of(text), F.lit(WORD)).cast("long").alias("size"),
+            F.xxhash64(text_of(text)).alias("mark"),
             order_key.alias("key"),
         ),
         "mix-rows",
     )
-    rows = everything.drop("doc")
-    sizes = rows.groupBy("skey").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"))
+    sizes = everything.groupBy("skey").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, most, share), "mix-targets")
 
-    n_rows = rows.count()
-    bits = max(0, (n_rows // CELL_ROWS).bit_length())
-    cell = F.shiftright("key", KEY_BITS - bits) if bits else F.lit(0).cast("long")
-    rows = rows.withColumn("cell", cell)
-    cells = rows.groupBy("skey", "cell").agg(F.sum("size").alias("cell_size"))
-    before = F.sum("cell_size").over(W.partitionBy("skey").orderBy("cell")) - F.col("cell_size")
-    cells = cells.withColumn("before", before).join(targets.drop("source"), "skey").select("skey", "cell", "before", "source_size", "target", "budget")
-    cells = materialize(cells, "mix-cells")
-    in_cell = W.partitionBy("skey", "cell").orderBy("key", "size", "uid").rowsBetween(W.unboundedPreceding, 0)
-    queued = rows.join(cells, ["skey", "cell"]).withColumn("end", F.col("before") + F.sum("size").over(in_cell))
-    queued = materialize(queued.select("uid", "skey", "cell", "size", "key", "source_size", "target", "budget", "end"), "mix-queue")
-
-    copies = queued.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    finish_tokens = F.col("copy") * F.col("source_size") + F.col("end")
-    copies = copies.withColumn("finish_tokens", finish_tokens).where((F.col("target") > 0) & (finish_tokens <= F.col("target")))
-    order = ["finish", "skey", "finish_tokens", "uid"]
-    ranged = materialize(
-        copies.withColumn("finish", F.col("finish_tokens") / F.col("target"))
-        .select("uid", "skey", "copy", "size", "target", "budget", "finish_tokens", "finish")
-        .repartitionByRange(*order)
-        .withColumn("part", F.spark_partition_id()),
-        "mix-ranged",
-    )
-    # One row per partition of the schedule.
-    parts = ranged.groupBy("part").agg(F.sum("size").alias("part_size"))
-    parts = parts.select("part", (F.sum("part_size").over(W.orderBy("part")) - F.col("part_size")).alias("before"))
-    running = F.col("before") + F.sum("size").over(W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    served = materialize(ranged.join(parts, "part").withColumn("running", running).where(F.col("running") <= F.col("budget")), "mix-served")
-
-    taken = served.groupBy("uid").agg(F.count("*").alias("copies"))
+    # Streams are dealt out by ranges, so a source with most rows is many parts; the mark splits rows that share an id.
+    rows = everything.select("uid", "skey", "size", "mark", "key")
+    rows = materialize(rows.repartitionByRange("skey", *STREAM).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    parts = rows.groupBy("skey", "part").agg(F.count("*").alias("n"))
+    goals = materialize(parts.join(targets.drop("source"), "skey").drop("n"), "mix-goals")
+    rows = rows.join(goals, ["skey", "part"]).withColumn("fits", F.when(F.col("size") <= F.col("target"), F.col("size")).otherwise(0))
+    sums = rows.groupBy("skey", "part").agg(F.sum("fits").alias("part_size"))
+    sums = sums.select("skey", "part", (F.sum("part_size").over(W.partitionBy("skey").orderBy("part")) - F.col("part_size")).alias("before"), F.sum("part_size").over(W.partitionBy("skey")).alias("pass_size"))
+    inside = F.sum("fits").over(W.partitionBy("skey", "part").orderBy(*STREAM).rowsBetween(W.unboundedPreceding, 0))
+    queued = rows.withColumn("inside", inside).join(sums, ["skey", "part"]).withColumn("end", F.col("before") + F.col("inside"))
+    queued = materialize(queued.drop("inside", "before"), "mix-queue")
+
+    # A document longer than its source's target isn't part of the stream; an empty one is so once.
+    last = F.when(F.col("size") == 0, 0).otherwise(most - 1)
+    copies = queued.where("size <= target AND target > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), last)))
+    copies = copies.withColumn("tokens", F.col("copy") * F.col("pass_size") + F.col("end")).where(F.col("tokens") - F.col("size") < F.col("target"))
+    served = _in_order(copies.withColumn("finish", F.col("tokens") / F.col("target"))).where(F.col("running") <= F.col("budget"))
+    served = served.where((F.col("tokens") <= F.col("target")) | (2 * F.col("tokens") - F.col("size") <= 2 * F.col("target")))
+    served = materialize(served.select("uid", "skey", "copy", "size", "finish", "running"), "mix-served")
+
+    taken = served.groupBy("uid").agg(F.count("*").cast("int").alias("copies"))
+    state = queued.join(taken, "uid", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
+    state = materialize(state.select("skey", *STREAM, "part", "source_size", "target", "copies"), "mix-state")
     by_source = served.groupBy("skey").agg(F.sum("size").alias("served"))
     gaps = targets.join(by_source, "skey", "left").select("skey", (F.col("target") - F.coalesce("served", F.lit(0))).alias("gap"))
-    state = queued.join(taken, "uid", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
-    state = materialize(state, "mix-state")
-    # Gaps reach the rows by cell, so a source with a third of all rows stays dealt out.
-    gap_cells = cells.select("skey", "cell").join(gaps, "skey").where("gap > 0")
-    fits = state.join(gap_cells, ["skey", "cell"]).where((F.col("copies") < most) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
-    best = fits.groupBy("skey", "cell").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "key", "uid")).alias("best"))
-    filler = best.groupBy("skey").agg(F.min("best").alias("best")).select(F.col("best.uid").alias("uid"), F.lit(1).alias("extra"))
-    state = state.join(filler, "uid", "left").withColumn("copies", (F.col("copies") + F.coalesce("extra", F.lit(0))).cast("int"))
-    final = everything.select("uid", "doc").join(state.select("uid", "size", "source_size", "target", "copies"), "uid")
-    return final, served.select("uid", "copy", "finish", "running")
+    gaps = materialize(gaps, "mix-gaps")
+    more = docs.sparkSession.createDataFrame([], "skey string, uid long, size long")
+    while True:
+        extra = more.groupBy("uid").agg(F.count("*").cast("int").alias("extra"))
+        now = state.join(extra, "uid", "left").withColumn("taken", F.col("copies") + F.coalesce("extra", F.lit(0)))
+        # Gaps reach the rows by part, so a source with most rows stays dealt out.
+        now = now.join(parts.join(gaps, "skey").where("gap > 0").select("skey", "part", "gap"), ["skey", "part"])
+        waiting = now.where((F.col("taken") < most) & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+        waiting = waiting.select("skey", *STREAM, "gap", F.explode(F.sequence("taken", F.lit(most - 1))).alias("copy"))
+        place = F.row_number().over(W.partitionBy("skey").orderBy("copy", *STREAM))
+        head = waiting.withColumn("place", place).where(F.col("place") <= HEAD_ROWS).drop("place")
+        step = materialize(head.groupBy("skey").applyInPandas(_walk, "skey string, uid long, size long"), "mix-step")
+        if step.isEmpty():
+            break
+        more = materialize(more.unionByName(step), "mix-more")
+        filled = step.groupBy("skey").agg(F.sum("size").alias("filled"))
+        gaps = materialize(gaps.join(filled, "skey", "left").select("skey", (F.col("gap") - F.coalesce("filled", F.lit(0))).alias("gap")), "mix-gaps")
+    nearer = now.where((F.col("taken") < most) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
+    # All that wait are larger than the gap, so the smallest comes nearest.
+    best = nearer.groupBy("skey", "part").agg(F.min(F.struct("size", "taken", "key", "mark", "uid")).alias("best"))
+    best = best.groupBy("skey").agg(F.min("best").alias("best")).select("skey", "best.uid", "best.size")
+    more = materialize(more.unionByName(best), "mix-more")
+
+    extra = more.groupBy("uid").agg(F.count("*").cast("int").alias("extra"))
+    final = state.join(extra, "uid", "left").select("uid", "size", "source_size", "target", (F.col("copies") + F.coalesce("extra", F.lit(0))).alias("copies"))
+    return everything.select("uid", "doc").join(final, "uid"), served
+
+
+def _in_order(copies: DataFrame) -> DataFrame:
+    """Adds the words that the mix has given out when a copy ends: ``running`` along the finish times."""
+    order = ["finish", "skey", "tokens", *STREAM]
+    ranged = copies.repartitionByRange(*order).withColumn("slice", F.spark_partition_id())
+    ranged = materialize(ranged.select("copy", "target", "budget", "slice", *order), "mix-ranged")
+    sums = ranged.groupBy("slice").agg(F.sum("size").alias("slice_size"))
+    # One row per partition of the order.
+    sums = sums.select("slice", (F.sum("slice_size").over(W.orderBy("slice")) - F.col("slice_size")).alias("before"))
+    running = F.sum("size").over(W.partitionBy("slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return ranged.withColumn("running", running).join(sums, "slice").withColumn("running", F.col("before") + F.col("running"))
 
 
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """One row per document with what the mix takes of it: ``doc_id, size, source_size, target, taken, copies``.
 
-    Null text has size 0; null is a source of its own, last in order. Empty documents are part of the
-    stream and add nothing. Rows that share an id are different documents. An empty table gives no rows.
-    The order of a source is a hash of ``seed`` and id, so another run gives the same rows.
+    Null text has size 0; null is a source of its own, last in order. Empty documents are served once and add
+    nothing. Rows that share an id are different documents; of rows with equal id, source and text any may be the one that
+    is taken more often. An empty table gives no rows. The order of a source is a hash of ``seed`` and id, then size and a hash of
+    the text, so another run or file layout gives the same rows.
     """
     rows, _ = schedule(docs, text, doc_id, source, carry=(doc_id,), **options)
     return rows.select(
