@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curafold.llm.common import chunks, column_bytes, mix64, text_of
@@ -212,16 +212,19 @@ def _across(similarity: float):
     return compare
 
 
-def near_duplicate_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, class_id, class_size``: one row per document, dropped ones too.
+#: Stands for a null id in joins.
+NO_ID = -(1 << 63)
 
-    Classes are the connected components of pairs with a weighted Jaccard similarity of at least
-    ``similarity`` on shingles of five words; the id of a class is its smallest document id. Equal texts are one
-    text with many documents. A document without words (null, empty or blank) has no shingles and is only
-    in one class with texts equal to its own. Null ids count as absent when the smallest is taken.
-    """
-    key = F.unhex(F.md5(text_of(text)))
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), key.alias("key"), text_of(text).alias("text"))
+
+def _rows(docs: DataFrame, text: str, doc_id: str, *more: Column) -> DataFrame:
+    """``more`` columns of each row with its ``id`` and the ``key`` of its text."""
+    return docs.select(*more, F.col(f"`{doc_id}`").cast("long").alias("id"), F.unhex(F.md5(text_of(text))).alias("key"))
+
+
+def _text_classes(docs: DataFrame, text: str, doc_id: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``(rows, texts)``: ``id, key`` of each row, and ``key, rep, copies, root`` of each distinct text: its smallest id,
+    its rows and its class."""
+    source = _rows(docs, text, doc_id, text_of(text).alias("text")).select("id", "key", "text")
     sketch = materialize(source.mapInArrow(_sketch, "id bigint, key binary, weight bigint, bands array<bigint>"), "sketch")
 
     reps = sketch.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
@@ -233,11 +236,9 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", doc_id: str = "d
     members = materialize(members, "bucket-members")
 
     candidates = members.select("key").distinct().join(reps.select("key", "rep"), "key")
-    no_id = F.lit(-(1 << 63))
-    texts = source.withColumn("id", F.coalesce("id", no_id)).join(
-        candidates.select(F.col("key").alias("wanted"), F.coalesce("rep", no_id).alias("id")), "id"
-    )
-    texts = texts.where(F.col("key") == F.col("wanted")).select("key", "text")
+    # One row of each candidate text; the key keeps rows that share an id, or have none, apart.
+    wanted = candidates.select("key", F.coalesce("rep", F.lit(NO_ID)).alias("id"))
+    texts = source.withColumn("id", F.coalesce("id", F.lit(NO_ID))).join(wanted, ["key", "id"]).select("key", "text")
     sets = materialize(texts.mapInArrow(_units, "key binary, units array<bigint>").dropDuplicates(["key"]), "units")
 
     # Pass 1: every member against the pivot of its buckets.
@@ -273,13 +274,29 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", doc_id: str = "d
     final = final.unionByName(alone)
     named = reps.select("key", "rep", "copies").join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = materialize(named, "text-classes")
+    return sketch.select("id", "key"), named
+
+
+def near_duplicate_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, class_id, class_size``: one row per document, dropped ones too.
+
+    Classes are the connected components of pairs with a weighted Jaccard similarity of at least
+    ``similarity`` on shingles of five words; the id of a class is its smallest document id. Equal texts are one
+    text with many documents. A document without words (null, empty or blank) has no shingles and is only
+    in one class with texts equal to its own. Null ids count as absent when the smallest is taken.
+    """
+    rows, named = _text_classes(docs, text, doc_id, similarity)
     classes = named.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
     labels = named.join(classes, "root").select("key", "class_id", "class_size")
-    return sketch.select("id", "key").join(labels, "key").select(F.col("id").alias(doc_id), "class_id", "class_size")
+    return rows.join(labels, "key").select(F.col("id").alias(doc_id), "class_id", "class_size")
 
 
 def near_deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The document of each class with the smallest id, with its own columns; rows without an id stay."""
-    stays = near_duplicate_classes(docs, similarity=similarity).where("doc_id = class_id").select("doc_id").distinct()
-    with_id = docs.where(F.col("doc_id").isNotNull()).join(stays, "doc_id", "left_semi")
-    return with_id.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each class, with its own columns: the one with the smallest id, or any one of those that share it.
+    A class without any id keeps one document as well."""
+    _, named = _text_classes(docs, "text", "doc_id", similarity)
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "key")).alias("first"))
+    stays = first.select("first.key", F.coalesce("first.rep", F.lit(NO_ID)).alias("id"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = _rows(docs, "text", "doc_id", row).withColumn("id", F.coalesce("id", F.lit(NO_ID)))
+    return rows.join(stays, ["key", "id"]).select("key", "doc").dropDuplicates(["key"]).select("doc.*")

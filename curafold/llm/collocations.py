@@ -26,8 +26,10 @@ from curafold.session import materialize
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: A stripe is cut in so many parts by a hash of the next word, so that no prefix is one task.
-PARTS = {1: 1024, 2: 64}
-MORE_PARTS = 16
+PARTS = {1: 1024, 2: 16}
+MORE_PARTS = 8
+#: Phrases of more words are counted in one pass: few of them aren't frequent if what they consist of is.
+ALONE = 3
 #: Bytes of text that a task turns into stripes at a time; a longer piece is taken whole.
 TEXT_BYTES = 16 << 20
 #: Filter bits: about 16 a phrase, between these bounds (64 MB at most).
@@ -43,7 +45,8 @@ KIND = np.zeros(256, np.uint8)
 KIND[[32, 9]] = 1
 KIND[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = 2
 
-STRIPE = "lang string, prefix string, part int, next array<string>, n array<bigint>"
+#: Next words and their counts are lists in one text each, which is far shorter than arrays are in a shuffle.
+STRIPE = "lang string, prefix string, part int, next string, n string"
 COUNT = "lang string, prefix string, next string, f bigint"
 
 
@@ -144,43 +147,54 @@ def phrase() -> Column:
     return F.concat(F.col("prefix"), F.when(F.col("prefix") == "", "").otherwise(" "), F.col("next"))
 
 
-def stripes_of(langs: list[str], body: np.ndarray, ends: np.ndarray, length: int, filter_: np.ndarray | None, parts: int) -> pa.RecordBatch | None:
-    """The stripes of one phrase length over some texts."""
+def joined(words: pa.Array, offsets: pa.Array) -> pa.Array:
+    """Runs of words as one text each; words hold no spaces."""
+    return pc.cast(pc.binary_join(pa.ListArray.from_arrays(offsets, words), pa.scalar(" ", pa.large_string())), pa.string())
+
+
+def stripes_of(langs: list[str], body: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...], filter_: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """The stripes of some phrase lengths over some texts. The filter has the frequent phrases of one word less than the shortest."""
     words, row, piece = words_of(LOWERED[body], ends)
     if not len(words):
-        return None
+        return
     coded = words.dictionary_encode()
-    word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    known = coded.dictionary
+    word, known = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    if lengths[0] <= 2:  # long stripes are shorter in a shuffle if their words are sorted
+        by = pc.sort_indices(known).to_numpy()
+        known, place = known.take(pa.array(by)), np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        word = place[word]
     names = sorted(set(langs))
     code = {name: i for i, name in enumerate(names)}
     lang = np.array([code[x] for x in langs], np.int64)[row]
     hashed = hash_words(known)
-
-    n = len(word) - length + 1
-    if n <= 0:
-        return None
-    at = np.arange(n)
-    if length > 1:
-        at = at[piece[:n] == piece[length - 1 :]]
-        if filter_ is not None:
-            start = hash_words(pa.array(names, pa.large_string()))[lang]
-            # A phrase of one word less passes at each place; both ends of a longer one must.
-            hash_ = start
-            for k in range(length - 1):
-                hash_ = chained(hash_[: len(word) - k], hashed[word[k:]])
-            passed = contains(filter_, hash_)
-            at = at[passed[at] & passed[at + 1]]
-    if not len(at):
-        return None
+    passed, span = None, lengths[0] - 1
+    if filter_ is not None:
+        hash_ = hash_words(pa.array(names, pa.large_string()))[lang]
+        for k in range(span):
+            hash_ = chained(hash_[: len(word) - k], hashed[word[k:]])
+        passed = contains(filter_, hash_)
+    for length in lengths:
+        n = len(word) - length + 1
+        if n <= 0:
+            return
+        at = np.flatnonzero(piece[:n] == piece[length - 1 :])
+        if passed is not None:
+            for k in range(length - span + 1):
+                at = at[passed[at + k]]
+        if len(at):
+            yield _grouped(names, lang, word, known, hashed, at, length)
+
+
+def _grouped(names: list[str], lang: np.ndarray, word: np.ndarray, known: pa.Array, hashed: np.ndarray, at: np.ndarray, length: int) -> pa.RecordBatch:
+    """The phrases at the places ``at`` as stripes."""
     # The prefix as a number: exact, by numbering the distinct pairs step by step.
     group = lang[at]
     for k in range(length - 1):
         group = np.unique(group * len(known) + word[at + k], return_inverse=True)[1].ravel()
-    last = word[at + length - 1]
-    pairs, first, counts = np.unique(group * len(known) + last, return_index=True, return_counts=True)
+    pairs, first, counts = np.unique(group * len(known) + word[at + length - 1], return_index=True, return_counts=True)
     group, last, first = pairs // len(known), pairs % len(known), at[first]
-    part = (hashed[last] % np.uint64(parts)).astype(np.int64)
+    part = (hashed[last] % np.uint64(PARTS.get(length, MORE_PARTS))).astype(np.int64)
     order = np.lexsort([part, group])
     group, last, first, part, counts = group[order], last[order], first[order], part[order], counts[order]
     heads = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (part[1:] != part[:-1])))
@@ -194,8 +208,8 @@ def stripes_of(langs: list[str], body: np.ndarray, ends: np.ndarray, length: int
             pc.cast(pa.array(names, pa.string()).take(pa.array(lang[head])), pa.string()),
             pc.cast(prefix, pa.string()),
             pa.array(part[heads].astype(np.int32)),
-            pa.ListArray.from_arrays(offsets, pc.cast(known.take(pa.array(last)), pa.string())),
-            pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
+            joined(known.take(pa.array(last)), offsets),
+            joined(pc.cast(pa.array(counts), pa.large_string()), offsets),
         ],
         ["lang", "prefix", "part", "next", "n"],
     )
@@ -233,12 +247,12 @@ def _texts(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list
         yield langs, np.concatenate(bodies), np.cumsum([0, *map(len, bodies)])
 
 
-def _stripes(length: int, parts: int, filter_, limit: int):
+def _stripes(lengths: tuple[int, ...], filter_, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, body, ends in _texts(batches, limit):
-            made = stripes_of(langs, body, ends, length, filter_.value if filter_ is not None else None, parts)
-            for start in range(0, made.num_rows if made is not None else 0, 16_384):
-                yield made.slice(start, 16_384)
+            for made in stripes_of(langs, body, ends, lengths, filter_.value if filter_ is not None else None):
+                for start in range(0, made.num_rows, 16_384):
+                    yield made.slice(start, 16_384)
 
     return run
 
@@ -252,12 +266,13 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: pa.Table | None = None
     keys = ["lang", "prefix", "next"]
     for batch in batches:
-        stripe = pc.list_parent_indices(batch.column("next"))
+        next_, n = (pc.split_pattern(batch.column(c), " ") for c in ("next", "n"))
+        stripe = pc.list_parent_indices(next_)
         flat = pa.table(
             {
                 "lang": batch.column("lang").take(stripe), "prefix": batch.column("prefix").take(stripe),
-                "next": pc.list_flatten(batch.column("next")), "part": batch.column("part").take(stripe),
-                "f": pc.list_flatten(batch.column("n")),
+                "next": pc.list_flatten(next_), "part": batch.column("part").take(stripe),
+                "f": pc.cast(pc.list_flatten(n), pa.int64()),
             }
         )
         if not flat.num_rows:
@@ -281,17 +296,18 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), text_of(text).alias("text")).where("text != ''")
     levels, filter_, sizes = [], None, None
-    for length in range(1, longest + 1):
-        parts = PARTS.get(length, MORE_PARTS)
-        stripes = rows.mapInArrow(_stripes(length, parts, filter_, text_bytes), STRIPE)
+    passes = [(k,) for k in range(1, min(longest, ALONE) + 1)] + [tuple(range(ALONE + 1, longest + 1))] * (longest > ALONE)
+    for lengths in passes:
+        stripes = rows.mapInArrow(_stripes(lengths, filter_, text_bytes), STRIPE)
         by = ["lang", "prefix", "part"]
         counts = stripes.repartition(*by).sortWithinPartitions(*by).mapInArrow(merged, COUNT)
-        if length == 1:
+        if lengths == (1,):
             counts = materialize(counts, "word-counts")
             sizes = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-        level = materialize(counts.where(F.col("f") >= least).withColumn("k", F.lit(length)), f"phrases-{length}")
+        words = F.when(F.col("prefix") == "", 1).otherwise(F.size(F.split("prefix", " ")) + 1)
+        level = materialize(counts.where(F.col("f") >= least).withColumn("k", words), f"phrases-{lengths[0]}")
         levels.append(level)
-        if length < longest:
+        if lengths != passes[-1]:
             filter_ = spark.sparkContext.broadcast(_filter(level))
     out = levels[0]
     for level in levels[1:]:

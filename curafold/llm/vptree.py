@@ -186,6 +186,12 @@ def _search(k: int, factor: float):
                         item = ids[np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
                         other = item != own[query]
                         query, score, item = query[other], score[other], item[other]
+                        # Of an id with several vectors the nearest one counts.
+                        by = np.lexsort([-score, item, query])
+                        query, score, item = query[by], score[by], item[by]
+                        new = np.ones(len(query), bool)
+                        new[1:] = (query[1:] != query[:-1]) | (item[1:] != item[:-1])
+                        query, score, item = query[new], score[new], item[new]
                         by = np.lexsort([item, -score, query])
                         query, score, item = query[by], score[by], item[by]
                         place = np.arange(len(query)) - np.searchsorted(query, query)
@@ -209,13 +215,14 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector
 
     Every row is indexed and every query visits every shard, in blocks: the index is moved once, a
     block of queries once per shard. Vectors of different lengths aren't compared. Rows without an id and
-    vectors that aren't ``usable`` take no part. Rows with equal id and vector are one; a query is never
-    its own neighbour, nor is another row with its id. Ties go to the smaller id. With fewer than ``k``
+    vectors that aren't ``usable`` take no part. Rows with equal id and vector are one; of an id with several vectors
+    the nearest pair counts, as query and as neighbour. A query is never its own neighbour, nor is another row with its id. Ties go to the smaller id. With fewer than ``k``
     candidates all are given; an empty table gives no rows.
     """
     rows = vectors.where(usable(f"`{vector}`") & F.col(f"`{vec_id}`").isNotNull())
     rows = rows.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"), is_query.alias("query"))
-    rows = rows.withColumn("width", F.size("vector"))
+    # Copies are folded where they are, so a row that repeats often meets no single task.
+    rows = rows.dropDuplicates().withColumn("width", F.size("vector"))
     counts = rows.groupBy("width").agg(F.count("*").alias("n"), F.sum(F.col("query").cast("long")).alias("q"))
     # One row per length of vectors.
     rows = rows.join(counts, "width")
@@ -232,5 +239,6 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector
     sent = blocks.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block.shards") - 1)))
     sent = sent.select(F.struct("width", "s").alias("shard"), "queries", "query_ids")
     found = index.hint("merge").join(sent, "shard").drop("shard").mapInArrow(_search(k, factor), "query_id bigint, vec_id bigint, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

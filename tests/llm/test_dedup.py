@@ -17,11 +17,12 @@ def exact_truth(rows):
     groups = defaultdict(list)
     for doc_id, text in rows:
         groups[re.sub(BLANK, "", text or "")].append((-len(text or ""), doc_id is None, doc_id))
-    out = []
+    out, taken = [], set()
     for doc_id, text in rows:
         key = re.sub(BLANK, "", text or "")
         best = min(groups[key])
-        kept = best == (-len(text or ""), doc_id is None, doc_id)
+        kept = best == (-len(text or ""), doc_id is None, doc_id) and key not in taken
+        taken |= {key} if kept else set()
         out.append((doc_id, best[2], len(groups[key]), kept, sha256(key.encode()).hexdigest()))
     return sorted(out, key=repr)
 
@@ -41,6 +42,40 @@ def test_exact_groups_with_a_hot_one(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == exact_truth(rows)
 
 
+def test_one_row_of_a_group_stays(spark):
+    rows = [(1, "a b"), (1, "a b"), (None, "a b"), (None, "ab"), (2, "a  b"), (2, "a  b"), (None, "c"), (None, "c"), (3, None), (3, ""), (4, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = exact_dedup.mark_duplicates(docs).where("kept").collect()
+    assert sorted((r.doc_id, r.group_size) for r in kept if r.doc_id) == [(2, 6), (3, 2), (4, 1)] and len(kept) == 4
+    left = exact_dedup.drop_duplicates(docs).collect()
+    assert sorted((repr(r.doc_id), r.text or "") for r in left) == [("2", "a  b"), ("3", ""), ("4", "d"), ("None", "c")]
+
+
+def test_one_row_of_a_class_stays(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text), (1, text), (1, text), (2, text), (7, text + " x"), (None, "alone"), (None, "alone"), (1, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((repr(r.doc_id), r.text) for r in bagminhash.near_deduplicated(docs).collect())
+    assert got == [("1", "other"), ("1", text), ("None", "alone")]
+
+
+def test_one_id_for_all_texts(spark):
+    rows = [(None if i % 2 else 5, t) for i, t in near_copies(seed=3, n=30, copies=12)]
+    got = bagminhash.near_deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    want = set(classes([(i, t) for i, (_, t) in enumerate(rows)]).values())
+    assert got.count() == len(want)
+
+
+def test_trie_shares_prefixes():
+    trie = exact_dedup.RadixTrie()
+    for key in (b"", b"road", b"roads", b"rose", b"road", b"x"):
+        trie.insert(key, (len(key),), 1)
+    assert set(trie.subtrees) == {-1, ord("r"), ord("x")}
+    (inner,) = trie.subtrees[ord("r")].children.values()
+    assert inner.label == b"o" and {c.label for c in inner.children.values()} == {b"ad", b"se"}
+    assert sorted((k, n) for f in list(trie.subtrees) for k, _, n in trie.pop(f)) == [(b"", 1), (b"road", 2), (b"roads", 1), (b"rose", 1), (b"x", 1)]
+
+
 def test_trie_spills_and_keeps_counts(monkeypatch):
     monkeypatch.setattr(exact_dedup, "TRIE_BYTES", 3000)
     rng = random.Random(1)
@@ -48,7 +83,7 @@ def test_trie_spills_and_keeps_counts(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"id": list(range(400)), "chars": [len(t) for t in texts], "text": texts})
     partial = pa.Table.from_batches(exact_dedup.fold_in_task(iter([batch])))
     assert partial.num_rows >= len(set(texts)) and sum(partial.column("rows").to_pylist()) == 400
-    ordered = partial.sort_by([("digest", "ascending"), ("n_bytes", "ascending")])
+    ordered = partial.sort_by([("body", "ascending")])
     owned = pa.Table.from_batches(exact_dedup.own(iter(ordered.to_batches(max_chunksize=7))))
     want = {sha256(t).digest(): (min(i for i, x in enumerate(texts) if x == t), texts.count(t)) for t in texts}
     got = {r["digest"]: (r["id"], r["rows"]) for r in owned.to_pylist()}
@@ -74,7 +109,7 @@ def test_near_classes_of_awkward_rows(spark):
     assert by_id[1] == by_id[2] == {1} and 1 in by_id[None] and by_id[3] == by_id[4] == {3} and by_id[5] == {5}
     kept = bagminhash.near_deduplicated(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 1, 3, 5, 6, 7, 8]
+    assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 3, 5, 6, 7, 8] and kept.count() == 6
     assert bagminhash.near_duplicate_classes(empty(spark)).count() == 0
 
 

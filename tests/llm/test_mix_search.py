@@ -113,6 +113,13 @@ def test_neighbours_match_brute_force(spark, monkeypatch):
     assert got == neighbours(ids, vectors.astype(float))
 
 
+def test_repeated_queries_and_ids_do_not_repeat_neighbours(spark):
+    rows = [(i, [1.0, i / 10]) for i in range(8)] + [(0, [1.0, 0.0])] * 3 + [(3, [1.0, 0.05]), (2, [-1.0, 0.0])]
+    got = vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(1, 3), (2, 1), (3, 2), (4, 4), (5, 5)]
+    assert got[0].score == pytest.approx(1 / np.sqrt(1 + 0.05**2))
+
+
 @pytest.mark.parametrize("width", [1, 4])
 def test_ties_of_different_vectors_go_to_smaller_ids(spark, width):
     rng = np.random.default_rng(3)
