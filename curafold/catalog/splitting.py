@@ -63,17 +63,56 @@ def _(spark, d):
     return splits.group_fold_table(ids(spark, d).select(group_of().alias("group_id")), "group_id", 5)
 
 
-SEEDED = GREEDY.replace("ORDER BY size DESC, grp", f"ORDER BY size DESC, md5(grp || '|{SEED}'), grp")
-SEEDED_LABELS = [f for f in splits.seeded_labels(5, SEED)]
+def greedy_seeded(events: str) -> str:
+    """One step a group; of the emptiest folds the one with the smallest draw."""
+    prime = splits.DRAW_PRIME
+    by_seed, by_size, by_level, by_fold, mixed = splits.DRAW_FACTORS
+    x = f"(({SEED} * {by_seed} + o.size % {prime} * {by_size} + list_min(s.tot) % {prime} * {by_level} + i * {by_fold}) % {prime})"
+    y = f"(({x} * {x} % {prime} * {mixed} + i) % {prime})"
+    chosen = f"list_sort(list_transform(list_filter(range(1, 6), lambda i: s.tot[i] = list_min(s.tot)), lambda i: {{'d': {y} * {y} % {prime}, 'i': i}}))[1].i"
+    return f"""g AS (SELECT grp, count(*) AS size FROM {events} GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY size DESC, md5(coalesce(grp || '|', '') || '{SEED}'), grp) AS k FROM g),
+step AS (
+  SELECT 0::BIGINT AS k, NULL::VARCHAR AS grp, 0 AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS tot
+  UNION ALL
+  SELECT k, grp, fold, list_transform(range(1, 6), lambda i: tot[i] + CASE WHEN i = fold THEN size ELSE 0 END)
+  FROM (SELECT o.k, o.grp, o.size, s.tot, CAST({chosen} AS INTEGER) AS fold FROM step s JOIN o ON o.k = s.k + 1))"""
+
 
+EVENT_GROUPS = "(SELECT event_id, 'u' || user_id AS grp FROM events)"
+#: A third of the rows has no group.
+NULL_GROUPS = "(SELECT event_id, CASE WHEN event_id % 3 > 0 THEN 'u' || user_id END AS grp FROM events)"
 
-@register("k4_group_folds_seeded", f"""WITH RECURSIVE {SEEDED}
-  SELECT event_id, grp AS group_id, CAST({SEEDED_LABELS}[fold] AS INTEGER) AS fold FROM events JOIN step ON grp = 'u' || user_id WHERE k > 0""")
+
+def null_groups(spark, d):
+    return ids(spark, d).withColumn("group_id", F.when(F.col("event_id") % 3 > 0, group_of()))
+
+
+@register("k4_group_folds_seeded", f"""WITH RECURSIVE {greedy_seeded(EVENT_GROUPS)}
+  SELECT event_id, e.grp AS group_id, fold FROM {EVENT_GROUPS} e JOIN step USING (grp) WHERE k > 0""")
 def _(spark, d):
     rows = ids(spark, d).withColumn("group_id", group_of())
     return splits.group_folds_seeded(rows, "group_id", 5, SEED).select("event_id", "group_id", "fold")
 
 
+@register("k3_group_folds_null_groups", f"""WITH RECURSIVE {GREEDY.replace("SELECT 'u' || user_id AS grp, count(*) AS size FROM events GROUP BY 1", f"SELECT grp, count(*) AS size FROM {NULL_GROUPS} GROUP BY 1").replace("size DESC, grp", "size DESC, grp NULLS FIRST")}
+  SELECT event_id, e.grp AS group_id, fold FROM {NULL_GROUPS} e JOIN step ON e.grp IS NOT DISTINCT FROM step.grp WHERE k > 0""")
+def _(spark, d):
+    return splits.group_folds(null_groups(spark, d), "group_id", 5).select("event_id", "group_id", "fold")
+
+
+@register("k4_group_folds_seeded_null_groups", f"""WITH RECURSIVE {greedy_seeded(NULL_GROUPS)}
+  SELECT event_id, e.grp AS group_id, fold FROM {NULL_GROUPS} e JOIN step ON e.grp IS NOT DISTINCT FROM step.grp WHERE k > 0""")
+def _(spark, d):
+    return splits.group_folds_seeded(null_groups(spark, d), "group_id", 5, SEED).select("event_id", "group_id", "fold")
+
+
+@register("k5_group_holdout_null_groups", f"""WITH h AS ({holdout_sql(f"(SELECT DISTINCT grp FROM {NULL_GROUPS})", 'grp', 0.2, '42')})
+  SELECT event_id, part FROM {NULL_GROUPS} e JOIN h ON e.grp IS NOT DISTINCT FROM h.grp""")
+def _(spark, d):
+    return splits.group_holdout(null_groups(spark, d), "group_id", 0.2, SEED).select("event_id", "part")
+
+
 @register("k5_group_holdout", f"""WITH h AS ({holdout_sql("(SELECT DISTINCT 'u' || user_id AS grp FROM events)", 'grp', 0.2, '42')})
   SELECT event_id, part FROM events JOIN h ON grp = 'u' || user_id""")
 def _(spark, d):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -62,11 +61,32 @@ def holdout(
     ).drop("__rank", "__size")
 
 
-def _deal_functions():
+# The modulus and factors of the draw among equally full folds.
+DRAW_PRIME = 2147483647
+DRAW_FACTORS = (48271, 69621, 16807, 1140671485, 39373)
+
+
+def _draws(seed, size, level, k: int):
+    """A number for each fold; of equally full folds the one with the smallest is served first.
+
+    Whole-number arithmetic below 64 bits, so SQL can state it as well.
+    """
+    import numpy as np
+
+    by_seed, by_size, by_level, by_fold, mixed = DRAW_FACTORS
+    fold = np.arange(1, k + 1, dtype=np.int64)
+    x = (seed % DRAW_PRIME * by_seed + size % DRAW_PRIME * by_size + level % DRAW_PRIME * by_level)[:, None] + fold * by_fold
+    x = x % DRAW_PRIME
+    x = (x * x % DRAW_PRIME * mixed + fold) % DRAW_PRIME
+    return x * x % DRAW_PRIME
+
+
+def _deal_functions(seed: int | None):
     """Closed form of "give the next equal-sized group to the smallest fold".
 
     With totals T and size s, fold f receives its groups at levels T_f, T_f+s, …; the
-    r-th group goes to the fold owning the r-th smallest (level, fold) pair.
+    r-th group goes to the fold owning the r-th smallest (level, fold) pair. With a seed, the
+    folds of one level are served in an order drawn for that size and level.
     """
     import numpy as np
 
@@ -83,21 +103,26 @@ def _deal_functions():
             high[:, None] - 1 >= totals, (high[:, None] - 1 - totals) // size[:, None] + 1, 0
         )
         at_level = (high[:, None] >= totals) & ((high[:, None] - totals) % size[:, None] == 0)
-        return before, at_level, rank - before.sum(axis=1)
+        turn = np.broadcast_to(np.arange(totals.shape[1]), totals.shape)
+        if seed is not None:
+            turn = _draws(np.int64(seed), size, high, totals.shape[1])
+        served = np.argsort(np.where(at_level, turn, DRAW_PRIME), axis=1, kind="stable")
+        return before, served, rank - before.sum(axis=1)
 
     def fold_of(rank, size, totals):
-        _, at_level, nth = level_of(rank, size, totals)
-        return (np.cumsum(at_level, axis=1) >= nth[:, None]).argmax(axis=1) + 1
+        _, served, nth = level_of(rank, size, totals)
+        return served[np.arange(len(rank)), nth - 1] + 1
 
     def totals_after(count, size, totals):
-        before, at_level, nth = level_of(count, size, totals)
-        extra = at_level & (np.cumsum(at_level, axis=1) <= nth[:, None])
+        before, served, nth = level_of(count, size, totals)
+        extra = np.zeros_like(totals)
+        np.put_along_axis(extra, served, (np.arange(totals.shape[1]) < nth[:, None]).astype(np.int64), axis=1)
         return totals + (before + extra) * size[:, None]
 
     return fold_of, totals_after
 
 
-def _greedy_folds(sizes: DataFrame, group: str, k: int, ranked: DataFrame, labels: list[int]) -> DataFrame:
+def _greedy_folds(sizes: DataFrame, group: str, k: int, ranked: DataFrame, seed: int | None) -> DataFrame:
     """Greedy balance over size classes.
 
     Only the distinct sizes are walked in order. They number at most sqrt(2 N) for N
@@ -106,7 +131,7 @@ def _greedy_folds(sizes: DataFrame, group: str, k: int, ranked: DataFrame, label
     """
     import pandas as pd
 
-    fold_of, totals_after = _deal_functions()
+    fold_of, totals_after = _deal_functions(seed)
 
     def walk(pdf):
         import numpy as np
@@ -125,7 +150,7 @@ def _greedy_folds(sizes: DataFrame, group: str, k: int, ranked: DataFrame, label
         folds = fold_of(
             rank.to_numpy(np.int64), size.to_numpy(np.int64), np.stack(totals.to_numpy()).astype(np.int64)
         )
-        return pd.Series(np.asarray(labels)[folds - 1].astype(np.int32))
+        return pd.Series(folds.astype(np.int32))
 
     place.__annotations__ = {
         "rank": pd.Series, "size": pd.Series, "totals": pd.Series, "return": pd.Series
@@ -154,40 +179,33 @@ def group_fold_table(df: DataFrame, group: str, k: int) -> DataFrame:
     """``(group, fold)``: groups by (−size, key), each to the smallest, lowest fold."""
     sizes = _group_sizes(df, group, k)
     ranked = row_positions(sizes, group, ["size"], "__pos")
-    return _greedy_folds(sizes, group, k, ranked, list(range(1, k + 1)))
+    return _greedy_folds(sizes, group, k, ranked, None)
 
 
 def group_folds(df: DataFrame, group: str, k: int, out: str = "fold") -> DataFrame:
-    """Whole groups into ``k`` balanced folds, deterministic."""
+    """Whole groups into ``k`` balanced folds, deterministic; NULL is a group."""
     table = group_fold_table(df, group, k).withColumnRenamed("fold", out)
-    return df.join(table, group)
-
-
-def seeded_labels(k: int, seed: int) -> list[int]:
-    """The folds in a seeded order."""
-    return sorted(range(1, k + 1), key=lambda f: hashlib.md5(f"fold|{f}|{seed}".encode()).hexdigest())
+    return join_on(df, table, [group])
 
 
 def group_folds_seeded(df: DataFrame, group: str, k: int, seed: int, out: str = "fold") -> DataFrame:
-    """Like :func:`group_folds` with a seeded order among equal sizes.
-
-    The folds are permuted once per seed: equally full folds are served in the order of that permutation.
+    """Like :func:`group_folds` with chance among equals: groups of one size come in a seeded order, and
+    equally full folds are served in an order drawn anew for each size and filling.
     """
-    labels = seeded_labels(k, seed)
     sizes = _group_sizes(df, group, k)
     ranked = hash_rank(sizes, group, seed, ["size"], "__rank", "__size").select(
         group, "size", (F.col("__rank") - 1).alias("__pos")
     )
-    table = _greedy_folds(sizes, group, k, ranked, labels).withColumnRenamed("fold", out)
-    return df.join(table, group)
+    table = _greedy_folds(sizes, group, k, ranked, seed).withColumnRenamed("fold", out)
+    return join_on(df, table, [group])
 
 
 def group_holdout(
     df: DataFrame, group: str, fraction: float, seed: int, out: str = "part"
 ) -> DataFrame:
-    """Whole groups to ``valid`` until ``ceil(fraction * groups)`` groups are chosen."""
+    """Whole groups to ``valid`` until ``ceil(fraction * groups)`` groups are chosen; NULL is a group."""
     table = holdout(df.select(group).distinct(), group, fraction, seed, out=out)
-    return df.join(table, group)
+    return join_on(df, table, [group])
 
 
 def group_key(coarse: Column, id_col: Column, empty: str = "singleton") -> Column:
