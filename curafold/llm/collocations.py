@@ -26,8 +26,10 @@ from curafold.session import materialize
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: A stripe is cut in so many parts by a hash of the next word, so that no prefix is one task.
-PARTS = {1: 1024, 2: 16}
-MORE_PARTS = 8
+PARTS = {1: 1024}
+MORE_PARTS = 4
+#: Stripes travel in so many bundles by a hash of prefix and part; a row for each would be many times longer.
+BUNDLES = 4096
 #: Phrases of more words are counted in one pass: few of them aren't frequent if what they consist of is.
 ALONE = 3
 #: Bytes of text that a task turns into stripes at a time; a longer piece is taken whole.
@@ -45,8 +47,8 @@ KIND = np.zeros(256, np.uint8)
 KIND[[32, 9]] = 1
 KIND[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = 2
 
-#: Next words and their counts are lists in one text each, which is far shorter than arrays are in a shuffle.
-STRIPE = "lang string, prefix string, part int, next string, n string"
+#: Prefixes, next words and counts of a bundle: a line for each stripe, with spaces between. Words hold neither.
+STRIPE = "lang string, bundle int, prefix string, next string, n string"
 COUNT = "lang string, prefix string, next string, f bigint"
 
 
@@ -147,9 +149,9 @@ def phrase() -> Column:
     return F.concat(F.col("prefix"), F.when(F.col("prefix") == "", "").otherwise(" "), F.col("next"))
 
 
-def joined(words: pa.Array, offsets: pa.Array) -> pa.Array:
-    """Runs of words as one text each; words hold no spaces."""
-    return pc.cast(pc.binary_join(pa.ListArray.from_arrays(offsets, words), pa.scalar(" ", pa.large_string())), pa.string())
+def joined(texts: pa.Array, offsets: pa.Array, by: str) -> pa.Array:
+    """Runs of texts as one text each."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(offsets, texts), pa.scalar(by, pa.large_string()))
 
 
 def stripes_of(langs: list[str], body: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...], filter_: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -198,21 +200,23 @@ def _grouped(names: list[str], lang: np.ndarray, word: np.ndarray, known: pa.Arr
     order = np.lexsort([part, group])
     group, last, first, part, counts = group[order], last[order], first[order], part[order], counts[order]
     heads = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (part[1:] != part[:-1])))
-    offsets = pa.array(np.append(heads, len(group)).astype(np.int32))
-    head = first[heads]
-    prefix = pa.array([""] * len(heads), pa.large_string())
+    ends = pa.array(np.append(heads, len(group)))
+    head, lang = first[heads], lang[first[heads]]
+    prefix, hash_ = pa.array([""] * len(heads), pa.large_string()), np.zeros(len(heads), np.uint64)
     if length > 1:
-        prefix = pc.binary_join_element_wise(*[known.take(pa.array(word[head + k])) for k in range(length - 1)], pa.scalar(" ", pa.large_string()))
-    return pa.RecordBatch.from_arrays(
-        [
-            pc.cast(pa.array(names, pa.string()).take(pa.array(lang[head])), pa.string()),
-            pc.cast(prefix, pa.string()),
-            pa.array(part[heads].astype(np.int32)),
-            joined(known.take(pa.array(last)), offsets),
-            joined(pc.cast(pa.array(counts), pa.large_string()), offsets),
-        ],
-        ["lang", "prefix", "part", "next", "n"],
-    )
+        each = [word[head + k] for k in range(length - 1)]
+        prefix = pc.binary_join_element_wise(*[known.take(pa.array(w)) for w in each], pa.scalar(" ", pa.large_string()))
+        for w in each:
+            hash_ = chained(hash_, hashed[w])
+    bundle = ((hash_ + part[heads].astype(np.uint64)) % np.uint64(BUNDLES)).astype(np.int64)
+    stripes = [prefix, joined(known.take(pa.array(last)), ends, " "), joined(pc.cast(pa.array(counts), pa.large_string()), ends, " ")]
+    order = np.lexsort([bundle, lang])
+    bundle, lang = bundle[order], lang[order]
+    heads = np.flatnonzero(np.append(True, (bundle[1:] != bundle[:-1]) | (lang[1:] != lang[:-1])))
+    ends = pa.array(np.append(heads, len(bundle)))
+    lines = [pc.cast(joined(x.take(pa.array(order)), ends, "\n"), pa.string()) for x in stripes]
+    langs = pa.array(names, pa.string()).take(pa.array(lang[heads]))
+    return pa.RecordBatch.from_arrays([langs, pa.array(bundle[heads].astype(np.int32)), *lines], ["lang", "bundle", "prefix", "next", "n"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
@@ -251,8 +255,8 @@ def _stripes(lengths: tuple[int, ...], filter_, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, body, ends in _texts(batches, limit):
             for made in stripes_of(langs, body, ends, lengths, filter_.value if filter_ is not None else None):
-                for start in range(0, made.num_rows, 16_384):
-                    yield made.slice(start, 16_384)
+                for start in range(0, made.num_rows, 1024):
+                    yield made.slice(start, 1024)
 
     return run
 
@@ -262,17 +266,19 @@ def summed(rows: pa.Table, keys: list[str]) -> pa.Table:
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up stripes elementwise. They come sorted, so what is held is one stripe, or some small ones."""
+    """Adds up stripes elementwise. They come sorted, so what is held is one bundle, or some small ones."""
     held: pa.Table | None = None
     keys = ["lang", "prefix", "next"]
     for batch in batches:
-        next_, n = (pc.split_pattern(batch.column(c), " ") for c in ("next", "n"))
+        lines = pc.split_pattern(batch.column("prefix"), "\n")
+        row = pc.list_parent_indices(lines)
+        next_, n = (pc.split_pattern(pc.list_flatten(pc.split_pattern(batch.column(c), "\n")), " ") for c in ("next", "n"))
         stripe = pc.list_parent_indices(next_)
+        row = row.take(stripe)
         flat = pa.table(
             {
-                "lang": batch.column("lang").take(stripe), "prefix": batch.column("prefix").take(stripe),
-                "next": pc.list_flatten(next_), "part": batch.column("part").take(stripe),
-                "f": pc.cast(pc.list_flatten(n), pa.int64()),
+                "lang": batch.column("lang").take(row), "prefix": pc.list_flatten(lines).take(stripe), "next": pc.list_flatten(next_),
+                "bundle": batch.column("bundle").take(row), "f": pc.cast(pc.list_flatten(n), pa.int64()),
             }
         )
         if not flat.num_rows:
@@ -280,12 +286,11 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = flat if held is None else pa.concat_tables([held, flat])
         if held.num_rows < 200_000:
             continue
-        last = {c: held.column(c)[-1] for c in ("lang", "prefix", "part")}
-        open_ = pc.and_(pc.and_(pc.equal(held.column("lang"), last["lang"]), pc.equal(held.column("prefix"), last["prefix"])), pc.equal(held.column("part"), last["part"]))
+        open_ = pc.and_(pc.equal(held.column("lang"), held.column("lang")[-1]), pc.equal(held.column("bundle"), held.column("bundle")[-1]))
         done = held.filter(pc.invert(open_))
         if done.num_rows:
             yield from summed(done, keys).to_batches()
-        held = summed(held.filter(open_), [*keys, "part"])
+        held = summed(held.filter(open_), [*keys, "bundle"])
     if held is not None and held.num_rows:
         yield from summed(held, keys).to_batches()
 
@@ -299,11 +304,14 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     passes = [(k,) for k in range(1, min(longest, ALONE) + 1)] + [tuple(range(ALONE + 1, longest + 1))] * (longest > ALONE)
     for lengths in passes:
         stripes = rows.mapInArrow(_stripes(lengths, filter_, text_bytes), STRIPE)
-        by = ["lang", "prefix", "part"]
+        by = ["lang", "bundle"]
         counts = stripes.repartition(*by).sortWithinPartitions(*by).mapInArrow(merged, COUNT)
         if lengths == (1,):
-            counts = materialize(counts, "word-counts")
+            # Rare words are one row of each language, which counts for its size.
+            kept = F.when(F.col("f") >= least, F.col("next"))
+            counts = materialize(counts.groupBy("lang", "prefix", kept.alias("next")).agg(F.sum("f").alias("f")), "word-counts")
             sizes = counts.groupBy("lang").agg(F.sum("f").alias("n"))
+            counts = counts.where("next IS NOT NULL")
         words = F.when(F.col("prefix") == "", 1).otherwise(F.size(F.split("prefix", " ")) + 1)
         level = materialize(counts.where(F.col("f") >= least).withColumn("k", words), f"phrases-{lengths[0]}")
         levels.append(level)
