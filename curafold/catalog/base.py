@@ -16,6 +16,7 @@ from curafold.operators.curate import (
     measurement_rules,
     tag_conflicts,
 )
+from curafold.operators import splits
 from curafold.operators.features import bit_set, words
 from curafold.session import materialize
 from curafold.sources.tables import read_spread
@@ -324,3 +325,23 @@ def holdout_sql(rows: str, id_col: str, fraction: float, seed: str, by: str = ""
     over = f"PARTITION BY {by}" if by else ""
     return f"""SELECT *, CASE WHEN row_number() OVER ({over} ORDER BY md5({id_col} || '|' || ({seed})), {id_col})
       <= ceil({fraction}::DOUBLE * count(*) OVER ({over})) THEN 'valid' ELSE 'train' END AS part FROM {rows}"""
+
+
+def seeded_folds_sql(sizes: str, k: int, seed: int, name: str) -> str:
+    """Greedy folds of groups, a step a group; of the emptiest folds the one with the smallest draw.
+
+    ``sizes`` gives ``grp, size``. The result is ``{name}_step(k, grp, fold, tot)``, with a first row of ``k = 0``.
+    """
+    prime = splits.DRAW_PRIME
+    by_seed, by_size, by_level, by_fold, mixed = splits.DRAW_FACTORS
+    x = f"(({seed % prime} * {by_seed} + o.size % {prime} * {by_size} + list_min(s.tot) % {prime} * {by_level} + i * {by_fold}) % {prime})"
+    y = f"(({x} * {x} % {prime} * {mixed} + i) % {prime})"
+    folds = f"range(1, {k + 1})"
+    chosen = f"list_sort(list_transform(list_filter({folds}, lambda i: s.tot[i] = list_min(s.tot)), lambda i: {{'d': {y} * {y} % {prime}, 'i': i}}))[1].i"
+    return f"""{name}_sizes AS ({sizes}),
+{name}_order AS (SELECT *, row_number() OVER (ORDER BY size DESC, md5(coalesce(grp || '|', '') || '{seed}'), grp NULLS FIRST) AS k FROM {name}_sizes),
+{name}_step AS (
+  SELECT 0::BIGINT AS k, NULL::VARCHAR AS grp, 0 AS fold, {[0] * k}::BIGINT[] AS tot
+  UNION ALL
+  SELECT k, grp, fold, list_transform({folds}, lambda i: tot[i] + CASE WHEN i = fold THEN size ELSE 0 END)
+  FROM (SELECT o.k, o.grp, o.size, s.tot, CAST({chosen} AS INTEGER) AS fold FROM {name}_step s JOIN {name}_order o ON o.k = s.k + 1))"""

@@ -113,10 +113,40 @@ def _(spark, d):
     return manifest.select("path", (F.col("bytes") > 0).alias("has_bytes"), F.col("sha256").rlike("^[0-9a-f]{64}$").alias("hash_form"))
 
 
-@register("s5_table_checksum", """SELECT event_type, count(*) AS n_rows,
-  CAST(sum(('0x' || substr(md5(event_id || '|' || user_id || '|' || coalesce(event_type, '\\N')), 1, 8))::BIGINT) AS BIGINT) AS checksum FROM events GROUP BY event_type""")
+def code_sql(*columns: str) -> str:
+    return " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, 'N:')" for c in columns)
+
+
+def sums_of(code: str) -> str:
+    part = f"CAST(sum(CAST('0x' || substr(md5({code}), %d, {integrity.SUM_DIGITS}) AS BIGINT)) AS VARCHAR)"
+    return f"count(*) AS n_rows, {part % 1} || '-' || {part % (1 + integrity.SUM_DIGITS)} AS checksum"
+
+
+EVENT_FIELDS = ("event_id", "user_id", "event_type")
+
+
+@register("s5_table_checksum", f"SELECT event_type, {sums_of(code_sql(*EVENT_FIELDS))} FROM events GROUP BY event_type")
+def _(spark, d):
+    return integrity.table_checksum(events(spark, d).select(*EVENT_FIELDS), ["event_type"])
+
+
+@register("s5_checksum_tree", f"""WITH b AS (SELECT *, CAST(CAST('0x' || substr(md5({code_sql('event_id')}), 1, 8) AS BIGINT) % 16 AS INTEGER) AS bucket FROM events)
+  SELECT CASE grouping(event_type, bucket) WHEN 0 THEN 'bucket' WHEN 1 THEN 'part' ELSE 'table' END AS level, event_type AS part, bucket, {sums_of(code_sql(*EVENT_FIELDS))}
+  FROM b GROUP BY ROLLUP (event_type, bucket)""")
+def _(spark, d):
+    return integrity.checksum_tree(events(spark, d).select(*EVENT_FIELDS), ["event_id"], "event_type", 16)
+
+
+@register("j5_compare_stored", """SELECT event_id, CASE event_id % 1000 WHEN 7 THEN 'removed' WHEN 8 THEN 'changed' ELSE 'added' END AS status
+  FROM events WHERE event_id % 1000 IN (7, 8, 9)""")
 def _(spark, d):
-    return integrity.table_checksum(events(spark, d).select("event_id", "user_id", "event_type"), ["event_type"])
+    rows = events(spark, d).select(*EVENT_FIELDS)
+    rest = F.pmod("event_id", F.lit(1000))
+    old, new = (scratch_path(spark, f"snapshot-{x}") for x in ("old", "new"))
+    integrity.write_snapshot(rows.where(rest != 9), ["event_id"], old, "event_type", 16)
+    edited = rows.where(rest != 7).withColumn("user_id", F.when(rest == 8, -F.col("user_id") - 1).otherwise(F.col("user_id")))
+    integrity.write_snapshot(edited, ["event_id"], new, "event_type", 16)
+    return integrity.compare_stored(spark, old, new, ["event_id"])
 
 
 # --- scalar expressions ----------------------------------------------------------

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from curafold.catalog.base import (
     FEATURES, METRIC_NAMES, SEED, SQL_FRAME, frame, frame_table, holdout_sql, kfold_sql, metric_sql, oof_sql, r,
-    register, rs, solve_sql, sums_sql,
+    register, rs, seeded_folds_sql, solve_sql, sums_sql,
 )
 from curafold.operators import features, metrics, ranking, splits
-from curafold.plans import learners, workflows
+from curafold.plans import learners, runner, workflows
 from curafold.session import materialize
 
 ARM_LIST = [None, 1.05, 1.1, 1.2]
@@ -174,7 +174,7 @@ def _(spark, d):
         folded.where(F.col("fold") <= 3).select("fold").distinct()
         .select(F.lit("no_filter").alias("arm"), "fold", F.when(F.col("fold") == 3, "cfg-0").otherwise("cfg-1").alias("signature"))
     )
-    return workflows.resume_ledger(plan, done, ["arm", "fold"])
+    return runner.resume_ledger(plan, done, ["arm", "fold"])
 
 
 # --- tree learners ---------------------------------------------------------------------
@@ -299,3 +299,110 @@ def _(spark, d):
     values = train.select(F.posexplode(vector_to_array("features")).alias("feature", "value"))
     medians = [x["median"] for x in ranking.exact_median(values, ["feature"], "value").orderBy("feature").collect()]
     return learners.ablation_contributions(model, valid, ["id"], ["is_en", "one"], medians)
+
+
+# --- the same learners on all features, with several rounds -------------------------------
+# No SQL: tests compare them with a brute-force booster.
+
+TREES = dict(maxDepth=3, stepSize=0.5)
+
+
+def wide_rows(spark, d):
+    """All features, missing values filled with the median, as one vector."""
+    df = rows(spark, d).where(F.col("y").isNotNull())
+    names, (filled,) = workflows.impute_wide(df, [df], ["word_ratio", "digit_share", *FEATURES])
+    return materialize(features.assemble_vector(filled, names).select("id", "y", "weight", "source", "features"), "wide-rows")
+
+
+def wide_parts(spark, d):
+    parts = materialize(splits.holdout(wide_rows(spark, d), "id", 0.2, SEED), "wide-parts")
+    return parts.where(F.col("part") == "train").drop("part"), parts.where(F.col("part") == "valid").drop("part")
+
+
+@register("m1_fit_early_stop_all")
+def _(spark, d):
+    train, valid = wide_parts(spark, d)
+    model, n = learners.fit_early_stop(train, valid, "y", 12, 2, SEED, **TREES)
+    return model.transform(valid).select("id", "y", "pred", F.lit(n).alias("rounds"))
+
+
+@register("m2_fit_fixed_all")
+def _(spark, d):
+    train, valid = wide_parts(spark, d)
+    return learners.fit_fixed(train, "y", 4, SEED, **TREES).transform(valid).select("id", "y", "pred")
+
+
+@register("m3_oof_predict_trees_all")
+def _(spark, d):
+    folded = splits.kfold(wide_rows(spark, d), "id", 3, SEED)
+    return learners.oof_predict_trees(folded, "fold", 3, "y", 3, SEED, **TREES).select("id", "fold", "y", "pred")
+
+
+@register("m6_bagging_trees_all")
+def _(spark, d):
+    train, valid = wide_parts(spark, d)
+    scored = [
+        learners.fit_fixed(train, "y", 3, s, **TREES).transform(valid).select("id", F.lit(s).alias("seed"), "y", "pred") for s in (1, 2, 3)
+    ]
+    return workflows.bagging_ensemble(scored[0].unionByName(scored[1]).unionByName(scored[2]), "id")
+
+
+@register("m7_select_rounds_all")
+def _(spark, d):
+    train, valid = wide_parts(spark, d)
+    n = learners.select_rounds(train, "id", "y", 0.2, 8, 2, SEED, **TREES)
+    return learners.fit_fixed(train, "y", n, SEED, **TREES).transform(valid).select("id", "y", "pred", F.lit(n).alias("rounds"))
+
+
+@register("m7_select_rounds_groups")
+def _(spark, d):
+    train, valid = wide_parts(spark, d)
+    n = learners.select_rounds(train, "id", "y", 0.2, 8, 2, SEED, group="source", **TREES)
+    return learners.fit_fixed(train, "y", n, SEED, **TREES).transform(valid).select("id", "y", "pred", F.lit(n).alias("rounds"))
+
+
+# Whole groups outside, inside and in the pilots. Stumps make the predictions of each fold a mean, so SQL can state all of it
+# from the recursion of the seeded group folds.
+SQL_GROUP_OUTER = f"""{SQL_STUMP}, {seeded_folds_sql('SELECT source AS grp, count(*) AS size FROM b GROUP BY 1', 2, SEED, 'o')},
+o AS (SELECT id, y, source, f, CAST(fold AS INTEGER) AS fold FROM b JOIN o_step ON source IS NOT DISTINCT FROM grp WHERE k > 0)"""
+
+
+def _inner_sql(outer: int) -> str:
+    name = f"i{outer}"
+    sizes = f"SELECT source AS grp, count(*) AS size FROM o WHERE fold <> {outer} GROUP BY 1"
+    return f"""{seeded_folds_sql(sizes, 2, SEED + splits.OUTER_SEED_STEP * outer, name)},
+{name} AS (SELECT {outer} AS outer_fold, id, y, f, CAST({name}_step.fold AS INTEGER) AS inner_fold FROM o JOIN {name}_step ON source IS NOT DISTINCT FROM grp WHERE k > 0 AND o.fold <> {outer})"""
+
+
+SQL_GROUP_NESTED = f"""{SQL_GROUP_OUTER}, {_inner_sql(1)}, {_inner_sql(2)},
+inn AS (SELECT * FROM i1 UNION ALL SELECT * FROM i2),
+im AS (SELECT x.outer_fold, x.inner_fold, inn.f, avg(inn.y) AS pred FROM (SELECT DISTINCT outer_fold, inner_fold FROM inn) x
+       JOIN inn ON inn.outer_fold = x.outer_fold AND inn.inner_fold <> x.inner_fold GROUP BY ALL),
+screening AS (SELECT outer_fold, inner_fold, id, y, f, pred, pow(10, abs(y - pred)) AS fold_error FROM inn JOIN im USING (outer_fold, inner_fold, f)),
+am AS (SELECT outer_fold AS fold, arm, f, avg(y) AS pred FROM screening, {SQL_TREE_ARMS} WHERE fold_error < t.t GROUP BY ALL)"""
+
+
+@register("m9_nested_trees_groups", f"WITH RECURSIVE {SQL_GROUP_NESTED} SELECT arm, fold, id, {rs(['y', 'pred'])}, CAST(2 AS BIGINT) AS n_models FROM o JOIN am USING (fold, f)")
+def _(spark, d):
+    return nested_trees(spark, d, "source")["predictions"]
+
+
+def leak_sql(name: str, bad: str, detail: str) -> str:
+    return f"""SELECT '{name}' AS "check", CASE WHEN n = 0 THEN 'pass' ELSE 'fail' END AS status, n AS n_bad, '{detail}' AS detail FROM (SELECT count(*) AS n FROM ({bad}))"""
+
+
+@register("m9_nested_trees_groups_leakage", f"""WITH RECURSIVE {SQL_GROUP_NESTED},
+ledger AS (SELECT fold AS outer_fold, 0 AS inner_fold, 'test' AS role, id FROM o UNION ALL SELECT outer_fold, inner_fold, 'oof_prediction', id FROM screening)
+""" + " UNION ALL ".join([
+    leak_sql("outer_test_untouched", "SELECT 1 FROM ledger GROUP BY outer_fold, id HAVING bool_or(role = 'test') AND bool_or(role <> 'test')", "outer test rows used in screening"),
+    leak_sql("inner_prediction_once", "SELECT 1 FROM ledger WHERE role <> 'test' GROUP BY outer_fold, id HAVING count(*) <> 1", "outer train rows not predicted exactly once"),
+    leak_sql("inner_role_single", "SELECT 1 FROM ledger WHERE role <> 'test' GROUP BY outer_fold, inner_fold, id HAVING count(*) <> 1", "rows with several roles"),
+    leak_sql("outer_test_once", "SELECT 1 FROM ledger WHERE role = 'test' GROUP BY id HAVING count(*) <> 1", "rows tested more than once"),
+    leak_sql("group_isolated", "SELECT 1 FROM ledger JOIN b USING (id) GROUP BY outer_fold, source HAVING bool_or(role = 'test') AND bool_or(role <> 'test')", "groups on both sides of an outer split"),
+]))
+def _(spark, d):
+    run = nested_trees(spark, d, "source")
+    test = run["outer"].select(F.col("fold").alias("outer_fold"), F.lit(0).alias("inner_fold"), F.lit("test").alias("role"), "id")
+    screened = run["screening"].select("outer_fold", "inner_fold", F.lit("oof_prediction").alias("role"), "id")
+    groups = run["outer"].select("id", F.col("source").alias("group_id"))
+    return splits.leakage_report(materialize(test.unionByName(screened), "tree-ledger"), "id", groups)

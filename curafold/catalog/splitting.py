@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curafold.catalog.base import SEED, events, frame, holdout_sql, kfold_sql, register, r, SQL_FRAME
+from curafold.catalog.base import SEED, events, frame, holdout_sql, kfold_sql, register, r, seeded_folds_sql, SQL_FRAME
 from curafold.catalog.curation import SQL_ROUTE, routed
 from curafold.operators import contracts, metrics, splits
 from curafold.operators.ranking import row_positions
@@ -64,19 +64,8 @@ def _(spark, d):
 
 
 def greedy_seeded(events: str) -> str:
-    """One step a group; of the emptiest folds the one with the smallest draw."""
-    prime = splits.DRAW_PRIME
-    by_seed, by_size, by_level, by_fold, mixed = splits.DRAW_FACTORS
-    x = f"(({SEED} * {by_seed} + o.size % {prime} * {by_size} + list_min(s.tot) % {prime} * {by_level} + i * {by_fold}) % {prime})"
-    y = f"(({x} * {x} % {prime} * {mixed} + i) % {prime})"
-    chosen = f"list_sort(list_transform(list_filter(range(1, 6), lambda i: s.tot[i] = list_min(s.tot)), lambda i: {{'d': {y} * {y} % {prime}, 'i': i}}))[1].i"
-    return f"""g AS (SELECT grp, count(*) AS size FROM {events} GROUP BY 1),
-o AS (SELECT *, row_number() OVER (ORDER BY size DESC, md5(coalesce(grp || '|', '') || '{SEED}'), grp) AS k FROM g),
-step AS (
-  SELECT 0::BIGINT AS k, NULL::VARCHAR AS grp, 0 AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS tot
-  UNION ALL
-  SELECT k, grp, fold, list_transform(range(1, 6), lambda i: tot[i] + CASE WHEN i = fold THEN size ELSE 0 END)
-  FROM (SELECT o.k, o.grp, o.size, s.tot, CAST({chosen} AS INTEGER) AS fold FROM step s JOIN o ON o.k = s.k + 1))"""
+    sql = seeded_folds_sql(f"SELECT grp, count(*) AS size FROM {events} GROUP BY 1", 5, SEED, "s")
+    return f"{sql}, step AS (SELECT k, grp, fold FROM s_step)"
 
 
 EVENT_GROUPS = "(SELECT event_id, 'u' || user_id AS grp FROM events)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curafold.functions.measurement import finite, sanitize
 from curafold.operators.ranking import exact_median, join_on
-from curafold.session import small_side
+from curafold.session import join_parameters
 
 DEFAULT_BITS = 2048
 
@@ -117,8 +117,7 @@ def fit_median(train: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def apply_median(long: DataFrame, medians: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Fill missing values from the fitted medians; features without a median drop out."""
-    fitted = small_side(medians, "medians", max_rows=100_000)
-    return join_on(long, fitted, [*by, "feature"]).withColumn(
+    return join_parameters(long, medians, [*by, "feature"], "medians").withColumn(
         "value", F.coalesce("value", "median")
     ).drop("median")
 

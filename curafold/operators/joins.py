@@ -26,16 +26,13 @@ def duplicate_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
 def unique_by(df: DataFrame, on: Sequence[str], label: str) -> DataFrame:
     """``df`` with a run-time check: a repeated key fails the job.
 
-    One aggregation per side, on the join key, so the join reuses its partitioning.
+    Keys are counted beside the rows, as a subquery that reads the key columns only, so no payload is
+    aggregated and the rows take part in a join as they are.
     """
-    payload = [c for c in df.columns if c not in on]
-    checked = df.groupBy(*on).agg(
-        F.count(F.lit(1)).alias("__n"), F.first(F.struct(*payload) if payload else F.lit(1)).alias("__row")
-    )
-    message = F.concat(F.lit(f"{label}: key is not unique: "), F.to_json(F.struct(*on)))
-    row = F.when(F.col("__n") == 1, F.col("__row")).otherwise(F.raise_error(message))
-    out = checked.select(*on, row.alias("__row"))
-    return out.select(*on, *[F.col("__row")[c].alias(c) for c in payload])
+    repeated = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+    example = repeated.agg(F.min(F.to_json(F.struct(*on))).alias("key")).scalar()
+    message = F.concat(F.lit(f"{label}: key is not unique: "), example)
+    return df.where(F.when(example.isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
 def one_to_one_join(

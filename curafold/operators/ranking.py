@@ -4,8 +4,8 @@ Spark's ``median`` keeps every distinct value of a group in one task, and a wind
 over a whole group sorts that group in one task. Both fail when one key holds a
 third of all rows. Here a group's order is dealt out instead: by ranges of the rows
 themselves (``running_in_order``), by leading digits of a hash (``hash_rank``), or by
-counting ever finer cells of the value around the middle (``exact_median``). NULL is a
-group like any other, and no row is lost.
+brackets of a sketch around the middle (``exact_median``). NULL is a group like any other, and
+no row is lost.
 """
 
 from __future__ import annotations
@@ -15,19 +15,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curafold.session import materialize, small_side
+from curafold.session import join_parameters, materialize
 
-# Cells per factor of two of a value, and how often each later level cuts a cell again.
-CELLS_PER_OCTAVE = 4096
-FINER = (1 << 20, 1 << 22)
-# Cells of the values beyond all finite ones.
-BELOW, ABOVE, NAN = -(1 << 40), 1 << 40, 1 << 41
+# The sketch of a group errs by one rank in so many; the bracket around the middle is wider than that.
+SKETCH_ACCURACY = 10_000
+BRACKET = 5 / SKETCH_ACCURACY
+# Groups of up to so many rows (about 1 MB of values with their counts) are sorted as a whole.
+SMALL_GROUP = 20_000
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` treating NULL as a value, keeping one copy of the keys.
 
-    Internal columns (leading ``__``) are never NULL and use plain equality.
+    ``full_outer_coalesced`` is a full outer join whose keys come from either side. Internal columns (leading ``__``) are never NULL and use plain equality.
     """
     if not keys:
         raise ValueError("join_on needs at least one key")
@@ -38,49 +38,15 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     for k in keys:
         l, r = F.col(k), F.col(f"__r_{k}")
         cond = cond & (l == r if k.startswith("__") else l.eqNullSafe(r))
+    if how == "full_outer_coalesced":
+        joined = left.withColumn("__left", F.lit(True)).join(renamed, cond, "full_outer")
+        from_left = F.col("__left").isNotNull()
+        either = {k: F.when(from_left, F.col(k)).otherwise(F.col(f"__r_{k}")) for k in keys}
+        return joined.withColumns(either).drop("__left", *[f"__r_{k}" for k in keys])
     joined = left.join(renamed, cond, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{k}" for k in keys])
 
 
-def value_cell(value: Column, per_octave: int = CELLS_PER_OCTAVE) -> Column:
-    """Monotone map from a double to an integer cell; NaN is above infinity.
-
-    Cells are equally wide within a power of two, so they stay narrow relative to
-    the value over the whole double range.
-    """
-    value = value.cast("double")
-    size = F.abs(value)
-    exponent = F.floor(F.log2(size))
-    inside = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * per_octave)
-    magnitude = ((exponent + 1100) * per_octave + inside).cast("long")
-    infinite = F.lit(float("inf"))
-    return (
-        F.when(F.isnan(value), F.lit(NAN))
-        .when(value == infinite, F.lit(ABOVE))
-        .when(value == -infinite, F.lit(BELOW))
-        .when(size == 0, F.lit(0).cast("long"))
-        .when(value > 0, magnitude)
-        .otherwise(-magnitude)
-    )
-
-
-def _finer_cells(value: Column) -> list[Column]:
-    """The cell of a value and its place within, cut twice more: together they determine a double."""
-    value = value.cast("double")
-    size = F.abs(value)
-    plain = (size > 0) & (size < F.lit(float("inf")))
-    exponent = F.floor(F.log2(size))
-    rest = (size / F.pow(F.lit(2.0), exponent) - 1) * CELLS_PER_OCTAVE
-    rest = rest - F.floor(rest)
-    out = [value_cell(value)]
-    for parts in FINER:
-        rest = rest * parts
-        step = F.floor(rest).cast("long")
-        out.append(F.when(plain, F.when(value > 0, step).otherwise(-step)).otherwise(F.lit(0).cast("long")))
-        rest = rest - F.floor(rest)
-    return out
-
-
 def _group(by: Sequence[str]) -> Column:
     """The group as one value that is never NULL itself, so NULL keys join like others."""
     return F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
@@ -189,38 +155,38 @@ def _value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def exact_median(df: DataFrame, by: Sequence[str], value: str, out: str = "median") -> DataFrame:
     """Interpolated median per group; one row per group with a value. For few groups of many rows.
 
-    Cells are counted where the rows are, so only counts are shuffled. The cells with the middle
-    ranks are cut again, twice, after which a cell holds a single value. NaN counts as the
-    largest value; the middle of opposite infinities is NaN.
+    A pass makes a mergeable quantile sketch of each group, which brackets the middle; another counts the rows below
+    the bracket and keeps the distinct values inside, a few in ten thousand. Only these are put in order. NaN
+    counts as the largest value; the middle of opposite infinities is NaN.
     """
-    cells = ["__c0", "__c1", "__c2"]
-    rows = df.where(F.col(value).isNotNull()).select(
-        _group(by).alias("__by"), F.col(value).cast("double").alias("__v"),
-        *[c.alias(n) for n, c in zip(cells, _finer_cells(F.col(value)))],
-    )
-    rows = materialize(rows, "median-values")
-    goals = None
-    for level, cell in enumerate(cells):
-        keys = ["__by"] if level == 0 else ["__by", "__goal", *cells[:level]]
-        here = rows if level == 0 else rows.join(goals.select(*keys), ["__by", *cells[:level]])
-        counts = here.groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__low"))
-        placed = counts.withColumns(
-            {"__before": _running_before("__n", keys, [cell]), "__size": F.sum("__n").over(Window.partitionBy(*keys))}
-        )
-        if level == 0:
-            lower, upper = F.floor((F.col("__size") + 1) / 2), F.floor((F.col("__size") + 2) / 2)
-            placed = placed.withColumn("__goal", F.explode(F.array(F.struct(F.lit(0).alias("k"), lower.alias("at")), F.struct(F.lit(1).alias("k"), upper.alias("at")))))
-            placed = placed.withColumn("__at", F.col("__goal")["at"]).withColumn("__goal", F.col("__goal")["k"])
-        else:
-            placed = placed.join(goals, keys)
-        hit = (F.col("__before") < F.col("__at")) & (F.col("__at") <= F.col("__before") + F.col("__n"))
-        goals = placed.where(hit).select(
-            "__by", "__goal", *cells[: level + 1], (F.col("__at") - F.col("__before")).alias("__at"), "__low"
-        )
-        if level < len(cells) - 1:
-            goals = small_side(goals.drop("__low"), "median-cells")
-    middle = goals.groupBy("__by").agg((F.sum(F.col("__low") / 2)).alias(out))
-    return middle.select(*[F.col("__by")[b].alias(b) for b in by], out)
+    rows = df.where(F.col(value).isNotNull()).select(_group(by).alias("group"), F.col(value).cast("double").alias("__v"))
+    # For the bracket NaN is as good as infinity, which it follows.
+    rows = rows.withColumn("__w", F.when(F.isnan("__v"), F.lit(float("inf"))).otherwise(F.col("__v")))
+    sketch = F.percentile_approx("__w", [0.5 - BRACKET, 0.5 + BRACKET], SKETCH_ACCURACY)
+    brackets = rows.groupBy("group").agg(sketch.alias("__s"), F.count("*").alias("__n"))
+    brackets = brackets.select("group", "__n", F.col("__s")[0].alias("__low"), F.col("__s")[1].alias("__high"))
+    near = join_parameters(rows, brackets, ["group"], "median-brackets").where(F.col("__w") <= F.col("__high"))
+    inside = F.when(F.col("__w") >= F.col("__low"), F.col("__v"))
+    # All rows below are one entry, NULL, which comes first in the order.
+    counts = near.groupBy("group", inside.alias("__v")).agg(F.count("*").alias("__c"), F.any_value("__n").alias("__n"))
+    placed = running_in_order(counts, ["group"], ["__v"], "__before", "__size", "__c")
+    upto = F.col("__before") + F.col("__c")
+    lower, upper = F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2)
+    halves = [F.max(F.when((F.col("__before") < at) & (at <= upto), F.col("__v") / 2)) for at in (lower, upper)]
+    middle = placed.groupBy("group").agg((halves[0] + halves[1]).alias(out))
+    missed = F.raise_error(F.lit("the bracket of a median misses it")).cast("double")
+    return middle.select(*[F.col("group")[b].alias(b) for b in by], F.coalesce(out, missed).alias(out))
+
+
+def _median_in_order(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
+    """Medians from the distinct values of each group with their counts, dealt out in order over all groups together."""
+    placed = running_in_order(_value_counts(df, by, value), by, ["__v"], "__before", "__size", "__c")
+    upto = F.col("__before") + F.col("__c")
+    lower, upper = F.floor((F.col("__size") + 1) / 2), F.floor((F.col("__size") + 2) / 2)
+    halves = [
+        F.when((F.col("__before") < at) & (at <= upto), F.col("__v").cast("double") / 2) for at in (lower, upper)
+    ]
+    return placed.groupBy(*by).agg((F.max(halves[0]) + F.max(halves[1])).alias(out))
 
 
 def grouped_agg(
@@ -228,22 +194,24 @@ def grouped_agg(
 ) -> DataFrame:
     """``groupBy(by)`` with ``aggs`` and exact medians ``{output: value column}``. For many groups of any size.
 
-    Medians come from the distinct values of each group with their counts, dealt out in order over
-    all groups together, so neither a hot group nor a long value list is one task's. NaN
-    counts as the largest value.
+    Groups are counted first. Up to ``SMALL_GROUP`` rows, Spark's own median keeps a group's values with their
+    counts in one aggregate; the rows of larger groups are put in order by ranges instead, so no hot group is one
+    task's. Both give the same: NaN is the largest value, and the middle of opposite infinities is NaN.
     """
     by = list(by)
-    result = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows"), *[c.alias(name) for name, c in aggs.items()])
-    for name, v in medians.items():
-        placed = running_in_order(_value_counts(df, by, v), by, ["__v"], "__before", "__size", "__c")
-        upto = F.col("__before") + F.col("__c")
-        lower, upper = F.floor((F.col("__size") + 1) / 2), F.floor((F.col("__size") + 2) / 2)
-        halves = [
-            F.when((F.col("__before") < at) & (at <= upto), F.col("__v").cast("double") / 2) for at in (lower, upper)
-        ]
-        middle = placed.groupBy(*by).agg((F.max(halves[0]) + F.max(halves[1])).alias(name))
-        result = join_on(result, middle, by, "left")
-    return result.select(*by, *aggs, *medians)
+    base = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows"), *[c.alias(name) for name, c in aggs.items()])
+    base = materialize(base, "group-aggregates")
+    large = base.where(F.col("__rows") > SMALL_GROUP).select(*by)
+    some = not large.isEmpty()
+    small = join_on(df, large, by, "left_anti") if some else df
+    middle = small.groupBy(*by).agg(*[F.median(F.col(v).cast("double")).alias(name) for name, v in medians.items()])
+    if some:
+        hot = join_on(df, large, by, "left_semi")
+        ordered = large
+        for name, v in medians.items():
+            ordered = join_on(ordered, _median_in_order(hot, by, v, name), by, "left")
+        middle = middle.unionByName(ordered)
+    return join_on(base, middle, by, "left").select(*by, *aggs, *medians)
 
 
 def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str = "avg_rank") -> DataFrame:

@@ -13,7 +13,8 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curafold.session import materialize, small_side
+from curafold.plans.boosting import boost, leading
+from curafold.session import join_parameters, materialize
 
 if TYPE_CHECKING:
     from pyspark.ml.regression import GBTRegressionModel
@@ -24,7 +25,8 @@ def linear_stats(df: DataFrame, by: Sequence[str], features: Sequence[str], labe
     Rows become ``z = (1, x - mean, y - mean)`` with the means of the whole table, which keeps the sums
     free of large offsets. A task adds up ``z'z`` in blocks and sends one row per group and position: the
     upper triangle, then ``n * mean`` of each column. Everything is a sum over rows, so leaving
-    a part out is a subtraction. Rows with a missing value or label take no part.
+    a part out is a subtraction. Rows with a missing value or label take no part; a group without any other row has
+    sums of zero. NULL is a group like any other.
     """
     columns = [*features, label]
     by = list(by)
@@ -44,7 +46,10 @@ def linear_stats(df: DataFrame, by: Sequence[str], features: Sequence[str], labe
             complete = ~np.isnan(z).any(axis=1)
             z = np.column_stack([np.ones(len(z)), z])
             if by:
-                code, keys = pd.MultiIndex.from_frame(pdf[by]).factorize()
+                code = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+                firsts = np.unique(code, return_index=True)[1]
+                keys = [tuple(pdf[c].iloc[i] for c in by) for i in firsts]
+                keys = [tuple(None if pd.isna(x) else x for x in key) for key in keys]
             else:
                 code, keys = np.zeros(len(z), int), [()]
             order = np.argsort(code, kind="stable")
@@ -52,8 +57,7 @@ def linear_stats(df: DataFrame, by: Sequence[str], features: Sequence[str], labe
             cuts = np.searchsorted(code[order], np.arange(len(keys) + 1))
             for k, key in enumerate(keys):
                 part = z[order[cuts[k] : cuts[k + 1]]]
-                if len(part):
-                    sums[key] = sums.get(key, 0.0) + part.T @ part
+                sums[key] = sums.get(key, 0.0) + part.T @ part
             if len(sums) * len(upper[0]) > 4_000_000:
                 yield from rows(sums, upper, mean)
                 sums = {}
@@ -98,11 +102,14 @@ def solve_linear(stats: DataFrame, by: Sequence[str], n_features: int) -> DataFr
                 row = np.asarray(row, float)
                 full = np.zeros((p + 1, p + 1))
                 full[upper] = row[: len(upper[0])]
+                if not full[0, 0] > 0.5:  # no complete row is left
+                    coefs.append(None)
+                    continue
                 full = full + np.triu(full, 1).T
                 xtx, xty = full[:p, :p], full[:p, p]
                 scale = np.sqrt(np.where(np.diag(xtx) > 0, np.diag(xtx), 1.0))
                 beta = np.linalg.lstsq(xtx / np.outer(scale, scale), xty / scale, rcond=1e-13)[0] / scale
-                mean = row[len(upper[0]) :] / full[0, 0] if full[0, 0] > 0 else np.zeros(p)
+                mean = row[len(upper[0]) :] / full[0, 0]
                 beta[0] += mean[-1] - beta[1:] @ mean[:-1]
                 coefs.append(beta.tolist())
             out = pdf[by].copy()
@@ -129,9 +136,12 @@ def fit_linear(
 def predict_linear(
     df: DataFrame, coefs: DataFrame, by: Sequence[str], features: Sequence[str], out: str = "pred"
 ) -> DataFrame:
-    """Score rows with their group's coefficients (one coefficient row per group)."""
+    """Score rows with their group's coefficients (one coefficient row per group).
+
+    No row is lost: one whose group has no coefficients, or that misses a feature, is predicted NULL.
+    """
     if by:
-        joined = df.join(small_side(coefs, "coefficients"), list(by))
+        joined = join_parameters(df, coefs, list(by), "coefficients", "left")
     else:
         joined = df.withColumn("coef", coefs.select("coef").scalar())
     return joined.withColumn(out, linear_prediction(F.col("coef"), features)).drop("coef")
@@ -145,7 +155,7 @@ def oof_predict(
     by: Sequence[str] = (),
     out: str = "pred",
 ) -> DataFrame:
-    """Predict every row from the rows of the other folds (of its ``by`` group)."""
+    """Predict every row from the rows of the other folds (of its ``by`` group); NULL where they hold no complete row."""
     keys = [*by, fold]
     stats = linear_stats(df, keys, features, label)
     coefs = solve_linear(leave_out(stats, by, fold), keys, len(features))
@@ -155,51 +165,21 @@ def oof_predict(
 # --- gradient-boosted trees ---------------------------------------------------
 
 
-def _booster(rounds: int, seed: int, label: str, **params):
-    from pyspark.ml.regression import GBTRegressor
-
-    defaults = dict(
-        maxDepth=4, stepSize=0.1, subsamplingRate=0.75, minInstancesPerNode=2, maxBins=64
-    )
-    return GBTRegressor(
-        featuresCol="features", labelCol=label, predictionCol="pred", maxIter=rounds, seed=seed,
-        **{**defaults, **params},
-    )
-
-
-def patience_stop(curve: Sequence[float], patience: int) -> int:
-    """Rounds to keep: the best one before ``patience`` rounds without improvement beyond rounding."""
-    best, best_at = float("inf"), 0
-    for i, error in enumerate(curve):
-        if i == 0 or error < best - 1e-9 * abs(best):
-            best, best_at = error, i
-        elif i - best_at >= patience:
-            break
-    return best_at + 1
-
-
 def fit_early_stop(
     train: DataFrame, valid: DataFrame, label: str, max_rounds: int, patience: int, seed: int, **params
 ) -> tuple["GBTRegressionModel", int]:
     """Boost on ``train``; keep the rounds chosen by the error curve on ``valid``.
 
-    Trees are added one after the other from one seed, so a run with fewer rounds gives the
-    leading trees of a longer one. Runs grow by doubling until the curve has stalled for ``patience``
-    rounds or ``max_rounds`` are reached. ``pyspark.ml`` can't cut a model short, so the chosen
-    rounds are run once more.
+    A tree is fitted at a time until the curve has stalled for ``patience`` rounds or ``max_rounds`` are reached;
+    the model has the leading trees up to the best round.
     """
-    rounds = min(max_rounds, max(1, 2 * patience))
-    while True:
-        model = fit_fixed(train, label, rounds, seed, **params)
-        curve = model.evaluateEachIteration(valid, "squared")
-        best = patience_stop(curve, patience)
-        if best - 1 + patience < rounds or rounds == max_rounds:
-            return (model if best == rounds else fit_fixed(train, label, best, seed, **params)), best
-        rounds = min(max_rounds, 2 * rounds)
+    trees, weights, best = boost(train, label, max_rounds, seed, valid, patience, **params)
+    return leading(trees, weights, best), best
 
 
 def fit_fixed(train: DataFrame, label: str, rounds: int, seed: int, **params) -> "GBTRegressionModel":
-    return _booster(rounds, seed, label, **params).fit(train)
+    trees, weights, _ = boost(train, label, rounds, seed, **params)
+    return leading(trees, weights, rounds)
 
 
 def select_rounds(

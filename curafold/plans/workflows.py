@@ -21,7 +21,8 @@ from curafold.operators.features import fit_preprocess, to_long
 from curafold.operators.joins import arm_grid
 from curafold.operators.metrics import cohort_design, common_rounds, ensemble_mean, regression_metrics
 from curafold.operators.splits import OUTER_SEED_STEP, PILOT_SEED_STEP, group_folds_seeded, inner_folds, kfold
-from curafold.session import materialize
+from curafold.session import materialize, scratch_path
+from curafold.plans.runner import run_tasks, signature_of
 from curafold.plans.learners import fit_fixed, fit_linear, oof_predict, predict_linear, select_rounds
 
 
@@ -185,40 +186,13 @@ def bagging_ensemble(preds: DataFrame, id_col: str) -> DataFrame:
     return ensemble_mean(preds, [id_col, "y"])
 
 
-def resume_ledger(plan: DataFrame, done: DataFrame, task: Sequence[str]) -> DataFrame:
-    """State of each planned task: ``todo``, ``done`` or ``signature_mismatch``."""
-    seen = done.select(*task, F.col("signature").alias("__seen"))
-    return plan.join(seen, list(task), "left").withColumn(
-        "state",
-        F.when(F.col("__seen").isNull(), F.lit("todo"))
-        .when(F.col("__seen") == F.col("signature"), F.lit("done"))
-        .otherwise(F.lit("signature_mismatch")),
-    ).drop("__seen")
-
-
-def pending_tasks(ledger: DataFrame) -> DataFrame:
-    """Tasks still to run; a changed signature fails instead of being overwritten."""
-    state = F.when(
-        F.col("state") == "signature_mismatch",
-        F.raise_error(F.lit("a finished task has a different signature")).cast("string"),
-    ).otherwise(F.col("state"))
-    return ledger.withColumn("state", state).where(F.col("state") == "todo").drop("state")
-
-
 # --- the same protocols with boosted trees: distributed fits in a fixed order -----------
 
 
-def _scored(model, rows: DataFrame, *columns: Column) -> DataFrame:
+def _scored(model, rows: DataFrame, *columns: Column | str) -> DataFrame:
     return model.transform(rows).select(*columns, "pred")
 
 
-def _union(parts: Sequence[DataFrame], name: str) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return materialize(out, name)
-
-
 def final_fit_predict_trees(
     train: DataFrame, holdout_rows: DataFrame, id_col: str, label: str, weight: str, fraction: float,
     max_rounds: int, patience: int, seed: int, **params,
@@ -232,22 +206,29 @@ def final_fit_predict_trees(
 
 def threshold_cv_trees(
     scored: DataFrame, id_col: str, label: str, thresholds: Sequence[float | None], k: int, seed: int,
-    fraction: float, max_rounds: int, patience: int, min_rows: int = 2, **params,
+    fraction: float, max_rounds: int, patience: int, min_rows: int = 2, folder: str | None = None, **params,
 ) -> DataFrame:
-    """``(arm, fold, rounds, id, y, pred)``: each arm's cohort in folds, each fold with its own early stop."""
+    """``(arm, fold, rounds, id, y, pred)``: each arm's cohort in folds, each fold with its own early stop.
+
+    Each (arm, fold) is a task of :func:`run_tasks`; with ``folder`` a stopped run goes on where it was.
+    """
+    spark = scored.sparkSession
     arms = arm_grid(scored.select(id_col, label, "fold_error", "features"), thresholds)
     folded = materialize(kfold(arms, id_col, k, seed, by=["arm"]), "tree-arms")
-    parts = []
-    for arm in map(arm_label, thresholds):
-        for fold in range(1, k + 1):
-            here = folded.where(F.col("arm") == arm)
-            train = here.where(F.col("fold") != fold)
-            require_rows(train, min_rows, f"arm {arm}, fold {fold}")
-            rounds = select_rounds(train, id_col, label, fraction, max_rounds, patience, seed + fold, **params)
-            model = fit_fixed(train, label, rounds, seed, **params)
-            test = here.where(F.col("fold") == fold)
-            parts.append(_scored(model, test, F.col("arm"), F.col("fold"), F.lit(rounds).alias("rounds"), F.col(id_col), F.col(label).alias("y")))
-    return _union(parts, "tree-cv")
+
+    def work(task) -> DataFrame:
+        arm, fold = task["arm"], task["fold"]
+        here = folded.where(F.col("arm") == arm)
+        train = here.where(F.col("fold") != fold)
+        require_rows(train, min_rows, f"arm {arm}, fold {fold}")
+        rounds = select_rounds(train, id_col, label, fraction, max_rounds, patience, seed + fold, **params)
+        model = fit_fixed(train, label, rounds, seed, **params)
+        test = here.where(F.col("fold") == fold)
+        return _scored(model, test, F.col("arm"), F.col("fold"), F.lit(rounds).alias("rounds"), F.col(id_col), F.col(label).alias("y"))
+
+    tasks = [{"arm": arm, "fold": fold} for arm in map(arm_label, thresholds) for fold in range(1, k + 1)]
+    settings = signature_of(protocol="threshold_cv", id=id_col, label=label, k=k, seed=seed, fraction=fraction, max_rounds=max_rounds, patience=patience, params=params)
+    return run_tasks(spark, folder or scratch_path(spark, "tree-cv"), tasks, {"arm": "string", "fold": "int"}, settings, work)
 
 
 def require_rows(df: DataFrame, n: int, what: str) -> None:
@@ -258,7 +239,7 @@ def require_rows(df: DataFrame, n: int, what: str) -> None:
 def nested_cv_trees(
     df: DataFrame, id_col: str, label: str, thresholds: Sequence[float | None], outer_k: int, inner_k: int, seed: int,
     max_rounds: int, patience: int, model_seeds: Sequence[int], fraction: float = 0.2, group: str | None = None,
-    min_rows: int = 2, **params,
+    min_rows: int = 2, folder: str | None = None, **params,
 ) -> dict[str, DataFrame]:
     """Nested comparison of screening thresholds with boosted trees.
 
@@ -267,41 +248,63 @@ def nested_cv_trees(
     arm and model seed a fit on the rows that the arm retains, scored on the outer test rows. With
     ``group`` outer folds, inner folds and pilots keep groups whole. Fails if an arm retains too few
     rows, if a training row has no out-of-fold error, or if there are fewer groups than folds.
+
+    Each (outer fold, inner fold) and each (outer fold, arm, seed) is a task of :func:`run_tasks`; with ``folder`` a
+    stopped run goes on where it was, as long as rows and settings are the same. ``id_col`` must be unique.
     """
+    spark = df.sparkSession
+    folder = folder or scratch_path(spark, "tree-nested")
+    settings = dict(id=id_col, label=label, outer_k=outer_k, inner_k=inner_k, seed=seed, max_rounds=max_rounds, patience=patience, fraction=fraction, group=group, params=params)
     columns = [id_col, label, "features", *([group] if group else [])]
     rows = df.select(*columns)
     outer = kfold(rows, id_col, outer_k, seed) if group is None else group_folds_seeded(rows, group, outer_k, seed)
     outer = materialize(outer, "tree-outer")
-    screened, rounds_rows, scored = [], [], []
+    inner_parts = {}
     for o in range(1, outer_k + 1):
-        train, test = outer.where(F.col("fold") != o).drop("fold"), outer.where(F.col("fold") == o)
-        inner_seed = seed + OUTER_SEED_STEP * o
+        train, inner_seed = outer.where(F.col("fold") != o).drop("fold"), seed + OUTER_SEED_STEP * o
         inner = kfold(train, id_col, inner_k, inner_seed, out="inner_fold") if group is None else group_folds_seeded(train, group, inner_k, inner_seed, "inner_fold")
-        inner = materialize(inner, "tree-inner")
-        parts, counts = [], []
-        for i in range(1, inner_k + 1):
-            fit_rows = inner.where(F.col("inner_fold") != i)
-            n = select_rounds(fit_rows, id_col, label, fraction, max_rounds, patience, inner_seed + PILOT_SEED_STEP * i, group, **params)
-            counts.append(n)
-            parts.append(fit_fixed(fit_rows, label, n, inner_seed + i, **params).transform(inner.where(F.col("inner_fold") == i)))
-        errors = _union([with_residuals(p, label) for p in parts], "tree-screening")
-        if errors.where(F.col("fold_error").isNotNull()).count() != train.count():
+        inner_parts[o] = materialize(inner, "tree-inner")
+
+    def screen(task) -> DataFrame:
+        o, i = task["outer_fold"], task["inner_fold"]
+        inner_seed = seed + OUTER_SEED_STEP * o
+        fit_rows = inner_parts[o].where(F.col("inner_fold") != i)
+        n = select_rounds(fit_rows, id_col, label, fraction, max_rounds, patience, inner_seed + PILOT_SEED_STEP * i, group, **params)
+        model = fit_fixed(fit_rows, label, n, inner_seed + i, **params)
+        test = inner_parts[o].where(F.col("inner_fold") == i)
+        return _scored(model, test, F.lit(o).alias("outer_fold"), "inner_fold", F.col(id_col), F.col(label).alias("y"), F.lit(n).alias("rounds"))
+
+    tasks = [{"outer_fold": o, "inner_fold": i} for o in inner_parts for i in range(1, inner_k + 1)]
+    screened = run_tasks(spark, f"{folder}/screening", tasks, {"outer_fold": "int", "inner_fold": "int"}, signature_of(**settings), screen)
+    screened = with_residuals(screened)
+    # A line for each pair of folds.
+    pilot = screened.groupBy("outer_fold", "inner_fold").agg(F.max("rounds").alias("rounds"), F.count("fold_error").alias("n")).collect()
+    common = {}
+    for o in inner_parts:
+        here = [(r["outer_fold"], r["inner_fold"], float(r["rounds"])) for r in pilot if r["outer_fold"] == o]
+        if sum(r["n"] for r in pilot if r["outer_fold"] == o) != inner_parts[o].count():
             raise ValueError(f"outer fold {o}: rows without an out-of-fold error")
-        pilot = df.sparkSession.createDataFrame([(o, i + 1, float(n)) for i, n in enumerate(counts)], "outer_fold int, inner_fold int, rounds double")
-        common = common_rounds(pilot, max_rounds).first()["rounds"]
-        rounds_rows += [(o, i + 1, n, int(common)) for i, n in enumerate(counts)]
-        screened.append(errors.select(F.lit(o).alias("outer_fold"), "inner_fold", id_col, F.col(label).alias("y"), "pred", "abs_error", "fold_error"))
-        for t in thresholds:
-            kept = errors if t is None else errors.where(F.col("fold_error") < t)
-            kept = kept.select(*columns)
-            require_rows(kept, min_rows, f"outer fold {o}, arm {arm_label(t)}")
-            for s in model_seeds:
-                model = fit_fixed(kept, label, int(common), s, **params)
-                scored.append(_scored(model, test, F.lit(arm_label(t)).alias("arm"), F.col("fold"), F.lit(s).alias("seed"), F.col(id_col), F.col(label).alias("y")))
-    per_seed = _union(scored, "tree-nested")
+        counts = spark.createDataFrame(here, "outer_fold int, inner_fold int, rounds double")
+        common[o] = int(common_rounds(counts, max_rounds).first()["rounds"])
+    limits = {arm_label(t): t for t in thresholds}
+
+    def fit(task) -> DataFrame:
+        o, arm, s = task["outer_fold"], task["arm"], task["seed"]
+        errors = screened.where(F.col("outer_fold") == o)
+        kept = errors if limits[arm] is None else errors.where(F.col("fold_error") < limits[arm])
+        train = outer.where(F.col("fold") != o).join(kept.select(id_col), id_col, "left_semi")
+        require_rows(train, min_rows, f"outer fold {o}, arm {arm}")
+        model = fit_fixed(train, label, common[o], s, **params)
+        return _scored(model, outer.where(F.col("fold") == o), F.lit(arm).alias("arm"), F.col("fold"), F.lit(s).alias("seed"), F.col(id_col), F.col(label).alias("y"))
+
+    tasks = [{"outer_fold": o, "arm": arm, "seed": s} for o in inner_parts for arm in limits for s in model_seeds]
+    key = {"outer_fold": "int", "arm": "string", "seed": "int"}
+    per_seed = run_tasks(spark, f"{folder}/fits", tasks, key, signature_of(**settings), fit)
+    rounds_rows = [(r["outer_fold"], r["inner_fold"], r["rounds"], common[r["outer_fold"]]) for r in pilot]
     return {
-        "screening": _union(screened, "tree-screened"),
-        "rounds": df.sparkSession.createDataFrame(rounds_rows, "outer_fold int, inner_fold int, rounds int, common_rounds int"),
+        "screening": screened.select("outer_fold", "inner_fold", id_col, "y", "pred", "abs_error", "fold_error"),
+        "rounds": spark.createDataFrame(rounds_rows, "outer_fold int, inner_fold int, rounds int, common_rounds int"),
         "per_seed": per_seed,
         "predictions": per_seed.groupBy("arm", "fold", id_col).agg(F.any_value("y").alias("y"), F.avg("pred").alias("pred"), F.count("*").alias("n_models")),
+        "outer": outer,
     }

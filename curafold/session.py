@@ -63,12 +63,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, name: str, max_rows: int = 10_000) -> DataFrame:
-    """A parameter table as the build side of a join: written, counted, then broadcast.
+#: Largest parameter table that is broadcast, and the copies of a larger one that a hot key is spread over.
+PARAMETER_BYTES = 32 << 20
+PARAMETER_SALTS = 16
 
-    Joining wide data to a handful of fold, arm or feature rows by shuffle would send
-    all rows of a key to one task. The table is broadcast only after its row count was
-    checked; a larger one stays an ordinary join side.
+
+def join_parameters(df: DataFrame, params: DataFrame, on: list[str], name: str, how: str = "inner") -> DataFrame:
+    """Join wide data to a table of parameters; NULL keys match each other.
+
+    The keys are folds, arms or features, so a plain shuffle would send all rows of a key to one task. The
+    table is written and measured: up to ``PARAMETER_BYTES`` it is broadcast, a larger one is repeated for a few
+    salts, over which the rows of a key are spread. Both give the same rows.
     """
-    table = materialize(df, name)
-    return F.broadcast(table) if table.count() <= max_rows else table
+    table = materialize(params, name)
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    right = table.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in table.columns])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    if size <= PARAMETER_BYTES:
+        joined = df.join(F.broadcast(right), same, how)
+    else:
+        right = right.withColumn("__r_salt", F.explode(F.sequence(F.lit(0), F.lit(PARAMETER_SALTS - 1))))
+        left = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(PARAMETER_SALTS)).cast("int"))
+        joined = left.join(right, same & (F.col("__salt") == F.col("__r_salt")), how).drop("__salt", "__r_salt")
+    return joined.drop(*[f"__r_{c}" for c in on])

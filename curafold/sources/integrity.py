@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curafold.operators.ranking import join_on
+
 MANIFEST_SCHEMA = "files array<struct<path string, bytes long, sha256 string>>"
 
 
@@ -65,11 +67,83 @@ def verify_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def row_code(*columns: str) -> Column:
+    """The text of some fields, each with its length in front, so different rows never read the same. NULL has no length."""
+    parts = [F.col(f"`{c}`").cast("string") for c in columns]
+    return F.concat(F.lit(""), *[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("N:")) for p in parts])
+
+
+# Hex digits of a digest that make up each of the two sums of a checksum.
+SUM_DIGITS = 15
+
+
+def _sums(code: Column) -> list[Column]:
+    digest = F.md5(code)
+    parts = [F.conv(F.substring(digest, at, SUM_DIGITS), 16, 10).cast("decimal(20,0)") for at in (1, 1 + SUM_DIGITS)]
+    return [F.count(F.lit(1)).alias("n_rows"), F.concat_ws("-", *[F.sum(p).cast("string") for p in parts]).alias("checksum")]
+
+
 def table_checksum(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Row count and sum of 32-bit row hashes, per partition column; for tables of any size.
+    """Row count and two sums of 60-bit row hashes, per partition column; for tables of any size.
+
+    It depends on the rows alone, not on files or order. NULL differs from any text, and fields keep their borders.
+    """
+    return df.groupBy(*by).agg(*_sums(row_code(*df.columns)))
+
+
+# --- a tree of checksums, to find what changed ------------------------------------------
+
+BUCKETS = 256
+
+
+def with_bucket(df: DataFrame, key: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """Adds ``bucket``, a hash of the key."""
+    number = F.conv(F.substring(F.md5(row_code(*key)), 1, 8), 16, 10).cast("long")
+    return df.withColumn("bucket", F.pmod(number, F.lit(buckets)).cast("int"))
+
+
+def checksum_tree(df: DataFrame, key: Sequence[str], part: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """``level, part, bucket, n_rows, checksum`` of the table, of each value of ``part`` and of each hash bucket in it.
+
+    One pass with partial sums. ``part`` is text here; NULL is a value of it like any other.
+    """
+    rows = with_bucket(df, key, buckets).select(
+        "bucket", (F.lit(None) if part is None else F.col(f"`{part}`")).cast("string").alias("part"), row_code(*df.columns).alias("code")
+    )
+    levels = F.grouping_id()
+    tree = rows.rollup("part", "bucket").agg(levels.alias("__level"), *_sums(F.col("code")))
+    name = F.when(F.col("__level") == 0, "bucket").when(F.col("__level") == 1, "part").otherwise("table")
+    return tree.select(name.alias("level"), "part", "bucket", "n_rows", "checksum")
+
+
+def write_snapshot(df: DataFrame, key: Sequence[str], path: str, part: str | None = None, buckets: int = BUCKETS) -> None:
+    """The rows in ``path/rows``, a folder for each hash bucket, and their checksums in ``path/tree``."""
+    with_bucket(df, key, buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
+    written = df.sparkSession.read.parquet(f"{path}/rows").drop("bucket").select(*[f"`{c}`" for c in df.columns])
+    checksum_tree(written, key, part, buckets).write.mode("overwrite").parquet(f"{path}/tree")
+
+
+def changed_buckets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``part, bucket`` of the buckets whose checksums differ, from two trees; nothing if the tables agree as a whole."""
+    leaves = [t.where("level = 'bucket'").select("part", "bucket", F.struct("n_rows", "checksum").alias(n)) for t, n in ((a, "a"), (b, "b"))]
+    both = join_on(*leaves, ["part", "bucket"], "full_outer_coalesced")
+    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select("part", "bucket")
+
+
+def compare_stored(spark: SparkSession, old: str, new: str, key: Sequence[str]) -> DataFrame:
+    """``key…, status``: rows ``added``, ``removed`` or ``changed`` between two snapshots of the same layout.
 
-    It depends on the rows alone, not on files or order. NULL and the text ``\\N`` count as the same.
+    Trees are compared first; of the rows only buckets that differ are read, whose numbers are at most as
+    many as there are buckets. A key that repeats within a bucket is compared as the collection of its rows.
     """
-    fields = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns]
-    row = F.conv(F.substring(F.md5(F.concat_ws("|", *fields)), 1, 8), 16, 10).cast("long")
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row).alias("checksum"))
+    trees = [spark.read.parquet(f"{path}/tree") for path in (old, new)]
+    wanted = [r["bucket"] for r in changed_buckets(*trees).select("bucket").distinct().collect()]
+    sides = []
+    for path, name in ((old, "a"), (new, "b")):
+        rows = spark.read.parquet(f"{path}/rows").where(F.col("bucket").isin(wanted))
+        code = row_code(*sorted(c for c in rows.columns if c != "bucket"))
+        sides.append(rows.groupBy("bucket", *key).agg(*[x.alias(f"__{name}{i}") for i, x in enumerate(_sums(code))]))
+    both = join_on(*sides, ["bucket", *key], "full_outer_coalesced")
+    status = F.when(F.col("__a0").isNull(), "added").when(F.col("__b0").isNull(), "removed")
+    same = (F.col("__a0") == F.col("__b0")) & (F.col("__a1") == F.col("__b1"))
+    return both.withColumn("status", status.when(~same, "changed")).where("status IS NOT NULL").select(*key, "status")

@@ -10,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from curafold.operators import contracts, curate, explain, features, joins, metrics, ranking, setops, similarity, splits
-from curafold.plans import learners, workflows
+from curafold.plans import boosting, learners, runner, workflows
 from curafold.session import materialize
 from curafold.sources import integrity, tables
 from curafold.streaming import curation as streaming
@@ -267,8 +267,13 @@ def test_oof_equals_refitting(spark):
 
 
 def test_patience_stop():
-    assert learners.patience_stop([5, 4, 3, 3.5, 3.4, 1], 2) == 3
-    assert learners.patience_stop([5, 4, 3, 3.5, 1, 2], 3) == 5
+    def kept(curve, patience):
+        stall = boosting.Stall(patience)
+        seen = next((i for i, e in enumerate(curve, 1) if stall.add(e)), len(curve))
+        return stall.best, seen
+
+    assert kept([5, 4, 3, 3.5, 3.4, 1], 2) == (3, 5)
+    assert kept([5, 4, 3, 3.5, 1, 2], 3) == (5, 6)
 
 
 def test_preprocess_uses_training_rows_only(spark):
@@ -291,11 +296,11 @@ def test_spearman_null_when_constant(spark):
 def test_resume_ledger(spark):
     plan = spark.createDataFrame([("a", 1, "s1"), ("a", 2, "s1"), ("a", 3, "s1")], "arm string, fold int, signature string")
     done = plan.where("fold = 1")
-    ledger = workflows.resume_ledger(plan, done, ["arm", "fold"])
-    assert sorted(r.fold for r in workflows.pending_tasks(ledger).collect()) == [2, 3]
+    ledger = runner.resume_ledger(plan, done, ["arm", "fold"])
+    assert sorted(r.fold for r in runner.pending_tasks(ledger).collect()) == [2, 3]
     changed = done.withColumn("signature", F.lit("s0"))
     with pytest.raises(PySparkException, match="different signature"):
-        workflows.pending_tasks(workflows.resume_ledger(plan, changed, ["arm", "fold"])).collect()
+        runner.pending_tasks(runner.resume_ledger(plan, changed, ["arm", "fold"])).collect()
 
 
 def test_set_checks(spark):
