@@ -250,13 +250,13 @@ def metric_query(ctes: str, source: str, by: Sequence[str], y: str = "y", pred:
 # --- token bits -----------------------------------------------------------------
 
 
-def prints(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).select("doc_id", bit_set(words(F.col("text"))).alias("bits"))
+def prints(spark: SparkSession, d: str, width: int = 2048) -> DataFrame:
+    return documents(spark, d).select("doc_id", bit_set(words(F.col("text")), width).alias("bits"))
 
 
-def query_and_reference(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def query_and_reference(spark: SparkSession, d: str, width: int = 2048) -> tuple[DataFrame, DataFrame]:
     """Unlabelled documents against labelled ones."""
-    p = prints(spark, d)
+    p = prints(spark, d, width)
     labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id")
     return p.join(labels, "doc_id", "left_anti"), p.join(labels, "doc_id", "left_semi")
 

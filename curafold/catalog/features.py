@@ -210,6 +210,24 @@ def _(spark, d):
     return similarity.threshold_neighbors(*query_and_reference(spark, d), "doc_id", 0.6)
 
 
+# In a wide space few sets share their rare bits, so pairs come from the index.
+WIDE = 16_384
+SQL_WIDE = SQL_SETS.replace("% 2048", f"% {WIDE}")
+
+
+@register("d1_tanimoto_pairs_wide", f"""WITH {SQL_WIDE} SELECT a.set_id AS q_set, b.set_id AS r_set, {r('any_value(s)', 'similarity')},
+  count(DISTINCT qid) AS q_copies, count(DISTINCT rid) AS r_copies FROM sims JOIN sets a ON a.doc_id = qid JOIN sets b ON b.doc_id = rid
+  WHERE s >= 0.7::DOUBLE GROUP BY a.set_id, b.set_id""")
+def _(spark, d):
+    return similarity.tanimoto_pairs(*query_and_reference(spark, d, WIDE), 0.7, WIDE)
+
+
+@register("d7_threshold_neighbors_wide", f"""WITH {SQL_WIDE} SELECT allq.doc_id, count(rid) AS n_neighbors, {r('max(s)', 'best_similarity')}
+  FROM allq LEFT JOIN sims ON qid = allq.doc_id AND s >= 0.6::DOUBLE GROUP BY allq.doc_id""")
+def _(spark, d):
+    return similarity.threshold_neighbors(*query_and_reference(spark, d, WIDE), "doc_id", 0.6, WIDE)
+
+
 @register("w4_mean_top_k", f"WITH {SQL_SETS} SELECT qid AS doc_id, {r('avg(s)', 'mean_top5_similarity')} FROM ranked WHERE k <= 5 GROUP BY qid")
 def _(spark, d):
     return profile(spark, d).select("doc_id", "mean_top5_similarity")

@@ -1,5 +1,6 @@
 """Operators against brute force on small inputs, hot groups and failure cases."""
 
+import hashlib
 import json
 import random
 
@@ -348,3 +349,42 @@ def test_stream_equals_batch(spark, tmp_path):
     streaming.write_stream(tagged, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=str)
     assert got == sorted(map(tuple, streaming.tag_measurements(batch, "raw", 0.5, 300.0).collect()), key=str)
+
+
+def wide_sets(seed, n, width=16_384):
+    """Sets of rare and frequent bits, near copies, exact copies, one bit that all share, and empty sets."""
+    rng = random.Random(seed)
+    sets = []
+    for i in range(n):
+        if sets and i % 4 == 0:
+            base = list(rng.choice(sets))
+            for _ in range(rng.randint(0, 5)):
+                base[rng.randrange(len(base))] = rng.randrange(width) if base else 0
+            sets.append(sorted(set(base)))
+        else:
+            sets.append(sorted({7, *(int(width * rng.random() ** 3) for _ in range(rng.randint(1, 60)))}))
+    return sets
+
+
+def test_rare_bits_find_all_pairs_and_verify_few(spark, monkeypatch):
+    q, r = wide_sets(1, 300), wide_sets(1, 200) + wide_sets(2, 200) + [[], [3]]
+    frames = [spark.createDataFrame(list(enumerate(x)), "id int, bits array<int>") for x in (q, r)]
+    key = lambda bits: hashlib.md5(",".join(map(str, bits)).encode()).hexdigest()
+    monkeypatch.setattr(similarity, "POSTINGS", 16)
+    for t in (0.3, 0.6, 1.0):
+        want = {}
+        for a in q:
+            for b in r:
+                s = len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0
+                if s >= t:
+                    want[key(a), key(b)] = s
+        got = {}
+        for share in (2.0, 0.0):
+            monkeypatch.setattr(similarity, "INDEX_SHARE", share)
+            rows = similarity.tanimoto_pairs(*frames, t, 16_384).collect()
+            got[share] = {(x.q_set, x.r_set): (x.similarity, x.q_copies, x.r_copies) for x in rows}
+            assert len(rows) == len(got[share])
+        assert got[2.0] == got[0.0] and {k: v[0] for k, v in got[2.0].items()} == pytest.approx(want)
+    sets = [similarity.distinct_sets(f) for f in frames]
+    candidates = similarity.RareBits(*sets, 0.6, 16_384).candidates()
+    assert candidates.count() == candidates.distinct().count() < 0.1 * sets[0].count() * sets[1].count()
