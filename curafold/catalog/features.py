@@ -10,7 +10,8 @@ from curafold.catalog.base import (
 )
 from curafold.functions import target as ft
 from curafold.operators import contracts, features, similarity, splits
-from curafold.session import materialize
+from curafold.plans import preprocess
+from curafold.session import materialize, scratch_path
 
 
 
@@ -104,6 +105,18 @@ def _(spark, d):
     return features.transform_preprocess(test, features.fit_preprocess(train))
 
 
+@register("e9_preprocess_stored", f"WITH {SQL_TRAIN} SELECT id, feature, {r('coalesce(value, median)', 'value')} FROM test JOIN params USING (feature) WHERE kept")
+def _(spark, d):
+    folded = materialize(splits.kfold(frame_table(spark, d), "id", 5, SEED), "folded-frame")
+    rows = preprocess.as_values(folded, ALL_FEATURES)
+    path = scratch_path(spark, "preprocess-model")
+    preprocess.Preprocess().fit(rows.where("fold <> 1")).write().overwrite().save(path)
+    model = preprocess.PreprocessModel.load(path)
+    out = model.transform(rows.where("fold = 1")).select("id", F.posexplode("filled").alias("place", "value"))
+    names = F.array(*[F.lit(ALL_FEATURES[k]) for k in model.getOrDefault("kept")])
+    return out.select("id", F.get(names, "place").alias("feature"), "value")
+
+
 @register("e9_preprocess_dims", f"""WITH {SQL_TRAIN} SELECT count(*) AS n_raw, count(*) FILTER (n_values > 0) AS n_not_all_null, count(*) FILTER (kept) AS n_kept FROM params""")
 def _(spark, d):
     return features.preprocess_dims(features.fit_preprocess(train_and_test(spark, d)[0]))

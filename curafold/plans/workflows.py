@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 from curafold.functions.target import arm_label, back_transform_columns, residual_columns
 from curafold.operators.curate import residual_rules
-from curafold.operators.features import fit_preprocess, to_long
 from curafold.operators.joins import arm_grid
 from curafold.operators.metrics import cohort_design, common_rounds, ensemble_mean, regression_metrics
 from curafold.operators.splits import OUTER_SEED_STEP, PILOT_SEED_STEP, group_folds_seeded, inner_folds, kfold
 from curafold.session import materialize, scratch_path
+from curafold.plans.preprocess import Preprocess, as_values
 from curafold.plans.runner import run_tasks, signature_of
 from curafold.plans.learners import fit_fixed, fit_linear, oof_predict, predict_linear, select_rounds
 
@@ -137,16 +137,12 @@ def impute_wide(
 ) -> tuple[list[str], list[DataFrame]]:
     """Fit null/median/constant handling on ``train`` and apply it to every part.
 
-    The fitted table has one row per feature, so reading it is bounded by the width.
+    ``(names, parts)``: the kept features, and each part with them in ``filled``, an array in this order, and as columns.
     """
-    params = fit_preprocess(to_long(train, [], features)).where("kept").collect()
-    medians = {r["feature"]: r["median"] for r in params}
-    names = [f for f in features if f in medians]
-    filled = [
-        part.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(medians[f])) for f in names})
-        for part in parts
-    ]
-    return names, filled
+    model = Preprocess(inputCol="__values", outputCol="filled").fit(as_values(train, features, "__values"))
+    names = [features[k] for k in model.getOrDefault("kept")]
+    filled = [model.transform(as_values(part, features, "__values")).drop("__values") for part in parts]
+    return names, [part.withColumns({f: F.get("filled", F.lit(i)) for i, f in enumerate(names)}) for part in filled]
 
 
 def final_fit_predict(

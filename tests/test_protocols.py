@@ -305,3 +305,31 @@ def test_unique_keys_move_no_payload(spark):
     for bad in ([(1, "x"), (1, "x")], [(None, "x"), (None, "y")]):
         with pytest.raises(PySparkException, match="key is not unique"):
             joins.one_to_one_join(a, spark.createDataFrame(bad, "k int, w string"), ["k"]).collect()
+
+
+# --- preprocessing as a stored model ---
+
+
+def test_stored_preprocessing_of_many_features(spark):
+    from curafold.plans.preprocess import Preprocess, PreprocessModel
+
+    rng = np.random.default_rng(9)
+    width, rows = 2000, []
+    for i in range(25):
+        values = [None if rng.random() < 0.3 or k % 50 == 0 else 1.0 if k % 50 == 1 else float(rng.normal()) for k in range(width)]
+        rows.append((i, values))
+    df = spark.createDataFrame(rows, "id int, values array<double>")
+    model = Preprocess().fit(df)
+    medians = [plain_median([v[k] for _, v in rows]) for k in range(width)]
+    kept = [k for k in range(width) if len({v[k] for _, v in rows} - {None}) > 1]
+    assert model.getOrDefault("kept") == kept
+    out = {r.id: r.filled for r in model.transform(df).collect()}
+    assert all(out[i] == pytest.approx([medians[k] if v[k] is None else v[k] for k in kept]) for i, v in rows)
+    path = scratch_path(spark, "model")
+    model.write().overwrite().save(path)
+    again = PreprocessModel.load(path).transform(df)
+    assert {r.id: r.filled for r in again.collect()} == out
+    plan = again._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("coalesce") == 1
+    short = spark.createDataFrame([(1, None), (2, [0.5])], "id int, values array<double>")
+    assert model.transform(short).select(F.size("filled")).collect() == [(len(kept),)] * 2
