@@ -28,7 +28,7 @@ SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Distinct entries that a counting task holds before it passes them on.
 COUNTER_ENTRIES = 1_000_000
-#: Joined scores are summed as whole numbers of this part of one, so their order doesn't matter.
+#: Scores are summed as whole numbers of this part of one, so neither their order nor where they are summed matters.
 UNIT = 2.0**-30
 #: Scores of unseen words that a worker remembers.
 MEMORY = 200_000
@@ -83,50 +83,44 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies by language of the given words and n-grams; ``sizes`` are the numbers of all of them."""
+    """Scores by language, in units, of the items that every executor has: words, then n-grams."""
 
-    def __init__(self, langs: list[str], prior: np.ndarray, items: list[list[str]], counts: list[np.ndarray], totals: list[np.ndarray], sizes: list[int] | None = None):
-        self.langs, self.prior = langs, prior
+    def __init__(self, langs: list[str], items: list[list[str]], scores: list[np.ndarray]):
+        self.langs, self.scores = langs, scores
         self.index = [{item: i for i, item in enumerate(names)} for names in items]
-        self.bases = [total + SMOOTHING * (size + 1) for total, size in zip(totals, sizes or map(len, items), strict=True)]
-        self.scores = [np.log((n + SMOOTHING) / base).astype(np.float32) for n, base in zip(counts, self.bases, strict=True)]
         self.memory: dict[str, np.ndarray] = {}
 
     def unseen(self, word: str) -> np.ndarray:
         found = self.memory.get(word)
         if found is None:
-            found = np.zeros(len(self.langs))
+            found = np.zeros(len(self.langs), np.int64)
             for n in range(LONGEST_GRAM, 0, -1):
                 at = [i for g in grams(word, n) if (i := self.index[1].get(f"{n}{g}")) is not None]
                 if at:
-                    found = self.scores[1][at].mean(axis=0, dtype=np.float64)
+                    mean = self.scores[1][at].sum(axis=0) / len(at)
+                    found = (np.sign(mean) * np.floor(np.abs(mean) + 0.5)).astype(np.int64)  # halves away from zero, as Spark rounds
                     break
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
             self.memory[word] = found
         return found
 
-    def partial(self, text: str) -> tuple[list[float] | None, Counter]:
-        """Prior and scores of the given words, null without a word, and the counts of the other words."""
+    def partial(self, text: str) -> tuple[list[int] | None, Counter]:
+        """Scores of the given words, null without a word, and the counts of the other words."""
         found = words(text)
         if not found or not self.langs:
             return None, Counter()
         get = self.index[0].get
         at = np.array([get(w, -1) for w in found])
-        total = self.prior + self.scores[0][at[at >= 0]].sum(axis=0, dtype=np.float64)
-        return total.tolist(), Counter(found[i] for i in np.flatnonzero(at < 0).tolist())
+        return self.scores[0][at[at >= 0]].sum(axis=0).tolist(), Counter(found[i] for i in np.flatnonzero(at < 0).tolist())
 
-    def predict(self, text: str) -> tuple[str, float]:
-        found = words(text)
-        if not found or not self.langs:
-            return UNKNOWN, 0.0
-        get = self.index[0].get
-        at = np.array([get(w, -1) for w in found])
-        total = self.prior + self.scores[0][at[at >= 0]].sum(axis=0, dtype=np.float64)
-        for i in np.flatnonzero(at < 0).tolist():
-            total += self.unseen(found[i])
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+    def sums(self, text: str) -> list[int] | None:
+        """The score of a text in each language, null without a word."""
+        total, rest = self.partial(text)
+        if total is not None:
+            for word, n in rest.items():
+                total = [x + n * y for x, y in zip(total, self.unseen(word).tolist(), strict=True)]
+        return total
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -144,8 +138,14 @@ def _most_frequent(items: DataFrame, kept: int) -> DataFrame:
     return items.where(band >= lowest) if lowest is not None else items.limit(0)
 
 
-def train(docs: DataFrame, words_kept: int = WORDS_KEPT, grams_kept: int = GRAMS_KEPT) -> tuple[Model, DataFrame, DataFrame, bool]:
-    """The model with the most frequent items, all words, all n-grams (``item, ns``), and whether the model has them all.
+def _units(bases: np.ndarray) -> list[Column]:
+    """Scores of ``ns`` by language, in units. Both ways of scoring take them from here, so they agree to the last one."""
+    return [F.round(F.log((F.col("ns")[i] + SMOOTHING) / F.lit(float(base))) / UNIT).cast("long") for i, base in enumerate(bases)]
+
+
+def train(docs: DataFrame, words_kept: int = WORDS_KEPT, grams_kept: int = GRAMS_KEPT) -> tuple[Model, list[float], DataFrame, DataFrame, bool]:
+    """The model with the most frequent items, log priors, all words and all n-grams with their scores ``s0, s1…``, and
+    whether the model has them all.
 
     Counts the words of all documents with a language that aren't held out; a null id has no remainder and is left out.
     """
@@ -154,34 +154,25 @@ def train(docs: DataFrame, words_kept: int = WORDS_KEPT, grams_kept: int = GRAMS
     schema = "lang string, item string, n bigint"
     prior = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     langs = sorted(prior)
-    items, numbers, totals, sizes, tables = [], [], [], [], []
+    items, scores, sizes, tables = [], [], [], []
     counted = rows.mapInArrow(_count_words, schema)
     by_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).cast("double") for x in langs]
     for kept in (words_kept, grams_kept):
         # Tasks have counted already, so rows go to the owner of their item as they are.
         wide = counted.repartition("item").groupBy("item").agg(F.sum("n").alias("all"), F.array(*by_lang).alias("ns") if langs else F.array().cast("array<double>").alias("ns"))
         wide = materialize(wide, "item-counts")
-        top = _most_frequent(wide, kept).select("item", "ns").toArrow()
+        sums = wide.select(F.count("*"), *[F.sum(F.col("ns")[i]) for i in range(len(langs))]).first()
+        sizes.append(sums[0])
+        units = _units(np.array([x or 0 for x in sums[1:]], float) + SMOOTHING * (sizes[-1] + 1))
+        top = _most_frequent(wide, kept).select("item", F.array(*units).cast("array<bigint>").alias("units")).toArrow()
         items.append(top.column("item").to_pylist())
-        flat = [chunk.flatten().to_numpy() for chunk in top.column("ns").chunks]
-        numbers.append(np.concatenate([np.zeros(0), *flat]).reshape(len(items[-1]), len(langs)))
-        sums = wide.select(*[F.sum(F.col("ns")[i]) for i in range(len(langs))]).first() if langs else []
-        totals.append(np.array([x or 0 for x in sums], float))
-        sizes.append(wide.count())
-        tables.append(wide.select("item", "ns"))
+        flat = [chunk.flatten().to_numpy() for chunk in top.column("units").chunks]
+        scores.append(np.concatenate([np.zeros(0, np.int64), *flat]).reshape(len(items[-1]), len(langs)))
+        tables.append(wide.select("item", *[x.alias(f"s{i}") for i, x in enumerate(units)]))
         longs = F.transform("ns", lambda x, i: F.struct(F.array(*map(F.lit, langs))[i].alias("lang"), x.cast("bigint").alias("n"))) if langs else None
         counted = wide.select("item", F.inline(longs)).where("n > 0").select("lang", "item", "n").mapInArrow(_count_grams, schema) if langs else wide.select(F.lit("").alias("lang"), "item", F.col("all").alias("n"))
     shares = np.array([prior[x] for x in langs], float)
-    model = Model(langs, np.log(shares / max(1.0, shares.sum())), items, numbers, totals, sizes)
-    return model, *tables, sizes == [len(names) for names in items]
-
-
-def _score_units(model: Model, which: int) -> list[Column]:
-    """Scores of ``ns`` by language, in units; ``which`` is 0 for words and 1 for n-grams."""
-    return [
-        F.round(F.log((F.col("ns")[i] + SMOOTHING) / F.lit(float(base))) / UNIT).cast("long").alias(f"s{i}")
-        for i, base in enumerate(model.bases[which])
-    ]
+    return Model(langs, items, scores), np.log(shares / max(1.0, shares.sum())).tolist(), *tables, sizes == [len(names) for names in items]
 
 
 def _unseen(unknown: DataFrame, all_grams: DataFrame, model: Model) -> DataFrame:
@@ -195,14 +186,14 @@ def _unseen(unknown: DataFrame, all_grams: DataFrame, model: Model) -> DataFrame
 
     names = [f"s{i}" for i in range(len(model.langs))]
     pieces = unknown.mapInArrow(run, "item string, size int, gram string")
-    scored = pieces.join(all_grams.select(F.col("item").alias("gram"), *_score_units(model, 1)), "gram")
+    scored = pieces.join(all_grams.withColumnRenamed("item", "gram"), "gram")
     sizes = scored.groupBy("item", "size").agg(*[F.round(F.sum(x) / F.count("*")).cast("long").alias(x) for x in names])
     longest = sizes.groupBy("item").agg(F.max_by(F.struct(*names), "size").alias("s"))
     return longest.select("item", "s.*")
 
 
 def _identify_joined(rows: DataFrame, model: Model, all_words: DataFrame, all_grams: DataFrame) -> DataFrame:
-    """As ``identify``: executors score the most frequent words, joins with all words and n-grams the others."""
+    """``doc_id, held_out, sums``: executors score the most frequent words, joins with all words and n-grams the others."""
     names = [f"s{i}" for i in range(len(model.langs))]
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -222,13 +213,13 @@ def _identify_joined(rows: DataFrame, model: Model, all_words: DataFrame, all_gr
                     pa.array([f"-{u}" for u in uids] + [w for _, rest in found for w in rest], pa.string()),
                     pa.array([0] * len(found) + [n for _, rest in found for n in rest.values()], pa.int64()),
                     *(part.column(c).take(pa.array(at[: len(found)].tolist() + own, pa.int64())) for c in ("doc_id", "held_out")),
-                    pa.array([x for x, _ in found] + own, pa.list_(pa.float64())),
+                    pa.array([x for x, _ in found] + own, pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["uid", "item", "n", "doc_id", "held_out", "total"])
 
     parts = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text")
-    parts = parts.mapInArrow(run, f"uid bigint, item string, n bigint, doc_id {kind}, held_out boolean, total array<double>")
-    joined = parts.join(all_words.select("item", *_score_units(model, 0), F.lit(True).alias("known")), "item", "left")
+    parts = parts.mapInArrow(run, f"uid bigint, item string, n bigint, doc_id {kind}, held_out boolean, total array<bigint>")
+    joined = parts.join(all_words.withColumn("known", F.lit(True)), "item", "left")
     absent = F.when(F.col("known").isNull() & (F.col("n") > 0), F.struct("item", "n"))
     scored = joined.groupBy("uid").agg(
         *(F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "held_out", "total")),
@@ -239,14 +230,23 @@ def _identify_joined(rows: DataFrame, model: Model, all_words: DataFrame, all_gr
     absent = scored.select("uid", F.inline("absent"))
     unseen = _unseen(absent.select("item").distinct(), all_grams, model)
     more = absent.join(unseen, "item").groupBy("uid").agg(*[F.sum(F.col(x) * F.col("n")).alias(f"more_{x}") for x in names])
-    total = F.array(*[F.col("total")[i] + (F.col(x) + F.coalesce(f"more_{x}", F.lit(0))) * UNIT for i, x in enumerate(names)])
-    done = scored.drop("absent").join(more, "uid", "left").withColumn("sums", total).withColumn("top", F.array_max("sums"))
-    posterior = 1 / F.aggregate("sums", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    best = F.array(*map(F.lit, model.langs))[F.array_position("sums", F.col("top")).cast("int") - 1]
+    total = F.array(*[F.col("total")[i] + F.col(x) + F.coalesce(f"more_{x}", F.lit(0)) for i, x in enumerate(names)])
+    done = scored.drop("absent").join(more, "uid", "left")
+    return done.select("doc_id", "held_out", F.when(F.col("total").isNotNull(), total).alias("sums"))
+
+
+def _decided(scored: DataFrame, langs: list[str], prior: list[float]) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` from the ``sums`` of units by language."""
+    if not langs:
+        return scored.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    total = F.array(*[F.lit(p) + F.col("sums")[i] * UNIT for i, p in enumerate(prior)])
+    done = scored.withColumn("total", total).withColumn("top", F.array_max("total"))
+    posterior = 1 / F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    best = F.array(*map(F.lit, langs))[F.array_position("total", F.col("top")).cast("int") - 1]
     return done.select(
         "doc_id", "held_out",
-        F.when(F.col("total").isNull(), UNKNOWN).otherwise(best).alias("lang_pred"),
-        F.when(F.col("total").isNull(), 0.0).otherwise(posterior).alias("score"),
+        F.when(F.col("sums").isNull(), UNKNOWN).otherwise(best).alias("lang_pred"),
+        F.when(F.col("sums").isNull(), 0.0).otherwise(posterior).alias("score"),
     )
 
 
@@ -257,10 +257,10 @@ def identify(docs: DataFrame, words_kept: int = WORDS_KEPT, grams_kept: int = GR
     from. The score is the posterior of the language; equal posteriors give the first language by code point.
     ``words_kept`` and ``grams_kept`` set what goes to every executor; they don't change the result.
     """
-    trained, all_words, all_grams, whole = train(docs, words_kept, grams_kept)
+    trained, prior, all_words, all_grams, whole = train(docs, words_kept, grams_kept)
     rows = docs.select("doc_id", held_out().alias("held_out"), text_of().alias("text"))
     if not whole:
-        return _identify_joined(rows, trained, all_words, all_grams)
+        return _decided(_identify_joined(rows, trained, all_words, all_grams), trained.langs, prior)
     model = docs.sparkSession.sparkContext.broadcast(trained)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +268,8 @@ def identify(docs: DataFrame, words_kept: int = WORDS_KEPT, grams_kept: int = GR
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                found = [known.predict(t) for t in part.column("text").to_pylist()]
-                columns = [part.column("doc_id"), part.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
+                found = [known.sums(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "held_out", "sums"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return _decided(rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, sums array<bigint>"), trained.langs, prior)

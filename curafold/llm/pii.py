@@ -29,8 +29,10 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 ROWS = 256
 
-#: Shapes whose label frequencies the model keeps, the most frequent ones.
+#: Shapes whose label frequencies every executor has, the most frequent ones; those of others are joined.
 SHAPES_KEPT = 10_000
+#: Longer shapes go by their digest.
+LONG_SHAPE = 24
 COUNTER_ENTRIES = 200_000
 #: Log-odds that the corpus may hold against a label; log-potentials of equal labels on skip edges.
 FLOOR, REPEATED, SIMILAR = 4.0, 8.0, 6.0
@@ -128,8 +130,9 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
 
 
 def shape(mention: str) -> str:
-    """Runs of digits and letters as one sign each; the rest as it is. Long shapes keep their head."""
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", mention[:64]))[:24]
+    """Runs of digits and letters as one sign each; the rest as it is."""
+    whole = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", mention))
+    return whole if len(whole) <= LONG_SHAPE else sha256(whole.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def keys(mention: str) -> tuple[str, str | None]:
@@ -153,31 +156,47 @@ class Field:
 
     def __init__(self, shapes: dict[str, list[int]], pairs: np.ndarray):
         n = len(LABELS)
-        self.unary = {}
-        for name, counts in shapes.items():
-            p = (np.array(counts, float) + 0.5) / (sum(counts) + 0.5 * n)
-            self.unary[name] = np.maximum(np.log(p), np.log(p).max() - FLOOR)
-        self.unknown = np.array([0.0, *[-FLOOR / 2] * len(KINDS)])
+        self.unary = {name: self.of_counts(counts) for name, counts in shapes.items()}
         joint = pairs + 1.0
         lift = np.log(joint * joint.sum() / (joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True)))
         self.chain = np.clip(lift, -CHAIN_LIMIT, CHAIN_LIMIT)
         self.same = {REPEATED: np.eye(n) * REPEATED, SIMILAR: np.eye(n) * SIMILAR}
 
-    def infer(self, text: str, nodes: list[tuple[int, int, int]]) -> list[Span]:
-        """Spans of open nodes whose most probable label isn't ``none``."""
+    @staticmethod
+    def of_counts(counts: list[int]) -> np.ndarray:
+        p = (np.array(counts, float) + 0.5) / (sum(counts) + 0.5 * len(LABELS))
+        return np.maximum(np.log(p), np.log(p).max() - FLOOR)
+
+    @staticmethod
+    def linked(text: str, nodes: list[tuple[int, int, int]]) -> dict[tuple[str, float], list[int]]:
+        """The nodes that share each key; nothing if no open node could follow a labelled one."""
         if all(label >= 0 for *_, label in nodes) or all(label < 0 for *_, label in nodes):
-            return []
-        n, width = len(nodes), len(LABELS)
+            return {}
         members: dict[tuple[str, float], list[int]] = {}
         for i, (a, b, _) in enumerate(nodes):
             same, similar = keys(text[a:b])
             for key, strength in ((same, REPEATED), (similar, SIMILAR)):
                 if key is not None:
                     members.setdefault((key, strength), []).append(i)
-        if len(members) == sum(map(len, members.values())):
-            return []  # no skip edge: nothing repeats
+        # Without a skip edge nothing repeats.
+        return members if len(members) < sum(map(len, members.values())) else {}
+
+    def missing(self, text: str, nodes: list[tuple[int, int, int]]) -> list[str]:
+        """Shapes that inference needs and this executor doesn't have."""
+        return sorted({shape(text[a:b]) for a, b, label in nodes if label < 0} - self.unary.keys()) if self.linked(text, nodes) else []
+
+    def infer(self, text: str, nodes: list[tuple[int, int, int]], more: dict[str, list[int]] | None = None) -> tuple[list[Span], bool]:
+        """Spans of open nodes whose most probable label isn't ``none``, and whether the messages have settled.
+
+        ``more`` has the counts of shapes beyond those of the model.
+        """
+        members = self.linked(text, nodes)
+        if not members:
+            return [], True
+        n, width = len(nodes), len(LABELS)
+        known_shapes = self.unary | {name: self.of_counts(counts) for name, counts in more.items()} if more else self.unary
         labels = np.array([label for *_, label in nodes])
-        unary = np.stack([self.unary.get(shape(text[a:b]), self.unknown) for a, b, _ in nodes])
+        unary = np.stack([known_shapes[shape(text[a:b])] if label < 0 else np.zeros(width) for a, b, label in nodes])
         edges: list[tuple[int, int, np.ndarray]] = [(i, i + 1, self.chain) for i in range(n - 1)]
         entities = n
         for (_, strength), found in members.items():
@@ -204,13 +223,14 @@ class Field:
             new -= new.max(axis=1, keepdims=True)
             moved = np.abs(new - message).max()
             message += (1 - DAMPING) / (1 + sweep // SLOWER) * (new - message)
-            if moved < SETTLED:
+            settled = bool(moved < SETTLED)
+            if settled:
                 break
         belief = unary[:n].copy()
         inner = target < n
         np.add.at(belief, target[inner], message[inner])
         best = belief.argmax(axis=1)
-        return [(LABELS[k], a, b) for (a, b, label), k in zip(nodes, best.tolist(), strict=True) if label < 0 and k > 0]
+        return [(LABELS[k], a, b) for (a, b, label), k in zip(nodes, best.tolist(), strict=True) if label < 0 and k > 0], settled
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,31 +256,52 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(counter)
 
 
-def train(docs: DataFrame, shapes_kept: int = SHAPES_KEPT) -> Field:
-    """Label frequencies over all documents; the driver gets those of the most frequent shapes."""
+def train(docs: DataFrame, shapes_kept: int = SHAPES_KEPT) -> tuple[Field, DataFrame]:
+    """The field with the most frequent shapes, and the label counts of all shapes: ``shape, counts``."""
     rows = docs.select(text_of().alias("text"))
-    counts = materialize(rows.mapInArrow(_tally, "what string, label int, n bigint").groupBy("what", "label").agg(F.sum("n").alias("n")), "shape-counts")
-    by = [F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(LABELS))]
-    table = counts.groupBy("what").agg(F.sum("n").alias("all"), *by)
+    counts = rows.mapInArrow(_tally, "what string, label int, n bigint").groupBy("what", "label").agg(F.sum("n").alias("n"))
+    by = F.array(*[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)) for k in range(len(LABELS))])
+    table = materialize(counts.groupBy("what").agg(F.sum("n").alias("all"), by.alias("counts")), "shape-counts")
     kept = table.where(F.col("what").startswith("s")).orderBy(F.desc("all"), "what").limit(shapes_kept).collect()
     pairs = np.zeros((len(LABELS), len(LABELS)))
     for r in table.where(F.col("what").startswith("p")).collect():  # a row per label
-        pairs[int(r["what"][1:])] = r[2:]
-    return Field({r["what"][1:]: list(r[2:]) for r in kept}, pairs)
+        pairs[int(r["what"][1:])] = r["counts"]
+    shapes = table.where(F.col("what").startswith("s")).select(F.expr("substr(what, 2)").alias("shape"), "counts")
+    return Field({r["what"][1:]: r["counts"] for r in kept}, pairs), shapes
 
 
 def written(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added``; one row per document.
+RESULT = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "settled"]
+RESULT_TYPES = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint, settled boolean"
+
+
+def _columns(found: list[tuple[list[Span], list[Span], bool]]) -> list[pa.Array]:
+    """The result columns of documents from their base matches, added spans and whether messages settled."""
+    kinds = [Counter(k for k, _, _ in base) for base, _, _ in found]
+    return [
+        *(pa.array([c[kind] for c in kinds], pa.int64()) for kind in KINDS),
+        pa.array([sha256(written(base).encode()).hexdigest() for base, _, _ in found]),
+        pa.array([written(base + more) for base, more, _ in found]),
+        pa.array([len(more) for _, more, _ in found], pa.int64()),
+        pa.array([settled for *_, settled in found]),
+    ]
+
+
+def find_personal_data(docs: DataFrame, shapes_kept: int = SHAPES_KEPT) -> DataFrame:
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, settled``; one row per document.
 
     Counts and digest are those of the base matches, ``spans`` has the added ones too, as
     ``kind:start:end`` in code points. A null or empty text has no spans, and the digest of an empty string.
-    Base matches of different kinds may overlap; added spans overlap no base match.
+    Base matches of different kinds may overlap; added spans overlap no base match. ``settled`` is false if the messages
+    of a document still moved after the last sweep. ``shapes_kept`` sets how many shapes every executor has;
+    documents that need others wait for a join with the counts of all shapes, so it doesn't change the result.
     """
-    field = docs.sparkSession.sparkContext.broadcast(train(docs))
+    trained, shapes = train(docs, shapes_kept)
+    field = docs.sparkSession.sparkContext.broadcast(trained)
+    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_of().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,22 +309,35 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                counts: list[list[int]] = [[] for _ in KINDS]
-                digests, spans, added = [], [], []
+                found, waiting, needs = [], [], []
                 for text in part.column("text").to_pylist():
                     base, nodes = mentions(text)
-                    more = model.infer(text, nodes) if nodes else []
-                    kinds = Counter(k for k, _, _ in base)
-                    for column, kind in zip(counts, KINDS, strict=True):
-                        column.append(kinds[kind])
-                    digests.append(sha256(written(base).encode()).hexdigest())
-                    spans.append(written(base + more))
-                    added.append(len(more))
-                columns = [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array(spans), pa.array(added, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
-
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
-    return rows.mapInArrow(run, schema)
+                    missing = model.missing(text, nodes)
+                    found.append((base, [], True) if missing else (base, *model.infer(text, nodes)))
+                    waiting.append(text if missing else None)
+                    needs.append(missing or None)
+                columns = [part.column("doc_id"), *_columns(found), pa.array(waiting, pa.string()), pa.array(needs, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *RESULT, "text", "needs"])
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = field.value
+        for batch in batches:
+            found = []
+            for text, more in zip(batch.column("text").to_pylist(), batch.column("more").to_pylist(), strict=True):
+                base, nodes = mentions(text)
+                found.append((base, *model.infer(text, nodes, {m["shape"]: m["counts"] for m in more})))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_columns(found)], ["doc_id", *RESULT])
+
+    first = rows.mapInArrow(run, f"doc_id {kind}, {RESULT_TYPES}, text string, needs array<string>")
+    if shapes.count() <= shapes_kept:
+        return first.drop("text", "needs")
+    first = materialize(first.withColumn("uid", F.monotonically_increasing_id()), "pii-first")
+    late = first.where("needs IS NOT NULL")
+    wanted = late.select("uid", F.explode("needs").alias("shape")).join(shapes, "shape")
+    # A document's list is as long as it has distinct shapes.
+    lists = wanted.groupBy("uid").agg(F.collect_list(F.struct("shape", "counts")).alias("more"))
+    done = late.select("uid", "doc_id", "text").join(lists, "uid").select("doc_id", "text", "more")
+    return first.where("needs IS NULL").select("doc_id", *RESULT).unionByName(done.mapInArrow(rest, f"doc_id {kind}, {RESULT_TYPES}"))
 
 
 def redacted(text: str, spans: list[Span]) -> str:
