@@ -64,3 +64,20 @@ Unless required by applicable law or agreed to in writing, software distributed
 ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
 ]
+
+#: Digests of the canonical form of whole texts as their publishers give them; see ``licences.digest``.
+WHOLE_DIGESTS = [
+("Apache-2.0", "61f2162fc0fe5f5338684a61412fe5ed3d58a07a36060b211636801a1f71e201"),
+("Artistic-1.0", "065afd054b7b3891100d80895d113a7c684cbc25122fa1c526244c852fe5a9ba"),
+("CC0-1.0", "b096badc0168abbd7a6496f3097d3b3e33b5d3d54dbc0990a1eb8341c549c075"),
+("GFDL-1.2", "4f3ee1c1be015aff856b93ce653c3c303a70089b8fa4a5df4bb6de845b5b4a1e"),
+("GFDL-1.3", "6114e20795948f0a37c6787b82086a421c231ab9030dd8f85af59433046cc9e6"),
+("GPL-1.0", "b6f369bdd84e6de75aa454489b778914b3d31b942699818c08c8b6b8e362011e"),
+("GPL-2.0", "f9cf9807e2e5ac5b160d73bdce9541e085753073a312c94c3f51e92139c3ced1"),
+("GPL-3.0", "38b9805baacee0af90db47e7965028fbea91d9fe8e641051f8e939844e47ac18"),
+("LGPL-2.0", "fe4137135186f54987531d2889b286014e6628f86033fce3b12db2a979d0d813"),
+("LGPL-2.1", "eff97d5cecec1566811399644ac3211023c9ccd006c1d469daf18311199076b1"),
+("LGPL-3.0", "9111884d93a72b30a3d024876dab3d755949ac2cfab230268a4169a93b86560c"),
+("MPL-1.1", "e9a3362fdacdfd3b775402a113e0b096b648a0e7301c791d928dac97c6299101"),
+("MPL-2.0", "b649cbcbae67dada47bfc2b1d758f4af883c5d7e2250c9d683661e8214cc8d5e"),
+]

@@ -2,8 +2,10 @@
 
 import itertools
 import math
+import pathlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -268,6 +270,41 @@ def test_unseen_words_back_off_to_ngrams():
     assert model.sums("aa bb bb") == [11, 19] and model.sums("cba") == [-38, -34] and model.sums("q aa") == [9, 1]
 
 
+def test_licences_under_titles_wrapped_and_inside(spark):
+    texts = dict(reversed(licence_texts.LICENCES))
+    mit, header = texts["MIT"], next(t for n, t in licence_texts.LICENCES if n == "Apache-2.0" and "\n" in t)
+    wrapped = "\n\n".join(textwrap.fill(b, 40) for b in mit.split("\n\n"))
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 X\n\n" + mit),
+        (2, "The MIT License (MIT)\nCopyright (c) Acme Corp\n" + wrapped),
+        (3, "Some prose here.\n\nReleased under the\nMIT License.\n\nMore."),
+        (4, "Copyright 2020 X\n\n" + "\n\n".join(textwrap.fill(b, 50) for b in header.split("\n\n")) + "\n\nOther text."),
+        (5, "A tool.\n\n" + wrapped + "\n\n\n \nAnd more prose."),
+        (6, "BSD 3-Clause License\n\nCopyright (c) The Regents\nAll rights reserved.\n\n" + texts["BSD-3-Clause"]),
+        (7, mit.split("\n\n")[0]),
+        (8, "copyright notice and this permission notice"),
+    ]
+    got = {r.doc_id: (r.licence, r.notices) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == ("MIT", "MIT") and got[3] == (None, "MIT") and got[4][1] == "Apache-2.0"
+    assert got[5] == (None, "MIT") and got[6] == ("BSD-3-Clause", "BSD-3-Clause") and got[7] == got[8] == (None, "")
+    own = spark.createDataFrame([("Own", "One two.\n\nThree\nfour."), (None, "x")], "licence string, text string")
+    docs = spark.createDataFrame([(1, "a\n\nONE, two\n\n\nthree four\n\nb"), (2, "one two"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: r.notices for r in licences.scan(docs, own).collect()} == {1: "Own", 2: "", 3: ""}
+
+
+def test_whole_texts_of_publishers(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    files = {"GPL-3.0": "GPL-3", "GPL-2.0": "GPL-2", "LGPL-3.0": "LGPL-3", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    found = {name: (folder / f).read_text() for name, f in files.items() if (folder / f).exists()}
+    if not found:
+        pytest.skip("no licence files here")
+    rows = [(n, t.replace("\n", "\r\n").upper()) for n, t in found.items()]
+    docs = spark.createDataFrame(rows, "name string, text string").withColumn("doc_id", F.monotonically_increasing_id())
+    got = {r.doc_id: r.licence for r in licences.scan(docs).collect()}
+    assert [got[r.doc_id] for r in docs.collect()] == [r.name for r in docs.collect()]
+    assert len({d for _, d in licence_texts.WHOLE_DIGESTS}) == len(licence_texts.WHOLE_DIGESTS)
+
+
 def test_licences_in_other_dress(spark):
     mit, notice = dict(reversed(licence_texts.LICENCES))["MIT"], "Licensed under CC BY-NC 4.0."
     rows = [
@@ -333,3 +370,84 @@ def test_forest_walk_equals_node_by_node():
                 node = 2 * node + 1 + (row[forest.feature[t * inner + node]] > forest.cut[t * inner + node])
             total += forest.leaf[t * leaves + node - inner]
         assert score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def plain_statistics(text):
+    """The statistics one by one, from the text as characters."""
+    out = dict.fromkeys(quality.FEATURES, 0.0)
+    raw = text.encode()
+    n = len(raw)
+    if not n:
+        return out
+    words, lines = text.split(), text.split("\n")
+    letter = sum(b >= 128 or chr(b).isalpha() for b in raw)
+    upper = sum(65 <= b < 91 for b in raw)
+    sign = lambda b: 33 <= b < 127 and not chr(b).isalnum()
+    out |= {
+        "log_bytes": math.log1p(n), "log_words": math.log1p(len(words)), "word_bytes": n / (len(words) + 1), "letter_share": letter / n,
+        "digit_share": sum(chr(b) in "0123456789" for b in raw) / n, "upper_share": upper / (letter + 1), "symbol_share": sum(map(sign, raw)) / n,
+        "end_share": sum(chr(b) in ".,;:?" for b in raw) / n, "other_byte_share": sum(b >= 128 for b in raw) / n,
+        **{f"share_{ord(c)}": raw.count(c.encode()) / n for c in quality.SIGNS},
+    }
+    parts = raw.split(b"\n")
+    parts = [p + b"\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
+    noise = [sum(map(sign, p)) / (len(p) + 8) for p in parts]
+    out |= {
+        "log_lines": math.log1p(len(parts)), "line_words": len(words) / len(parts), "distinct_lines": len(set(lines)) / len(lines),
+        "worst_line_symbols": max(noise), "worst_line_upper": max(sum(65 <= b < 91 for b in p) / (len(p) + 8) for p in parts), "noisy_lines": sum(x > 0.12 for x in noise) / len(noise),
+    }
+    if words:
+        top = sorted(Counter(words).values(), reverse=True)
+        triples = {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+        out |= {
+            "distinct_words": len(set(words)) / len(words), "top_word": top[0] / len(words), "top_words": sum(top[:5]) / len(words),
+            "doubled_words": sum(a == b for a, b in zip(words, words[1:])) / len(words), "distinct_triples": len(triples) / max(1, len(words) - 2),
+            "short_words": sum(len(w) <= 3 for w in words) / len(words), "signed_words": sum(not w[-1].isalnum() for w in words) / len(words),
+        }
+    return out | {"compression": len(zlib.compress(raw, 1)) / n}
+
+
+def test_statistics_equal_plain_counts():
+    rng = random.Random(2)
+    texts = ["", " ", "\n", "a", "é\n\nÉ ß!", "A! b? 12 12 12"] + ["".join(rng.choice("abC  1é.,!#$\n漢_~") for _ in range(rng.randint(1, 300))) for _ in range(60)]
+    got = quality.statistics(texts)
+    for row, text in zip(got, texts, strict=True):
+        assert dict(zip(quality.FEATURES, row)) == pytest.approx(plain_statistics(text)), repr(text)
+
+
+def plain_fit(x, y):
+    """The same boosting node by node: every cut of every feature is tried on the rows of the node."""
+    base = math.log((y.sum() + 0.5) / (len(y) + 1) / (1 - (y.sum() + 0.5) / (len(y) + 1)))
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1], method="lower")) for f in range(x.shape[1])]
+    margin = np.full(len(y), base)
+    for _ in range(quality.ROUNDS):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, np.maximum(p * (1 - p), 1e-9)
+        nodes = [np.arange(len(y))]
+        for _ in range(quality.DEPTH):
+            halves = []
+            for at in nodes:
+                best, side = 1e-9, np.ones(len(at), bool)
+                for f, c in enumerate(cuts):
+                    for cut in c:
+                        left = x[at, f] <= cut
+                        a, b = at[left], at[~left]
+                        if len(a) and len(b) and min(h[a].sum(), h[b].sum()) >= quality.LEAST_WEIGHT:
+                            gain = sum(g[s].sum() ** 2 / (h[s].sum() + quality.RIDGE) * w for s, w in ((a, 1), (b, 1), (at, -1)))
+                            if gain > best * (1 + 1e-9):
+                                best, side = gain, left
+                halves += [at[side], at[~side]]
+            nodes = halves
+        for at in nodes:
+            if len(at):
+                margin[at] -= quality.RATE * g[at].sum() / (h[at].sum() + quality.RIDGE)
+    return 1 / (1 + np.exp(-margin))
+
+
+def test_fit_equals_boosting_node_by_node(monkeypatch):
+    monkeypatch.setattr(quality, "ROUNDS", 5)
+    monkeypatch.setattr(quality, "DEPTH", 3)
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=200), rng.integers(0, 5, 200), rng.random(200)])
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 2) ^ (rng.random(200) < 0.1)).astype(float)
+    assert quality.fit(x, y).score(x) == pytest.approx(plain_fit(x, y), abs=1e-9)
