@@ -460,7 +460,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     A byte is removed if it lies in a string of ``LENGTH`` bytes that also starts in a document with a smaller id.
     Strings are judged on the input and never cross documents. Null counts as empty. A null id
-    counts as larger than any other; rows that share an id, or have none, don't remove from each other.
+    counts as larger than any other; rows that share an id, or have none, don't remove from each other, and are
+    dealt out to blocks by their texts.
     Cut bytes needn't be valid UTF-8.
     """
     rows = docs.select(
@@ -468,7 +469,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     )
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("place"), F.lit(n_blocks))).groupBy("block")
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("place", "body"), F.lit(n_blocks))).groupBy("block")
     anchors = blocks.applyInArrow(_find_anchors(n_blocks), ANCHORS)
     shared = anchors.groupBy("part").applyInArrow(_share(hot_occurrences), SHARED)
     found = blocks.cogroup(shared.groupBy("block")).applyInArrow(_send_contexts(n_blocks), CONTEXTS)
