@@ -218,21 +218,23 @@ def ablation_contributions(
 ) -> DataFrame:
     """``(id…, feature, value, contribution)``: what a feature's value changes against its training median.
 
-    Base and ablated rows are scored in one pass, a row per feature and row.
+    Base and ablated rows are scored in one pass, a row per feature that a tree splits on; the others change nothing.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    used = set(model.featureImportances.indices.tolist())
     values = rows.select(*id_cols, vector_to_array(F.col(vector)).alias("__x"))
-    variants = [F.struct(F.lit(None).cast("string").alias("feature"), F.lit(-1).alias("k"), F.lit(None).cast("double").alias("median"))]
-    variants += [F.struct(F.lit(n).alias("feature"), F.lit(k).alias("k"), F.lit(float(m)).alias("median")) for k, (n, m) in enumerate(zip(names, medians, strict=True))]
+    variants = [F.struct(F.lit(-1).alias("k"), F.lit(None).cast("double").alias("median"))]
+    variants += [F.struct(F.lit(k).alias("k"), F.lit(float(m)).alias("median")) for k, m in enumerate(medians) if k in used]
     wide = values.withColumn("__v", F.explode(F.array(*variants)))
     changed = F.transform("__x", lambda x, i: F.when(i == F.col("__v.k"), F.col("__v.median")).otherwise(x))
     scored = model.transform(wide.withColumn(vector, array_to_vector(changed)))
     keys = F.struct(*id_cols)
     base = F.max(F.when(F.col("__v.k") < 0, F.col("pred")))
-    parts = F.collect_list(F.when(F.col("__v.k") >= 0, F.struct(F.col("__v.feature").alias("feature"), F.get("__x", F.col("__v.k")).alias("value"), "pred")))
-    # The list of a row is as long as the model is wide.
-    by_row = scored.groupBy(keys.alias("__id")).agg(base.alias("__base"), parts.alias("__parts"))
-    return by_row.select("__id.*", "__base", F.inline("__parts")).select(
-        *id_cols, "feature", "value", (F.col("__base") - F.col("pred")).alias("contribution")
-    )
+    ablated = F.map_from_entries(F.collect_list(F.when(F.col("__v.k") >= 0, F.struct(F.col("__v.k"), "pred"))))
+    # The map of a row is at most as long as the model is wide.
+    by_row = scored.groupBy(keys.alias("__id")).agg(base.alias("__base"), ablated.alias("__ablated"), F.any_value("__x").alias("__x"))
+    named = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(k).alias("k")) for k, n in enumerate(names)])
+    long = by_row.select("__id.*", "__base", "__ablated", "__x", F.inline(named))
+    change = F.col("__base") - F.coalesce(F.element_at("__ablated", F.col("k")), F.col("__base"))
+    return long.select(*id_cols, "feature", F.get("__x", F.col("k")).alias("value"), change.alias("contribution"))
