@@ -1,4 +1,4 @@
-"""Nearest neighbours by vantage-point trees, one per shard.
+"""Nearest neighbours by vantage-point trees, one per shard of near vectors.
 
 Vectors are scaled to length one, where the Euclidean distance orders like the cosine and obeys the
 triangle inequality. A node's points are split at the median distance to its vantage point; a side is
@@ -23,6 +23,8 @@ NEIGHBOURS = 5
 #: Divides the reach of a search; see the README for recall against brute force.
 FACTOR = 1.0
 SHARD_ROWS, QUERY_ROWS, LEAF = 16_384, 2_048, 128
+#: Sampled vectors at most that cells are formed around; beyond that many shards, cells hold several.
+MAX_CENTRES = 2_048
 #: Neighbours kept beyond the wanted ones until the exact measure has ordered them.
 SPARE = 8
 #: Scores closer than this may be a tie. Rounding moves distances of unit vectors by less than the slack.
@@ -160,61 +162,131 @@ def _block(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [group["block"].iloc[0]], "width": [vectors.shape[1]], "queries": [vectors.tobytes()], "query_ids": [ids.tobytes()]})
 
 
+def _top(row: dict, k: int, factor: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(query, item, score)`` of the ``k`` nearest of a shard for each query of a block, best first."""
+    points = np.frombuffer(row["points"]).reshape(-1, row["width"])
+    queries = np.frombuffer(row["queries"]).reshape(-1, row["width"])
+    query_ids = np.frombuffer(row["query_ids"], np.int64)
+    ids, at = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["at"], np.int64)
+    tree = unit(points), np.frombuffer(row["inner"]), np.frombuffer(row["outer"])
+    want = min(len(points), k + 1 + SPARE)
+    parts = [np.arange(len(queries))]
+    while parts:
+        open_ = []
+        for part in parts:
+            asked, own = queries[part], query_ids[part]
+            search = Search(*tree, unit(asked), want, factor)
+            query, point = np.repeat(np.arange(len(part)), want), search.found.ravel()
+            query, point = query[point >= 0], point[point >= 0]
+            score = cosine(asked[query], points[point])
+            first, last = np.searchsorted(at, point), np.searchsorted(at, point, side="right")
+            times = last - first
+            query, score = np.repeat(query, times), np.repeat(score, times)
+            item = ids[np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+            other = item != own[query]
+            query, score, item = query[other], score[other], item[other]
+            # Of an id with several vectors the nearest one counts.
+            by = np.lexsort([-score, item, query])
+            query, score, item = query[by], score[by], item[by]
+            new = np.ones(len(query), bool)
+            new[1:] = (query[1:] != query[:-1]) | (item[1:] != item[:-1])
+            query, score, item = query[new], score[new], item[new]
+            by = np.lexsort([item, -score, query])
+            query, score, item = query[by], score[by], item[by]
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            # Points that were not kept may tie with the last neighbour; a wider search settles it.
+            least = np.full(len(part), -np.inf)
+            least[query[place == k - 1]] = score[place == k - 1]
+            tied = (least <= search.similarity[:, -1] + TIE) if want < len(points) else np.zeros(len(part), bool)
+            top = (place < k) & ~tied[query]
+            open_.append(part[tied])
+            yield part[query[top]], item[top], score[top]
+        again = np.concatenate(open_)
+        want = min(len(points), 4 * want)
+        step = max(1, WIDE_POINTS // want)
+        parts = [again[i : i + step] for i in range(0, len(again), step)]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
+
+
 def _search(k: int, factor: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
-                points = np.frombuffer(row["points"]).reshape(-1, row["width"])
-                queries = np.frombuffer(row["queries"]).reshape(-1, row["width"])
-                query_ids = np.frombuffer(row["query_ids"], np.int64)
-                ids, at = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["at"], np.int64)
-                tree = unit(points), np.frombuffer(row["inner"]), np.frombuffer(row["outer"])
-                want = min(len(points), k + 1 + SPARE)
-                parts = [np.arange(len(queries))]
-                while parts:
-                    open_ = []
-                    for part in parts:
-                        asked, own = queries[part], query_ids[part]
-                        search_ = Search(*tree, unit(asked), want, factor)
-                        query, point = np.repeat(np.arange(len(part)), want), search_.found.ravel()
-                        query, point = query[point >= 0], point[point >= 0]
-                        score = cosine(asked[query], points[point])
-                        first, last = np.searchsorted(at, point), np.searchsorted(at, point, side="right")
-                        times = last - first
-                        query, score = np.repeat(query, times), np.repeat(score, times)
-                        item = ids[np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-                        other = item != own[query]
-                        query, score, item = query[other], score[other], item[other]
-                        # Of an id with several vectors the nearest one counts.
-                        by = np.lexsort([-score, item, query])
-                        query, score, item = query[by], score[by], item[by]
-                        new = np.ones(len(query), bool)
-                        new[1:] = (query[1:] != query[:-1]) | (item[1:] != item[:-1])
-                        query, score, item = query[new], score[new], item[new]
-                        by = np.lexsort([item, -score, query])
-                        query, score, item = query[by], score[by], item[by]
-                        place = np.arange(len(query)) - np.searchsorted(query, query)
-                        # Points that were not kept may tie with the last neighbour; a wider search settles it.
-                        least = np.full(len(part), -np.inf)
-                        least[query[place == k - 1]] = score[place == k - 1]
-                        tied = (least <= search_.similarity[:, -1] + TIE) if want < len(points) else np.zeros(len(part), bool)
-                        top = (place < k) & ~tied[query]
-                        open_.append(part[tied])
-                        yield pa.RecordBatch.from_pydict({"query_id": own[query[top]], "vec_id": item[top], "score": score[top]})
-                    again = np.concatenate(open_)
-                    want = min(len(points), 4 * want)
-                    step = max(1, WIDE_POINTS // want)
-                    parts = [again[i : i + step] for i in range(0, len(again), step)]
+        for row in _rows(batches):
+            own = np.frombuffer(row["query_ids"], np.int64)
+            for query, item, score in _top(row, k, factor):
+                yield pa.RecordBatch.from_pydict({"query_id": own[query], "vec_id": item, "score": score})
 
     return search
 
 
-def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS, factor: float = FACTOR) -> DataFrame:
+def _apart(queries: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * (queries @ centres.T)))
+
+
+def _place(centres: dict[int, np.ndarray]):
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The cell of each vector, the one of its nearest centre, and its distance to it."""
+        for frame in frames:
+            for width, part in frame.groupby("width"):
+                cell, apart = np.zeros(len(part), np.int64), np.zeros(len(part))
+                if width in centres:
+                    vectors = unit(np.stack(part["vector"].to_numpy()).astype(np.float64))
+                    for a in range(0, len(part), QUERY_ROWS):
+                        d = _apart(vectors[a : a + QUERY_ROWS], centres[width])
+                        cell[a : a + QUERY_ROWS], apart[a : a + QUERY_ROWS] = d.argmin(axis=1), d.min(axis=1)
+                yield part.assign(cell=cell, apart=apart)
+
+    return place
+
+
+def _route(k: int, factor: float, centres: dict[int, np.ndarray], reach: dict[int, list[tuple[int, float, float]]]):
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each cell, the queries of a block that may have a neighbour there, judged by their ``k``-th one at home."""
+        for row in _rows(batches):
+            width = row["width"]
+            if width not in centres:
+                yield pa.RecordBatch.from_pydict({"width": pa.array([width], pa.int32()), "cell": [0], "queries": [row["queries"]], "query_ids": [row["query_ids"]]})
+                continue
+            queries, own = np.frombuffer(row["queries"]).reshape(-1, width), np.frombuffer(row["query_ids"], np.int64)
+            least, times = np.full(len(own), np.inf), np.zeros(len(own), np.int64)
+            for query, _, score in _top(row, k, factor):
+                np.minimum.at(least, query, score)
+                np.add.at(times, query, 1)
+            worst = np.where(times == k, np.sqrt(np.maximum(0, 2 - 2 * np.where(times == k, least, 0))), np.inf) / factor
+            for a in range(0, len(own), QUERY_ROWS):
+                apart = _apart(unit(queries[a : a + QUERY_ROWS]), centres[width])
+                for cell, low, high in reach[width]:
+                    gap = np.maximum(apart[:, cell] - high, low - apart[:, cell])
+                    go = a + np.flatnonzero(gap <= worst[a : a + QUERY_ROWS] + 2 * SLACK)
+                    if len(go):
+                        yield pa.RecordBatch.from_pydict({"width": pa.array([width], pa.int32()), "cell": [cell], "queries": [queries[go].tobytes()], "query_ids": [own[go].tobytes()]})
+
+    return route
+
+
+def _centres(rows: DataFrame, n_centres: int, shard_rows: int) -> dict[int, np.ndarray]:
+    """Unit vectors by length of vectors: those of the ``n_centres`` rows with the smallest hashes, of lengths that fill more than a shard."""
+    large = rows.groupBy("width").count().where(F.col("count") > shard_rows).select("width")
+    sample = rows.join(large, "width").select("width", "vector").orderBy(F.xxhash64("id", F.lit(2)), "id", "vector").limit(n_centres)
+    found: dict[int, list[list[float]]] = {}
+    for r in sample.collect():  # at most MAX_CENTRES rows
+        found.setdefault(r["width"], []).append(r["vector"])
+    return {w: np.unique(unit(np.array(v, np.float64)), axis=0) for w, v in found.items()}
+
+
+def nearest(
+    vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS, factor: float = FACTOR, shard_rows: int = SHARD_ROWS
+) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest other rows of each row that ``is_query``.
 
-    Every row is indexed and every query visits every shard, in blocks: the index is moved once, a
-    block of queries once per shard. Vectors of different lengths aren't compared. Rows without an id and
+    Every row is indexed, in the cell of the nearest of at most ``MAX_CENTRES`` sampled vectors; a cell with more than
+    ``shard_rows`` rows has several shards. Blocks of queries search a shard of their own cell first. Their ``k``-th neighbour there
+    rules out cells by the triangle inequality, relaxed by ``factor`` as within a tree, and each query visits all
+    shards of the other cells. Vectors of different lengths aren't compared. Rows without an id and
     vectors that aren't ``usable`` take no part. Rows with equal id and vector are one; of an id with several vectors
     the nearest pair counts, as query and as neighbour. A query is never its own neighbour, nor is another row with its id. Ties go to the smaller id. With fewer than ``k``
     candidates all are given; an empty table gives no rows.
@@ -222,22 +294,35 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector
     rows = vectors.where(usable(f"`{vector}`") & F.col(f"`{vec_id}`").isNotNull())
     rows = rows.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"), is_query.alias("query"))
     # Copies are folded where they are, so a row that repeats often meets no single task.
-    rows = rows.dropDuplicates().withColumn("width", F.size("vector"))
-    counts = rows.groupBy("width").agg(F.count("*").alias("n"), F.sum(F.col("query").cast("long")).alias("q"))
-    # One row per length of vectors.
-    rows = rows.join(counts, "width")
-    n_shards, n_blocks = F.ceil(F.col("n") / SHARD_ROWS), F.ceil(F.col("q") / QUERY_ROWS)
-    placed = rows.withColumn("shard", F.struct("width", F.pmod(F.xxhash64("id"), n_shards).cast("long").alias("s")))
-    index = placed.select("shard", "id", "vector").groupBy("shard").applyInPandas(
-        _index(k), "shard struct<width:int,s:bigint>, width int, points binary, inner binary, outer binary, ids binary, at binary"
+    rows = materialize(rows.dropDuplicates().withColumn("width", F.size("vector")), "vp-rows")
+    centres = _centres(rows, min(MAX_CENTRES, -(-rows.count() // shard_rows)), shard_rows)
+    kept = "id bigint, vector array<double>, query boolean, width int, cell bigint, apart double"
+    placed = rows.mapInPandas(_place(centres), kept) if centres else rows.withColumns({"cell": F.lit(0).cast("long"), "apart": F.lit(0.0)})
+    placed = materialize(placed, "vp-cells")
+    cells = placed.groupBy("width", "cell").agg(
+        F.min("apart").alias("low"), F.max("apart").alias("high"), F.ceil(F.count("*") / shard_rows).alias("shards"), F.ceil(F.sum(F.col("query").cast("long")) / QUERY_ROWS).alias("blocks")
+    )
+    cells = materialize(cells, "vp-cell-sizes")
+    reach: dict[int, list[tuple[int, float, float]]] = {}
+    for r in cells.where(F.col("width").isin(list(centres))).collect():  # at most a row per centre
+        reach.setdefault(r["width"], []).append((r["cell"], r["low"], r["high"]))
+    placed = placed.join(cells, ["width", "cell"])
+
+    def shard(s: Column) -> Column:
+        return F.struct("width", "cell", s.cast("long").alias("s")).alias("shard")
+
+    index = placed.select(shard(F.pmod(F.xxhash64("id"), F.col("shards"))), "id", "vector").groupBy("shard").applyInPandas(
+        _index(k), "shard struct<width:int,cell:bigint,s:bigint>, width int, points binary, inner binary, outer binary, ids binary, at binary"
     )
     index = materialize(index, "vp-index")
-    asked = rows.where("query").withColumn("block", F.struct("width", F.pmod(F.xxhash64("id", F.lit(1)), n_blocks).cast("long").alias("b"), n_shards.cast("long").alias("shards")))
+    asked = placed.where("query").withColumn("block", F.struct("width", "cell", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("long").alias("b"), "shards"))
     blocks = asked.select("block", "id", "vector").groupBy("block").applyInPandas(
-        _block, "block struct<width:int,b:bigint,shards:bigint>, width int, queries binary, query_ids binary"
+        _block, "block struct<width:int,cell:bigint,b:bigint,shards:bigint>, width int, queries binary, query_ids binary"
     )
-    sent = blocks.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block.shards") - 1)))
-    sent = sent.select(F.struct("width", "s").alias("shard"), "queries", "query_ids")
+    home = blocks.select("block.*", "queries", "query_ids").select(shard(F.pmod(F.col("b"), F.col("shards"))), "queries", "query_ids")
+    routes = index.hint("merge").join(home, "shard").drop("shard").mapInArrow(_route(k, factor, centres, reach), "width int, cell bigint, queries binary, query_ids binary")
+    sent = routes.join(cells.select("width", "cell", "shards"), ["width", "cell"]).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    sent = sent.select(shard(F.col("s")), "queries", "query_ids")
     found = index.hint("merge").join(sent, "shard").drop("shard").mapInArrow(_search(k, factor), "query_id bigint, vec_id bigint, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from helpers import BLANK, awkward, classes, empty
 from pyspark.sql import functions as F
@@ -99,7 +100,6 @@ def neighbours(ids, vectors, k=5):
 
 
 def test_neighbours_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(vptree, "SHARD_ROWS", 300)
     monkeypatch.setattr(vptree, "QUERY_ROWS", 5)
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(1500, 16)).astype(np.float32)
@@ -107,12 +107,41 @@ def test_neighbours_match_brute_force(spark, monkeypatch):
     ids = np.arange(1500)
     df = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": [v.tolist() for v in vectors]}), "vec_id long, embedding array<float>")
     got = defaultdict(list)
-    for r in vptree.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+    for r in vptree.nearest(df, F.col("vec_id") % 50 == 0, shard_rows=300).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
         assert r.score == pytest.approx(vptree.cosine(*(vectors[[x]].astype(float) for x in (r.query_id, r.vec_id)))[0], abs=1e-12)
     assert got == neighbours(ids, vectors.astype(float))
 
 
+def test_far_cells_are_not_visited(spark):
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(12, 24))
+    vectors = middles[rng.integers(0, 12, 1800)] + 0.02 * rng.normal(size=(1800, 24))
+    vectors[:600] = vectors[0]  # a hot cell, which has several shards
+    ids = np.arange(1800)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": [v.tolist() for v in vectors]}), "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in vptree.nearest(df, F.col("vec_id") % 50 == 0, shard_rows=100).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == neighbours(ids, vectors)
+
+    units = vptree.unit(vectors)
+    centres = units[[0, *range(601, 1800, 100)]]
+    cell = vptree._apart(units, centres).argmin(axis=1)
+    apart = vptree._apart(units, centres).min(axis=1)
+    reach = {24: [(int(c), apart[cell == c].min(), apart[cell == c].max()) for c in np.unique(cell)]}
+    home = cell == cell[1000]
+    order, inner, outer = vptree.build(units[home])
+    row = {"width": 24, "points": vectors[home][order].tobytes(), "inner": inner.tobytes(), "outer": outer.tobytes(), "ids": ids[home][order].tobytes(),
+           "at": np.arange(home.sum()).tobytes(), "queries": vectors[[1000]].tobytes(), "query_ids": ids[[1000]].tobytes()}
+    batch = pa.RecordBatch.from_pylist([row])
+    visited = {r["cell"] for b in vptree._route(5, 1.0, {24: centres}, reach)([batch]) for r in b.to_pylist()}
+    score = vptree.cosine(np.stack([vectors[1000]] * 1800), vectors)
+    score[1000] = -2
+    needed = set(cell[np.argsort(-score, kind="stable")[:5]])
+    assert needed <= visited and len(visited) < len(reach[24]) / 2
+
+
 def test_repeated_queries_and_ids_do_not_repeat_neighbours(spark):
     rows = [(i, [1.0, i / 10]) for i in range(8)] + [(0, [1.0, 0.0])] * 3 + [(3, [1.0, 0.05]), (2, [-1.0, 0.0])]
     got = vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
