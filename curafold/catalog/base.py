@@ -61,7 +61,7 @@ def rs(names: Sequence[str]) -> str:
 
 # --- measurements: events as raw multi-source records --------------------------
 
-SOURCE_EXACT = {"1": "A", "1.0": "A", "2": "B", "2.0": "B"}
+SOURCE_EXACT = {"7": "A", "7.0": "A", "9": "B", "9.0": "B"}
 SOURCE_CONTAINS = {"registry-a": "A", "registry-b": "B"}
 
 
@@ -72,9 +72,9 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 def raw_label() -> F.Column:
     kind = F.col("event_type")
     return (
-        F.when(kind == "click", F.lit("1"))
-        .when(kind == "view", F.lit(" 1.0 "))
-        .when(kind == "purchase", F.lit("2"))
+        F.when(kind == "click", F.lit("7"))
+        .when(kind == "view", F.lit(" 7.0 "))
+        .when(kind == "purchase", F.lit("9"))
         .when(kind == "signup", F.lit("Registry-B v2"))
         .when(F.col("event_id") % 2 == 0, F.lit("x"))
     )

@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +49,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+RUN_KEY = "spark.curafold.runFolder"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = spark.conf.get(RUN_KEY, None) or shared_folder(spark)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables of the block go into a folder of their own, which is deleted at its end, after a failure too.
+
+    Results that are needed later must have been written elsewhere by then. Runs may be nested.
+    """
+    outer = spark.conf.get(RUN_KEY, None)
+    folder = f"{outer or shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    spark.conf.set(RUN_KEY, folder)
+    try:
+        yield folder
+    finally:
+        spark.conf.unset(RUN_KEY) if outer is None else spark.conf.set(RUN_KEY, outer)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

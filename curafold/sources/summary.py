@@ -8,12 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def category_counts(df: DataFrame, col: str, name: str) -> DataFrame:
-    """One row with a map category -> rows. For columns with few categories."""
+#: Categories that fit into one row of a summary; a column with more is no category, and the job fails.
+MOST_CATEGORIES = 10_000
+
+
+def category_counts(df: DataFrame, col: str, name: str, most: int = MOST_CATEGORIES) -> DataFrame:
+    """One row with a map category -> rows; NULL counts as ``NULL``.
+
+    The number of categories is checked before they are gathered: more than ``most`` fail the job.
+    """
     counts = df.groupBy(F.coalesce(F.col(col).cast("string"), F.lit("NULL")).alias("k")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    return counts.agg(
+    checked = counts.where(
+        F.assert_true(
+            counts.agg(F.count(F.lit(1))).scalar() <= most,
+            F.lit(f"column {col} has more than {most} categories"),
+        ).isNull()
+    )
+    return checked.agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name)
     )
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 
 import numpy as np
@@ -10,10 +11,11 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from curafold import session
 from curafold.operators import contracts, curate, explain, features, joins, metrics, ranking, setops, similarity, splits
 from curafold.plans import boosting, learners, runner, workflows
 from curafold.session import materialize
-from curafold.sources import integrity, tables
+from curafold.sources import integrity, summary, tables
 from curafold.streaming import curation as streaming
 
 
@@ -388,3 +390,25 @@ def test_rare_bits_find_all_pairs_and_verify_few(spark, monkeypatch):
     sets = [similarity.distinct_sets(f) for f in frames]
     candidates = similarity.RareBits(*sets, 0.6, 16_384).candidates()
     assert candidates.count() == candidates.distinct().count() < 0.1 * sets[0].count() * sets[1].count()
+
+
+def test_tables_of_a_run_go_with_it(spark):
+    rows = spark.range(5)
+    with session.scratch_run(spark) as outer:
+        table = materialize(rows, "a")
+        with session.scratch_run(spark) as inner:
+            assert inner.startswith(outer) and materialize(rows, "b").inputFiles()[0].removeprefix("file:").lstrip("/").startswith(inner.removeprefix("file:").lstrip("/"))
+        assert not os.path.exists(inner) and os.path.exists(outer) and table.count() == 5
+    assert not os.path.exists(outer) and materialize(rows, "c").count() == 5
+    with pytest.raises(ValueError), session.scratch_run(spark) as failed:
+        materialize(rows, "d")
+        raise ValueError
+    assert not os.path.exists(failed)
+
+
+def test_a_column_with_too_many_categories_fails(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "c string")
+    assert summary.category_counts(df, "c", "m").first().m == {"a": 2, "b": 1, "NULL": 1}
+    assert summary.category_counts(df, "c", "m", most=3).first().m == {"a": 2, "b": 1, "NULL": 1}
+    with pytest.raises(PySparkException, match="more than 2 categories"):
+        summary.category_counts(df, "c", "m", most=2).collect()
