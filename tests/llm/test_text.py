@@ -179,6 +179,62 @@ def test_shapes_beyond_the_broadcast_count_alike(spark):
     assert pii.shape("1.2" * 50) != pii.shape("1.2" * 51) and len(pii.shape("1.2" * 50)) == 64
 
 
+def valid_card(rng):
+    body = [rng.randrange(10) for _ in range(15)]
+    return next("".join(map(str, [*body, c])) for c in range(10) if pii.luhn("".join(map(str, [*body, c]))))
+
+
+def with_mentions(texts, seed=11):
+    """Every third text gets base matches, other writings of the same ones, and look-alikes of other people; the rest
+    get look-alikes only. Gives the texts and, by text, the spans of the other writings."""
+    rng = random.Random(seed)
+    out, wanted = [], []
+    for i, text in enumerate(texts):
+        n, c, who = "".join(rng.choices("23456789", k=10)), valid_card(rng), "".join(rng.choices("bcdfgh", k=6))
+        phone = (f"+1 {n[:3]} {n[3:6]} {n[6:]}", [f"1-{n[:3]}-{n[3:6]}-{n[6:]}", f"({n[:3]}) {n[3:6]} {n[6:]}", f"1.{n[:3]}.{n[3:6]}.{n[6:]}", f"1{n}"])
+        fours = [c[j : j + 4] for j in range(0, 16, 4)]
+        card = (" ".join(fours), [".".join(fours), "_".join(fours), "/".join(fours)])
+        mail = (f"{who}@x-{who}.org", [f"{who} at x-{who} dot org", f"{who} [at] x-{who} [dot] org", f"{who.upper()} AT X-{who.upper()} DOT ORG", f"{who} (at) x-{who}.org"])
+        pieces = [(x, False) for x in (text or "").split(" ")]
+        extra = []
+        if i % 3 == 0:
+            for base, others in rng.sample([phone, card, mail], rng.randint(1, 3)):
+                extra += [(base, False)] + [(x, True) for x in rng.choices(others, k=rng.randint(1, 5))]
+        # Order numbers, digits of a phone number that end otherwise, and addresses that no base match stands for.
+        m = "".join(rng.choices("0123456789", k=9))
+        extra += [("8" + m * 2 + "1", False), (f"1-{n[:3]}-{n[3:6]}-{m[:4]}", False), (f"{who[::-1]}q at y-{who} dot org", False), (f"{m[:4]}.{m[4:8]}.{m[:4]}.{m[1:5]}", False)]
+        for x in extra:
+            at = rng.randint(0, len(pieces))
+            pieces[at:at] = [("ref", False), x, (", so", False)]
+        parts, spans, size = [], set(), 0
+        for x, is_other in pieces:
+            if is_other:
+                spans.add((size, size + len(x)))
+            parts.append(x)
+            size += len(x) + 1
+        out.append(" ".join(parts))
+        wanted.append(spans)
+    return out, wanted
+
+
+def added_spans(spark, texts):
+    """By text, the spans that the field adds to the base matches."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [set() for _ in texts]
+    for r in pii.find_personal_data(docs).collect():
+        base = {(a, b) for _, a, b in pii.base_spans(texts[r.doc_id])}
+        out[r.doc_id] = {(int(a), int(b)) for _, a, b in (x.split(":") for x in r.spans.split(",") if x)} - base
+    return out
+
+
+def test_added_spans_of_planted_mentions(spark):
+    texts, wanted = with_mentions([r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").collect()])
+    got = added_spans(spark, texts)
+    hits = sum(len(a & b) for a, b in zip(got, wanted, strict=True))
+    assert hits >= 0.95 * sum(map(len, wanted)) and hits >= 0.95 * sum(map(len, got))
+    assert not any(a for i, a in enumerate(got) if i % 3)
+
+
 def test_personal_data_of_tables(spark):
     docs = awkward(spark)
     got = pii.find_personal_data(docs)
