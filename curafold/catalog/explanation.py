@@ -26,12 +26,12 @@ def kind():
     return ft.feature_type(F.col("feature"), "log_", "size", "style")
 
 
-def parts(spark, d):
+def parts(spark, d, features=FEATURES):
     """Frame, coefficients, long contributions and bias of one linear fit."""
-    df = materialize(frame(spark, d).select("id", "y", *FEATURES), "frame")
-    coefs = materialize(learners.fit_linear(df, [], FEATURES, "y"), "coefs")
-    long, bias = explain.linear_contributions(df, ["id"], coefs, FEATURES)
-    scored = learners.predict_linear(df, coefs, [], FEATURES)
+    df = materialize(frame(spark, d).select("id", "y", *[F.coalesce(f, F.lit(0.0)).alias(f) if f == "digit_share" else f for f in features]), "frame")
+    coefs = materialize(learners.fit_linear(df, [], features, "y"), "coefs")
+    long, bias = explain.linear_contributions(df, ["id"], coefs, features)
+    scored = learners.predict_linear(df, coefs, [], features)
     scored = scored.withColumn("fold_error", F.pow(F.lit(10.0), F.abs(F.col("y") - F.col("pred"))))
     return long, bias, scored
 
@@ -124,3 +124,64 @@ def _(spark, d):
         table, explain.group_importance(table, F.col("feature_type")), explain.reconstruction_error(long, bias, scored, "id")
     )
     return out.select("n", "max_abs_diff", "top_features", F.col("group_percent")["size"].alias("size_percent"))
+
+
+# The same reports over all four varying features. SQL fits them by making each one orthogonal to those before it, so
+# that simple slopes and a substitution backwards give the coefficients.
+WIDE = ["log_words", "upper_share", "word_ratio", "digit_share"]
+
+
+def wide_fit_sql() -> str:
+    """CTEs ``o0`` to ``o4`` (residuals ``r0`` to ``r3``) and ``wc`` with coefficients ``b0`` to ``b3`` and means ``m0`` to ``m3``."""
+    steps = ["o0 AS (SELECT id, y, log_words AS x0, upper_share AS x1, word_ratio AS x2, coalesce(digit_share, 0) AS x3 FROM frame)"]
+    names = ["id", "y", "x0", "x1", "x2", "x3"]
+    for j in range(4):
+        slopes = [f"regr_slope(x{j}, r{k}) AS s{j}{k}" for k in range(j)]
+        rest = "".join(f" - s{j}{k} * r{k}" for k in range(j))
+        steps.append(f"t{j} AS (SELECT {', '.join([f'avg(x{j}) AS m{j}', *slopes])} FROM o{j})")
+        steps.append(f"o{j + 1} AS (SELECT {', '.join(names)}, x{j} - m{j}{rest} AS r{j} FROM o{j}, t{j})")
+        names.append(f"r{j}")
+    steps.append(f"c AS (SELECT avg(y) AS my, {', '.join(f'regr_slope(y, r{j}) AS c{j}' for j in range(4))} FROM o4)")
+    back = "c, t0, t1, t2, t3"
+    steps.append(f"w3 AS (SELECT *, c3 AS b3 FROM {back})")
+    steps.append("w2 AS (SELECT *, c2 - s32 * b3 AS b2 FROM w3)")
+    steps.append("w1 AS (SELECT *, c1 - s31 * b3 - s21 * b2 AS b1 FROM w2)")
+    steps.append("wc AS (SELECT *, c0 - s30 * b3 - s20 * b2 - s10 * b1 AS b0 FROM w1)")
+    return ", ".join(steps)
+
+
+SQL_WIDE = f"""{SQL_FRAME}, {wide_fit_sql()},
+scored AS (SELECT o0.id, o0.y, my + {' + '.join(f'b{j} * (x{j} - m{j})' for j in range(4))} AS pred FROM o0, wc),
+errors AS (SELECT *, pow(10, abs(y - pred)) AS fold_error FROM scored),
+long AS ({' UNION ALL '.join(f"SELECT id, '{f}' AS feature, x{j} AS value, b{j} * (x{j} - m{j}) AS contribution FROM o0, wc" for j, f in enumerate(WIDE))}),
+imp AS (SELECT feature, avg(abs(contribution)) AS mean_abs, avg(contribution) AS mean FROM long GROUP BY feature),
+t AS (SELECT *, CAST(row_number() OVER (ORDER BY mean_abs DESC, feature) AS INTEGER) AS rank FROM imp)"""
+
+
+@register("m10_contributions_wide", f"WITH {SQL_WIDE} SELECT id, feature, {rs(['value', 'contribution'])} FROM long")
+def _(spark, d):
+    return parts(spark, d, WIDE)[0]
+
+
+@register("w1_top_features_wide", f"WITH {SQL_WIDE} SELECT feature, {rs(['mean_abs', 'mean'])}, rank FROM t WHERE rank <= 3")
+def _(spark, d):
+    return explain.top_features(explain.contribution_importance(parts(spark, d, WIDE)[0]), 3)
+
+
+@register("w2_local_top_wide", f"""WITH {SQL_WIDE}, md AS (SELECT median(fold_error) AS m FROM errors),
+  cs AS (SELECT 'highest_prediction' AS case_label, (SELECT id FROM errors ORDER BY pred DESC, id LIMIT 1) AS id
+    UNION ALL SELECT 'lowest_prediction', (SELECT id FROM errors ORDER BY pred, id LIMIT 1)
+    UNION ALL SELECT 'largest_fold_error', (SELECT id FROM errors ORDER BY fold_error DESC, id LIMIT 1)
+    UNION ALL SELECT 'median_fold_error', (SELECT id FROM errors, md ORDER BY round(abs(fold_error - m), 12), id LIMIT 1)),
+  ranked AS (SELECT case_label, id, feature, long.value, contribution,
+    CAST(row_number() OVER (PARTITION BY case_label, id ORDER BY abs(contribution) DESC, feature) AS INTEGER) AS rank FROM long JOIN cs USING (id))
+  SELECT case_label, id, feature, {rs(['value', 'contribution'])}, rank FROM ranked WHERE rank <= 3""")
+def _(spark, d):
+    long, _, scored = parts(spark, d, WIDE)
+    return explain.local_top(long, _cases(scored), "id", 3)
+
+
+@register("m11_dependence_table_wide", f"""WITH {SQL_WIDE} SELECT id, feature, rank, {rs(['value', 'contribution'])} FROM long JOIN t USING (feature) WHERE rank <= 3""")
+def _(spark, d):
+    long = parts(spark, d, WIDE)[0]
+    return explain.dependence_table(long, explain.contribution_importance(long), 3, ["id"])
