@@ -208,9 +208,21 @@ def _top(row: dict, k: int, factor: float) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows that follow each other and name one shard as one row, of up to ``QUERY_ROWS`` queries: a tree is walked for many at once."""
+    row: dict = {}
     for batch in batches:
+        asked, own, shards = (batch.column(batch.schema.names.index(c)) for c in ("queries", "query_ids", "shard"))
         for i in range(batch.num_rows):
-            yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
+            shard, ids = shards[i].as_py(), own[i].as_py()
+            if row and row["shard"] == shard and len(row["query_ids"]) + len(ids) <= QUERY_ROWS * 8:
+                row["queries"] += asked[i].as_py()
+                row["query_ids"] += ids
+            else:
+                if row:
+                    yield row
+                row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
+    if row:
+        yield row
 
 
 def _search(k: int, factor: float):
@@ -320,10 +332,10 @@ def nearest(
         _block, "block struct<width:int,cell:bigint,b:bigint,shards:bigint>, width int, queries binary, query_ids binary"
     )
     home = blocks.select("block.*", "queries", "query_ids").select(shard(F.pmod(F.col("b"), F.col("shards"))), "queries", "query_ids")
-    routes = index.hint("merge").join(home, "shard").drop("shard").mapInArrow(_route(k, factor, centres, reach), "width int, cell bigint, queries binary, query_ids binary")
+    routes = index.hint("merge").join(home, "shard").mapInArrow(_route(k, factor, centres, reach), "width int, cell bigint, queries binary, query_ids binary")
     sent = routes.join(cells.select("width", "cell", "shards"), ["width", "cell"]).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
     sent = sent.select(shard(F.col("s")), "queries", "query_ids")
-    found = index.hint("merge").join(sent, "shard").drop("shard").mapInArrow(_search(k, factor), "query_id bigint, vec_id bigint, score double")
+    found = index.hint("merge").join(sent, "shard").mapInArrow(_search(k, factor), "query_id bigint, vec_id bigint, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -132,7 +132,7 @@ def test_far_cells_are_not_visited(spark):
     reach = {24: [(int(c), apart[cell == c].min(), apart[cell == c].max()) for c in np.unique(cell)]}
     home = cell == cell[1000]
     order, inner, outer = vptree.build(units[home])
-    row = {"width": 24, "points": vectors[home][order].tobytes(), "inner": inner.tobytes(), "outer": outer.tobytes(), "ids": ids[home][order].tobytes(),
+    row = {"shard": 0, "width": 24, "points": vectors[home][order].tobytes(), "inner": inner.tobytes(), "outer": outer.tobytes(), "ids": ids[home][order].tobytes(),
            "at": np.arange(home.sum()).tobytes(), "queries": vectors[[1000]].tobytes(), "query_ids": ids[[1000]].tobytes()}
     batch = pa.RecordBatch.from_pylist([row])
     visited = {r["cell"] for b in vptree._route(5, 1.0, {24: centres}, reach)([batch]) for r in b.to_pylist()}
