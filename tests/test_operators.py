@@ -412,3 +412,23 @@ def test_a_column_with_too_many_categories_fails(spark):
     assert summary.category_counts(df, "c", "m", most=3).first().m == {"a": 2, "b": 1, "NULL": 1}
     with pytest.raises(PySparkException, match="more than 2 categories"):
         summary.category_counts(df, "c", "m", most=2).collect()
+
+
+def test_references_that_share_nothing_count_in_the_mean(spark):
+    q = spark.createDataFrame([(1, [1, 2]), (2, [40]), (3, [])], "id int, bits array<int>")
+    r = spark.createDataFrame([(1, [1, 2]), *[(i, [10 + i]) for i in range(2, 9)]], "id int, bits array<int>")
+    got = {x.id: x for x in similarity.ad_profile(q, r, "id", width=64, block_rows=1).collect()}
+    assert [got[i].mean_top5_similarity for i in (1, 2, 3)] == pytest.approx([1 / 5, 0, 0])
+
+
+def test_blocks_that_meet_are_not_shuffled_for_each_pair(spark):
+    rows = [(i, sorted({i % 61, *(int(x) for x in np.random.default_rng(i).integers(0, 512, 40))})) for i in range(1200)]
+    frame = spark.createDataFrame(rows, "id int, bits array<int>")
+    plan = similarity._block_pairs_above(*[similarity.distinct_sets(frame)] * 2, 0.6, 512, 16)._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "FlatMapCoGroupsInPandas" not in plan
+    wide = similarity.threshold_neighbors(frame, frame, "id", 0.6, 512, 16)
+    profile = similarity.ad_profile(frame, frame, "id", width=512, block_rows=16)
+    sets = {i: set(b) for i, b in rows}
+    want = {i: sum(len(a & b) >= 0.6 * len(a | b) for b in sets.values()) for i, a in sets.items() if i < 40}
+    assert {x.id: x.n_neighbors for x in wide.where("id < 40").collect()} == want
+    assert {x.id: x.n_sim_ge_060 for x in profile.where("id < 40").collect()} == want
