@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curafold.functions.target import direction_label
+from curafold.session import materialize
 from curafold.operators.ranking import average_rank, exact_median, join_on
 
 
@@ -73,13 +74,15 @@ def feature_spearman(long: DataFrame) -> DataFrame:
     """Rank correlation of value and contribution per feature; NULL when either is constant.
 
     Rows collapse to distinct (value, contribution) pairs before the rank lookups, so
-    a value shared by very many rows is one weighted row.
+    a value shared by very many rows is one weighted row. The pairs are written once: contributions that are worked
+    out again may differ in the last bit, as sums in another order do, and would then miss their rank.
     """
     complete = long.where(F.col("value").isNotNull() & F.col("contribution").isNotNull())
     pairs = complete.groupBy("feature", "value", "contribution").agg(F.count(F.lit(1)).alias("w"))
+    pairs = materialize(pairs, "rank-pairs")
     ranked = join_on(
-        join_on(pairs, average_rank(complete, ["feature"], "value", "rx").drop("n_ties"), ["feature", "value"]),
-        average_rank(complete, ["feature"], "contribution", "ry").drop("n_ties"),
+        join_on(pairs, average_rank(pairs, ["feature"], "value", "rx", "w").drop("n_ties"), ["feature", "value"]),
+        average_rank(pairs, ["feature"], "contribution", "ry", "w").drop("n_ties"),
         ["feature", "contribution"],
     )
     n, w = F.sum("w"), F.col("w")

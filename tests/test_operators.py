@@ -432,3 +432,10 @@ def test_blocks_that_meet_are_not_shuffled_for_each_pair(spark):
     want = {i: sum(len(a & b) >= 0.6 * len(a | b) for b in sets.values()) for i, a in sets.items() if i < 40}
     assert {x.id: x.n_neighbors for x in wide.where("id < 40").collect()} == want
     assert {x.id: x.n_sim_ge_060 for x in profile.where("id < 40").collect()} == want
+
+
+def test_rank_correlation_of_contributions_that_differ_when_worked_out_again(spark):
+    jitter = F.udf(lambda x: x + random.SystemRandom().random() * 1e-9, "double").asNondeterministic()
+    rows = spark.range(300).select(F.lit("f").alias("feature"), F.col("id").cast("double").alias("value"))
+    long = rows.withColumn("contribution", jitter("value"))
+    assert explain.feature_spearman(long).first().spearman == pytest.approx(1.0)
