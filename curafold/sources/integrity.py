@@ -44,6 +44,21 @@ def hash_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     )
 
 
+def whole_tables(files: DataFrame) -> DataFrame:
+    """One entry for each file or folder at the top: a table may be one file or a folder of part files.
+
+    A folder has the bytes of its files together and the SHA-256 of their paths and digests, in order of the paths.
+    """
+    top = F.substring_index("path", "/", 1)
+    parts = F.array_sort(F.collect_list(F.struct("path", "sha256")))
+    listed = F.array_join(F.transform("parts", lambda p: F.concat_ws(" ", p["sha256"], p["path"])), "\n")
+    single = F.col("parts")[0]
+    return files.groupBy(top.alias("name")).agg(F.sum("bytes").alias("bytes"), parts.alias("parts")).select(
+        F.col("name").alias("path"), "bytes",
+        F.when(single["path"] == F.col("name"), single["sha256"]).otherwise(F.sha2(listed, 256)).alias("sha256"),
+    )
+
+
 def write_manifest(files: DataFrame, path: str) -> None:
     """Manifest of a file listing as JSON lines, one record per file."""
     entry = F.struct("path", "bytes", "sha256")

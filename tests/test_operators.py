@@ -439,3 +439,19 @@ def test_rank_correlation_of_contributions_that_differ_when_worked_out_again(spa
     rows = spark.range(300).select(F.lit("f").alias("feature"), F.col("id").cast("double").alias("value"))
     long = rows.withColumn("contribution", jitter("value"))
     assert explain.feature_spearman(long).first().spearman == pytest.approx(1.0)
+
+
+def test_a_folder_of_part_files_is_one_table_of_a_manifest(spark, tmp_path):
+    folder = tmp_path / "in"
+    (folder / "t.parquet").mkdir(parents=True)
+    for name, text in (("one.parquet", "x"), ("t.parquet/a.parquet", "yy"), ("t.parquet/b.parquet", "z")):
+        (folder / name).write_text(text)
+
+    def entries():
+        return {r.path: r for r in integrity.whole_tables(integrity.hash_files(spark, str(folder))).collect()}
+
+    got = entries()
+    assert {k: v.bytes for k, v in got.items()} == {"one.parquet": 1, "t.parquet": 3}
+    assert got["one.parquet"].sha256 == hashlib.sha256(b"x").hexdigest()
+    (folder / "t.parquet/b.parquet").write_text("w")
+    assert entries()["t.parquet"].sha256 != got["t.parquet"].sha256
