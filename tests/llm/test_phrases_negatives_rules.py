@@ -249,3 +249,18 @@ def test_rules_of_awkward_rows(spark):
     assert want == Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got)
     assert all(r.kept != r.base_failed for r in got)
     assert anomalies.judge(empty(spark), none).count() == 0
+
+
+def test_rules_are_fitted_and_calibrated_on_all_labelled_rows(spark):
+    rng = np.random.default_rng(5)
+    words = ["alpha", "beta", "gamma", "Delta", "eps;", "7zeta", "eta.", "th#ta"]
+    rows = [(i, " ".join(rng.choice(words[: 3 + i % 6], 60 + i % 40)) + f" {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 > 1)) for i in range(400)], "doc_id bigint, quality int")
+    got = anomalies.train(docs, labels)
+    measured = [(i % 6 > 1, anomalies.measure(t.encode())) for i, t in rows]
+    used = sorted((good, list(x)) for good, (base, x) in measured if not anomalies.base_failed(base[0], base[4]))
+    good, x = np.array([g for g, _ in used]), np.array([v for _, v in used])
+    want = anomalies.calibrate(x, good)
+    assert got.most == want.most and got.score(x).tolist() == want.score(x).tolist()
+    assert not hasattr(anomalies, "SAMPLE_ROWS")
