@@ -176,8 +176,12 @@ roles AS (SELECT r.entity, CASE WHEN route = 'holdout' THEN 'external' WHEN rout
   FROM routed r LEFT JOIN parts p ON p.entity = r.entity)"""
 
 
-def roles(spark, d):
-    ents = routed(spark, d).select("entity", "route", "y")
+def routed_table(spark, d):
+    """Routed entities as a written table: roles, positions and the selection all read them."""
+    return materialize(routed(spark, d).select("entity", "route", "y"), "routed")
+
+
+def roles(ents):
     excluded = F.coalesce(F.col("y") > 3.3, F.lit(False))
     pool = ents.where((F.col("route") == "pool") & ~excluded).select("entity")
     parts = splits.holdout(pool, "entity", 0.1, SEED)
@@ -186,15 +190,15 @@ def roles(spark, d):
 
 @register("k9_role_table", f"WITH {SQL_ROLES} SELECT entity, role FROM roles")
 def _(spark, d):
-    return roles(spark, d)
+    return roles(routed_table(spark, d))
 
 
 @register("f10_select_by_role", f"""WITH {SQL_ROLES} SELECT entity, {r('y')}, row_number() OVER (PARTITION BY role ORDER BY entity) - 1 AS partition_row_order
   FROM roles JOIN routed USING (entity) WHERE role = 'train'""")
 def _(spark, d):
-    table = routed(spark, d).select("entity", "y")
-    ordered = row_positions(roles(spark, d), "entity", ["role"], "partition_row_order")
-    return splits.select_by_role(ordered, table, "entity", "train", "partition_row_order")
+    table = routed_table(spark, d)
+    ordered = row_positions(roles(table), "entity", ["role"], "partition_row_order")
+    return splits.select_by_role(ordered, table.select("entity", "y"), "entity", "train", "partition_row_order")
 
 
 @register("q10_selection_matches_rule", f"""WITH {SQL_FRAME}, a AS ({kfold_sql('frame', 'id', 3, '42')}),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curafold.functions.target import source_membership, to_log_target
 from curafold.operators.ranking import grouped_agg
+from curafold.session import materialize
 
 Rules = Sequence[tuple[str, Column]]
 
@@ -123,8 +124,11 @@ def aggregate_entities(
 ) -> DataFrame:
     """One row per entity. Links back to the raw rows stay a table: :func:`entity_row_links`.
 
-    ``source`` must hold normalised labels, so the collected set is a handful of names.
+    ``source`` must hold normalised labels, so the collected set is a handful of names. The columns in use are written
+    once: aggregates, medians and the plans of consumers read them, and none parses or tests the raw rows again.
     """
+    names = dict.fromkeys([key, value, weight, source, row_id, *max_of, *first_of])
+    df = materialize(df.select(*names), "entity-rows")
     aggs: dict[str, Column] = {
         weight: F.min_by(weight, row_id),
         "n_raw_records": F.count(F.lit(1)),

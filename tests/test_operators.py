@@ -455,3 +455,19 @@ def test_a_folder_of_part_files_is_one_table_of_a_manifest(spark, tmp_path):
     assert got["one.parquet"].sha256 == hashlib.sha256(b"x").hexdigest()
     (folder / "t.parquet/b.parquet").write_text("w")
     assert entries()["t.parquet"].sha256 != got["t.parquet"].sha256
+
+
+def test_raw_rows_are_parsed_once_for_a_selection(spark, monkeypatch):
+    """Conflicts, aggregates, medians, roles and the selection read written rows, none of them the raw text again."""
+    from curafold.catalog import QUERIES, base
+
+    parsed, real = spark.sparkContext.accumulator(0), base.events
+
+    def counted(batches):
+        for batch in batches:
+            parsed.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(base, "events", lambda s, d: (df := real(s, d)).mapInArrow(counted, df.schema))
+    assert QUERIES["f10_select_by_role"](spark, "/root/testdata/sf0.001").count() > 0
+    assert parsed.value == real(spark, "/root/testdata/sf0.001").count()
