@@ -471,3 +471,22 @@ def test_raw_rows_are_parsed_once_for_a_selection(spark, monkeypatch):
     monkeypatch.setattr(base, "events", lambda s, d: (df := real(s, d)).mapInArrow(counted, df.schema))
     assert QUERIES["f10_select_by_role"](spark, "/root/testdata/sf0.001").count() > 0
     assert parsed.value == real(spark, "/root/testdata/sf0.001").count()
+
+
+def test_tokens_are_counted_where_a_row_is_read(spark, monkeypatch):
+    monkeypatch.setattr(features, "COUNTED_TOKENS", 3)
+    texts = [(1, "a b  a\tc"), (2, None), (3, ""), (4, "\n x x"), (5, "é ü é"), (6, "w"), (7, "w w w w w"), (8, "a")]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    tokens = F.when(F.col("doc_id") == 6, F.array(F.lit(None).cast("string"))).otherwise(features.words(F.col("text")))
+
+    def wanted(rows):
+        spread = rows.select("doc_id", F.explode(tokens).alias("t")).select("doc_id", features.token_bit(F.col("t")).alias("bit"))
+        return sorted(map(str, spread.groupBy("doc_id", "bit").agg(F.count("*").alias("cnt")).collect()))
+
+    once = features.count_fingerprint(df, "doc_id", tokens)
+    assert sorted(map(str, once.select("doc_id", "bit", "cnt").collect())) == wanted(df)
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    # Rows that share an id, or have none, are added up.
+    twice = df.unionAll(df.where("doc_id < 5")).unionAll(df.where("doc_id in (1, 7)").withColumn("doc_id", F.lit(None).cast("bigint")))
+    got = features.count_fingerprint(twice, "doc_id", tokens).select("doc_id", "bit", "cnt").collect()
+    assert sorted(map(str, got)) == wanted(twice)
