@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,18 +176,27 @@ def train(docs: DataFrame, words_kept: int = WORDS_KEPT, grams_kept: int = GRAMS
     return Model(langs, items, scores), np.log(shares / max(1.0, shares.sum())).tolist(), *tables, sizes == [len(names) for names in items]
 
 
-def _unseen(unknown: DataFrame, all_grams: DataFrame, model: Model) -> DataFrame:
+def pieces(word: str, known: dict[str, int]) -> Iterator[tuple[int, str]]:
+    """Lengths and n-grams of a word that can count, longest first: below a length with an n-gram in ``known``, none does."""
+    for n in range(LONGEST_GRAM, 0, -1):
+        found = [f"{n}{g}" for g in grams(word, n)]
+        yield from ((n, g) for g in found)
+        if any(g in known for g in found):
+            return
+
+
+def _unseen(unknown: DataFrame, all_grams: DataFrame, langs: int, shared: Broadcast) -> DataFrame:
     """``item`` and its scores by language, of the words in ``unknown`` that have a known n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value.index[1]
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
-                found = [(w, n, f"{n}{g}") for w in batch.column("item").slice(start, ROWS).to_pylist() for n in range(1, LONGEST_GRAM + 1) for g in grams(w, n)]
+                found = [(w, n, g) for w in batch.column("item").slice(start, ROWS).to_pylist() for n, g in pieces(w, known)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))], ["item", "size", "gram"])
 
-    names = [f"s{i}" for i in range(len(model.langs))]
-    pieces = unknown.mapInArrow(run, "item string, size int, gram string")
-    scored = pieces.join(all_grams.withColumnRenamed("item", "gram"), "gram")
+    names = [f"s{i}" for i in range(langs)]
+    scored = unknown.mapInArrow(run, "item string, size int, gram string").join(all_grams.withColumnRenamed("item", "gram"), "gram")
     sizes = scored.groupBy("item", "size").agg(*[F.round(F.sum(x) / F.count("*")).cast("long").alias(x) for x in names])
     longest = sizes.groupBy("item").agg(F.max_by(F.struct(*names), "size").alias("s"))
     return longest.select("item", "s.*")
@@ -207,28 +217,29 @@ def _identify_joined(rows: DataFrame, model: Model, all_words: DataFrame, all_gr
                 # A row of the document itself, whose item no word equals, and one for each of the other words.
                 uids = part.column("uid").to_pylist()
                 at = np.concatenate([np.arange(len(found)), np.repeat(np.arange(len(found)), [len(rest) for _, rest in found])])
-                own = [None] * (len(at) - len(found))
+                other = [None] * (len(at) - len(found))
+                first = pa.array([*range(len(found)), *other], pa.int64())
+                own = [part.column("doc_id").take(first), part.column("held_out").take(first), pa.array([x for x, _ in found] + other, pa.list_(pa.int64()))]
                 columns = [
                     part.column("uid").take(pa.array(at)),
                     pa.array([f"-{u}" for u in uids] + [w for _, rest in found for w in rest], pa.string()),
                     pa.array([0] * len(found) + [n for _, rest in found for n in rest.values()], pa.int64()),
-                    *(part.column(c).take(pa.array(at[: len(found)].tolist() + own, pa.int64())) for c in ("doc_id", "held_out")),
-                    pa.array([x for x, _ in found] + own, pa.list_(pa.int64())),
+                    pa.StructArray.from_arrays(own, ["doc_id", "held_out", "total"], mask=pa.array(np.arange(len(at)) >= len(found))),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["uid", "item", "n", "doc_id", "held_out", "total"])
+                yield pa.RecordBatch.from_arrays(columns, ["uid", "item", "n", "own"])
 
     parts = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text")
-    parts = parts.mapInArrow(run, f"uid bigint, item string, n bigint, doc_id {kind}, held_out boolean, total array<bigint>")
+    parts = parts.mapInArrow(run, f"uid bigint, item string, n bigint, own struct<doc_id: {kind}, held_out: boolean, total: array<bigint>>")
     joined = parts.join(all_words.withColumn("known", F.lit(True)), "item", "left")
     absent = F.when(F.col("known").isNull() & (F.col("n") > 0), F.struct("item", "n"))
     scored = joined.groupBy("uid").agg(
-        *(F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "held_out", "total")),
+        F.first("own", ignorenulls=True).alias("own"),
         *(F.coalesce(F.sum(F.col(x) * F.col("n")), F.lit(0)).alias(x) for x in names),
         F.collect_list(absent).alias("absent"),
     )
-    scored = materialize(scored, "lang-scored")
+    scored = materialize(scored.select("uid", "own.*", *names, "absent"), "lang-scored")
     absent = scored.select("uid", F.inline("absent"))
-    unseen = _unseen(absent.select("item").distinct(), all_grams, model)
+    unseen = _unseen(absent.select("item").distinct(), all_grams, len(names), shared)
     more = absent.join(unseen, "item").groupBy("uid").agg(*[F.sum(F.col(x) * F.col("n")).alias(f"more_{x}") for x in names])
     total = F.array(*[F.col("total")[i] + F.col(x) + F.coalesce(f"more_{x}", F.lit(0)) for i, x in enumerate(names)])
     done = scored.drop("absent").join(more, "uid", "left")

@@ -507,3 +507,12 @@ def test_fit_equals_boosting_node_by_node(monkeypatch):
     x = np.column_stack([rng.normal(size=200), rng.integers(0, 5, 200), rng.random(200)])
     y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 2) ^ (rng.random(200) < 0.1)).astype(float)
     assert quality.fit(x, y).score(x) == pytest.approx(plain_fit(x, y), abs=1e-9)
+
+
+def test_unseen_words_send_only_ngrams_that_can_count(spark):
+    """Below a length with a known n-gram none counts, so none is sent to the owners of n-grams."""
+    sent = list(langid.pieces("abcde", {"4abcd": 0, "2ab": 1}))
+    assert sent == [(4, f"4{g}") for g in langid.grams("abcde", 4)]
+    every = [(n, f"{n}{g}") for n in (4, 3, 2, 1) for g in langid.grams("abcde", n)]
+    assert list(langid.pieces("abcde", {})) == every
+    assert list(langid.pieces("abcde", {"1a": 0})) == every
