@@ -333,3 +333,19 @@ def test_stored_preprocessing_of_many_features(spark):
     assert plan.toString().count("coalesce") == 1
     short = spark.createDataFrame([(1, None), (2, [0.5])], "id int, values array<double>")
     assert model.transform(short).select(F.size("filled")).collect() == [(len(kept),)] * 2
+
+
+def test_documents_are_tokenised_once_for_nested_trees(spark, monkeypatch):
+    """Group sizes, ranks and folds read written rows, none of them the text again."""
+    from curafold.catalog import QUERIES, base
+
+    read, real = spark.sparkContext.accumulator(0), base.documents
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(base, "documents", lambda s, d: (df := real(s, d)).mapInArrow(counted, df.schema))
+    assert QUERIES["m9_nested_trees_groups"](spark, "/root/testdata/sf0.001").count() > 0
+    assert read.value == real(spark, "/root/testdata/sf0.001").count()
