@@ -12,6 +12,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from curafold import session
+from curafold.catalog import base
 from curafold.operators import contracts, curate, explain, features, joins, metrics, ranking, setops, similarity, splits
 from curafold.plans import boosting, learners, runner, workflows
 from curafold.session import materialize
@@ -490,3 +491,59 @@ def test_tokens_are_counted_where_a_row_is_read(spark, monkeypatch):
     twice = df.unionAll(df.where("doc_id < 5")).unionAll(df.where("doc_id in (1, 7)").withColumn("doc_id", F.lit(None).cast("bigint")))
     got = features.count_fingerprint(twice, "doc_id", tokens).select("doc_id", "bit", "cnt").collect()
     assert sorted(map(str, got)) == wanted(twice)
+
+
+def related_sets(width, n, size, seed):
+    """Unrelated sets, and after each a near copy of it."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        base = rng.choice(width, int(rng.integers(1, size)), replace=False)
+        drop = rng.random(len(base)) < rng.choice([0.02, 0.1, 0.2])
+        out += [sorted(base.tolist()), sorted({*base[~drop].tolist(), *rng.choice(width, int(drop.sum())).tolist()})]
+    return out
+
+
+def as_sets(tools, sets):
+    return tools.Sets(np.array([len(x) for x in sets]), np.array([b for x in sets for b in x], dtype=np.int32))
+
+
+def test_sketches_rule_out_unrelated_sets_and_no_similar_ones():
+    width, t = 16_384, 0.7
+    tools = similarity._sketch_tools(width, t)
+    sets = [x for x in related_sets(width, 400, 300, 5) if len(x) > 100]
+    block = as_sets(tools, sets)
+    words = tools.words_for(int(block.sizes.mean()))
+    sketch = block.sketch(words)
+    i, j, apart = tools.near(block, block, words, 0, len(sets), sketch, np.ascontiguousarray(sketch.T), len(sets) ** 2)
+    left = {(a, b): d for a, b, d in zip(i.tolist(), j.tolist(), apart.tolist())}
+    similar = {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if jaccard(x, y) >= t}
+    assert similar <= set(left) and len(left) < len(similar) + 0.01 * len(sets) ** 2
+    assert all(d <= len(set(sets[a]) ^ set(sets[b])) for (a, b), d in left.items())
+    assert 0 < words <= 8 and tools.near(block, block, words, 0, len(sets), sketch, np.ascontiguousarray(sketch.T), 5) is None
+
+
+@pytest.mark.parametrize(("width", "size", "t", "left_share"), [(16_384, 300, 0.7, 64), (16_384, 300, 0.7, 1 << 40), (2048, 1900, 0.6, 64), (100, 90, 0.6, 1), (70_000, 200, 0.3, 1), (5000, 900, 0.05, 64)])
+def test_matches_of_blocks_against_brute_force(monkeypatch, width, size, t, left_share):
+    monkeypatch.setattr(similarity, "LEFT_SHARE", left_share)
+    tools = similarity._sketch_tools(width, t)
+    sets = [x for x in related_sets(width, 60, size, width) if x]
+    q, r = as_sets(tools, sets[::2]), as_sets(tools, sets[1::2] + sets[:20])
+    q.kept_sketch = q.sketch
+    got = {(a, b): s for i, j, values in tools.matches(q, r) for a, b, s in zip(i.tolist(), j.tolist(), values.tolist())}
+    both = {(a, b): jaccard(x, y) for a, x in enumerate(sets[::2]) for b, y in enumerate(sets[1::2] + sets[:20])}
+    assert got == {k: s for k, s in both.items() if s >= t}
+
+
+def test_bit_sets_of_odd_texts(spark, monkeypatch):
+    texts = ["a b a", "", " ", "\n", None, "\ta  b\n", "a b c　", " \n x", "x \x0b\x0c\r y ", "ä ö", "\x85 a\x1cb", "a" * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(1)
+    want = {x.id: x.bits for x in df.select("id", features.bit_set(features.words(F.col("text")), 512).alias("bits")).collect()}
+    assert {x.id: x.bits for x in features.bit_sets(df, "id", "text", 512).collect()} == want
+    monkeypatch.setattr(features, "KNOWN_TOKENS", 2)
+    assert {x.id: x.bits for x in features.bit_sets(df, "id", "text", 512).collect()} == want
+
+
+def test_documents_are_read_once_for_queries_and_references(spark):
+    for side in base.query_and_reference(spark, "/root/testdata/sf0.001"):
+        assert not any("documents" in f for f in side.inputFiles())
