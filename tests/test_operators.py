@@ -535,6 +535,20 @@ def test_matches_of_blocks_against_brute_force(monkeypatch, width, size, t, left
     assert got == {k: s for k, s in both.items() if s >= t}
 
 
+def test_neighbors_of_packed_blocks_against_brute_force(spark):
+    sets = related_sets(2048, 150, 500, 3) + [[], [7]]
+    q, r = list(enumerate(sets)), list(enumerate(sets[1::2] + sets[1:60:2] + [[], [7], [7]]))
+    frames = [spark.createDataFrame(x, "id int, bits array<int>") for x in (q, r)]
+    got = {x.id: (x.n_neighbors, x.best_similarity) for x in similarity.threshold_neighbors(*frames, "id", 0.6, block_rows=50).collect()}
+    for a, x in q:
+        s = [v for v in (jaccard(x, y) for _, y in r) if v >= 0.6]
+        assert got[a] == (len(s), max(s, default=None))
+    pairs = similarity.tanimoto_pairs(*frames, 0.6, block_rows=50).collect()
+    assert sum(x.q_copies * x.r_copies for x in pairs) == sum(jaccard(x, y) >= 0.6 for _, x in q for _, y in r)
+    plan = similarity.threshold_neighbors(*frames, "id", 0.6)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+
+
 def test_bit_sets_of_odd_texts(spark, monkeypatch):
     texts = ["a b a", "", " ", "\n", None, "\ta  b\n", "a b c　", " \n x", "x \x0b\x0c\r y ", "ä ö", "\x85 a\x1cb", "a" * 9000]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(1)
