@@ -561,3 +561,29 @@ def test_bit_sets_of_odd_texts(spark, monkeypatch):
 def test_documents_are_read_once_for_queries_and_references(spark):
     for side in base.query_and_reference(spark, "/root/testdata/sf0.001"):
         assert not any("documents" in f for f in side.inputFiles())
+
+
+@pytest.mark.parametrize(("width", "size"), [(2048, 500), (5000, 300)])
+def test_best_values_and_counts_alone_equal_the_profile(spark, width, size):
+    sets = related_sets(width, 120, size, 4) + [[], [7]]
+    q, r = list(enumerate(sets)), list(enumerate(sets[1::2] + sets[1:60:2] + [[], [7], [7]]))
+    frames = [spark.createDataFrame(x, "id int, bits array<int>") for x in (q, r)]
+    best = {x.id: x.max_similarity for x in similarity.best_similarity(*frames, "id", width, 50).collect()}
+    counts = {x.id: x for x in similarity.neighbor_counts(*frames, "id", width=width, block_rows=50).collect()}
+    profile = {x.id: x for x in similarity.ad_profile(*frames, "id", width=width, block_rows=50).collect()}
+    for a, x in q:
+        s = sorted((jaccard(x, y) for _, y in r), reverse=True)
+        assert best[a] == profile[a].max_similarity == s[0] and profile[a].mean_top5_similarity == pytest.approx(sum(s[:5]) / 5)
+        for t in similarity.THRESHOLDS:
+            assert counts[a][similarity.count_name(t)] == profile[a][similarity.count_name(t)] == sum(v >= t for v in s)
+
+
+def test_pairs_that_are_given_up_cannot_reach_what_is_needed():
+    tools = similarity._sketch_tools(2048, 0.5)
+    sets = [x for x in related_sets(2048, 200, 400, 9) if x]
+    q, r = as_sets(tools, sets), as_sets(tools, sets[::2])
+    q.kept_sketch = q.sketch
+    need = np.array([max(1, len(x) // 3) for x in sets])
+    got = {(a, b): c for i, j, common in tools.reaching(q, r, np.arange(len(sets)), need) for a, b, c in zip(i.tolist(), j.tolist(), common.tolist())}
+    shared = {(a, b): len(set(x) & set(y)) for a, x in enumerate(sets) for b, y in enumerate(sets[::2])}
+    assert got == {k: c for k, c in shared.items() if c >= need[k[0]]}
