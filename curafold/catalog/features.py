@@ -164,6 +164,10 @@ def profile(spark, d):
     return similarity.ad_profile(q, ref, "doc_id")
 
 
+def counts(spark, d):
+    return similarity.neighbor_counts(*query_and_reference(spark, d), "doc_id")
+
+
 def best(spark, d):
     return similarity.best_similarity(*query_and_reference(spark, d), "doc_id")
 
@@ -189,7 +193,7 @@ def _(spark, d):
 @register("d3_ad_flags", f"WITH {SQL_PROFILE} SELECT doc_id, " + ", ".join(
     f"{similarity.count_name(t)} >= {c} AS in_{similarity.rule_name(t, c)}" for t in similarity.THRESHOLDS for c in similarity.COUNTS) + " FROM prof")
 def _(spark, d):
-    flags = similarity.ad_flags(profile(spark, d))
+    flags = similarity.ad_flags(counts(spark, d))
     return flags.select("doc_id", *[c for c in flags.columns if c.startswith("in_")])
 
 
@@ -208,7 +212,7 @@ def region_metrics(spark, d):
         (F.col("n_chars").cast("double") / 1000).alias("y"),
         (F.col("n_chars").cast("double") / 1000 + (F.col("doc_id") % 41 - 20) / 40.0).alias("pred"),
     )
-    return similarity.ad_region_metrics(profile(spark, d).join(base, "doc_id"))
+    return similarity.ad_region_metrics(counts(spark, d).join(base, "doc_id"))
 
 
 @register("d4_ad_region_metrics", f"WITH {SQL_REGION} SELECT * FROM region")
