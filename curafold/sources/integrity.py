@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curafold.operators.ranking import join_on
+from curafold.session import materialize
 
 MANIFEST_SCHEMA = "files array<struct<path string, bytes long, sha256 string>>"
 
@@ -26,22 +30,82 @@ def read_manifest(spark: SparkSession, path: str, one_document: bool = True) ->
     )
 
 
+#: Larger than any file: with it for a partition's bytes and for opening a file, no file is split and each is a task's own.
+WHOLE_FILE = 1 << 44
+#: Files that the line reader unpacks by their names.
+PACKED_FILE = r"\.(gz|bz2|deflate|snappy|lz4|zst|passthrough)$"
+
+
+def _pieces_kernel():
+    """Task body: the pieces between line feeds of a file in order in; path, size and SHA-256 out, NULL if bytes are missing."""
+    mark = b"\xef\xbb\xbf"  # the reader leaves it out at the start of a file
+
+    def result(path, size, length, plain, marked):
+        sha256 = None
+        for hashed, more in ((plain, 0), (marked, len(mark))):
+            missing = size - length - more
+            if missing in (0, 1):  # without or with a line feed at the end
+                hashed.update(b"\n" * missing)
+                sha256 = hashed.hexdigest()
+                break
+        return pa.RecordBatch.from_arrays(
+            [pa.array([unquote(path)]), pa.array([size], pa.int64()), pa.array([sha256], pa.string())], ["path", "bytes", "sha256"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = None
+        for batch in batches:
+            paths, sizes, pieces = (batch.column(name) for name in ("path", "bytes", "piece"))
+            starts = [0, *[k for k in range(1, batch.num_rows) if paths[k] != paths[k - 1]]] if paths[0] != paths[batch.num_rows - 1] else [0]
+            for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
+                data = b"\n".join(pieces.slice(start, stop - start).to_pylist())
+                if path == paths[start].as_py():
+                    data = b"\n" + data
+                else:
+                    if path is not None:
+                        yield result(path, size, length, plain, marked)
+                    path, size, length, plain, marked = paths[start].as_py(), sizes[start].as_py(), 0, hashlib.sha256(), hashlib.sha256(mark)
+                length += len(data)
+                plain.update(data)
+                marked.update(data)
+        if path is not None:
+            yield result(path, size, length, plain, marked)
+
+    return run
+
+
 def hash_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Relative path, size and SHA-256 of each file; hashed where the file is read.
+    """Relative path, size and SHA-256 of each file; hashed where the file is read, and written at once.
 
-    Spark hands a file to one task as a whole, so single files are limited to 2 GB.
+    A task reads a file of any size in order, in pieces that end with a line feed, and holds a few thousand of them. Only files
+    that the line reader unpacks or shows in part are taken as one row each; these are limited to 2 GB.
     """
     root = folder.rstrip("/") + "/"
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(folder)
-    )
-    name = F.substring_index(F.col("path"), root, -1)
-    return files.select(
-        name.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+
+    def files(fmt: str, **options: str) -> DataFrame:
+        reader = spark.read.format(fmt).options(recursiveFileLookup=True, pathGlobFilter=pattern, **options)
+        return reader.load(folder)
+
+    pieces = files("text", lineSep="\n").where(~F.col("_metadata.file_name").rlike(PACKED_FILE)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), F.col("value").cast("binary").alias("piece")
     )
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(key) for key in keys]
+    try:
+        for key in keys:
+            spark.conf.set(key, str(WHOLE_FILE))
+        hashed = materialize(pieces.mapInArrow(_pieces_kernel(), "path string, bytes long, sha256 string"), "file-hashes")
+    finally:
+        for key, value in zip(keys, before):
+            spark.conf.set(key, value)
+    hashed = hashed.where(F.col("sha256").isNotNull())
+    odd = files("binaryFile").select("path", "length").join(hashed, "path", "left_anti").collect()
+    if odd:
+        # The reader drops files of other sizes before it reads them.
+        chosen = F.col("length").isin([x["length"] for x in odd]) & F.col("path").isin([x["path"] for x in odd])
+        whole = files("binaryFile").where(chosen)
+        hashed = hashed.unionByName(whole.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")))
+    return hashed.withColumn("path", F.substring_index("path", root, -1))
 
 
 def whole_tables(files: DataFrame) -> DataFrame:

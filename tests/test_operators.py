@@ -1,5 +1,6 @@
 """Operators against brute force on small inputs, hot groups and failure cases."""
 
+import gzip
 import hashlib
 import json
 import os
@@ -587,3 +588,21 @@ def test_pairs_that_are_given_up_cannot_reach_what_is_needed():
     got = {(a, b): c for i, j, common in tools.reaching(q, r, np.arange(len(sets)), need) for a, b, c in zip(i.tolist(), j.tolist(), common.tolist())}
     shared = {(a, b): len(set(x) & set(y)) for a, x in enumerate(sets) for b, y in enumerate(sets[::2])}
     assert got == {k: c for k, c in shared.items() if c >= need[k[0]]}
+
+
+def test_files_are_hashed_in_pieces(spark, tmp_path):
+    rng = random.Random(1)
+    files = {
+        "a.bin": rng.randbytes(3_000_000), "sub dir/ä %.bin": b"\xef\xbb\xbfabc\n", "mark": b"\xef\xbb\xbf", "feeds": b"\n\n", "crlf": b"\r\nx\r",
+        "text": b"abc", "zeros": bytes(100_000), "t.gz": gzip.compress(b"abc\n" * 9), "fake.gz": b"no gzip", "b.parquet": rng.randbytes(70_000) + b"\n",
+    }
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = integrity.hash_files(spark, str(tmp_path))
+    assert {r.path: (r.bytes, r.sha256) for r in found.collect()} == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in files.items()}
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    # No file is a row that a task holds as a whole.
+    tables = integrity.hash_files(spark, str(tmp_path), "*.parquet")
+    assert [r.path for r in tables.collect()] == ["b.parquet"] and "content" not in tables._jdf.queryExecution().toString()
